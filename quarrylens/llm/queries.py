@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import quality_rules
+from quarrylens.llm import quality_rules, secret_scan
 from quarrylens.llm.common import table
 
 
@@ -14,7 +14,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, model)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op6_quality_rules": op6_quality_rules,
 }
 
