@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import quality_rules, secret_scan
+import public_tokenizers
+from quarrylens.llm import bpe, quality_rules, secret_scan
 from quarrylens.llm.common import table
 
 
@@ -14,13 +15,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, model)
 
 
+#: The vocabulary file of the token queries.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
