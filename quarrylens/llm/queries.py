@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
-from quarrylens.llm import bpe, quality_rules, secret_scan
+from quarrylens.llm import bpe, quality_rules, secret_scan, token_files
 from quarrylens.llm.common import table
 
 
@@ -23,12 +23,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(spark, token_files.write(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_token_files": op2_token_files,
     "op6_quality_rules": op6_quality_rules,
     "op10_bpe": op10_bpe,
 }
