@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, quality_rules, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, license_scan, quality_rules, secret_scan, token_files, toxicity
 from quarrylens.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
     "op6_quality_rules": op6_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op10_bpe": op10_bpe,
 }
 
