@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, license_scan, quality_rules, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, license_scan, near_dedup, quality_rules, secret_scan, token_files, toxicity
 from quarrylens.llm.common import table
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality_rules.fit(documents, table(spark, sf_dir, "labels"))
@@ -49,6 +53,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
     "op4_decontaminate": op4_decontaminate,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
     "op10_bpe": op10_bpe,
