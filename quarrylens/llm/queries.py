@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, license_scan, near_dedup, quality_rules, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, secret_scan, token_files, toxicity
 from quarrylens.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_license_scan": op8_license_scan,
+    "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
 }
 
