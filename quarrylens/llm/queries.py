@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, repeated_spans, secret_scan, token_files, toxicity
 from quarrylens.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_repeated_spans": op7_repeated_spans,
     "op8_license_scan": op8_license_scan,
     "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
