@@ -1 +1,3 @@
-"""plans of the engine."""
+"""Registered queries: importing this package fills the registry."""
+
+from quarrylens.plans import reads, reports  # noqa: F401
