@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -34,11 +35,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Cut the lineage by a table written to the shared folder.
+
+    Unlike a checkpoint's, the plan read back knows the table's true size, so estimates
+    don't multiply up over rounds of joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words_of(text: str | None) -> list[bytes]:

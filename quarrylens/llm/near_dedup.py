@@ -6,10 +6,11 @@ shingles of ``width`` words (the whole sequence if it is shorter).  Shingles fal
 0, 1, 2, ... gives every coordinate of the signature.  ``BANDS`` bands of ``ROWS``
 coordinates are bucket keys.
 
-Documents with equal sets are one node.  In each bucket whose nodes are not yet in one
-component, nodes are compared with a leader of the bucket, on full sets; after
-``LEADER_ROUNDS`` rounds whatever pair of components still shares a bucket is compared
-pair by pair.  So large groups of copies cost one comparison a member, and no link that
+Documents with equal sets are one node.  In each bucket all nodes are compared with the
+smallest one, on full sets.  Buckets that then still hold nodes of several components
+are gone through again: small ones pair by pair, large ones in pairs of blocks of
+``BLOCK`` nodes, in which a node is compared only until its component has met the
+others.  So large groups of copies cost about one comparison a member, and no link that
 could join two components is left untested.
 
 Scale: texts are read twice and never shuffled whole; the text of candidates alone goes
@@ -42,7 +43,8 @@ SLOTS = 1 << 20
 #: 48 bands of 7 rows: a pair with a Jaccard of 0.8 shares no band once in 80,000.
 BANDS, ROWS = 48, 7
 SEED = 20_240_229
-LEADER_ROUNDS = 3
+#: Nodes of a bucket up to which pairs are formed, and of a block beyond that.
+SMALL, BLOCK = 32, 1000
 MOST_WORDS = 300_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -161,45 +163,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[
     return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "pa", "pb").mapInPandas(run, "a long, b long")
 
 
+def _met(nodes: pd.DataFrame, width: int, similarity: tuple[int, int]) -> pd.DataFrame:
+    """Links between components within a pair of blocks of a large bucket."""
+    part, whole = similarity
+    shingles, unpacker = Shingles(width), zstandard.ZstdDecompressor()
+    sets = [shingles.of_words(unpacker.decompress(x).split()) for x in nodes["packed"]]
+    sizes = np.array([len(s) for s in sets])
+    every, where = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(where, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    begin = np.searchsorted(where[order], np.arange(len(every) + 1))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    _, label = np.unique(nodes["label"], return_inverse=True)
+    label = label.astype(np.int64)
+    side, node = nodes["side"].to_numpy(), nodes["node"].to_numpy()
+    links = []
+    # nodes of rare components first: the largest one then has nothing left to ask
+    for a in np.argsort(np.bincount(label)[label], kind="stable"):
+        open_ = (label != label[a]) & ((side != side[a]) | (side[a] == 0))
+        if not open_.any():
+            continue
+        own = where[starts[a] : starts[a + 1]]
+        found = np.concatenate([holders[begin[x] : begin[x + 1]] for x in own])
+        common = np.bincount(found, minlength=len(sets))
+        for b in np.flatnonzero(open_ & (whole * common >= part * (sizes + sizes[a] - common))):
+            if label[b] != label[a]:
+                links.append((node[a], node[b]))
+                label[label == label[b]] = label[a]
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
 def _labels(members: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame | None:
     """(node, label) of nodes linked with another; None if there is no link.
 
     members: (key, node, n) for buckets of two nodes or more.
     """
     part, whole = similarity
-    labels, links, tested = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        if turn == 0:
-            led = now.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("lead"))
-        else:  # other leaders in each bucket and round, the better known members first to go
-            draw = F.xxhash64("node", "key", F.lit(turn))
-            led = now.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), draw).alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"))
-            led = cut(led.where("low < high").select("key", "lead"))
-            if led.isEmpty():
-                return labels
-        if turn < LEADER_ROUNDS:
-            met = now.join(led, "key").select("node", "label", "n", *(F.col(f"lead.{c}").alias(f"other_{c}") for c in ("node", "label", "n")))
-        else:
-            open_ = now.join(led.select("key"), "key")
-            other = open_.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "n")))
-            met = open_.join(other, "key").where("node < other_node")
-        fits = (F.col("label") != F.col("other_label")) & (whole * F.least("n", "other_n") >= part * F.greatest("n", "other_n"))
-        # the leader is b: pairs with one leader meet in one place
-        pairs = met.where(fits).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-        if tested is not None:
-            known = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        found = cut(_verified(pairs, texts, width, similarity))
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links)
-    return labels
+    alike = whole * F.least("n", "other_n") >= part * F.greatest("n", "other_n")
+    led = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"))
+    met = members.join(led, "key").select("node", "n", F.col("lead.node").alias("other"), F.col("lead.n").alias("other_n")).where(F.col("node") != F.col("other"))
+    # the leader is b: pairs with one leader meet in one place
+    tested = cut(met.where(alike).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
+    links = cut(_verified(tested, texts, width, similarity))
+    labels = None if links.isEmpty() else components(links)
+    now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = now.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
+    open_ = cut(now.join(held, "key"))
+    if open_.isEmpty():
+        return labels
+    small = open_.where(F.col("size") <= SMALL)
+    other = small.select("key", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
+    pairs = small.join(other, "key").where((F.col("other") < F.col("node")) & (F.col("label") != F.col("other_label")) & alike)
+    pairs = cut(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+    more = _verified(pairs, texts, width, similarity)
+    # every pair of a large bucket's blocks is a group; a node goes to all pairs of its block
+    blocks = F.ceil(F.col("size") / BLOCK)
+    dealt = open_.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("across", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    paired = dealt.select("key", "node", "label", F.least("own", "across").alias("one"), F.greatest("own", "across").alias("two"), F.when(F.col("own") == F.col("across"), 0).when(F.col("own") < F.col("across"), 1).otherwise(2).alias("side"))
+    large = paired.join(texts, "node").groupBy("key", "one", "two").applyInPandas(lambda nodes: _met(nodes, width, similarity), "a long, b long")
+    found = cut(more.unionByName(large))
+    return labels if found.isEmpty() else components(links.unionByName(found))
 
 
 def classes(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:

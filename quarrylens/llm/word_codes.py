@@ -20,6 +20,28 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = re.compile(f"[{WHITE}]+")
 
 
+class Remembered(dict):
+    """A dict that forgets: when full it becomes the older generation, whose entries
+    come back when asked for again."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; what the older one has is taken over."""
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+        absent = keys.difference(self)
+        if self.older:
+            older = self.older
+            found = {k: older[k] for k in absent if k in older}
+            self.update(found)
+            absent -= found.keys()
+        return list(absent)
+
+
 class WordCodes:
     """``codes(texts)`` gives each text's ids as little-endian unsigned 32-bit integers.
 
@@ -28,10 +50,10 @@ class WordCodes:
     """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], special: dict[str, int], most_words: int = MOST_WORDS):
-        self.encode, self.most_words = encode, most_words
+        self.encode = encode
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(most_words)
 
     def parts(self, text: str) -> list[str]:
         if SEPARATORS.search(text):
@@ -47,11 +69,9 @@ class WordCodes:
 
     def codes(self, texts: Iterable[str | None]) -> list[bytes]:
         split = [self.words(text) for text in texts]
-        new = [w for w in set().union(*split) if w not in self.known]
-        if len(self.known) + len(new) > self.most_words:
-            self.known.clear()
-            new = list(set().union(*split))
-        self.known.update(self.special)
-        new = [w for w in new if w not in self.special]
-        self.known.update(zip(new, self.encode(new), strict=True))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        every = set().union(*split)
+        known = self.known
+        new = [w for w in known.missing(every) if w not in self.special]
+        known.update(zip(new, self.encode(new), strict=True))
+        known.update(self.special)
+        return [b"".join(map(known.__getitem__, words)) for words in split]

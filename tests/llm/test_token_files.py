@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -25,6 +26,17 @@ def test_round_trip_against_the_library(spark, tmp_path):
         at += len(ids)
 
 
+def test_words_as_the_library_has_them():
+    rng = random.Random(11)
+    library = Tokenizer.from_file(PATH)
+    codes = token_files.library_codes(PATH)
+    alphabet = "abcdeEAinth 's.,'!éÉßŁσΣİ²\t\n01ก\u0301你\u200d\x1c"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    texts += ["Words, like these. AND THOSE!! don't e\u0301, A\u030a x$$$ $$$ a<|endoftext|>b"]
+    for text, ids in zip(texts, codes.codes(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_only_wanted_frames_and_plain_stream(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text number {i}") for i in range(300)], "doc_id long, text string")
     folder = token_files.write(df, PATH, f"file://{tmp_path}/t")
