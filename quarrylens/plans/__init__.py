@@ -1,3 +1,3 @@
 """Registered queries: importing this package fills the registry."""
 
-from quarrylens.plans import reads, reports  # noqa: F401
+from quarrylens.plans import formats, reads, reports, rules  # noqa: F401
