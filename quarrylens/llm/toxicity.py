@@ -161,7 +161,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     if not totals[1]:
         return Model()
     least = max(LEAST_DOCS, LEAST_SHARE * totals[1])
-    odds = {r.cue: float(np.log((r.n1 + 0.5) / (totals[1] + 1)) - np.log((r.n0 + 0.5) / (totals[0] + 1))) for r in rows if r.cue and r.n1 >= least}
+    # one more clean document for each cue: a few chance meetings make no cue
+    odds = {r.cue: float(np.log((r.n1 + 0.5) / (totals[1] + 1)) - np.log((r.n0 + 1.5) / (totals[0] + 2))) for r in rows if r.cue and r.n1 >= least}
     strength = {c: x for c, x in odds.items() if x >= STRENGTHS[0]}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
