@@ -51,13 +51,14 @@ def k09(spark: SparkSession, d: str) -> DataFrame:
     return joins.upserted(issues, joins.patched(issues, labels, ["source"]), ["bug_id"]).unionByName(new)
 
 
-@query("k12_promotion", """SELECT activity_id, entity_type || '_AUTO_' || lpad(CAST(row_number() OVER (PARTITION BY entity_type ORDER BY created_at, activity_id) AS VARCHAR), 6, '0') AS bug_id,
+@query("k12_promotion", """SELECT activity_id, entity_type || '_AUTO_' || strftime(created_at, '%Y%m%d') || '_' || lpad(CAST(row_number() OVER (PARTITION BY entity_type, strftime(created_at, '%Y%m%d') ORDER BY created_at, activity_id) AS VARCHAR), 6, '0') AS bug_id,
 array_to_string(list_sort(list_distinct(['auto-discovery', action, actor_kind])), ',') AS labels FROM activity WHERE entity_type = 'signal' AND issue_id IS NOT NULL""")
 def k12(spark: SparkSession, d: str) -> DataFrame:
-    promoted = src.activity(spark, d).where("entity_type = 'signal' AND issue_id IS NOT NULL")
-    number = F.row_number().over(Window.partitionBy("entity_type").orderBy("created_at", "activity_id"))
+    """Signals are numbered within their day, so no task orders all of them."""
+    promoted = src.activity(spark, d).where("entity_type = 'signal' AND issue_id IS NOT NULL").withColumn("day", F.date_format("created_at", "yyyyMMdd"))
+    number = F.row_number().over(Window.partitionBy("entity_type", "day").orderBy("created_at", "activity_id"))
     labels = arrays.sorted_distinct(F.array(F.lit("auto-discovery"), F.col("action"), F.col("actor_kind")))
-    return promoted.select("activity_id", F.concat("entity_type", F.lit("_AUTO_"), F.lpad(number.cast("string"), 6, "0")).alias("bug_id"), F.array_join(labels, ",").alias("labels"))
+    return promoted.select("activity_id", F.concat("entity_type", F.lit("_AUTO_"), "day", F.lit("_"), F.lpad(number.cast("string"), 6, "0")).alias("bug_id"), F.array_join(labels, ",").alias("labels"))
 
 
 @query("k14_change_log", """SELECT bug_id, CASE WHEN upper(source) <> source THEN source || '>' || upper(source) END AS severity_change, CASE WHEN quality = 0 THEN issue_status || '>rejected' END AS status_change
@@ -246,11 +247,16 @@ def u12(spark: SparkSession, d: str) -> DataFrame:
     return said(spark, d).select("conv_id", "turn", F.concat(F.lit("sig_"), F.left(mark, F.lit(12))).alias("signal_id"), F.col("text").rlike(paths.SIGNAL_RULES[0][3][0]).alias("annotated"))
 
 
-@query("u15_index_mark", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS mark FROM documents GROUP BY source")
+@query("u15_index_mark", """SELECT source, sha256(string_agg(block || '=' || mark, ',' ORDER BY block)) AS mark FROM (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS mark FROM documents GROUP BY ALL) GROUP BY source""")
 def u15(spark: SparkSession, d: str) -> DataFrame:
-    """One mark for each source from the digests of all its texts, in order of id."""
-    each = F.array_sort(F.collect_list(F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("m"))))
-    return src.table(spark, d, "documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(each, lambda x: x["m"]), ","), 256).alias("mark"))
+    """One mark for each source, from those of blocks of a thousand ids: no task gathers
+    the digests of a whole source."""
+    def mark(df: DataFrame, keys: list[str], id_: str, digest: F.Column, between: str) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct(id_, F.concat_ws(between, F.col(id_).cast("string"), digest).alias("m"))))
+        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(each, lambda x: x["m"]), ","), 256).alias("mark"))
+
+    own = src.table(spark, d, "documents").withColumn("block", F.floor(F.col("doc_id") / 1000))
+    return mark(mark(own, ["source", "block"], "doc_id", F.sha2("text", 256), ":"), ["source"], "block", F.col("mark"), "=")
 
 
 @query("u19_path_tokens", "SELECT file_id, len(list_distinct(regexp_extract_all(lower(path), '[a-z0-9_]{3,}'))) AS n FROM files")
