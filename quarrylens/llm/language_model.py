@@ -11,15 +11,16 @@ sets; a document's own words decide between the classes as it is read, and a
 cache of them gains weight as it repeats itself.  The bits of all these give a text's
 total bits, its bits per byte and its log10 probability.
 
-Counts cover all training documents and the predictors' counters every distinct word of
-them.  Fitted on bounded samples are the definition of the classes (``SAMPLE_DOCS``) and
-the weights and the map (``WEIGHT_WORDS``), each bit predicted as if its own word had
-not been counted.
+Counts and classes cover all training documents; counters, weights and map learn from
+every distinct word of them, each bit predicted as if its own word had not been counted.
+The classes start from a bounded sample (``SAMPLE_DOCS``) and are then fitted by EM
+passes over all training documents until they settle.
 
 Scale: distinct words, not tokens, are shuffled: (word, count) once, and for each block
 of documents (about ``BLOCK_BYTES`` of text, by a hash of the id) its distinct words,
 which meet their counts and spelling bits in a join and come back to the block.  The
-hashed tables, weights and map have fixed sizes (``SLOT_BITS``), a few megabytes.
+hashed tables grow with the distinct words up to ``MOST_SLOT_BITS``, under 100 megabytes;
+EM passes read a row of ``MARKERS`` bits for each training document.
 
 Edge cases: null and empty texts hold the end token alone; a null id is never held out;
 rows with equal ids are scored one by one, and each is learned from; without training
@@ -47,25 +48,26 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import cut, each_batch, fold_column, lower_ascii, shared_folder, short_batches
 
 FOLDS, HELD_OUT = 7, 2
-#: Classes of documents; training documents and frequent words that define them.
+#: Classes of documents; training documents they start from, and frequent words that tell them apart.
 CLASSES, SAMPLE_DOCS, MARKERS, EM_ROUNDS = 8, 2500, 1500, 25
-#: Slots of the predictors of order 0, 1, 2, ...: powers of two.
-SLOT_BITS = (12, 16, 17, 18, 18)
+#: A task hands on the words that this share of its training documents hold.
+MARKER_SHARE = 1 / 5000
+#: EM over all training documents ends where a round gains less than this share.
+SETTLED = 1e-5
+#: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
+SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 20, 21, 21)
 BLOCK_BYTES = 12_000_000
 #: What a counted word gives up to words that are spelled.
 DISCOUNT = 0.75
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
 CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
-#: About so many distinct words, picked by their hash, fit the weights and the map.
-WEIGHT_WORDS = 250_000
 BUCKETS, REACH = 33, 8.0
 #: The byte after a word.
 CLOSE = 0x20
 
 ORDERS = len(SLOT_BITS)
-SIZES = tuple(1 << b for b in SLOT_BITS)
-FIRST = np.concatenate(([0], np.cumsum(SIZES)))
+FIRST = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 GATES = ORDERS * 8
 SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
@@ -73,17 +75,29 @@ SCHEMA = (
 )
 
 
-#: Where each node of a byte's bits stands relative to its context, by order.
-NODES = [np.random.default_rng(k).integers(0, size, 256).astype(np.int32) for k, size in enumerate(SIZES)]
 #: The node before each bit of each byte.
 PATHS = np.array([[(0x100 | byte) >> (8 - k) for k in range(8)] for byte in range(256)], dtype=np.uint8)
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def slot_bits(distinct: int) -> tuple[int, ...]:
+    """Slots that follow the number of distinct words."""
+    return tuple(min(max(least, distinct.bit_length()), most) for least, most in zip(SLOT_BITS, MOST_SLOT_BITS, strict=True))
+
+
+@lru_cache(maxsize=8)
+def layout(slots: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The first slot of each order, and where each node of a byte's bits stands
+    relative to its context."""
+    sizes = [1 << b for b in slots]
+    return np.concatenate(([0], np.cumsum(sizes))), [np.random.default_rng(k).integers(0, size, 256).astype(np.int32) for k, size in enumerate(sizes)]
+
+
+def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all words end to end: slots (bits x orders), the bits, and bits per word."""
     sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
     flat = np.frombuffer(b"".join(w + bytes([CLOSE]) for w in words), dtype=np.uint8)
     n = len(flat)
+    starts, places = layout(widths)
     place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     nodes = PATHS[flat]
     slots = np.empty((n, 8, ORDERS), dtype=np.int32)
@@ -96,8 +110,8 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             context = before if k == 1 else context * np.uint64(0x100000001B3) + before
         mixed = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        base = (mixed >> np.uint64(64 - SLOT_BITS[k])).astype(np.int32)
-        slots[:, :, k] = (NODES[k][nodes] ^ base[:, None]) + np.int32(FIRST[k])
+        base = (mixed >> np.uint64(64 - widths[k])).astype(np.int32)
+        slots[:, :, k] = (places[k][nodes] ^ base[:, None]) + np.int32(starts[k])
     return slots.reshape(-1, ORDERS), np.unpackbits(flat).astype(np.int64), sizes * 8
 
 
@@ -113,6 +127,7 @@ class BitModel:
     seen: np.ndarray
     weights: np.ndarray
     refine: np.ndarray
+    widths: tuple[int, ...] = SLOT_BITS
 
     def __post_init__(self):
         self.odds = np.log((self.ones + 0.2) / (self.seen - self.ones + 0.2)).astype(np.float32)
@@ -144,7 +159,7 @@ class BitModel:
 
     def bits_of(self, words: list[bytes]) -> np.ndarray:
         """The number of bits that each word costs."""
-        slots, bits, sizes = spelled(words)
+        slots, bits, sizes = spelled(words, self.widths)
         gate = self.gate(self.known[slots])
         x = self.mixed(self.odds[slots], gate)
         p = (squash(x) + self.refine[self.cells(x, gate)]) / 2
@@ -153,7 +168,7 @@ class BitModel:
 
     def learn(self, words: list[bytes], turn: int, hits: np.ndarray) -> None:
         """Online steps of the weights; ``hits`` gathers what follows each cell."""
-        slots, bits, _ = spelled(words)
+        slots, bits, _ = spelled(words, self.widths)
         odds, gate = self.left_out(slots, bits)
         for at in range(0, len(bits), STEP_BITS):
             part = slice(at, at + STEP_BITS)
@@ -173,11 +188,11 @@ def plain_weights() -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def counters(path: str) -> tuple[np.ndarray, np.ndarray]:
+def counters(path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ones and all counts of every slot, from the table that tasks share."""
     files, place = fs.FileSystem.from_uri(path)
     rows = pq.read_table(place, filesystem=files)
-    ones, seen = np.zeros(FIRST[-1], dtype=np.float32), np.zeros(FIRST[-1], dtype=np.float32)
+    ones, seen = np.zeros(size, dtype=np.float32), np.zeros(size, dtype=np.float32)
     slot = rows.column("slot").to_numpy()
     ones[slot] = rows.column("ones").to_numpy()
     seen[slot] = ones[slot] + rows.column("zeros").to_numpy()
@@ -202,32 +217,85 @@ def _training(documents: DataFrame) -> DataFrame:
 
 
 def find_classes(documents: DataFrame) -> Classes:
-    """A mixture of word sets, by EM over the frequent words of a bounded sample."""
-    ids = _training(documents.where("doc_id is not null")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = cut(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["text"]))
+    """A mixture of word sets, by EM over the frequent words of all training documents; a
+    bounded sample of them gives the start."""
+    training = _training(documents).select("doc_id", "text")
 
     def holding(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        docs = 0
+
+        def frequent() -> pd.DataFrame:
+            kept = [(w, n) for w, n in held.items() if n >= docs * MARKER_SHARE]
+            return pd.DataFrame({"word": [w for w, _ in kept], "n": [n for _, n in kept]})
+
         for pdf in frames:
             for text in pdf["text"]:
                 held.update(set(lower_ascii(text).split()))
-        yield pd.DataFrame({"word": list(held), "n": list(held.values())})
-
-    top = sample.select("text").mapInPandas(holding, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
+            docs += len(pdf)
+            if len(held) > FLUSH_WORDS:
+                yield frequent()
+                held.clear()
+                docs = 0
+        yield frequent()
+
+    # a word's count falls short by less than MARKER_SHARE of the documents
+    top = training.select("text").mapInPandas(holding, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
     markers = {bytes(r.word): i for i, r in enumerate(top)}
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            out = []
-            for text in pdf["text"]:
-                row = np.zeros(len(markers), dtype=np.uint8)
+            x = np.zeros((len(pdf), len(markers)), dtype=np.uint8)
+            for row, text in zip(x, pdf["text"], strict=True):
                 row[[markers[w] for w in markers.keys() & set(lower_ascii(text).split())]] = 1
-                out.append(row.tobytes())
-            yield pd.DataFrame({"row": out})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "row": [r.tobytes() for r in np.packbits(x, axis=1)]})
+
+    if not markers:
+        return Classes(markers, *mixture(np.zeros((0, 0), dtype=np.float32)))
+    sets = cut(training.mapInPandas(counted, "doc_id long, row binary"))
+    sample = sets.select(F.xxhash64("doc_id").alias("h"), "row").distinct().orderBy("h", "row").limit(SAMPLE_DOCS).collect()
+    prior, log_rate = mixture(unpacked(sorted({bytes(r.row) for r in sample}), len(markers)))
+
+    best = -np.inf
+    for _ in range(EM_ROUNDS):
+        prior, log_rate, like = em_round(sets, prior, log_rate)
+        if like - best <= SETTLED * abs(like):
+            break
+        best = like
+    return Classes(markers, prior, log_rate)
 
-    rows = [r.row for r in sample.select("text").mapInPandas(counted, "row binary").collect()]
-    x = np.frombuffer(b"".join(sorted(map(bytes, rows))), dtype=np.uint8).reshape(len(rows), -1).astype(np.float32) if markers and rows else np.zeros((0, 0), dtype=np.float32)
-    return Classes(markers, *mixture(x))
+
+def unpacked(rows: list[bytes], width: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
+    return np.unpackbits(packed, axis=1, count=width).astype(np.float32)
+
+
+def em_round(sets: DataFrame, prior: np.ndarray, log_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Priors and log rates after a pass over all word sets, and the log-likelihood before."""
+    width, k = log_rate.shape
+
+    def expected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rate, docs, total, n = np.zeros((width, k)), np.zeros(k), 0.0, 0
+        for pdf in frames:
+            if len(pdf):
+                x = unpacked(list(pdf["row"]), width)
+                like = np.log(prior) + x @ log_rate.astype(np.float32)
+                top = like.max(1, keepdims=True)
+                member = np.exp(like - top)
+                whole = member.sum(1, keepdims=True)
+                member /= whole
+                rate += x.T @ member.astype(np.float32)
+                docs += member.sum(0)
+                total += float((top + np.log(whole)).sum())
+                n += len(pdf)
+        if n:
+            values = np.concatenate((rate.ravel(), docs, [total, n]))
+            yield pd.DataFrame({"key": np.arange(len(values)), "value": values})
+
+    rows = sets.select("row").mapInPandas(expected, "key int, value double").groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
+    values = np.array([r.value for r in rows])
+    rate, docs, (total, n) = values[: width * k].reshape(width, k) + 0.05, values[width * k : -2], values[-2:]
+    return (docs + 1) / (n + k), np.log(rate / rate.sum(0)), float(total)
 
 
 def mixture(x: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -290,20 +358,28 @@ def counted_words(documents: DataFrame, found: Classes) -> DataFrame:
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Short batches gathered into frames of about ``CHUNK_WORDS``."""
+    own: list[pd.DataFrame] = []
     for pdf in frames:
-        for at in range(0, len(pdf), CHUNK_WORDS):
-            yield pdf.iloc[at : at + CHUNK_WORDS]
-
-
-def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray]:
-    """The folder of the counters of all training words, and weights and map fitted on a
-    bounded sample of them."""
+        own.append(pdf)
+        if sum(map(len, own)) >= CHUNK_WORDS:
+            yield pd.concat(own, ignore_index=True)
+            own = []
+    if sum(map(len, own)):
+        yield pd.concat(own, ignore_index=True)
+
+
+def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, tuple[int, ...]]:
+    """The folder of the counters of all training words, weights and map fitted on all of
+    them, and the slots' bits."""
+    widths = slot_bits(distinct)
+    size = int(layout(widths)[0][-1])
     train = words.where("n > 0 and length(word) > 0").select("word")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = np.zeros(2 * FIRST[-1], dtype=np.int64)
+        tally = np.zeros(2 * size, dtype=np.int64)
         for pdf in _chunks(frames):
-            slots, bits, _ = spelled(list(pdf["word"]))
+            slots, bits, _ = spelled(list(pdf["word"]), widths)
             tally += np.bincount((slots * 2 + bits[:, None]).ravel(), minlength=len(tally))
         zeros, ones = tally[0::2], tally[1::2]
         used = np.flatnonzero(zeros + ones)
@@ -311,13 +387,13 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray]:
             own = used[at : at + 100_000]
             yield pd.DataFrame({"slot": own.astype(np.int32), "ones": ones[own], "zeros": zeros[own]})
 
-    # at most FIRST[-1] rows, whatever the corpus
+    # at most a row for each slot, whatever the corpus
     tables = train.mapInPandas(count, "slot int, ones long, zeros long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     path = f"{shared_folder(words.sparkSession).rstrip('/')}/counters-{uuid.uuid4().hex}"
     tables.write.parquet(path)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = BitModel(*counters(path), *plain_weights())
+        own = BitModel(*counters(path, size), *plain_weights(), widths)
         hits, n = np.zeros(own.refine.size * 2, dtype=np.int64), 0
         for turn, pdf in enumerate(_chunks(frames)):
             own.learn(list(pdf["word"]), turn, hits)
@@ -327,28 +403,27 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray]:
             yield pd.DataFrame({"kind": 1, "key": np.arange(len(hits)), "value": hits.astype(float)})
             yield pd.DataFrame({"kind": [2], "key": [0], "value": [float(n)]})
 
-    # in whole numbers: the largest bound must stay within 64 bits
-    least = min(2**64 * WEIGHT_WORDS // max(distinct, WEIGHT_WORDS) - 2**63, 2**63 - 1)
-    chosen = train.where(F.xxhash64("word") <= F.lit(least)).repartition(8, F.xxhash64("word"))
-    rows = chosen.mapInPandas(learn, "kind int, key int, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).orderBy("kind", "key").collect()
+    rows = train.mapInPandas(learn, "kind int, key int, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).orderBy("kind", "key").collect()
     weights, refine = plain_weights()
     if rows:
         by_kind = [np.array([r.value for r in rows if r.kind == kind]) for kind in range(3)]
         weights = (by_kind[0] / by_kind[2][0]).reshape(weights.shape)
         hits = by_kind[1].reshape(*refine.shape, 2)
         refine = (hits[..., 1] + 4 * refine[0]) / (hits.sum(-1) + 4)
-    return path, weights, refine
+    return path, weights, refine, widths
 
 
 #: A class and the word's count in it.
 IN_CLASS = np.dtype([("k", "u1"), ("n", "<u4")])
 
 
-def _priced(words: DataFrame, path: str, weights: np.ndarray, refine: np.ndarray) -> DataFrame:
+def _priced(words: DataFrame, path: str, weights: np.ndarray, refine: np.ndarray, widths: tuple[int, ...]) -> DataFrame:
     """(h, n, bits, classes): hash, training count, spelling bits and class counts."""
 
+    size = int(layout(widths)[0][-1])
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = BitModel(*counters(path), weights, refine)
+        model = BitModel(*counters(path, size), weights, refine, widths)
         for pdf in _chunks(frames):
             own = list(pdf["word"])
             by_class = pdf[[f"n{k}" for k in range(CLASSES)]].to_numpy()

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarrylens.llm import language_model
 
@@ -59,3 +60,42 @@ def test_base_scores_and_gain_on_held_out(spark):
     again = next(r for r in rows if r.doc_id == 1003)
     assert again.score > again.base_score / 3
     assert language_model.score(df.limit(0)).count() == 0
+
+
+def test_weights_and_map_learn_from_every_training_word(spark, monkeypatch):
+    """As if learnt in one process from all words, whatever sample size may be set."""
+    monkeypatch.setattr(language_model, "WEIGHT_WORDS", 10, raising=False)
+    rng = random.Random(8)
+    words = sorted({bytes(rng.choices(b"abcdefg", k=rng.randint(2, 9))) for _ in range(900)})
+    table = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, n long").coalesce(1)
+    path, weights, refine, *_ = language_model.fit(table, len(words))
+    own = language_model.BitModel.empty()
+    slots, bits, _ = language_model.spelled(words)
+    np.add.at(own.seen, slots.ravel(), 1)
+    np.add.at(own.ones, slots[bits == 1].ravel(), 1)
+    hits = np.zeros(own.refine.size * 2, dtype=np.int64)
+    own.learn(words, 0, hits)
+    assert np.allclose(weights, own.weights)
+    hits = hits.reshape(*refine.shape, 2)
+    assert np.allclose(refine, (hits[..., 1] + 4 * language_model.plain_weights()[1][0]) / (hits.sum(-1) + 4))
+
+
+def test_slots_follow_the_distinct_words():
+    few, many = language_model.slot_bits(1000), language_model.slot_bits(3_000_000)
+    assert few == language_model.SLOT_BITS and all(a <= b for a, b in zip(few, many)) and sum(many) > sum(few)
+    slots, _, _ = language_model.spelled([b"word"], many)
+    assert (slots < language_model.layout(many)[0][1:]).all()
+
+
+def test_classes_come_from_all_training_documents(spark, monkeypatch):
+    """A topic that no document of the sample holds has its marker words and its class."""
+    monkeypatch.setattr(language_model, "SAMPLE_DOCS", 20)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    hashed = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()
+    late = {r.doc_id for r in hashed[30:130]}
+    rng = random.Random(2)
+    text = lambda i: " ".join(f"{'late' if i in late else 'soon'}{rng.randint(0, 20)}" for _ in range(12))
+    found = language_model.find_classes(spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string"))
+    assert {b"late1", b"soon1"} <= found.markers.keys()
+    sides = [{found.of([b"%s%d" % (kind, a), b"%s%d" % (kind, b)]) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]
+    assert not sides[0] & sides[1]
