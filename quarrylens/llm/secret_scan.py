@@ -42,9 +42,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Base64 that may be wrapped into lines; both alphabets.
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
-ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([^-]+)-----END \1-----")
-DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+#: A key between its marks, after header lines and an empty line if it has them.
+ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[\x20\t]*((?:\r?\n[A-Za-z0-9-]+:[^\r\n]*(?:\r?\n[\x20\t]+[^\s][^\r\n]*)*)*)([^-]+)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info:\x20*([A-Za-z0-9-]+),([0-9A-Fa-f]+)\x20*\r?(?:\n|$)")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 
+#: How base64 of a DER sequence or of the OpenSSH magic word begins.
+STARTS = ("MA", "MB", "MC", "MD", "ME", "MF", "MG", "MH", "MI", "b3")
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 #: Bytes of a signature: (least, most).  Fixed values of the published token algorithms.
 SIGNATURES = {
@@ -134,6 +138,55 @@ def is_key(data: bytes | None) -> bool:
     return bool(data) and (is_openssh_key(data) or is_der_key(data))
 
 
+def is_locked(headers: str, body: bytes | None) -> bool:
+    """The body of an encrypted PEM key: whole cipher blocks under a named cipher, whose
+    initial vector fits a block."""
+    cipher = CIPHER.search(headers)
+    if not cipher or not body or "ENCRYPTED" not in headers:
+        return False
+    block = 16 if cipher[1].upper().startswith(("AES-", "CAMELLIA-", "ARIA-", "SEED-", "SM4-")) else 8
+    return len(cipher[2]) == 2 * block and len(body) >= 48 and len(body) % block == 0
+
+
+def whole_size(data: bytes) -> int | None:
+    """The bytes that a DER sequence or an OpenSSH key at the start should take; None if
+    neither starts there or its lengths run past the end."""
+    if data.startswith(b"openssh-key-v1\0"):
+        at, strings = 15, 3
+        for _ in range(2):
+            for _ in range(strings):
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if strings == 3:
+                strings = min(int.from_bytes(data[at : at + 4], "big"), 16) + 1
+                at += 4
+        return at if at <= len(data) else None
+    if len(data) < 2 or data[0] != SEQUENCE:
+        return None
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    size = 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
+    return size if width <= 4 and size <= len(data) else None
+
+
+def key_end(found: str) -> int | None:
+    """Where a key at the start of wrapped base64 ends: all of it, or the characters that
+    its own lengths ask for, if a line ends there."""
+    if is_key(unbase64(found)):
+        return len(found)
+    plain = re.sub(r"[\r\n=]", "", found)
+    size = whole_size(unbase64(plain[: len(plain) // 4 * 4]) or b"")
+    if size is None:
+        # the last one or two bytes may stand in the part cut off
+        size = whole_size((unbase64(plain[: len(plain) // 4 * 4]) or b"") + b"\0\0")
+    if size is None:
+        return None
+    left = -(-size * 4 // 3)
+    for m in re.finditer(r"[^\r\n]+", found):
+        left -= len(m[0].rstrip("="))
+        if left <= 0:
+            return m.end() if left == 0 and is_key(unbase64(found[: m.end()])) else None
+    return None
+
+
 def is_signed(header: str, claims: str, signature: str) -> bool:
     """A signed token: JSON header with a known algorithm, JSON claims, a fitting signature."""
     parts = [unbase64(x) for x in (header, claims)]
@@ -164,14 +217,25 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of decoded candidates whose structure holds."""
     found: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if is_key(unbase64(m[2]))]
-    if "eyJ" in text:
+        found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if is_key(unbase64(m[3])) or is_locked(m[2], unbase64(m[3]))]
+    if "." in text:
         found += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if is_signed(m[1], m[2], m[3])]
     taken = list(found)
-    for pattern, decode in ((BASE64, unbase64), (ANY_HEX, bytes.fromhex)):
-        for m in pattern.finditer(text):
-            if not any(start < m.end() and m.start() < end for start, _, end in taken) and is_key(decode(m[0])):
-                found.append((m.start(), 3, m.end()))
+    free = lambda a, b: not any(start < b and a < end for start, _, end in taken)
+    at = 0
+    while m := BASE64.search(text, at):
+        at = m.end()
+        # a key may start at any line: the lines before it are words or other keys
+        for line in re.finditer(r"[^\r\n]+", m[0]):
+            a = m.start() + line.start()
+            size = key_end(m[0][line.start() :]) if len(line[0]) >= 40 and line[0][:2] in STARTS else None
+            if size is not None and free(a, a + size):
+                found.append((a, 3, a + size))
+                at = a + size
+                break
+    for m in ANY_HEX.finditer(text):
+        if free(m.start(), m.end()) and is_key(bytes.fromhex(m[0])):
+            found.append((m.start(), 3, m.end()))
     return sorted(set(found))
 
 

@@ -68,3 +68,37 @@ def test_rows(spark):
     assert clean.columns == df.columns
     assert [r.text for r in clean.where("doc_id = 1").collect()] == [f"é {secret_scan.MARK}\" and {secret_scan.MARK}."] * 2
     assert secret_scan.scan(df.limit(0)).count() == 0
+
+
+def wrapped(data, width=64):
+    return "\n".join(b64(data)[i : i + width] for i in range(0, len(b64(data)), width))
+
+
+def test_keys_before_other_lines_are_confirmed():
+    """Of every length modulo three, in both alphabets, on one line or wrapped."""
+    for extra in range(3):
+        pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, b"k" * (48 + extra)))
+        ssh = SSH[: -94] + (90 + extra).to_bytes(4, "big") + b"s" * (90 + extra)
+        for key in (pkcs8, ssh, RSA):
+            for own in (b64(key), b64(key).rstrip("="), b64(key, url=True), wrapped(key), wrapped(key).rstrip("=")):
+                for after in ("\nNext line", "\r\nand more", "\nabcd\nefgh", " z"):
+                    text = f"key\n{own}{after}"
+                    assert [text[a:b].rstrip("=") for a, k, b in secret_scan.confirmed_spans(text) if k == 3] == [own.rstrip("=")], (extra, own, after)
+    two = f"{b64(RSA)}\n{b64(PKCS8)}\nend"
+    assert kinds(two) == ["key", "key"]
+    assert kinds(f"{'q' * 50}\n{b64(PKCS8)}\nend") == ["key"]
+
+
+def test_encrypted_pem_keys_are_confirmed():
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{}\n\n{}\n-----END RSA PRIVATE KEY-----"
+    text = pem.format("0F" * 16, wrapped(bytes(range(256)) * 2))
+    assert secret_scan.confirmed_spans(text) == [(0, 3, len(text))]
+    assert secret_scan.redacted(f"a {text} b") == "a [REDACTED] b"
+    assert kinds(pem.format("0F" * 16, wrapped(bytes(range(256)) + b"x"))) == [] and kinds(pem.format("0F" * 3, wrapped(bytes(256)))) == []
+
+
+def test_token_headers_may_be_spaced():
+    for head in ('{ "alg": "HS256" }', '\n{"alg":"HS256"}', '{\n"alg":"HS256"}'):
+        text = ".".join(b64(x, url=True) for x in (head.encode(), b'{ "sub": 1}', b"s" * 32))
+        assert kinds(f"x {text} y") == ["signed"], head
+    assert kinds("www.example.com and a.b.c") == []
