@@ -42,3 +42,28 @@ def test_rows(spark):
     row = next(r for r in got if r.doc_id == 1)
     assert rows[0][1][row.start : row.end] == "Released under the MIT License."
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def labels(text):
+    """What ``scan`` would choose first for a text."""
+    found = license_scan.Templates.of(license_scan.TEMPLATES).ranked(WordHashes().of(text)[0], license_scan.LEAST_DICE)
+    return found[0][0].partition(":")[0]
+
+
+def test_neighbouring_licences_keep_their_own_names():
+    gpl = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the {0} as published by the "
+        "Free Software Foundation; either version {1} of the License, or (at your option) any later version. This program is "
+        "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details."
+    )
+    assert labels(gpl.format("GNU General Public License", 2)) == "GPL-2.0"
+    assert labels(gpl.format("GNU General Public License", 3)) == "GPL-3.0"
+    assert labels(gpl.format("GNU Lesser General Public License", "2.1")) == "LGPL-2.1"
+    assert labels(gpl.format("GNU Affero General Public License", 3)) == "AGPL-3.0"
+    bsd = license_scan.TEMPLATES["BSD-3-Clause:text"]
+    assert labels(bsd[: bsd.index(" Neither")]) == "BSD-2-Clause" and labels(bsd) == "BSD-3-Clause"
+    assert labels(bsd[: bsd.index(" Neither")] + license_scan.BSD_END) == "BSD-2-Clause"
+    assert labels("This work is licensed under the GNU General Public License, version 2.") == "GPL-2.0"
+    for line in ("CC BY 3.0", "CC BY-ND 4.0", "CC BY-NC-SA 2.5", "CC BY 4.0", "CC BY-SA"):
+        assert labels(f"Licensed under {line}.") == line.replace(" ", "-"), line
