@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import each_batch, short_batches
+from quarrylens.llm.common import map_frames
 from quarrylens.llm.word_codes import WHITE, WordCodes
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -135,25 +135,23 @@ def loaded(path: str) -> tuple[Bpe, WordCodes]:
 
 def encode(documents: DataFrame, path: str, *keep: str) -> DataFrame:
     """``doc_id``, the columns in ``keep``, and ``ids`` (little-endian unsigned 32-bit)."""
-    short_batches(documents.sparkSession)
     chosen = documents.select(F.col("doc_id").cast("long"), "text", *keep)
     schema = chosen.drop("text").withColumn("ids", F.lit(b"")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, words = loaded(path)
-        for pdf in each_batch(frames, 200):
+        for pdf in frames:
             yield pdf.drop(columns="text").assign(ids=words.codes(pdf["text"]))
 
-    return chosen.mapInPandas(run, schema)
+    return map_frames(chosen, run, schema)
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
     """Encode and decode each text; digests of both results."""
-    short_batches(documents.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, words = loaded(path)
-        for pdf in each_batch(frames, 200):
+        for pdf in frames:
             out = []
             for ids in words.codes(pdf["text"]):
                 text = bpe.decode(np.frombuffer(ids, dtype="<u4"))
@@ -162,4 +160,4 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
             rows.insert(0, "doc_id", pdf["doc_id"].array)
             yield rows
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return map_frames(documents.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch handed to Python.  Texts may be long, so batches are kept short.
-BATCH_ROWS = 500
+#: Rows and bytes of a frame handed to an operator's Python code; a longer text comes alone.
+BATCH_ROWS, BATCH_BYTES = 500, 16_000_000
+#: Integers stay whole numbers in pandas beside nulls.
+WHOLE = {pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype(), pa.int16(): pd.Int16Dtype(), pa.int8(): pd.Int8Dtype()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +24,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short for the session, for the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def parts(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows and about ``size`` bytes."""
+    if batch.num_rows > rows or (batch.num_rows > 1 and batch.nbytes > size):
+        half = rows if batch.num_rows > rows else batch.num_rows // 2
+        yield from parts(batch.slice(0, half), rows, size)
+        yield from parts(batch.slice(half), rows, size)
+    elif batch.num_rows:
+        yield batch
+
+
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType, rows: int = BATCH_ROWS) -> DataFrame:
+    """``mapInPandas`` with short, never empty frames in which nullable integers keep
+    every digit; frames of no rows that ``run`` yields are left out."""
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frames = (part.to_pandas(types_mapper=WHOLE.get) for batch in batches for part in parts(batch, rows))
+        for pdf in run(frames):
+            if len(pdf):
+                yield pa.RecordBatch.from_pandas(pdf[arrow.names], schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(over, kind)
+
+
+def filter_texts(df: DataFrame, keeps: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows whose ``text`` is kept; no column passes through pandas."""
+    place = df.columns.index("text")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                yield part.filter(pa.array(keeps(part.column(place).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(over, df.schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """This application's folder below the one that driver and executors share
+    (``spark.checkpoint.dir``); all that the operators write there may go when it ends.
 
-    Where it is unset, as in tests on one machine, a folder below the warehouse is taken.
+    On one machine, as in tests, a folder below the warehouse serves where that is unset.
     """
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        given = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return f"{given.rstrip('/')}/{sc.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -64,10 +106,3 @@ def fold_of(doc_id: int, folds: int) -> int:
 def fold_column(doc_id: str, folds: int):
     """``fold_of`` as a column."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)
-
-
-def each_batch(frames: Iterable[pd.DataFrame], rows: int = BATCH_ROWS) -> Iterator[pd.DataFrame]:
-    """Non-empty frames of at most ``rows`` rows."""
-    for pdf in frames:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at : at + rows]

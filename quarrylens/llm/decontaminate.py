@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import each_batch, short_batches
+from quarrylens.llm.common import filter_texts, map_frames
 
 #: Characters of items in a block; what a task gets is a few times this.
 BLOCK_CHARS = 8_000_000
@@ -192,7 +192,7 @@ def _frequencies(documents: DataFrame, wanted: np.ndarray) -> dict[int, float]:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, count, n = WordHashes(), np.zeros(len(wanted), dtype=np.int64), 0
-        for pdf in each_batch(frames):
+        for pdf in frames:
             for text in pdf["text"]:
                 words, _ = hashes.of(text)
                 n += len(words)
@@ -201,7 +201,7 @@ def _frequencies(documents: DataFrame, wanted: np.ndarray) -> dict[int, float]:
         used = np.flatnonzero(count)
         yield pd.DataFrame({"word": np.r_[used, -1], "n": np.r_[count[used], n]})
 
-    rows = documents.select("text").mapInPandas(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = map_frames(documents.select("text"), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {r.word: r.n for r in rows}
     total = max(counts.pop(-1, 0), 1)
     return {int(wanted[k]): n / total for k, n in counts.items()}
@@ -209,14 +209,13 @@ def _frequencies(documents: DataFrame, wanted: np.ndarray) -> dict[int, float]:
 
 def matches(documents: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """A row for each document and each item it holds a copy of; offsets in code points."""
-    short_batches(documents.sparkSession)
     chosen = documents.select(F.col("doc_id").cast("long"), "text")
     out = documents.sparkSession.createDataFrame([], SCHEMA)
     for block in _blocks(documents, benchmark):
 
         def run(frames: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
             hashes = WordHashes()
-            for pdf in each_batch(frames):
+            for pdf in frames:
                 rows = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     words, place = hashes.of(text)
@@ -224,23 +223,20 @@ def matches(documents: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
                     for i, score, n_seeds, first, after in block.copies(words, least):
                         spans = spans or [m.span() for m in re.finditer(r"\S+", text)]
                         ends = (spans[place[first]][0], spans[place[after - 1]][1]) if len(spans) > place[-1] else (None, None)
-                        rows.append((None if pd.isna(doc_id) else int(doc_id), block.item_ids[i], score, n_seeds, *ends))
+                        rows.append((doc_id, block.item_ids[i], score, n_seeds, *ends))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64", "start": "Int64", "end": "Int64"})
 
-        out = out.unionByName(chosen.mapInPandas(run, SCHEMA))
+        out = out.unionByName(map_frames(chosen, run, SCHEMA))
     return out
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents that hold no copy of any item, with all their columns."""
-    short_batches(documents.sparkSession)
     out = documents
     for block in _blocks(documents, benchmark):
 
-        def run(frames: Iterator[pd.DataFrame], block: Block = block) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
-            for pdf in each_batch(frames):
-                yield pdf[[next(block.copies(hashes.of(text)[0], least), None) is None for text in pdf["text"]]]
+        def keeps(texts: list[str | None], block: Block = block, hashes: WordHashes = WordHashes()) -> list[bool]:
+            return [next(block.copies(hashes.of(text)[0], least), None) is None for text in texts]
 
-        out = out.mapInPandas(run, documents.schema)
+        out = filter_texts(out, keeps)
     return out

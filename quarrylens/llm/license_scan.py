@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import each_batch, short_batches
+from quarrylens.llm.common import map_frames
 from quarrylens.llm.decontaminate import WordHashes, seed_hashes
 
 LEAST_DICE = 0.7
@@ -211,12 +211,11 @@ class Templates:
 def scan(documents: DataFrame, texts: dict[str, str] | None = None, least: float = LEAST_DICE) -> DataFrame:
     """A row for each document and each licence it states; of a licence's forms, and of
     templates that match at one place, the best one.  Offsets in code points."""
-    short_batches(documents.sparkSession)
     templates = Templates.of(TEMPLATES if texts is None else texts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for pdf in each_batch(frames):
+        for pdf in frames:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 words, place = hashes.of(text)
@@ -227,7 +226,7 @@ def scan(documents: DataFrame, texts: dict[str, str] | None = None, least: float
                         chosen.append(x)
                 if chosen:
                     spans = [m.span() for m in re.finditer(r"\S+", text)]
-                    rows += [(None if pd.isna(doc_id) else int(doc_id), name, dice, spans[place[a]][0], spans[place[b]][1]) for name, dice, a, b in chosen]
+                    rows += [(doc_id, name, dice, spans[place[a]][0], spans[place[b]][1]) for name, dice, a, b in chosen]
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return map_frames(documents.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm import crf
-from quarrylens.llm.common import each_batch, short_batches, words_of
+from quarrylens.llm.common import filter_texts, map_frames, words_of
 
 #: Labelled documents of each class that the CRF is fitted on.
 SAMPLE_ROWS = 1500
@@ -129,11 +129,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     Lines of good documents count as content, lines of bad ones as boilerplate; lines
     that both have in common are told apart by their neighbours.
     """
-    short_batches(documents.sparkSession)
     known = labels.where("doc_id is not null").select("doc_id", "quality")
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for q in (0, 1)]
     sample = documents.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    rows = sample.select("quality", "text").mapInPandas(_line_features, "quality int, lines binary").collect()
+    rows = map_frames(sample.select("quality", "text"), _line_features, "quality int, lines binary").collect()
     blocks = [np.frombuffer(r.lines, dtype=np.int16).reshape(-1, len(EDGES)).astype(np.int64) for r in rows]
     lengths = np.array([len(b) for b in blocks], dtype=np.int64)
     truth = np.repeat([CONTENT if r.quality else BOILERPLATE for r in rows], lengths) if rows else np.zeros(0, dtype=np.int64)
@@ -162,21 +161,14 @@ def judged_batch(pdf: pd.DataFrame, model: crf.Crf, share: float) -> pd.DataFram
 
 def judge(documents: DataFrame, model: crf.Crf, share: float = CONTENT_SHARE) -> DataFrame:
     """One row of counts and verdict for each document."""
-    short_batches(documents.sparkSession)
 
     def run(frames):
-        for pdf in each_batch(frames):
+        for pdf in frames:
             yield judged_batch(pdf, model, share)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return map_frames(documents.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def keep(documents: DataFrame, model: crf.Crf, share: float = CONTENT_SHARE) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    short_batches(documents.sparkSession)
-
-    def run(frames):
-        for pdf in each_batch(frames):
-            yield pdf[judged_batch(pdf, model, share)["kept"].to_numpy()]
-
-    return documents.mapInPandas(run, documents.schema)
+    return filter_texts(documents, lambda texts: judged_batch(pd.DataFrame({"doc_id": None, "text": texts}), model, share)["kept"].tolist())

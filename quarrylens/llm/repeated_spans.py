@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm.anchors import Anchors, Prints
-from quarrylens.llm.common import cut, each_batch, short_batches
+from quarrylens.llm.common import cut, map_frames
 
 LENGTH, GRAM = 200, 40
 BLOCK_BYTES = 12_000_000
@@ -44,7 +44,7 @@ BLOCK_BYTES = 12_000_000
 FLUSH_ENTRIES = 600_000
 #: Contexts of a key that one task compares; the windows of larger keys are shuffled.
 MOST_CONTEXTS = 20_000
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+SCHEMA = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 ENTRY = np.dtype([("key", "<i8"), ("context", "<i8"), ("block", "<i8"), ("n", "<i8")])
 #: Stands for all windows of a context.
 ALL = b"*"
@@ -101,7 +101,7 @@ def entries(dealt: DataFrame, length: int) -> DataFrame:
             for at in range(0, len(every), 100_000):
                 yield pd.DataFrame({c: every[c][at : at + 100_000] for c in ENTRY.names})
 
-        for pdf in each_batch(frames):
+        for pdf in frames:
             own = []
             for block, text in zip(pdf["block"], pdf["text"], strict=True):
                 found = Anchors.of(utf8(text), length, GRAM)
@@ -113,7 +113,7 @@ def entries(dealt: DataFrame, length: int) -> DataFrame:
                 yield from rows()
         yield from rows()
 
-    return dealt.select("block", "text").mapInPandas(run, "key long, context long, block long, n long")
+    return map_frames(dealt.select("block", "text"), run, "key long, context long, block long, n long")
 
 
 def _packed(dealt: DataFrame) -> DataFrame:
@@ -121,10 +121,10 @@ def _packed(dealt: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
-        for pdf in each_batch(frames):
+        for pdf in frames:
             yield pd.DataFrame({"block": pdf["block"], "doc_id": pdf["doc_id"], "packed": [packer.compress(utf8(t).tobytes()) for t in pdf["text"]]})
 
-    return dealt.mapInPandas(run, "block long, doc_id long, packed binary")
+    return map_frames(dealt, run, "block long, doc_id string, packed binary")
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -185,7 +185,7 @@ def _resolved(contexts: DataFrame, length: int) -> DataFrame:
         if group:
             yield pd.DataFrame(settle(key, group), columns=["key", "context", "ranges"])
 
-    return contexts.repartition("key").sortWithinPartitions("key").mapInPandas(run, "key long, context long, ranges binary")
+    return map_frames(contexts.repartition("key").sortWithinPartitions("key"), run, "key long, context long, ranges binary")
 
 
 def _crowded(contexts: DataFrame, length: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _crowded(contexts: DataFrame, length: int) -> DataFrame:
                 "place": np.concatenate([np.arange(s) for s in sizes]), "print": np.concatenate(prints).view(np.int64),
             })
 
-    windows = contexts.mapInPandas(explode, "key long, context long, n long, place int, print long")
+    windows = map_frames(contexts, explode, "key long, context long, n long, place int, print long")
     again = windows.groupBy("print").agg(F.sum("n").alias("n")).where("n >= 2").select("print")
     places = windows.select("key", "context", "place", "print").join(again, "print").groupBy("key", "context").agg(F.collect_list("place").alias("places"))
 
@@ -240,16 +240,16 @@ def _remove(documents: pd.DataFrame, found: pd.DataFrame, length: int) -> pd.Dat
         gone = np.cumsum(edge[:-1]) > 0
         spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
         out.append((doc_id, len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def remove(documents: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """A row of sizes and digest of what is left for each document."""
-    short_batches(documents.sparkSession)
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(max(4, -(-size // block_bytes)))
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block")
-    dealt = documents.select(block, F.col("doc_id").cast("long"), "text")
+    # as text the ids come through pandas unchanged, nulls beside them or not
+    dealt = documents.select(block, F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     index = cut(entries(dealt, length))
     keys = index.groupBy("key").agg(F.sum("n").alias("total"), (F.min("context") != F.max("context")).alias("mixed")).where("total >= 2").select("key", "mixed")
     repeated = cut(index.join(keys, "key"))
@@ -262,4 +262,4 @@ def remove(documents: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_
     found = _resolved(contexts.join(crowd, "key", "left_anti"), length).unionByName(_crowded(contexts.join(crowd, "key", "left_semi"), length))
     settled = repeated.where("not mixed").select("block", "context", F.lit(ALL).alias("ranges"))
     needed = settled.unionByName(unsettled.select("block", "key", "context").join(found, ["key", "context"]).select("block", "context", "ranges"))
-    return packed.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(lambda d, f: _remove(d, f, length), SCHEMA)
+    return packed.groupBy("block").cogroup(needed.groupBy("block")).applyInPandas(lambda d, f: _remove(d, f, length), SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import each_batch, short_batches
+from quarrylens.llm.common import map_frames
 
 SCHEMA = (
     "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
@@ -270,21 +270,19 @@ def redacted(text: str | None) -> str | None:
 
 def scan(documents: DataFrame) -> DataFrame:
     """One row of counts and spans for each document."""
-    short_batches(documents.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")][1:]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in each_batch(frames):
+        for pdf in frames:
             out = pd.DataFrame(list(map(scan_text, pdf["text"])), columns=names)
             out.insert(0, "doc_id", pdf["doc_id"].array)
             yield out
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCHEMA)
+    return map_frames(documents.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def redact(documents: DataFrame) -> DataFrame:
     """The documents with secrets replaced in ``text``; ``n_chars`` follows if present."""
-    short_batches(documents.sparkSession)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:

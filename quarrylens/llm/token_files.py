@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarrylens.llm.common import each_batch, shared_folder, short_batches
+from quarrylens.llm.common import map_frames, shared_folder
 from quarrylens.llm.word_codes import MOST_WORDS, Remembered, WordCodes
 
 END_ID = 1
@@ -204,7 +204,6 @@ def write(documents: DataFrame, path: str, folder: str | None = None, end_id: in
     ``folder/shards`` holds the binary files, ``folder/manifest`` a row for each.
     """
     spark = documents.sparkSession
-    short_batches(spark)
     folder = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     files, place = fs.FileSystem.from_uri(folder)
     files.create_dir(f"{place}/shards", recursive=True)
@@ -222,7 +221,7 @@ def write(documents: DataFrame, path: str, folder: str | None = None, end_id: in
             shard, writer = shard + 1, ShardWriter()
             return row
 
-        for pdf in each_batch(frames):
+        for pdf in frames:
             for doc_id, ids in zip(pdf["doc_id"], codes.codes(pdf["text"]), strict=True):
                 writer.add(doc_id, ids + end)
                 if writer.size >= SHARD_BYTES:
@@ -231,7 +230,7 @@ def write(documents: DataFrame, path: str, folder: str | None = None, end_id: in
             yield closed()
 
     ranged = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInPandas(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    map_frames(ranged, run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 
 
@@ -244,7 +243,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for pdf in frames:
             for name, before in zip(pdf["shard"], pdf["before"], strict=True):
                 with ShardReader(f"{folder}/shards/{name}") as shard:
-                    rows = [(None if doc_id == NO_ID else doc_id, name, k, len(ids) // 4, zlib.crc32(ids)) for k, doc_id, ids in shard.documents()]
+                    rows = [(pd.NA if doc_id == NO_ID else doc_id, name, k, len(ids) // 4, zlib.crc32(ids)) for k, doc_id, ids in shard.documents()]
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in READ.split(", ")]).astype({"doc_id": "Int64"})
                 out.insert(1, "start", before + out["n_tokens"].cumsum() - out["n_tokens"])
                 yield out
@@ -252,7 +251,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     # shards are a few rows for many megabytes each; their names follow the order of ids
     before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spread = manifest.select("shard", before.alias("before")).repartition(max(4, spark.sparkContext.defaultParallelism * 2), "shard")
-    return spread.mapInPandas(run, "doc_id long, start long, " + READ.split(", ", 1)[1]).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")
+    return map_frames(spread, run, "doc_id long, start long, " + READ.split(", ", 1)[1]).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")
 
 
 def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
@@ -270,4 +269,4 @@ def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
                 with ShardReader(f"{folder}/shards/{name}") as shard:
                     yield pd.DataFrame([(d, x) for _, d, x in shard.documents(doc_ids)], columns=["doc_id", "ids"])
 
-    return asked.mapInPandas(run, "doc_id long, ids binary")
+    return map_frames(asked, run, "doc_id long, ids binary")

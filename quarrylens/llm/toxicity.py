@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylens.llm import crf
-from quarrylens.llm.common import each_batch, fold_column, short_batches
+from quarrylens.llm.common import fold_column, map_frames
 
 SAMPLE_ROWS = 2500
 FOLDS, HELD_OUT = 4, 2
@@ -152,9 +152,8 @@ def _count_cues(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Cues, chain and top weights from the bounded sample of labelled documents."""
-    short_batches(documents.sparkSession)
     sample = _sample(documents, labels, sample_rows)
-    counted = sample.select("toxic", "text").mapInPandas(_count_cues, "cue string, toxic int, n long")
+    counted = map_frames(sample.select("toxic", "text"), _count_cues, "cue string, toxic int, n long")
     by_cue = counted.groupBy("cue").agg(*(F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
     rows = by_cue.where((F.col("n1") >= LEAST_DOCS) & ((F.col("cue") == "") | (F.col("n1") > 2 * F.col("n0"))) | (F.col("cue") == "")).collect()
     totals = next(((r.n0, r.n1) for r in rows if r.cue == ""), (0, 0))
@@ -175,7 +174,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
                 out.append((int(toxic), features(codes, near).astype(np.int8).tobytes(), lengths.astype(np.int32).tobytes()))
             yield pd.DataFrame(out, columns=["toxic", "tokens", "lengths"])
 
-    docs = sample.select("toxic", "text").mapInPandas(run, "toxic int, tokens binary, lengths binary").collect()
+    docs = map_frames(sample.select("toxic", "text"), run, "toxic int, tokens binary, lengths binary").collect()
     tokens = [np.frombuffer(r.tokens, dtype=np.int8).reshape(-1, 4).astype(np.int64) for r in docs]
     lengths = np.concatenate([np.frombuffer(r.lengths, dtype=np.int32) for r in docs]).astype(np.int64)
     toxic = np.array([r.toxic for r in docs])
@@ -206,11 +205,10 @@ def _top_weights(x: np.ndarray, toxic: np.ndarray, prior: float) -> np.ndarray:
 
 def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """A row of score, verdict and toxic spans (code points) for each document."""
-    short_batches(documents.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.strength)
-        for pdf in each_batch(frames):
+        for pdf in frames:
             found = tagged(reader, model.chain, list(pdf["text"]))
             scores = logistic(evidence(np.array([x[0] for x in found]), np.array([x[1] for x in found])) @ model.top)
             yield pd.DataFrame({
@@ -218,8 +216,8 @@ def score(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
                 "n_toxic_words": [len(x[2]) for x in found], "spans": [spans(text, x[2]) for text, x in zip(pdf["text"], found, strict=True)],
             })
 
-    held_out = fold_column("doc_id", FOLDS) == HELD_OUT
-    return documents.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text").mapInPandas(run, SCHEMA)
+    held_out = F.coalesce(fold_column("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    return map_frames(documents.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text"), run, SCHEMA)
 
 
 def spans(text: str | None, words: np.ndarray) -> str:
