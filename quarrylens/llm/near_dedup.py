@@ -6,21 +6,25 @@ shingles of ``width`` words (the whole sequence if it is shorter).  Shingles fal
 0, 1, 2, ... gives every coordinate of the signature.  ``BANDS`` bands of ``ROWS``
 coordinates are bucket keys.
 
-Documents with equal sets are one node.  In each bucket all nodes are compared with the
-smallest one, on full sets.  Buckets that then still hold nodes of several components
-are gone through again: small ones pair by pair, large ones in pairs of blocks of
-``BLOCK`` nodes, in which a node is compared only until its component has met the
+Documents with equal sets are one node, named by a 64-bit digest of the set.  In each
+bucket all nodes are compared with one leader, on full sets (of 64-bit shingle hashes).
+Buckets that then still hold nodes of several components are gone through again: small
+ones pair by pair; in large ones the nodes outside the bucket's largest component meet
+all others, block by block, and a node is compared only until its component has met the
 others.  So large groups of copies cost about one comparison a member, and no link that
 could join two components is left untested.
 
 Scale: texts are read twice and never shuffled whole; the text of candidates alone goes
 to a table in the shared folder.  Bucket keys are grouped with map-side aggregation and
-joined back, so that a hot bucket can be split; intermediate tables cut the lineage.
+joined back, so that a hot bucket can be split; the pairs of a leader of many are dealt
+in parts of ``SPLIT``; intermediate tables cut the lineage.
 
 Edge cases: null and empty texts have no shingles and link with nothing; rows with equal
-ids count as one document; a null id links with nothing and has no component; ties go to
-the smallest id; extra columns are ignored by ``classes`` and kept by ``dedupe``; an
-empty table gives an empty result.
+ids and different texts are linked each by its own text, and one of them may go while
+the other stays; equal rows stay or go together; a null id links with nothing and has no
+component; ties go to the smallest id; a very long text is one row of its own size;
+extra columns are ignored by ``classes`` and kept by ``dedupe``; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, each_batch, lower_ascii, short_batches
+from quarrylens.llm.common import cut, lower_ascii, map_frames
 from quarrylens.llm.components import components
 
 WIDTH, SIMILARITY = 5, (80, 100)
@@ -44,7 +48,9 @@ SLOTS = 1 << 20
 BANDS, ROWS = 48, 7
 SEED = 20_240_229
 #: Nodes of a bucket up to which pairs are formed, and of a block beyond that.
-SMALL, BLOCK = 32, 1000
+SMALL, BLOCK = 32, 400
+#: Pairs of one leader that meet in one task.
+SPLIT = 200
 MOST_WORDS = 300_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -113,31 +119,32 @@ class Circulant:
 
 
 def _profiles(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit digest of the set) and bucket keys."""
+    """doc_id, text_key, n_shingles, node (a digest of the set) and bucket keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, circulant = Shingles(width), Circulant()
-        for pdf in each_batch(frames):
+        for pdf in frames:
             sets = [shingles.of(text) for text in pdf["text"]]
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets],
-                "set_id": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "keys": [circulant.keys(s) if len(s) else None for s in sets],
+                "doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": [len(s) for s in sets],
+                "node": nodes, "keys": [circulant.keys(s) if len(s) else None for s in sets],
             })
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set_id binary, keys array<long>")
+    chosen = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return map_frames(chosen, run, "doc_id long, text_key long, n_shingles long, node long, keys array<long>")
 
 
 def _texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, packed): the lower-cased words of the nodes' own documents, compressed."""
+    """(node, packed): the lower-cased words of the nodes' first documents, compressed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
-        for pdf in each_batch(frames):
+        for pdf in frames:
             yield pd.DataFrame({"node": pdf["node"], "packed": [packer.compress(b" ".join(lower_ascii(t).split())) for t in pdf["text"]]})
 
-    own = documents.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return own.mapInPandas(run, "node long, packed binary").dropDuplicates(["node"])
+    own = documents.select(F.col("doc_id").cast("long").alias("first"), F.xxhash64("text").alias("text_key"), "text").join(nodes, ["first", "text_key"])
+    return map_frames(own.select("node", "text"), run, "node long, packed binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -158,13 +165,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[
                     linked.append((a, b))
             yield pd.DataFrame(linked, columns=["a", "b"])
 
+    hot = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).where("parts > 1")
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "parts"), F.lit(0)).cast("int").alias("part"))
     at_a = texts.select(F.col("node").alias("a"), F.col("packed").alias("pa"))
-    at_b = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb"))
-    return pairs.join(at_a, "a").join(at_b, "b").select("a", "b", "pa", "pb").mapInPandas(run, "a long, b long")
+    at_b = texts.select(F.col("node").alias("b"), F.col("packed").alias("pb")).join(hot, "b", "left")
+    at_b = at_b.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = dealt.join(at_a, "a").join(at_b, ["b", "part"]).select("a", "b", "pa", "pb")
+    return map_frames(met, run, "a long, b long")
 
 
 def _met(nodes: pd.DataFrame, width: int, similarity: tuple[int, int]) -> pd.DataFrame:
-    """Links between components within a pair of blocks of a large bucket."""
+    """Links between the components of a bucket's largest one's outsiders (``side`` 1) of
+    one block and the nodes (``side`` 0) of another."""
     part, whole = similarity
     shingles, unpacker = Shingles(width), zstandard.ZstdDecompressor()
     sets = [shingles.of_words(unpacker.decompress(x).split()) for x in nodes["packed"]]
@@ -180,7 +192,7 @@ def _met(nodes: pd.DataFrame, width: int, similarity: tuple[int, int]) -> pd.Dat
     links = []
     # nodes of rare components first: the largest one then has nothing left to ask
     for a in np.argsort(np.bincount(label)[label], kind="stable"):
-        open_ = (label != label[a]) & ((side != side[a]) | (side[a] == 0))
+        open_ = (label != label[a]) & (side != side[a])
         if not open_.any():
             continue
         own = where[starts[a] : starts[a + 1]]
@@ -216,37 +228,51 @@ def _labels(members: DataFrame, texts: DataFrame, width: int, similarity: tuple[
     pairs = small.join(other, "key").where((F.col("other") < F.col("node")) & (F.col("label") != F.col("other_label")) & alike)
     pairs = cut(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
     more = _verified(pairs, texts, width, similarity)
-    # every pair of a large bucket's blocks is a group; a node goes to all pairs of its block
-    blocks = F.ceil(F.col("size") / BLOCK)
-    dealt = open_.where(F.col("size") > SMALL).withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("across", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    paired = dealt.select("key", "node", "label", F.least("own", "across").alias("one"), F.greatest("own", "across").alias("two"), F.when(F.col("own") == F.col("across"), 0).when(F.col("own") < F.col("across"), 1).otherwise(2).alias("side"))
+    # a node meets every block of outsiders, an outsider every block of nodes
+    crowd = open_.where(F.col("size") > SMALL)
+    by_label = crowd.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
+    largest = by_label.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top")).select("key", F.col("top.label").alias("main"), F.col("top.held").alias("held"))
+    sized = crowd.join(largest, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("apart", F.ceil((F.col("size") - F.col("held")) / BLOCK))
+    place = lambda blocks: F.pmod(F.xxhash64("node"), blocks).alias("own")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    inside = sized.select("key", "node", "label", place(F.col("blocks")).alias("one"), each("apart").alias("two"), F.lit(0).alias("side"))
+    outside = sized.where("label <> main").select("key", "node", "label", each("blocks").alias("one"), place(F.col("apart")).alias("two"), F.lit(1).alias("side"))
+    paired = inside.unionByName(outside)
     large = paired.join(texts, "node").groupBy("key", "one", "two").applyInPandas(lambda nodes: _met(nodes, width, similarity), "a long, b long")
     found = cut(more.unionByName(large))
     return labels if found.isEmpty() else components(links.unionByName(found))
 
 
-def classes(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each document."""
-    short_batches(documents.sparkSession)
+def _classes(documents: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """doc_id, text_key, n_shingles and component_id of each document."""
     profiles = cut(_profiles(documents, width))
     known = profiles.where("doc_id is not null and n_shingles > 0")
-    sets = cut(known.groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x")).select("set_id", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")))
+    sets = cut(known.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "keys")).alias("x")).select("node", F.col("x.doc_id").alias("first"), F.col("x.text_key").alias("text_key"), F.col("x.n_shingles").alias("n"), F.col("x.keys").alias("keys")))
     spread = sets.select("node", "n", F.explode("keys").alias("key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = cut(spread.join(shared, "key").select("key", "node", "n"))
-    nodes = sets.select("set_id", "node")
+    nodes = sets.select("node", F.col("first").alias("component_id"))
     labels = None
     if not members.isEmpty():
-        texts = cut(_texts(documents, members.select("node").distinct()))
-        labels = _labels(members, texts, width, similarity)
+        chosen = sets.select("first", "text_key", "node").join(members.select("node").distinct(), "node", "left_semi")
+        labels = _labels(members, cut(_texts(documents, chosen)), width, similarity)
     if labels is not None:
-        nodes = nodes.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("node"))
-    out = profiles.select("doc_id", "n_shingles", "set_id").join(nodes, "set_id", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        labelled = cut(sets.select("node", "first").join(labels, "node"))
+        smallest = labelled.groupBy("label").agg(F.min("first").alias("smallest"))
+        joined = labelled.join(smallest, "label").select("node", "smallest")
+        nodes = nodes.join(joined, "node", "left").select("node", F.coalesce("smallest", "component_id").alias("component_id"))
+    out = profiles.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(nodes, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+
+
+def classes(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, a row for each document."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return _classes(documents, width, similarity).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def dedupe(documents: DataFrame, width: int = WIDTH, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One document of each class, with all its columns; documents without an id stay."""
-    gone = classes(documents, width, similarity).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return documents.join(gone, documents["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = _classes(documents, width, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return documents.join(gone, (documents["doc_id"].cast("long") == F.col("gone_id")) & (F.xxhash64(documents["text"]) == F.col("gone_key")), "left_anti")
