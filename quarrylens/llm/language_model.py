@@ -1,31 +1,39 @@
 r"""Language-model scores by online logistic mixing of hashed-context bit predictors.
 
-Words ``[^\x20\x09-\x0D]+`` (A-Z in lower case) are spelled bit by bit.  A predictor of
-order k counts ones and zeros in hashed slots of its last k bytes and the bits so far of
-the next; the predictors' log-odds are combined by weights which a gate (bit place, and
-the longest context known) selects and which online gradient steps train; an adaptive
-map then refines the mixed probability by what followed it.  That spells new words.
-Words of the training documents also keep discounted counts of their own, in all
-documents and in each of ``CLASSES`` classes of documents, found by a mixture of word
-sets; a document's own words decide between the classes as it is read, and a
-cache of them gains weight as it repeats itself.  The bits of all these give a text's
-total bits, its bits per byte and its log10 probability.
-
-Counts and classes cover all training documents; counters, weights and map learn from
-every distinct word of them, each bit predicted as if its own word had not been counted.
-The classes start from a bounded sample (``SAMPLE_DOCS``) and are then fitted by EM
-passes over all training documents until they settle.
-
-Scale: distinct words, not tokens, are shuffled: (word, count) once, and for each block
+A text is sent as bits, each of them predicted, and its score is their sum.  First comes
+the class of the document, then its words ``[^\x20\x09-\x0D]+`` (A-Z in lower case) and
+an end.  A word begins with a bit that tells new words from known ones.  A known word is
+sent as the bits of its 64-bit hash, until no other known word begins with them; a new
+word as the bits of its bytes and of a space.
+
+Two families of predictors count ones and zeros in contexts.  For hash bits: the bits so
+far in all documents, and the same within the document's class.  For spelling: hashed
+slots of the last 0 to 4 bytes and the bits so far of the next.  In both, the predictors'
+log-odds are combined by weights which a gate selects (how much the class has seen; bit
+place and longest known context) and which online gradient steps train; an adaptive map
+then refines the mixed probability by what followed it.  While a document is read, a
+cache of its own words gains weight as it repeats itself.
+
+A training document is read as if it had not been learned from: the words that it alone
+holds are new to it, and the others' counts lack its share.  So a copy of a text that the
+corpus also holds elsewhere scores far better than a text that stands alone.
+
+Counts, classes, counters, weights and maps cover all training documents; the classes
+start from a bounded sample (``SAMPLE_DOCS``) and are then fitted by EM passes over all
+training documents until they settle.
+
+Scale: distinct words, not tokens, are shuffled: (word, class, counts) once to count and
+twice in buckets of their hash, which are even whatever the words are; and for each block
 of documents (about ``BLOCK_BYTES`` of text, by a hash of the id) its distinct words,
-which meet their counts and spelling bits in a join and come back to the block.  The
-hashed tables grow with the distinct words up to ``MOST_SLOT_BITS``, under 100 megabytes;
-EM passes read a row of ``MARKERS`` bits for each training document.
+which meet their prices in a join and come back to the block.  Texts travel compressed.
+The hashed tables grow with the distinct words up to ``MOST_SLOT_BITS``, under 100
+megabytes; EM passes read a row of ``MARKERS`` bits for each training document; the
+driver gets a row of counts for each bucket and class.
 
 Edge cases: null and empty texts hold the end token alone; a null id is never held out;
 rows with equal ids are scored one by one, and each is learned from; without training
-documents every word is spelled at even odds; extra columns are ignored; an empty table
-gives an empty result.
+documents every word is spelled at even odds; a very long text is a block of its own
+size; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,11 +49,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, each_batch, fold_column, lower_ascii, shared_folder, short_batches
+from quarrylens.llm.common import cut, fold_column, lower_ascii, map_frames, parts, shared_folder
 
 FOLDS, HELD_OUT = 7, 2
 #: Classes of documents; training documents they start from, and frequent words that tell them apart.
@@ -57,11 +66,13 @@ SETTLED = 1e-5
 #: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
 SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 20, 21, 21)
 BLOCK_BYTES = 12_000_000
-#: What a counted word gives up to words that are spelled.
-DISCOUNT = 0.75
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 400_000
 CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
+#: Known words of a bucket of hashes; rounds over a bucket and parts of each that are a step.
+BUCKET_WORDS, ROUNDS, STEPS = 60_000, 2, 4
+#: What is added to the counts of a bit; gates of the hash bits, by doublings of the class's count.
+EVEN, CODE_GATES = 0.4, 18
 BUCKETS, REACH = 33, 8.0
 #: The byte after a word.
 CLOSE = 0x20
@@ -70,7 +81,7 @@ ORDERS = len(SLOT_BITS)
 FIRST = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 GATES = ORDERS * 8
 SCHEMA = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+    "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
     "n_bytes long, bits_per_byte double"
 )
 
@@ -157,11 +168,11 @@ class BitModel:
         bucket = np.rint((np.clip(x, -REACH, REACH) + REACH) * ((BUCKETS - 1) / (2 * REACH))).astype(np.int64)
         return np.minimum(gate // 8, 3) * 8 + gate % 8, bucket
 
-    def bits_of(self, words: list[bytes]) -> np.ndarray:
-        """The number of bits that each word costs."""
+    def bits_of(self, words: list[bytes], left_out: bool = False) -> np.ndarray:
+        """The number of bits that each word costs, as if it had not been learned if so asked."""
         slots, bits, sizes = spelled(words, self.widths)
-        gate = self.gate(self.known[slots])
-        x = self.mixed(self.odds[slots], gate)
+        odds, gate = self.left_out(slots, bits) if left_out else (self.odds[slots], self.gate(self.known[slots]))
+        x = self.mixed(odds, gate)
         p = (squash(x) + self.refine[self.cells(x, gate)]) / 2
         cost = -np.log2(np.clip(np.where(bits == 1, p, 1 - p), 1e-6, 1))
         return np.add.reduceat(cost, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
@@ -207,8 +218,9 @@ class Classes:
     prior: np.ndarray
     log_rate: np.ndarray
 
-    def of(self, words: list[bytes]) -> int:
-        at = [self.markers[w] for w in self.markers.keys() & set(words)]
+    def of(self, words: set[bytes]) -> int:
+        """The likeliest class of a document that holds these words."""
+        at = [self.markers[w] for w in self.markers.keys() & words]
         return int((np.log(self.prior) + self.log_rate[at].sum(0)).argmax())
 
 
@@ -240,7 +252,7 @@ def find_classes(documents: DataFrame) -> Classes:
         yield frequent()
 
     # a word's count falls short by less than MARKER_SHARE of the documents
-    top = training.select("text").mapInPandas(holding, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
+    top = map_frames(training.select("text"), holding, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
     markers = {bytes(r.word): i for i, r in enumerate(top)}
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,11 +260,11 @@ def find_classes(documents: DataFrame) -> Classes:
             x = np.zeros((len(pdf), len(markers)), dtype=np.uint8)
             for row, text in zip(x, pdf["text"], strict=True):
                 row[[markers[w] for w in markers.keys() & set(lower_ascii(text).split())]] = 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "row": [r.tobytes() for r in np.packbits(x, axis=1)]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": [r.tobytes() for r in np.packbits(x, axis=1)]})
 
     if not markers:
         return Classes(markers, *mixture(np.zeros((0, 0), dtype=np.float32)))
-    sets = cut(training.mapInPandas(counted, "doc_id long, row binary"))
+    sets = cut(map_frames(training.select(F.col("doc_id").cast("long"), "text"), counted, "doc_id long, row binary"))
     sample = sets.select(F.xxhash64("doc_id").alias("h"), "row").distinct().orderBy("h", "row").limit(SAMPLE_DOCS).collect()
     prior, log_rate = mixture(unpacked(sorted({bytes(r.row) for r in sample}), len(markers)))
 
@@ -292,7 +304,7 @@ def em_round(sets: DataFrame, prior: np.ndarray, log_rate: np.ndarray) -> tuple[
             values = np.concatenate((rate.ravel(), docs, [total, n]))
             yield pd.DataFrame({"key": np.arange(len(values)), "value": values})
 
-    rows = sets.select("row").mapInPandas(expected, "key int, value double").groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
+    rows = map_frames(sets.select("row"), expected, "key int, value double", rows=5000).groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
     values = np.array([r.value for r in rows])
     rate, docs, (total, n) = values[: width * k].reshape(width, k) + 0.05, values[width * k : -2], values[-2:]
     return (docs + 1) / (n + k), np.log(rate / rate.sum(0)), float(total)
@@ -323,38 +335,47 @@ def mixture(x: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counted_words(documents: DataFrame, found: Classes) -> DataFrame:
-    """(word, n, n0, n1, ...): each distinct word of all documents, and how often the
-    training documents, and those of each class, hold it; the end token is the empty
-    word."""
+    """(word, k, n, docs): each distinct word of each class of documents, and how often
+    and in how many training documents it occurs; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter() for _ in range(CLASSES)]
-        others: set[bytes] = set()
+        docs: list[Counter] = [Counter() for _ in range(CLASSES)]
+        others: list[set[bytes]] = [set() for _ in range(CLASSES)]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for k, own in enumerate(counts):
-                yield pa.record_batch({"word": pa.array(list(own), pa.binary()), "k": pa.array(np.full(len(own), k, dtype=np.int32)), "n": pa.array(list(own.values()), pa.int64())})
-                own.clear()
-            yield pa.record_batch({"word": pa.array(list(others), pa.binary()), "k": pa.array(np.zeros(len(others), dtype=np.int32)), "n": pa.array(np.zeros(len(others), dtype=np.int64))})
-            others.clear()
+            for k in range(CLASSES):
+                words = list(counts[k])
+                alone = list(others[k].difference(counts[k]))
+                n, held = (np.fromiter(map(c.__getitem__, words), np.int64, len(words)) for c in (counts[k], docs[k]))
+                none = np.zeros(len(alone), dtype=np.int64)
+                yield pa.record_batch({
+                    "word": pa.array(words + alone, pa.binary()), "k": pa.array(np.full(len(words) + len(alone), k, dtype=np.int32)),
+                    "n": pa.array(np.concatenate([n, none])), "docs": pa.array(np.concatenate([held, none])),
+                })
+                counts[k].clear()
+                docs[k].clear()
+                others[k].clear()
 
         for batch in batches:
             for learn, text in zip(batch.column("learn").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = lower_ascii(text).split()
+                distinct = set(words)
+                k = found.of(distinct)
                 if learn:
-                    own = counts[found.of(words)]
-                    own.update(words)
-                    own[b""] += 1
+                    counts[k].update(words)
+                    docs[k].update(distinct)
+                    counts[k][b""] += 1
+                    docs[k][b""] += 1
                 else:
-                    others.update(words)
-            if sum(map(len, counts)) + len(others) > FLUSH_WORDS:
+                    others[k] |= distinct
+            if sum(map(len, counts)) + sum(map(len, others)) > FLUSH_WORDS:
                 yield from rows()
         yield from rows()
 
     learn = F.coalesce(fold_column("doc_id", FOLDS) != HELD_OUT, F.lit(True))
-    counted = documents.select(learn.alias("learn"), "text").mapInArrow(run, "word binary, k int, n long")
-    by_class = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(CLASSES)]
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), *by_class)
+    counted = documents.select(learn.alias("learn"), "text").mapInArrow(run, "word binary, k int, n long, docs long")
+    return counted.groupBy("word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -374,7 +395,7 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
     them, and the slots' bits."""
     widths = slot_bits(distinct)
     size = int(layout(widths)[0][-1])
-    train = words.where("n > 0 and length(word) > 0").select("word")
+    train = words.where("n > 0 and length(word) > 0").select("word").distinct()
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally = np.zeros(2 * size, dtype=np.int64)
@@ -413,126 +434,329 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
     return path, weights, refine, widths
 
 
-#: A class and the word's count in it.
-IN_CLASS = np.dtype([("k", "u1"), ("n", "<u4")])
+def _hash(word: bytes) -> int:
+    """Spark's ``xxhash64`` of a binary column, without its sign."""
+    return xxhash.xxh64_intdigest(word, seed=42)
 
 
-def _priced(words: DataFrame, path: str, weights: np.ndarray, refine: np.ndarray, widths: tuple[int, ...]) -> DataFrame:
-    """(h, n, bits, classes): hash, training count, spelling bits and class counts."""
+def _keys(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """One number for a word's hash and a class."""
+    return ((h ^ (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    size = int(layout(widths)[0][-1])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = BitModel(*counters(path, size), weights, refine, widths)
-        for pdf in _chunks(frames):
-            own = list(pdf["word"])
-            by_class = pdf[[f"n{k}" for k in range(CLASSES)]].to_numpy()
-            row, k = np.nonzero(by_class)
-            packed = np.empty(len(row), dtype=IN_CLASS)
-            packed["k"], packed["n"] = k, np.minimum(by_class[row, k], 2**32 - 1)
-            data, ends = packed.tobytes(), IN_CLASS.itemsize * np.cumsum(np.bincount(row, minlength=len(own)))
-            parts = [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            yield pd.DataFrame({"h": [_hash(w) for w in own], "n": pdf["n"].to_numpy(), "bits": model.bits_of(own).astype(np.float32), "classes": parts})
+@dataclass
+class Tree:
+    """Counts below each node of the hash bits, in all documents and in each class.
 
-    return words.where("length(word) > 0").mapInPandas(run, "h long, n long, bits float, classes binary")
+    ``h``: sorted hashes of the known words, or numbers of the buckets; ``depth``: the
+    bits that all of them share; ``counts``: a column for each class.
+    """
 
+    h: np.ndarray
+    counts: np.ndarray
+    depth: int
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    def __post_init__(self):
+        sums = np.zeros((len(self.h) + 1, CLASSES + 1))
+        sums[1:, 1:] = np.cumsum(self.counts, axis=0)
+        sums[:, 0] = sums[:, 1:].sum(1)
+        self.sums = sums
+
+    def levels(self, at: np.ndarray, k: np.ndarray, own: np.ndarray, last: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each bit: the rows (word ``at``, class ``k``) for which it is sent, the bit,
+        the predictors' log-odds, and the gate; ``own`` is left out of a row's counts."""
+        rows = np.arange(len(at))
+        for d in range(self.depth, last):
+            head = self.h >> np.uint64(64 - d) if d else np.zeros(len(self.h), dtype=np.uint64)
+            new = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(head) else np.zeros(0, dtype=np.int64)
+            low, high = new, np.r_[new[1:], len(head)]
+            one = (self.h >> np.uint64(63 - d)) & np.uint64(1)
+            ones = np.r_[0, np.cumsum(one)]
+            middle = high - (ones[high] - ones[low]).astype(np.int64)
+            node = np.repeat(np.arange(len(low)), high - low)
+            if last == 64:
+                rows = rows[(high - low)[node[at[rows]]] > 1]
+                if not len(rows):
+                    return
+            mine = node[at[rows]]
+            bit = one[at[rows]].astype(np.int64)
+            odds, seen = [], None
+            for column in (0, k[rows] + 1):
+                upper = self.sums[high[mine], column]
+                above = upper - self.sums[middle[mine], column] - own[rows] * bit
+                below = self.sums[middle[mine], column] - self.sums[low[mine], column] - own[rows] * (1 - bit)
+                above, below = np.maximum(above, 0), np.maximum(below, 0)
+                odds.append(np.log((above + EVEN) / (below + EVEN)))
+                seen = above + below
+            gate = np.minimum(np.log2(seen + 1), CODE_GATES - 1).astype(np.int64)
+            yield rows, bit, np.stack(odds, axis=1), gate
 
 
-def _block_words(block: pa.Table) -> pa.Table:
-    distinct: set[bytes] = set()
-    for text in block.column("text").to_pylist():
-        distinct.update(lower_ascii(text).split())
-    number = block.column("block")[0].as_py()
-    return pa.table({"block": pa.array(np.full(len(distinct), number, dtype=np.int64)), "h": pa.array([_hash(w) for w in distinct], pa.int64())})
+@dataclass
+class CodeModel:
+    """The gated weights of the hash bits' predictors, and the refining map."""
+
+    weights: np.ndarray
+    refine: np.ndarray
+
+    @classmethod
+    def plain(cls) -> CodeModel:
+        return cls(np.full((CODE_GATES, 2), 0.5), np.tile(squash(np.linspace(-REACH, REACH, BUCKETS)), (CODE_GATES, 1)))
+
+    def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return (odds * self.weights[gate]).sum(1)
+
+    @staticmethod
+    def bucket(x: np.ndarray) -> np.ndarray:
+        return np.rint((np.clip(x, -REACH, REACH) + REACH) * ((BUCKETS - 1) / (2 * REACH))).astype(np.int64)
+
+    def cost(self, bit: np.ndarray, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """Bits; beyond the map's reach the mixed probability stands alone."""
+        x = self.mixed(odds, gate)
+        p = squash(x)
+        p = np.where(np.abs(x) < REACH, (p + self.refine[gate, self.bucket(x)]) / 2, p)
+        return -np.log2(np.maximum(np.where(bit == 1, p, 1 - p), 1e-12))
+
+    def learn(self, bit: np.ndarray, odds: np.ndarray, gate: np.ndarray, n: np.ndarray, turn: int, hits: np.ndarray) -> None:
+        """Online steps on bits that were each sent ``n`` times."""
+        for part in np.array_split(np.arange(len(bit)), STEPS):
+            x = self.mixed(odds[part], gate[part])
+            miss = n[part] * (bit[part] - squash(x))
+            total = np.bincount(gate[part], n[part], CODE_GATES) + 20
+            for j in range(2):
+                self.weights[:, j] += RATE / (1 + 0.1 * turn) ** 0.5 * np.bincount(gate[part], miss * odds[part, j], CODE_GATES) / total
+        cell = (gate * BUCKETS + self.bucket(self.mixed(odds, gate))) * 2 + bit
+        hits += np.bincount(cell, n, hits.size)
 
 
 @dataclass
 class Totals:
     """Tokens and distinct tokens of the training documents, the end token among them;
-    and words, distinct words and documents of each class."""
+    and of each class: documents, words, and words that one document alone holds."""
 
     tokens: int
     distinct: int
-    ends: int
+    docs: np.ndarray
     words: np.ndarray
-    kinds: np.ndarray
+    single: np.ndarray
+    #: Words of each bucket and class.
+    buckets: np.ndarray
+
+    def fresh(self) -> np.ndarray:
+        """The probability of a new word in each class."""
+        return (self.single + 0.5) / (self.words + 1.0)
+
+    def depth(self) -> int:
+        return len(self.buckets).bit_length() - 1
+
+    def top(self) -> Tree:
+        """The tree above the buckets."""
+        return Tree(np.arange(len(self.buckets), dtype=np.uint64) << np.uint64(64 - self.depth()) if self.depth() else np.zeros(1, dtype=np.uint64), self.buckets, 0)
+
+
+@dataclass
+class Bucket:
+    """The rows (word, class) of a bucket: places among its known words, and counts."""
+
+    words: list[bytes]
+    h: np.ndarray
+    k: np.ndarray
+    n: np.ndarray
     docs: np.ndarray
 
-    def rates(self, n: np.ndarray, bits: np.ndarray, packed: list[bytes]) -> np.ndarray:
-        """The probability of each word in each class: its discounted class count, then
-        its discounted count in all classes, then its spelling."""
-        words, kinds = self.tokens - self.ends, self.distinct - (self.ends > 0)
-        spell = np.exp2(-np.minimum(bits.astype(float), 1000.0))
-        every = (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * spell) / words if words else spell
-        pairs = np.frombuffer(b"".join(packed), dtype=IN_CLASS)
-        own = np.zeros((len(n), CLASSES))
-        own[np.repeat(np.arange(len(n)), [len(x) // IN_CLASS.itemsize for x in packed]), pairs["k"]] = pairs["n"]
-        part = np.maximum(self.words, 1)
-        back = np.where(self.words > 0, DISCOUNT * self.kinds / part, 1.0)
-        return np.maximum(own - DISCOUNT, 0) / part + back * every[:, None]
-
-    def score_block(self, documents: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        vocabulary = vocabulary.sort_values(["h", "n"]).drop_duplicates("h", keep="last")
-        h, n = vocabulary["h"].to_numpy(), vocabulary["n"].to_numpy()
-        rates = self.rates(n, vocabulary["bits"].to_numpy(), list(vocabulary["classes"]))
-        log_n = np.log10(n + 1.0)
-        end = (self.ends + 0.5) / (self.tokens + 1)
-        index: dict[bytes, int] = {}
-        out = []
-        for doc_id, held_out, text in zip(documents["doc_id"], documents["held_out"], documents["text"], strict=True):
-            own = lower_ascii(text).split()
-            for w in set(own).difference(index):
-                index[w] = int(np.searchsorted(h, _hash(w)))
-            at = np.fromiter(map(index.__getitem__, own), np.int64, len(own))
-            n_bytes = sum(map(len, own)) + len(own) + 1
-            base = float(log_n[at].sum() + np.log10(self.ends + 1) - (len(at) + 1) * np.log10(self.tokens + self.distinct + 1))
-            score = self.log10(at, rates) + len(at) * np.log10(1 - end) + np.log10(end)
-            known = int((n[at] > 0).sum()) + (self.ends > 0)
-            out.append((doc_id, held_out, len(at) + 1, known, self.tokens, base, score, n_bytes, -score / np.log10(2) / n_bytes))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    def log10(self, at: np.ndarray, rates: np.ndarray) -> float:
-        """The words' log10 probability.  In each class a word's rate is mixed with the
-        document's own words so far, by a weight that follows how often it has repeated
-        itself; the classes, weighed by how well each has done, sum up to the text's."""
-        n = len(at)
-        if not n:
-            return 0.0
-        order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-        before = np.empty(n, dtype=np.int64)
-        before[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-        t = np.arange(n)
-        again = np.cumsum(before > 0) - (before > 0)
-        weight = np.where(t > 0, (again + 0.2) / (t + 12.0), 0.0)
-        weight *= np.where(t > 0, 0.3 + 0.7 * again / np.maximum(t, 1), 0.0)
-        cached = weight * before / np.maximum(t, 1)
-        by_class = np.log(np.maximum(rates[at] * (1 - weight)[:, None] + cached[:, None], 1e-300)).sum(0)
-        by_class += np.log((self.docs + 0.5) / (self.docs.sum() + 0.5 * CLASSES))
-        top = by_class.max()
-        return float((top + np.log(np.exp(by_class - top).sum())) / np.log(10))
+    @classmethod
+    def of(cls, rows: pa.Table) -> Bucket:
+        h = rows.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        take = lambda c: rows.column(c).to_numpy()[order]
+        return cls(rows.column("word").take(pa.array(order)).to_pylist(), h[order], take("k").astype(np.int64), take("n").astype(float), take("docs").astype(float))
+
+    def __post_init__(self):
+        every, self.word = np.unique(self.h, return_inverse=True)
+        self.total, self.held = (np.bincount(self.word, x, len(every)) for x in (self.n, self.docs))
+        self.known = self.total > 0
+        self.place = (np.cumsum(self.known) - 1)[self.word]
+        counts = np.zeros((int(self.known.sum()), CLASSES))
+        mine = self.known[self.word]
+        np.add.at(counts, (self.place[mine], self.k[mine]), self.n[mine])
+        self.hashes, self.counts = every[self.known], counts
+        #: A document's share of a word, on average.
+        self.share = np.where(self.docs > 0, np.maximum(np.rint(self.n / np.maximum(self.docs, 1)), 1), 0)
+
+    def levels(self, top: Tree, rows: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The hash bits of some rows, from the top of the whole tree."""
+        depth = len(top.h).bit_length() - 1
+        bucket = (self.hashes >> np.uint64(64 - depth)).astype(np.int64) if depth else np.zeros(len(self.hashes), dtype=np.int64)
+        yield from top.levels(bucket[self.place[rows]], self.k[rows], own, depth)
+        yield from Tree(self.hashes, self.counts, depth).levels(self.place[rows], self.k[rows], own)
+
+    def cost(self, top: Tree, model: CodeModel, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for at, bit, odds, gate in self.levels(top, rows, own):
+            out[at] += model.cost(bit, odds, gate)
+        return out
+
+
+def _buckets(words: DataFrame, n: int) -> DataFrame:
+    """Each word row with its hash and its bucket, of ``n`` (a power of two)."""
+    hashed = words.where("length(word) > 0").withColumn("h", F.xxhash64("word"))
+    place = F.shiftrightunsigned("h", 64 - (n.bit_length() - 1)) if n > 1 else F.lit(0).cast("long")
+    return hashed.withColumn("bucket", place)
+
+
+def _code_model(rows: DataFrame, totals: Totals) -> CodeModel:
+    """Weights and map of the hash bits, from all words that several training documents
+    hold: each bucket learns on its own, and the results are averaged by their words."""
+
+    def learn(rows: pa.Table) -> pa.Table:
+        own, top, model = Bucket.of(rows), totals.top(), CodeModel.plain()
+        chosen = np.flatnonzero((own.n > 0) & (own.held[own.word] > 1))
+        hits = np.zeros(model.refine.size * 2)
+        for turn in range(ROUNDS):
+            hits[:] = 0
+            for at, bit, odds, gate in own.levels(top, chosen, own.share[chosen]):
+                model.learn(bit, odds, gate, own.n[chosen][at], turn, hits)
+        n = float(own.n[chosen].sum())
+        values = np.concatenate((model.weights.ravel() * n, hits, [n]))
+        return pa.table({"key": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values)})
+
+    learned = rows.groupBy("bucket").applyInArrow(learn, "key int, value double")
+    found = learned.groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
+    model = CodeModel.plain()
+    values = np.array([r.value for r in found])
+    if not len(values) or not values[-1]:
+        return model
+    weights, hits = np.split(values[:-1], [model.weights.size])
+    hits = hits.reshape(*model.refine.shape, 2)
+    return CodeModel((weights / values[-1]).reshape(model.weights.shape), (hits[..., 1] + 4 * model.refine) / (hits.sum(-1) + 4))
+
+
+def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights: np.ndarray, refine: np.ndarray, widths: tuple[int, ...]) -> DataFrame:
+    """(key, n, bits, others_bits): the training count of each word, and its bits in each
+    class by all training documents and by all but one that holds it."""
+
+    size = int(layout(widths)[0][-1])
+
+    def run(rows: pa.Table) -> pa.Table:
+        own, top = Bucket.of(rows), totals.top()
+        model = BitModel(*counters(path, size), weights, refine, widths)
+        fresh, total, held = totals.fresh()[own.k], own.total[own.word], own.held[own.word]
+        bits, others = np.zeros(len(own.h)), np.zeros(len(own.h))
+        known, shared = np.flatnonzero(total > 0), np.flatnonzero((held > 1) & (own.docs > 0))
+        bits[known] = own.cost(top, code, known, np.zeros(len(known))) - np.log2(1 - fresh[known])
+        others[shared] = own.cost(top, code, shared, own.share[shared]) - np.log2(1 - fresh[shared])
+        for out, chosen, left_out in ((bits, np.flatnonzero(total == 0), False), (others, np.flatnonzero((held == 1) & (own.docs > 0)), True)):
+            for at in range(0, len(chosen), CHUNK_WORDS):
+                part = chosen[at : at + CHUNK_WORDS]
+                out[part] = model.bits_of([own.words[i] for i in part], left_out) - np.log2(fresh[part])
+        return pa.table({"key": pa.array(_keys(own.h, own.k)), "n": pa.array(total.astype(np.int64)), "bits": pa.array(bits.astype(np.float32)), "others_bits": pa.array(others.astype(np.float32))})
+
+    return rows.groupBy("bucket").applyInArrow(run, "key long, n long, bits float, others_bits float")
+
+
+def _packed(documents: DataFrame, found: Classes, blocks: int) -> DataFrame:
+    """The documents with their classes and compressed texts, dealt to their blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in parts(batch):
+                texts = [lower_ascii(text) for text in part.column("text").to_pylist()]
+                k = [found.of(set(text.split())) for text in texts]
+                columns = [part.column(c) for c in ("block", "doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(k, pa.int32()), pa.array(list(map(packer.compress, texts)), pa.binary())], names=["block", "doc_id", "held_out", "k", "packed"])
+
+    held_out = F.coalesce(fold_column("doc_id", FOLDS) == HELD_OUT, F.lit(False))
+    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block")
+    # as text the ids come through pandas unchanged, nulls beside them or not
+    chosen = documents.select(block, F.col("doc_id").cast("long").cast("string").alias("doc_id"), held_out.alias("held_out"), "text")
+    return chosen.mapInArrow(run, "block long, doc_id string, held_out boolean, k int, packed binary").repartition(blocks, "block")
+
+
+def _block_words(block: pa.Table) -> pa.Table:
+    """The keys of all words and classes of a block."""
+    unpacker = zstandard.ZstdDecompressor()
+    distinct: list[set[bytes]] = [set() for _ in range(CLASSES)]
+    for k, packed in zip(block.column("k").to_pylist(), block.column("packed").to_pylist(), strict=True):
+        distinct[k].update(unpacker.decompress(packed).split())
+    keys = np.concatenate([_keys(np.fromiter(map(_hash, own), np.uint64, len(own)), np.full(len(own), k)) for k, own in enumerate(distinct)])
+    return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py(), dtype=np.int64)), "key": pa.array(keys)})
+
+
+def score_block(documents: pd.DataFrame, vocabulary: pd.DataFrame, totals: Totals) -> pd.DataFrame:
+    """The scores of a block's documents."""
+    vocabulary = vocabulary.sort_values(["key", "n"]).drop_duplicates("key", keep="last")
+    keys, n = vocabulary["key"].to_numpy(), vocabulary["n"].to_numpy()
+    rates = [np.exp2(-vocabulary[c].to_numpy().astype(float)) for c in ("bits", "others_bits")]
+    log_n = np.log10(n + 1.0)
+    ends = totals.docs.sum()
+    end = (ends + 0.5) / (totals.tokens + 1)
+    prior = np.log10((totals.docs + 0.5) / (ends + 0.5 * CLASSES))
+    unpacker = zstandard.ZstdDecompressor()
+    index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
+    out = []
+    for doc_id, held_out, k, packed in zip(documents["doc_id"], documents["held_out"], documents["k"], documents["packed"], strict=True):
+        own = unpacker.decompress(packed).split()
+        place = index[k]
+        new = list(set(own).difference(place))
+        if new:
+            place.update(zip(new, np.searchsorted(keys, _keys(np.fromiter(map(_hash, new), np.uint64, len(new)), np.full(len(new), k))).tolist(), strict=True))
+        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+        n_bytes = sum(map(len, own)) + len(own) + 1
+        base = float(log_n[at].sum() + np.log10(ends + 1) - (len(at) + 1) * np.log10(totals.tokens + totals.distinct + 1))
+        score = prior[k] + with_cache(at, rates[0 if held_out else 1]) + len(at) * np.log10(1 - end) + np.log10(end)
+        known = int((n[at] > 0).sum()) + int(ends > 0)
+        out.append((doc_id, held_out, len(at) + 1, known, totals.tokens, base, score, n_bytes, -score / np.log10(2) / n_bytes))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def with_cache(at: np.ndarray, rates: np.ndarray) -> float:
+    """The words' log10 probability: each word's rate is mixed with the document's own
+    words so far, by a weight that follows how often it has repeated itself."""
+    n = len(at)
+    if not n:
+        return 0.0
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    before = np.empty(n, dtype=np.int64)
+    before[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    t = np.arange(n)
+    again = np.cumsum(before > 0) - (before > 0)
+    weight = np.where(t > 0, (again + 0.2) / (t + 12.0), 0.0)
+    weight *= np.where(t > 0, 0.3 + 0.7 * again / np.maximum(t, 1), 0.0)
+    return float(np.log10(np.maximum(rates[at] * (1 - weight) + weight * before / np.maximum(t, 1), 1e-300)).sum())
+
+
+def _totals(words: DataFrame) -> Totals:
+    """What the driver needs to know of the counted words; a row for each bucket and class."""
+    is_word = F.length("word") > 0
+    by_word = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("n > 0")
+    sums = by_word.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
+    n = 1
+    while n * BUCKET_WORDS < (sums.distinct or 0):
+        n *= 2
+    alone = words.where(is_word).join(by_word.where("docs = 1").select("word"), "word", "left_semi").where("n > 0")
+    docs, total, single = (np.zeros(CLASSES) for _ in range(3))
+    buckets = np.zeros((n, CLASSES))
+    for r in words.groupBy("k").agg(F.sum(F.when(~is_word, F.col("n"))).alias("docs"), F.sum(F.when(is_word, F.col("n"))).alias("n")).collect():
+        docs[r.k], total[r.k] = r.docs or 0, r.n or 0
+    for r in alone.groupBy("k").agg(F.sum("n").alias("n")).collect():
+        single[r.k] = r.n
+    for r in _buckets(words.where("n > 0"), n).groupBy("bucket", "k").agg(F.sum("n").alias("n")).collect():
+        buckets[r.bucket, r.k] = r.n
+    return Totals(sums.tokens or 0, sums.distinct or 0, docs, total, single, buckets)
 
 
 def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row of base and model scores for each document."""
-    spark = documents.sparkSession
-    short_batches(spark)
-    words = cut(counted_words(documents, find_classes(documents)))
-    is_word = F.length("word") > 0
-    by_class = [f(c).alias(f"{name}{k}") for k in range(CLASSES) for c in [F.col(f"n{k}")] for name, f in (
-        ("words", lambda c: F.sum(F.when(is_word, c))), ("kinds", lambda c: F.count(F.when(is_word & (c > 0), 1))), ("docs", lambda c: F.sum(F.when(~is_word, c))))]
-    sums = words.agg(F.sum("n").alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct"), F.sum(F.when(~is_word, F.col("n"))).alias("ends"), *by_class).first()
-    totals = Totals(sums.tokens or 0, sums.distinct or 0, sums.ends or 0, *(np.array([sums[f"{name}{k}"] or 0 for k in range(CLASSES)], dtype=float) for name in ("words", "kinds", "docs")))
-    priced = cut(_priced(words, *fit(words, totals.distinct)))
+    found = find_classes(documents)
+    words = cut(counted_words(documents, found))
+    totals = _totals(words)
+    rows = _buckets(words, len(totals.buckets)).select("bucket", "h", "word", "k", "n", "docs")
+    priced = cut(_priced(rows, totals, _code_model(rows, totals), *fit(words, totals.distinct)))
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(4, -(-size // block_bytes))
-    held_out = F.coalesce(fold_column("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block")
-    dealt = documents.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), "text", block).repartition(int(blocks), "block")
-    needed = dealt.select("block", "text").groupBy("block").applyInArrow(_block_words, "block long, h long")
-    vocabulary = needed.join(priced, "h").select("block", "h", "n", "bits", "classes")
-    return dealt.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(lambda d, v: totals.score_block(d, v), SCHEMA)
+    dealt = _packed(documents, found, int(max(4, -(-size // block_bytes))))
+    needed = dealt.groupBy("block").applyInArrow(_block_words, "block long, key long")
+    vocabulary = needed.join(priced, "key").select("block", "key", "n", "bits", "others_bits")
+    scored = dealt.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(lambda d, v: score_block(d, v, totals), SCHEMA)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -97,5 +97,5 @@ def test_classes_come_from_all_training_documents(spark, monkeypatch):
     text = lambda i: " ".join(f"{'late' if i in late else 'soon'}{rng.randint(0, 20)}" for _ in range(12))
     found = language_model.find_classes(spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string"))
     assert {b"late1", b"soon1"} <= found.markers.keys()
-    sides = [{found.of([b"%s%d" % (kind, a), b"%s%d" % (kind, b)]) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]
+    sides = [{found.of({b"%s%d" % (kind, a), b"%s%d" % (kind, b)}) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]
     assert not sides[0] & sides[1]
