@@ -4,19 +4,29 @@ Every document gets fixed base counts; a linear-chain CRF then labels its lines
 content or boilerplate by Viterbi decoding, and the share of words on content lines
 decides whether a document that passed the base rules is kept.
 
+Labels are known of documents only, so the lines of the sample get weak labels of their
+own: a line is boilerplate if it repeats an earlier one, if it stands in several sampled
+documents, or if it looks like the lines of bad documents rather than good ones, by a
+logistic classifier that was fitted on the other half of the sample.  So good documents
+have boilerplate lines and bad ones content, and the chain learns where labels change.
+
 Scale: one pass over the documents without a shuffle.  The CRF is fitted on at most
-``SAMPLE_ROWS`` labelled documents (only their line features reach the driver).
+``SAMPLE_ROWS`` labelled documents of each class (only their line features and hashes
+reach the driver).
 
 Edge cases: a null or empty text has no words, fails the base rules and is not kept;
-a null ``doc_id`` stays null; repeated rows are judged one by one, alike; an empty
-``labels`` table leaves a CRF of zero weights, which labels every line content; extra
-columns are ignored by ``judge`` and passed through by ``keep``.
+a null ``doc_id`` stays null; repeated rows are judged one by one, alike; rows of
+``labels`` with nulls are left out, and a document with both labels is a sample of
+each; an empty ``labels`` table leaves a CRF of zero weights, which labels every line
+content; a very long text is a frame of its own; extra columns are ignored by ``judge``
+and passed through by ``keep``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +38,8 @@ SAMPLE_ROWS = 1500
 #: Words on content lines, of all words, that a kept document has at least.
 CONTENT_SHARE = 0.5
 CONTENT, BOILERPLATE = 0, 1
+#: Sampled documents from which a line counts as shared.
+SHARED_LINES = 4
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -87,6 +99,11 @@ def line_properties(line: str, words: list[bytes], repeated: int, seen: bool) ->
     )
 
 
+def lines_of(text: str | None) -> list[str]:
+    """The lines with a word."""
+    return [line for line in (text or "").split("\n") if words_of(line)]
+
+
 def measured(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray]:
     """The base counts, and the properties and word counts of the lines with words."""
     if not text:
@@ -119,24 +136,52 @@ def _line_features(frames):
         out = []
         for quality, text in zip(pdf["quality"], pdf["text"], strict=True):
             _, properties, _ = measured(text)
-            out.append((int(quality), feature_numbers(properties).astype(np.int16).tobytes()))
-        yield pd.DataFrame(out, columns=["quality", "lines"])
+            hashes = np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines_of(text)], dtype=np.uint64)
+            out.append((int(quality), feature_numbers(properties).astype(np.int16).tobytes(), hashes.tobytes()))
+        yield pd.DataFrame(out, columns=["quality", "lines", "hashes"])
+
+
+def looks(features: np.ndarray, bad: np.ndarray, weight: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """Weights of a logistic classifier that tells lines of bad documents from good ones."""
+    w = np.zeros(len(EDGES) * WIDTH)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(w[features].sum(1), -30, 30)))
+        miss = weight * (bad - p)
+        up = sum(np.bincount(column, miss, len(w)) for column in features.T) - 1e-4 * w
+        w += 2.0 * up
+    return w
+
+
+def line_labels(features: np.ndarray, hashes: np.ndarray, doc: np.ndarray, quality: np.ndarray) -> np.ndarray:
+    """Weak labels of the sample's lines; ``doc`` numbers the documents that hold them."""
+    bad = quality[doc] == 0
+    size = np.bincount(doc, minlength=len(quality))
+    per_class = np.bincount(quality, minlength=2)
+    weight = 1.0 / size[doc] / np.maximum(per_class[quality[doc]], 1)  # each class and each document alike
+    label = np.zeros(len(features), dtype=bool)
+    for half in (0, 1):
+        own = doc % 2 == half
+        if own.any() and (~own).any():
+            label[own] = looks(features[~own], bad[~own], weight[~own])[features[own]].sum(1) > 0
+    _, where = np.unique(hashes, return_inverse=True)
+    held = np.bincount(np.unique(where.astype(np.int64) * len(quality) + doc) // len(quality), minlength=where.max() + 1)
+    seen = features[:, list(EDGES).index("seen_before")] % WIDTH == 1
+    return np.where(label | seen | (held[where] >= SHARED_LINES), BOILERPLATE, CONTENT)
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> crf.Crf:
-    """A CRF from at most ``sample_rows`` labelled documents of each class.
-
-    Lines of good documents count as content, lines of bad ones as boilerplate; lines
-    that both have in common are told apart by their neighbours.
-    """
-    known = labels.where("doc_id is not null").select("doc_id", "quality")
+    """A CRF from at most ``sample_rows`` labelled documents of each class."""
+    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
     picked = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for q in (0, 1)]
-    sample = documents.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    rows = map_frames(sample.select("quality", "text"), _line_features, "quality int, lines binary").collect()
+    sample = documents.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").where("text is not null").dropDuplicates(["quality", "text"])
+    rows = map_frames(sample.select("quality", "text"), _line_features, "quality int, lines binary, hashes binary").orderBy("hashes", "quality").collect()
     blocks = [np.frombuffer(r.lines, dtype=np.int16).reshape(-1, len(EDGES)).astype(np.int64) for r in rows]
     lengths = np.array([len(b) for b in blocks], dtype=np.int64)
-    truth = np.repeat([CONTENT if r.quality else BOILERPLATE for r in rows], lengths) if rows else np.zeros(0, dtype=np.int64)
-    features = np.concatenate(blocks) if blocks else np.zeros((0, len(EDGES)), dtype=np.int64)
+    if not lengths.sum():
+        return crf.fit(np.zeros((0, len(EDGES)), dtype=np.int64), lengths[:0], lengths[:0], len(EDGES) * WIDTH)
+    features = np.concatenate(blocks)
+    hashes = np.frombuffer(b"".join(r.hashes for r in rows), dtype=np.uint64)
+    truth = line_labels(features, hashes, np.repeat(np.arange(len(rows)), lengths), np.array([r.quality for r in rows]))
     return crf.fit(features, truth, lengths, len(EDGES) * WIDTH)
 
 

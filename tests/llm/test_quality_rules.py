@@ -56,3 +56,25 @@ def test_empty_tables(spark):
     model = quality_rules.fit(docs, labels.limit(0))
     assert all(r.kept != r.base_failed for r in quality_rules.judge(docs, model).collect())
     assert quality_rules.judge(docs.limit(0), model).count() == 0
+
+
+def test_lines_of_one_document_get_labels_of_their_own(spark):
+    docs, labels = data(spark)
+    again = docs.where("doc_id % 3 > 0 and doc_id < 240").selectExpr("doc_id + 1000 as doc_id", "text || '\n' || split_part(text, '\n', 1) || '\n' || split_part(text, '\n', 2) as text", "kept")
+    model = quality_rules.fit(docs.union(again), labels.union(again.selectExpr("doc_id", "1", "0")))
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    good = [" ".join(word() for _ in range(12)).capitalize() + "." for _ in range(6)]
+    junk = [" ".join(word().upper() + "%%%" for _ in range(12)) for _ in range(2)]
+    mixed = spark.createDataFrame([(1, "\n".join(good + junk)), (2, "\n".join(good[:1] + junk * 3)), (3, "\n".join(good + good[:2]))], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality_rules.judge(mixed, model).collect()}
+    assert (rows[1].n_lines, rows[1].n_boilerplate_lines, rows[1].kept) == (8, 2, True)
+    assert rows[2].n_boilerplate_lines >= 6 and not rows[2].kept
+    assert rows[3].n_boilerplate_lines == 2 and rows[3].kept
+
+
+def test_odd_labels_are_left_out(spark):
+    docs, labels = data(spark)
+    odd = spark.createDataFrame([(None, 1, 0), (3, None, 0), (3, 7, 0), (0, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality_rules.fit(docs, labels.union(odd).union(labels))
+    assert {r.doc_id for r in quality_rules.judge(docs, model).where("kept and doc_id < 240").collect()} >= {i for i in range(2, 240) if i % 3}
