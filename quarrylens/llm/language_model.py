@@ -38,10 +38,11 @@ size; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -67,10 +68,10 @@ SETTLED = 1e-5
 SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 20, 21, 21)
 BLOCK_BYTES = 12_000_000
 #: Distinct words a task counts before it hands them on.
-FLUSH_WORDS = 400_000
+FLUSH_WORDS = 250_000
 CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
 #: Known words of a bucket of hashes; rounds over a bucket and parts of each that are a step.
-BUCKET_WORDS, ROUNDS, STEPS = 60_000, 2, 4
+BUCKET_WORDS, ROUNDS, STEPS = 60_000, 1, 4
 #: What is added to the counts of a bit; gates of the hash bits, by doublings of the class's count.
 EVEN, CODE_GATES = 0.4, 18
 BUCKETS, REACH = 33, 8.0
@@ -86,8 +87,49 @@ SCHEMA = (
 )
 
 
-#: The node before each bit of each byte.
-PATHS = np.array([[(0x100 | byte) >> (8 - k) for k in range(8)] for byte in range(256)], dtype=np.uint8)
+@dataclass
+class Letters:
+    """A prefix code of the 256 bytes: each one's bits, and the node before each bit."""
+
+    lengths: np.ndarray
+    bits: np.ndarray
+    nodes: np.ndarray
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Letters:
+        """Huffman's code, so that frequent bytes are few bits to predict."""
+        heap = [(int(n) + 1, byte, byte) for byte, n in enumerate(counts)]
+        heapq.heapify(heap)
+        children: list[tuple[int, int]] = []
+        while len(heap) > 1:
+            (a, _, left), (b, _, right) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a + b, 256 + len(children), 256 + len(children)))
+            children.append((left, right))
+        paths: dict[int, list[tuple[int, int]]] = {}
+        open_: list[tuple[int, list[tuple[int, int]]]] = [(heap[0][2], [])]
+        while open_:
+            at, path = open_.pop()
+            if at < 256:
+                paths[at] = path
+            else:
+                open_ += [(child, [*path, (at - 256, bit)]) for bit, child in enumerate(children[at - 256])]
+        lengths = np.array([len(paths[byte]) for byte in range(256)])
+        table = np.zeros((2, 256, lengths.max()), dtype=np.int64)
+        for byte, path in paths.items():
+            table[:, byte, : len(path)] = np.array(path).T
+        return cls(lengths, table[1], table[0])
+
+    def spread(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For all bits of some bytes: the byte's place, the bit's depth, the node, the bit."""
+        own = self.lengths[flat]
+        owner = np.repeat(np.arange(len(flat)), own)
+        depth = np.arange(len(owner)) - np.repeat(np.cumsum(own) - own, own)
+        byte = flat[owner]
+        return owner, depth, self.nodes[byte, depth], self.bits[byte, depth]
+
+
+#: Bytes at eight bits each.
+EVEN_LETTERS = Letters.of(np.zeros(256))
 
 
 def slot_bits(distinct: int) -> tuple[int, ...]:
@@ -103,15 +145,17 @@ def layout(slots: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(([0], np.cumsum(sizes))), [np.random.default_rng(k).integers(0, size, 256).astype(np.int32) for k, size in enumerate(sizes)]
 
 
-def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all words end to end: slots (bits x orders), the bits, and bits per word."""
+def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS, letters: Letters = EVEN_LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For all words end to end: slots (bits x orders), the bits, their depths, and bits
+    per word."""
     sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
     flat = np.frombuffer(b"".join(w + bytes([CLOSE]) for w in words), dtype=np.uint8)
     n = len(flat)
     starts, places = layout(widths)
-    place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    nodes = PATHS[flat]
-    slots = np.empty((n, 8, ORDERS), dtype=np.int32)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(n) - np.repeat(first, sizes)
+    owner, depth, nodes, bits = letters.spread(flat)
+    slots = np.empty((len(bits), ORDERS), dtype=np.int32)
     context = np.minimum(place, 3).astype(np.uint64)
     wide = flat.astype(np.uint64) + np.uint64(1)
     for k in range(ORDERS):
@@ -122,8 +166,9 @@ def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS) -> tuple[np
         mixed = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         base = (mixed >> np.uint64(64 - widths[k])).astype(np.int32)
-        slots[:, :, k] = (places[k][nodes] ^ base[:, None]) + np.int32(starts[k])
-    return slots.reshape(-1, ORDERS), np.unpackbits(flat).astype(np.int64), sizes * 8
+        slots[:, k] = (places[k][nodes] ^ base[owner]) + np.int32(starts[k])
+    per_word = np.add.reduceat(letters.lengths[flat], first) if n else sizes
+    return slots, bits, np.minimum(depth, 7), per_word
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -139,6 +184,7 @@ class BitModel:
     weights: np.ndarray
     refine: np.ndarray
     widths: tuple[int, ...] = SLOT_BITS
+    letters: Letters = field(default_factory=lambda: EVEN_LETTERS)
 
     def __post_init__(self):
         self.odds = np.log((self.ones + 0.2) / (self.seen - self.ones + 0.2)).astype(np.float32)
@@ -149,16 +195,16 @@ class BitModel:
         zero = np.zeros(FIRST[-1], dtype=np.float32)
         return cls(zero, zero.copy(), *plain_weights())
 
-    def gate(self, known: np.ndarray) -> np.ndarray:
-        return np.maximum(known.sum(1) - 1, 0) * 8 + np.arange(len(known)) % 8
+    def gate(self, known: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        return np.maximum(known.sum(1) - 1, 0) * 8 + depth
 
-    def left_out(self, slots: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def left_out(self, slots: np.ndarray, bits: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds and gates as if these bits had not been counted once."""
         ones, seen = self.ones[slots], self.seen[slots]
         counted = seen > 0
         ones = ones - (counted & (bits[:, None] == 1))
         seen = seen - counted
-        return np.log((ones + 0.2) / (seen - ones + 0.2)), self.gate(seen >= 2)
+        return np.log((ones + 0.2) / (seen - ones + 0.2)), self.gate(seen >= 2, depth)
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", odds, self.weights[gate])
@@ -170,8 +216,8 @@ class BitModel:
 
     def bits_of(self, words: list[bytes], left_out: bool = False) -> np.ndarray:
         """The number of bits that each word costs, as if it had not been learned if so asked."""
-        slots, bits, sizes = spelled(words, self.widths)
-        odds, gate = self.left_out(slots, bits) if left_out else (self.odds[slots], self.gate(self.known[slots]))
+        slots, bits, depth, sizes = spelled(words, self.widths, self.letters)
+        odds, gate = self.left_out(slots, bits, depth) if left_out else (self.odds[slots], self.gate(self.known[slots], depth))
         x = self.mixed(odds, gate)
         p = (squash(x) + self.refine[self.cells(x, gate)]) / 2
         cost = -np.log2(np.clip(np.where(bits == 1, p, 1 - p), 1e-6, 1))
@@ -179,8 +225,8 @@ class BitModel:
 
     def learn(self, words: list[bytes], turn: int, hits: np.ndarray) -> None:
         """Online steps of the weights; ``hits`` gathers what follows each cell."""
-        slots, bits, _ = spelled(words, self.widths)
-        odds, gate = self.left_out(slots, bits)
+        slots, bits, depth, _ = spelled(words, self.widths, self.letters)
+        odds, gate = self.left_out(slots, bits, depth)
         for at in range(0, len(bits), STEP_BITS):
             part = slice(at, at + STEP_BITS)
             x = self.mixed(odds[part], gate[part])
@@ -339,37 +385,27 @@ def counted_words(documents: DataFrame, found: Classes) -> DataFrame:
     and in how many training documents it occurs; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: list[Counter] = [Counter() for _ in range(CLASSES)]
-        docs: list[Counter] = [Counter() for _ in range(CLASSES)]
-        others: list[set[bytes]] = [set() for _ in range(CLASSES)]
+        # occurrences, and documents above the first 32 bits
+        counts: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for k in range(CLASSES):
-                words = list(counts[k])
-                alone = list(others[k].difference(counts[k]))
-                n, held = (np.fromiter(map(c.__getitem__, words), np.int64, len(words)) for c in (counts[k], docs[k]))
-                none = np.zeros(len(alone), dtype=np.int64)
-                yield pa.record_batch({
-                    "word": pa.array(words + alone, pa.binary()), "k": pa.array(np.full(len(words) + len(alone), k, dtype=np.int32)),
-                    "n": pa.array(np.concatenate([n, none])), "docs": pa.array(np.concatenate([held, none])),
-                })
-                counts[k].clear()
-                docs[k].clear()
-                others[k].clear()
+            for k, own in enumerate(counts):
+                both = np.fromiter(own.values(), np.int64, len(own))
+                yield pa.record_batch({"word": pa.array(list(own), pa.binary()), "k": pa.array(np.full(len(own), k, dtype=np.int32)), "n": pa.array(both & 0xFFFFFFFF), "docs": pa.array(both >> 32)})
+                own.clear()
 
         for batch in batches:
             for learn, text in zip(batch.column("learn").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = lower_ascii(text).split()
-                distinct = set(words)
-                k = found.of(distinct)
+                words = Counter(lower_ascii(text).split())
+                own = counts[found.of(words.keys())]
                 if learn:
-                    counts[k].update(words)
-                    docs[k].update(distinct)
-                    counts[k][b""] += 1
-                    docs[k][b""] += 1
+                    words[b""] = 1
+                    for w, n in words.items():
+                        own[w] = own.get(w, 0) + n + (1 << 32)
                 else:
-                    others[k] |= distinct
-            if sum(map(len, counts)) + sum(map(len, others)) > FLUSH_WORDS:
+                    for w in words.keys() - own.keys():
+                        own[w] = 0
+            if sum(map(len, counts)) > FLUSH_WORDS:
                 yield from rows()
         yield from rows()
 
@@ -390,17 +426,36 @@ def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(own, ignore_index=True)
 
 
-def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, tuple[int, ...]]:
+def _letters(train: DataFrame) -> Letters:
+    """The code of bytes for the distinct training words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(256, dtype=np.int64)
+        for batch in batches:
+            data = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8)
+            counts += np.bincount(data, minlength=256)
+            counts[CLOSE] += batch.num_rows
+        yield pa.record_batch({"byte": pa.array(np.arange(256, dtype=np.int32)), "n": pa.array(counts)})
+
+    rows = train.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(256, dtype=np.int64)
+    for r in rows:
+        counts[r.byte] = r.n
+    return Letters.of(counts)
+
+
+def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, tuple[int, ...], Letters]:
     """The folder of the counters of all training words, weights and map fitted on all of
-    them, and the slots' bits."""
+    them, the slots' bits, and the code of bytes."""
     widths = slot_bits(distinct)
     size = int(layout(widths)[0][-1])
     train = words.where("n > 0 and length(word) > 0").select("word").distinct()
+    letters = _letters(train)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally = np.zeros(2 * size, dtype=np.int64)
         for pdf in _chunks(frames):
-            slots, bits, _ = spelled(list(pdf["word"]), widths)
+            slots, bits, *_ = spelled(list(pdf["word"]), widths, letters)
             tally += np.bincount((slots * 2 + bits[:, None]).ravel(), minlength=len(tally))
         zeros, ones = tally[0::2], tally[1::2]
         used = np.flatnonzero(zeros + ones)
@@ -409,12 +464,12 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
             yield pd.DataFrame({"slot": own.astype(np.int32), "ones": ones[own], "zeros": zeros[own]})
 
     # at most a row for each slot, whatever the corpus
-    tables = train.mapInPandas(count, "slot int, ones long, zeros long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    tables = map_frames(train, count, "slot int, ones long, zeros long", rows=CHUNK_WORDS).groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     path = f"{shared_folder(words.sparkSession).rstrip('/')}/counters-{uuid.uuid4().hex}"
     tables.write.parquet(path)
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = BitModel(*counters(path, size), *plain_weights(), widths)
+        own = BitModel(*counters(path, size), *plain_weights(), widths, letters)
         hits, n = np.zeros(own.refine.size * 2, dtype=np.int64), 0
         for turn, pdf in enumerate(_chunks(frames)):
             own.learn(list(pdf["word"]), turn, hits)
@@ -424,14 +479,14 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
             yield pd.DataFrame({"kind": 1, "key": np.arange(len(hits)), "value": hits.astype(float)})
             yield pd.DataFrame({"kind": [2], "key": [0], "value": [float(n)]})
 
-    rows = train.mapInPandas(learn, "kind int, key int, value double").groupBy("kind", "key").agg(F.sum("value").alias("value")).orderBy("kind", "key").collect()
+    rows = map_frames(train, learn, "kind int, key int, value double", rows=CHUNK_WORDS).groupBy("kind", "key").agg(F.sum("value").alias("value")).orderBy("kind", "key").collect()
     weights, refine = plain_weights()
     if rows:
         by_kind = [np.array([r.value for r in rows if r.kind == kind]) for kind in range(3)]
         weights = (by_kind[0] / by_kind[2][0]).reshape(weights.shape)
         hits = by_kind[1].reshape(*refine.shape, 2)
         refine = (hits[..., 1] + 4 * refine[0]) / (hits.sum(-1) + 4)
-    return path, weights, refine, widths
+    return path, weights, refine, widths, letters
 
 
 def _hash(word: bytes) -> int:
@@ -478,18 +533,20 @@ class Tree:
                 rows = rows[(high - low)[node[at[rows]]] > 1]
                 if not len(rows):
                     return
-            mine = node[at[rows]]
-            bit = one[at[rows]].astype(np.int64)
+            # where all words below a node go one way no bit is needed
+            sent = rows[((middle > low) & (middle < high))[node[at[rows]]]]
+            mine = node[at[sent]]
+            bit = one[at[sent]].astype(np.int64)
             odds, seen = [], None
-            for column in (0, k[rows] + 1):
+            for column in (0, k[sent] + 1):
                 upper = self.sums[high[mine], column]
-                above = upper - self.sums[middle[mine], column] - own[rows] * bit
-                below = self.sums[middle[mine], column] - self.sums[low[mine], column] - own[rows] * (1 - bit)
+                above = upper - self.sums[middle[mine], column] - own[sent] * bit
+                below = self.sums[middle[mine], column] - self.sums[low[mine], column] - own[sent] * (1 - bit)
                 above, below = np.maximum(above, 0), np.maximum(below, 0)
                 odds.append(np.log((above + EVEN) / (below + EVEN)))
                 seen = above + below
             gate = np.minimum(np.log2(seen + 1), CODE_GATES - 1).astype(np.int64)
-            yield rows, bit, np.stack(odds, axis=1), gate
+            yield sent, bit, np.stack(odds, axis=1), gate
 
 
 @dataclass
@@ -631,7 +688,7 @@ def _code_model(rows: DataFrame, totals: Totals) -> CodeModel:
     return CodeModel((weights / values[-1]).reshape(model.weights.shape), (hits[..., 1] + 4 * model.refine) / (hits.sum(-1) + 4))
 
 
-def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights: np.ndarray, refine: np.ndarray, widths: tuple[int, ...]) -> DataFrame:
+def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights: np.ndarray, refine: np.ndarray, widths: tuple[int, ...], letters: Letters) -> DataFrame:
     """(key, n, bits, others_bits): the training count of each word, and its bits in each
     class by all training documents and by all but one that holds it."""
 
@@ -639,7 +696,7 @@ def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights
 
     def run(rows: pa.Table) -> pa.Table:
         own, top = Bucket.of(rows), totals.top()
-        model = BitModel(*counters(path, size), weights, refine, widths)
+        model = BitModel(*counters(path, size), weights, refine, widths, letters)
         fresh, total, held = totals.fresh()[own.k], own.total[own.word], own.held[own.word]
         bits, others = np.zeros(len(own.h)), np.zeros(len(own.h))
         known, shared = np.flatnonzero(total > 0), np.flatnonzero((held > 1) & (own.docs > 0))

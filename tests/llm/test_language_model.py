@@ -14,7 +14,7 @@ def test_probabilities_of_spelled_words_add_up():
     """All continuations of a prefix by one byte share its probability."""
     model = language_model.BitModel.empty()
     words = [bytes(random.Random(i).choices(b"abcde", k=4)) for i in range(500)]
-    slots, bits, _ = language_model.spelled(words)
+    slots, bits, *_ = language_model.spelled(words)
     np.add.at(model.seen, slots.ravel(), 1)
     np.add.at(model.ones, slots[bits == 1].ravel(), 1)
     model.__post_init__()
@@ -26,9 +26,8 @@ def test_probabilities_of_spelled_words_add_up():
 
 def test_slots_are_within_their_tables_and_bits_spell_the_words():
     words = [b"word", b"", b"\xff\x00 "]
-    slots, bits, sizes = language_model.spelled(words)
-    assert sizes.tolist() == [40, 8, 32] and len(bits) == 80
-    assert bytes(np.packbits(bits.astype(np.uint8))) == b"word \x20\xff\x00  "
+    slots, bits, depth, sizes = language_model.spelled(words)
+    assert sizes.tolist() == [40, 8, 32] and len(bits) == len(depth) == 80
     assert all((slots[:, k] >= language_model.FIRST[k]).all() and (slots[:, k] < language_model.FIRST[k + 1]).all() for k in range(language_model.ORDERS))
 
 
@@ -70,7 +69,9 @@ def test_weights_and_map_learn_from_every_training_word(spark, monkeypatch):
     table = spark.createDataFrame([(bytearray(w), 1) for w in words], "word binary, n long").coalesce(1)
     path, weights, refine, *_ = language_model.fit(table, len(words))
     own = language_model.BitModel.empty()
-    slots, bits, _ = language_model.spelled(words)
+    letters = language_model.Letters.of(np.bincount(np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8), minlength=256))
+    own.letters = letters
+    slots, bits, *_ = language_model.spelled(words, letters=letters)
     np.add.at(own.seen, slots.ravel(), 1)
     np.add.at(own.ones, slots[bits == 1].ravel(), 1)
     hits = np.zeros(own.refine.size * 2, dtype=np.int64)
@@ -83,7 +84,7 @@ def test_weights_and_map_learn_from_every_training_word(spark, monkeypatch):
 def test_slots_follow_the_distinct_words():
     few, many = language_model.slot_bits(1000), language_model.slot_bits(3_000_000)
     assert few == language_model.SLOT_BITS and all(a <= b for a, b in zip(few, many)) and sum(many) > sum(few)
-    slots, _, _ = language_model.spelled([b"word"], many)
+    slots, *_ = language_model.spelled([b"word"], many)
     assert (slots < language_model.layout(many)[0][1:]).all()
 
 
@@ -99,3 +100,34 @@ def test_classes_come_from_all_training_documents(spark, monkeypatch):
     assert {b"late1", b"soon1"} <= found.markers.keys()
     sides = [{found.of({b"%s%d" % (kind, a), b"%s%d" % (kind, b)}) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]
     assert not sides[0] & sides[1]
+
+
+def test_letters_are_a_prefix_code():
+    letters = language_model.Letters.of(np.array([1000, 500, 10] + [0] * 253))
+    codes = {"".join(map(str, letters.bits[b, : letters.lengths[b]])) for b in range(256)}
+    assert len(codes) == 256 and not any(a != b and b.startswith(a) for a in codes for b in codes if len(a) < 6)
+    assert letters.lengths[0] == 1 < letters.lengths[2] and math.isclose(sum(2.0 ** -letters.lengths), 1)
+
+
+def test_hash_bits_of_known_words_add_up():
+    """The words of a bucket share all probability that reaches it."""
+    rng = np.random.default_rng(4)
+    h = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64) << np.uint64(1))
+    counts = rng.integers(0, 50, (300, language_model.CLASSES)).astype(float) + 1
+    tree, model = language_model.Tree(h, counts, 0), language_model.CodeModel.plain()
+    for k in (0, 3):
+        at, cost = np.arange(300), np.zeros(300)
+        for rows, bit, odds, gate in tree.levels(at, np.full(300, k), np.zeros(300)):
+            cost[rows] += model.cost(bit, odds, gate)
+        assert math.isclose(np.exp2(-cost).sum(), 1, rel_tol=1e-9)
+
+
+def test_a_copy_scores_better_than_a_text_alone(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "zu", "tre"]) for _ in range(rng.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(0, 200, 5)]
+    got = {r.doc_id: r.bits_per_byte for r in language_model.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    copies = [got[i] for i in range(0, 200, 5)]
+    alone = [got[i] for i in range(200) if i % 5]
+    assert np.median(copies) < np.quantile(alone, 0.1)
