@@ -24,6 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """For applications: Arrow batches of ``BATCH_ROWS`` in this session, which keeps the
+    memory of Python workers low.  Operators leave the session's settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def parts(batch: pa.RecordBatch, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes."""
     if batch.num_rows > rows or (batch.num_rows > 1 and batch.nbytes > size):

@@ -60,8 +60,9 @@ from quarrylens.llm.common import cut, fold_column, lower_ascii, map_frames, par
 FOLDS, HELD_OUT = 7, 2
 #: Classes of documents; training documents they start from, and frequent words that tell them apart.
 CLASSES, SAMPLE_DOCS, MARKERS, EM_ROUNDS = 8, 2500, 1500, 25
-#: A task hands on the words that this share of its training documents hold.
-MARKER_SHARE = 1 / 5000
+#: A task hands on the words that this share of its training documents hold, of so many
+#: bytes at most: frequent words are short.
+MARKER_SHARE, MARKER_BYTES = 1 / 5000, 6
 #: EM over all training documents ends where a round gains less than this share.
 SETTLED = 1e-5
 #: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
@@ -146,7 +147,7 @@ def layout(slots: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS, letters: Letters = EVEN_LETTERS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all words end to end: slots (bits x orders), the bits, their depths, and bits
+    """For all words end to end: slots (orders x bits), the bits, their depths, and bits
     per word."""
     sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
     flat = np.frombuffer(b"".join(w + bytes([CLOSE]) for w in words), dtype=np.uint8)
@@ -155,7 +156,7 @@ def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS, letters: Le
     first = np.cumsum(sizes) - sizes
     place = np.arange(n) - np.repeat(first, sizes)
     owner, depth, nodes, bits = letters.spread(flat)
-    slots = np.empty((len(bits), ORDERS), dtype=np.int32)
+    slots = np.empty((ORDERS, len(bits)), dtype=np.int32)
     context = np.minimum(place, 3).astype(np.uint64)
     wide = flat.astype(np.uint64) + np.uint64(1)
     for k in range(ORDERS):
@@ -166,7 +167,7 @@ def spelled(words: list[bytes], widths: tuple[int, ...] = SLOT_BITS, letters: Le
         mixed = (context + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         base = (mixed >> np.uint64(64 - widths[k])).astype(np.int32)
-        slots[:, k] = (places[k][nodes] ^ base[owner]) + np.int32(starts[k])
+        slots[k] = (places[k][nodes] ^ base[owner]) + np.int32(starts[k])
     per_word = np.add.reduceat(letters.lengths[flat], first) if n else sizes
     return slots, bits, np.minimum(depth, 7), per_word
 
@@ -195,19 +196,24 @@ class BitModel:
         zero = np.zeros(FIRST[-1], dtype=np.float32)
         return cls(zero, zero.copy(), *plain_weights())
 
-    def gate(self, known: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        return np.maximum(known.sum(1) - 1, 0) * 8 + depth
+    def gate(self, known: list[np.ndarray], depth: np.ndarray) -> np.ndarray:
+        """known: for each order, whether its context is."""
+        return np.maximum(sum(x.view(np.int8) for x in known) - 1, 0) * np.int64(8) + depth
 
-    def left_out(self, slots: np.ndarray, bits: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def left_out(self, slots: np.ndarray, bits: np.ndarray, depth: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Log-odds and gates as if these bits had not been counted once."""
-        ones, seen = self.ones[slots], self.seen[slots]
-        counted = seen > 0
-        ones = ones - (counted & (bits[:, None] == 1))
-        seen = seen - counted
-        return np.log((ones + 0.2) / (seen - ones + 0.2)), self.gate(seen >= 2, depth)
-
-    def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", odds, self.weights[gate])
+        odds, known = [], []
+        for own in slots:
+            ones, seen = self.ones[own], self.seen[own]
+            ones -= bits
+            zeros = np.maximum(seen - ones - 1, 0)
+            np.maximum(ones, 0, out=ones)
+            odds.append(np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2))))
+            known.append(seen >= 3)
+        return odds, self.gate(known, depth)
+
+    def mixed(self, odds: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        return sum(x * self.weights[:, k][gate] for k, x in enumerate(odds))
 
     def cells(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row and the bucket of the refining map."""
@@ -217,7 +223,7 @@ class BitModel:
     def bits_of(self, words: list[bytes], left_out: bool = False) -> np.ndarray:
         """The number of bits that each word costs, as if it had not been learned if so asked."""
         slots, bits, depth, sizes = spelled(words, self.widths, self.letters)
-        odds, gate = self.left_out(slots, bits, depth) if left_out else (self.odds[slots], self.gate(self.known[slots], depth))
+        odds, gate = self.left_out(slots, bits, depth) if left_out else ([self.odds[own] for own in slots], self.gate([self.known[own] for own in slots], depth))
         x = self.mixed(odds, gate)
         p = (squash(x) + self.refine[self.cells(x, gate)]) / 2
         cost = -np.log2(np.clip(np.where(bits == 1, p, 1 - p), 1e-6, 1))
@@ -229,12 +235,12 @@ class BitModel:
         odds, gate = self.left_out(slots, bits, depth)
         for at in range(0, len(bits), STEP_BITS):
             part = slice(at, at + STEP_BITS)
-            x = self.mixed(odds[part], gate[part])
+            x = self.mixed([own[part] for own in odds], gate[part])
             miss = bits[part] - squash(x)
             n = np.bincount(gate[part], minlength=GATES) + 20
             rate = RATE / (1 + 0.1 * turn) ** 0.5
             for k in range(ORDERS):
-                self.weights[:, k] += rate * np.bincount(gate[part], miss * odds[part, k], GATES) / n
+                self.weights[:, k] += rate * np.bincount(gate[part], miss * odds[k][part], GATES) / n
             row, bucket = self.cells(x, gate[part])
             hits += np.bincount((row * BUCKETS + bucket) * 2 + bits[part], minlength=hits.size)
 
@@ -289,7 +295,7 @@ def find_classes(documents: DataFrame) -> Classes:
 
         for pdf in frames:
             for text in pdf["text"]:
-                held.update(set(lower_ascii(text).split()))
+                held.update([w for w in set(lower_ascii(text).split()) if len(w) <= MARKER_BYTES])
             docs += len(pdf)
             if len(held) > FLUSH_WORDS:
                 yield frequent()
@@ -380,37 +386,41 @@ def mixture(x: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     return prior, log_rate
 
 
-def counted_words(documents: DataFrame, found: Classes) -> DataFrame:
+def counted_words(packed: DataFrame) -> DataFrame:
     """(word, k, n, docs): each distinct word of each class of documents, and how often
     and in how many training documents it occurs; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # occurrences, and documents above the first 32 bits
-        counts: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
+        # occurrences, and those beyond the first of a document
+        counts, again = ([Counter() for _ in range(CLASSES)] for _ in range(2))
+        unpacker = zstandard.ZstdDecompressor()
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for k, own in enumerate(counts):
-                both = np.fromiter(own.values(), np.int64, len(own))
-                yield pa.record_batch({"word": pa.array(list(own), pa.binary()), "k": pa.array(np.full(len(own), k, dtype=np.int32)), "n": pa.array(both & 0xFFFFFFFF), "docs": pa.array(both >> 32)})
+            for k, (own, more) in enumerate(zip(counts, again, strict=True)):
+                n = np.fromiter(own.values(), np.int64, len(own))
+                docs = n - np.fromiter((more.get(w, 0) for w in own), np.int64, len(own)) if more else n
+                yield pa.record_batch({"word": pa.array(list(own), pa.binary()), "k": pa.array(np.full(len(own), k, dtype=np.int32)), "n": pa.array(n), "docs": pa.array(docs)})
                 own.clear()
+                more.clear()
 
         for batch in batches:
-            for learn, text in zip(batch.column("learn").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = Counter(lower_ascii(text).split())
-                own = counts[found.of(words.keys())]
-                if learn:
-                    words[b""] = 1
-                    for w, n in words.items():
-                        own[w] = own.get(w, 0) + n + (1 << 32)
-                else:
-                    for w in words.keys() - own.keys():
+            for held_out, k, text in zip(batch.column("held_out").to_pylist(), batch.column("k").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                words = unpacker.decompress(text).split()
+                own, more = counts[k], again[k]
+                if held_out:
+                    for w in set(words).difference(own):
                         own[w] = 0
+                    continue
+                own.update(words)
+                own[b""] += 1
+                for w, n in Counter(words).items():
+                    if n > 1:
+                        more[w] += n - 1
             if sum(map(len, counts)) > FLUSH_WORDS:
                 yield from rows()
         yield from rows()
 
-    learn = F.coalesce(fold_column("doc_id", FOLDS) != HELD_OUT, F.lit(True))
-    counted = documents.select(learn.alias("learn"), "text").mapInArrow(run, "word binary, k int, n long, docs long")
+    counted = packed.select("held_out", "k", "packed").mapInArrow(run, "word binary, k int, n long, docs long")
     return counted.groupBy("word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -456,7 +466,8 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
         tally = np.zeros(2 * size, dtype=np.int64)
         for pdf in _chunks(frames):
             slots, bits, *_ = spelled(list(pdf["word"]), widths, letters)
-            tally += np.bincount((slots * 2 + bits[:, None]).ravel(), minlength=len(tally))
+            for own in slots:
+                tally += np.bincount(own * 2 + bits, minlength=len(tally))
         zeros, ones = tally[0::2], tally[1::2]
         used = np.flatnonzero(zeros + ones)
         for at in range(0, len(used), 100_000):
@@ -561,7 +572,7 @@ class CodeModel:
         return cls(np.full((CODE_GATES, 2), 0.5), np.tile(squash(np.linspace(-REACH, REACH, BUCKETS)), (CODE_GATES, 1)))
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return (odds * self.weights[gate]).sum(1)
+        return odds[:, 0] * self.weights[:, 0][gate] + odds[:, 1] * self.weights[:, 1][gate]
 
     @staticmethod
     def bucket(x: np.ndarray) -> np.ndarray:
@@ -712,7 +723,7 @@ def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights
 
 
 def _packed(documents: DataFrame, found: Classes, blocks: int) -> DataFrame:
-    """The documents with their classes and compressed texts, dealt to their blocks."""
+    """The documents with their blocks, classes and compressed texts, lower-cased."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -727,7 +738,7 @@ def _packed(documents: DataFrame, found: Classes, blocks: int) -> DataFrame:
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block")
     # as text the ids come through pandas unchanged, nulls beside them or not
     chosen = documents.select(block, F.col("doc_id").cast("long").cast("string").alias("doc_id"), held_out.alias("held_out"), "text")
-    return chosen.mapInArrow(run, "block long, doc_id string, held_out boolean, k int, packed binary").repartition(blocks, "block")
+    return chosen.mapInArrow(run, "block long, doc_id string, held_out boolean, k int, packed binary")
 
 
 def _block_words(block: pa.Table) -> pa.Table:
@@ -806,13 +817,14 @@ def _totals(words: DataFrame) -> Totals:
 
 def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row of base and model scores for each document."""
-    found = find_classes(documents)
-    words = cut(counted_words(documents, found))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(max(4, -(-size // block_bytes)))
+    packed = cut(_packed(documents, find_classes(documents), blocks))
+    words = cut(counted_words(packed))
     totals = _totals(words)
     rows = _buckets(words, len(totals.buckets)).select("bucket", "h", "word", "k", "n", "docs")
     priced = cut(_priced(rows, totals, _code_model(rows, totals), *fit(words, totals.distinct)))
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = _packed(documents, found, int(max(4, -(-size // block_bytes))))
+    dealt = packed.repartition(blocks, "block")
     needed = dealt.groupBy("block").applyInArrow(_block_words, "block long, key long")
     vocabulary = needed.join(priced, "key").select("block", "key", "n", "bits", "others_bits")
     scored = dealt.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(lambda d, v: score_block(d, v, totals), SCHEMA)

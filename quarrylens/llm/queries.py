@@ -6,7 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, repeated_spans, secret_scan, token_files, toxicity
-from quarrylens.llm.common import table
+from quarrylens.llm.common import short_batches
+from quarrylens.llm.common import table as read_table
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a query's application."""
+    short_batches(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Exact removal of long repeats by a logarithmic family of sparse suffix arrays.
 
 Of all suffixes of all texts those at content-defined anchors are indexed: every string
-of ``LENGTH`` bytes has one anchor, and equal strings have it at the same offset.  An
-entry is (key, context, block, n): fingerprints of the bytes at the anchor and of all
-bytes of the windows that it answers for.  In a task each batch of documents gets its
-own sorted array, which is merge-scanned into levels that double in size, so equal
-entries meet and are counted as they come; the levels' last merge is the task's array,
-and Spark merges the tasks' arrays by key.
+of ``LENGTH`` bytes has one anchor, and equal strings have it at the same offset.  In a
+task each batch of documents gets a suffix array of its own: its anchors in the order of
+the ``GRAM`` bytes that follow them, ties by a fingerprint of all bytes of the windows
+that an anchor answers for.  The array is merge-scanned against levels that double in
+size: suffixes that match over whole windows meet side by side and are counted as one,
+and equal-sized levels merge.  The last merge is the task's array; Spark merges the
+tasks' arrays by a fingerprint of the ``GRAM`` bytes.  (A full suffix array sorts every
+byte's suffix, some seventy times as many; README has the figures.)
 
 A key that occurs once rules out that any of its windows repeats.  A key whose contexts
 are all equal settles all of its windows.  For the rest one text of each context is
@@ -21,7 +23,7 @@ Fingerprints have 64 bits.
 Edge cases: null and empty texts, and texts shorter than ``LENGTH``, lose nothing;
 repeated rows are copies of each other and both lose what they share; texts that repeat
 within themselves lose the repeats; null ids are kept as they are; extra columns are
-ignored; an empty table gives an empty result.
+ignored; a very long text is indexed in segments; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,9 +45,13 @@ BLOCK_BYTES = 12_000_000
 #: Entries after which a task hands its levels on.
 FLUSH_ENTRIES = 600_000
 #: Contexts of a key that one task compares; the windows of larger keys are shuffled.
-MOST_CONTEXTS = 20_000
+MOST_CONTEXTS = 1_000
 SCHEMA = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-ENTRY = np.dtype([("key", "<i8"), ("context", "<i8"), ("block", "<i8"), ("n", "<i8")])
+#: A suffix: its first bytes as big-endian numbers, which sort as the bytes do, their
+#: fingerprint, the fingerprint of its windows, the documents' block, and a count.
+WORDS = GRAM // 8
+ENTRY = np.dtype([*((f"bytes{i}", "<u8") for i in range(WORDS)), ("key", "<i8"), ("context", "<i8"), ("block", "<i8"), ("n", "<i8")])
+ORDER = ("block", "context", *(f"bytes{i}" for i in reversed(range(WORDS))))
 #: Stands for all windows of a context.
 ALL = b"*"
 
@@ -54,20 +60,36 @@ def utf8(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
+def suffixes(data: np.ndarray, block: int, length: int) -> np.ndarray:
+    """The entries of a text's anchors, in the order of the text."""
+    found = Anchors.of(data, length, GRAM)
+    out = np.empty(len(found.key), dtype=ENTRY)
+    if len(out):
+        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[found.place]).view(">u8")
+        for i in range(WORDS):
+            out[f"bytes{i}"] = first[:, i]
+    out["key"], out["context"], out["block"], out["n"] = found.key.view(np.int64), found.context.view(np.int64), block, 1
+    return out
+
+
 class Levels:
-    """Sorted arrays of doubling sizes; adding one merges equal-sized levels."""
+    """Suffix arrays of doubling sizes; adding one merges equal-sized levels."""
 
     def __init__(self):
         self.levels: list[tuple[int, np.ndarray]] = []
 
     @staticmethod
     def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """One sorted array; entries equal but for their number are added up."""
+        """One suffix array; suffixes of a block that match over all their windows, side
+        by side in it, are counted as one."""
         both = np.concatenate([a, b])
-        both = both[np.lexsort((both["block"], both["context"], both["key"]))]
+        both = both[np.lexsort([both[c] for c in ORDER])]
         if not len(both):
             return both
-        new = np.r_[True, (both["key"][1:] != both["key"][:-1]) | (both["context"][1:] != both["context"][:-1]) | (both["block"][1:] != both["block"][:-1])]
+        new = np.zeros(len(both), dtype=bool)
+        new[0] = True
+        for c in ("key", "context", "block"):
+            new[1:] |= both[c][1:] != both[c][:-1]
         out = both[new]
         out["n"] = np.add.reduceat(both["n"], np.flatnonzero(new))
         return out
@@ -99,16 +121,10 @@ def entries(dealt: DataFrame, length: int) -> DataFrame:
         def rows() -> Iterator[pd.DataFrame]:
             every = family.take()
             for at in range(0, len(every), 100_000):
-                yield pd.DataFrame({c: every[c][at : at + 100_000] for c in ENTRY.names})
+                yield pd.DataFrame({c: every[c][at : at + 100_000] for c in ("key", "context", "block", "n")})
 
         for pdf in frames:
-            own = []
-            for block, text in zip(pdf["block"], pdf["text"], strict=True):
-                found = Anchors.of(utf8(text), length, GRAM)
-                part = np.empty(len(found.key), dtype=ENTRY)
-                part["key"], part["context"], part["block"], part["n"] = found.key.view(np.int64), found.context.view(np.int64), block, 1
-                own.append(part)
-            family.add(np.concatenate(own))
+            family.add(np.concatenate([suffixes(utf8(text), block, length) for block, text in zip(pdf["block"], pdf["text"], strict=True)]))
             if len(family) > FLUSH_ENTRIES:
                 yield from rows()
         yield from rows()

@@ -16,7 +16,7 @@ def test_probabilities_of_spelled_words_add_up():
     words = [bytes(random.Random(i).choices(b"abcde", k=4)) for i in range(500)]
     slots, bits, *_ = language_model.spelled(words)
     np.add.at(model.seen, slots.ravel(), 1)
-    np.add.at(model.ones, slots[bits == 1].ravel(), 1)
+    np.add.at(model.ones, slots[:, bits == 1].ravel(), 1)
     model.__post_init__()
     for prefix in (b"", b"a", b"ab"):
         longer = sum(2.0 ** -(model.bits_of([prefix + bytes([x])])[0]) for x in range(256) if x != 0x20)
@@ -28,7 +28,7 @@ def test_slots_are_within_their_tables_and_bits_spell_the_words():
     words = [b"word", b"", b"\xff\x00 "]
     slots, bits, depth, sizes = language_model.spelled(words)
     assert sizes.tolist() == [40, 8, 32] and len(bits) == len(depth) == 80
-    assert all((slots[:, k] >= language_model.FIRST[k]).all() and (slots[:, k] < language_model.FIRST[k + 1]).all() for k in range(language_model.ORDERS))
+    assert all((slots[k] >= language_model.FIRST[k]).all() and (slots[k] < language_model.FIRST[k + 1]).all() for k in range(language_model.ORDERS))
 
 
 def test_base_scores_and_gain_on_held_out(spark):
@@ -73,19 +73,19 @@ def test_weights_and_map_learn_from_every_training_word(spark, monkeypatch):
     own.letters = letters
     slots, bits, *_ = language_model.spelled(words, letters=letters)
     np.add.at(own.seen, slots.ravel(), 1)
-    np.add.at(own.ones, slots[bits == 1].ravel(), 1)
+    np.add.at(own.ones, slots[:, bits == 1].ravel(), 1)
     hits = np.zeros(own.refine.size * 2, dtype=np.int64)
     own.learn(words, 0, hits)
-    assert np.allclose(weights, own.weights)
+    assert np.allclose(weights, own.weights, atol=1e-4)
     hits = hits.reshape(*refine.shape, 2)
-    assert np.allclose(refine, (hits[..., 1] + 4 * language_model.plain_weights()[1][0]) / (hits.sum(-1) + 4))
+    assert np.allclose(refine, (hits[..., 1] + 4 * language_model.plain_weights()[1][0]) / (hits.sum(-1) + 4), atol=1e-3)
 
 
 def test_slots_follow_the_distinct_words():
     few, many = language_model.slot_bits(1000), language_model.slot_bits(3_000_000)
     assert few == language_model.SLOT_BITS and all(a <= b for a, b in zip(few, many)) and sum(many) > sum(few)
     slots, *_ = language_model.spelled([b"word"], many)
-    assert (slots < language_model.layout(many)[0][1:]).all()
+    assert (slots.T < language_model.layout(many)[0][1:]).all()
 
 
 def test_classes_come_from_all_training_documents(spark, monkeypatch):
@@ -96,6 +96,7 @@ def test_classes_come_from_all_training_documents(spark, monkeypatch):
     late = {r.doc_id for r in hashed[30:130]}
     rng = random.Random(2)
     text = lambda i: " ".join(f"{'late' if i in late else 'soon'}{rng.randint(0, 20)}" for _ in range(12))
+    monkeypatch.setattr(language_model, "MARKER_BYTES", 8)
     found = language_model.find_classes(spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string"))
     assert {b"late1", b"soon1"} <= found.markers.keys()
     sides = [{found.of({b"%s%d" % (kind, a), b"%s%d" % (kind, b)}) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]

@@ -73,3 +73,21 @@ def test_rows_that_repeat(spark):
     df = spark.createDataFrame([(1, long), (1, long), (None, "z" * 10)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeated_spans.remove(df).collect()) == [(0, 10, 0), (1, 480, 480), (1, 480, 480)]
     assert repeated_spans.remove(df.limit(0)).count() == 0
+
+
+def test_levels_are_suffix_arrays_that_merge_geometrically():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 101, 3000).astype(np.uint8)
+    batches = [np.concatenate([rng.integers(97, 101, 400).astype(np.uint8), base[200 * k : 200 * k + 900]]) for k in range(7)]
+    family, every = repeated_spans.Levels(), []
+    for k, data in enumerate(batches):
+        own = repeated_spans.suffixes(data, 1, 200)
+        places = Anchors.of(data, 200, 40).place
+        every += [data[p : p + 40].tobytes() for p in places]
+        family.add(own)
+        assert [rank for rank, _ in family.levels] == [r for r in (2, 1, 0) if (k + 1) >> r & 1]
+        for _, level in family.levels:
+            grams = [b"".join(int(x[f"bytes{i}"]).to_bytes(8, "big") for i in range(5)) for x in level]
+            assert grams == sorted(grams)
+    whole = family.take()
+    assert whole["n"].sum() == len(every) > len(whole)
