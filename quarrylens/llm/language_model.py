@@ -26,8 +26,8 @@ Scale: distinct words, not tokens, are shuffled: (word, class, counts) once to c
 twice in buckets of their hash, which are even whatever the words are; and for each block
 of documents (about ``BLOCK_BYTES`` of text, by a hash of the id) its distinct words,
 which meet their prices in a join and come back to the block.  Texts travel compressed.
-The hashed tables grow with the distinct words up to ``MOST_SLOT_BITS``, under 100
-megabytes; EM passes read a row of ``MARKERS`` bits for each training document; the
+The hashed tables grow with the distinct words up to ``MOST_SLOT_BITS``, some 20
+megabytes; EM passes read a row of ``BINS`` bytes for each training document; the
 driver gets a row of counts for each bucket and class.
 
 Edge cases: null and empty texts hold the end token alone; a null id is never held out;
@@ -58,15 +58,13 @@ from pyspark.sql import functions as F
 from quarrylens.llm.common import cut, fold_column, lower_ascii, map_frames, parts, shared_folder
 
 FOLDS, HELD_OUT = 7, 2
-#: Classes of documents; training documents they start from, and frequent words that tell them apart.
-CLASSES, SAMPLE_DOCS, MARKERS, EM_ROUNDS = 8, 2500, 1500, 25
-#: A task hands on the words that this share of its training documents hold, of so many
-#: bytes at most: frequent words are short.
-MARKER_SHARE, MARKER_BYTES = 1 / 5000, 6
+#: Classes of documents, training documents that they start from, most rounds of EM, and
+#: bins of byte pairs (a power of two).
+CLASSES, SAMPLE_DOCS, EM_ROUNDS, BINS = 8, 2500, 25, 256
 #: EM over all training documents ends where a round gains less than this share.
 SETTLED = 1e-5
 #: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
-SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 20, 21, 21)
+SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 19, 20, 20)
 BLOCK_BYTES = 12_000_000
 #: Distinct words a task counts before it hands them on.
 FLUSH_WORDS = 250_000
@@ -250,7 +248,7 @@ def plain_weights() -> tuple[np.ndarray, np.ndarray]:
     return np.full((GATES, ORDERS), 1 / ORDERS), np.tile(squash(np.linspace(-REACH, REACH, BUCKETS)), (8 * 4, 1))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def counters(path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Ones and all counts of every slot, from the table that tasks share."""
     files, place = fs.FileSystem.from_uri(path)
@@ -264,109 +262,86 @@ def counters(path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Classes:
-    """Frequent words, and how likely each class is and makes them."""
+    """How likely each class of documents is, and how its pairs of neighbouring bytes fall
+    into bins."""
 
-    markers: dict[bytes, int]
     prior: np.ndarray
     log_rate: np.ndarray
 
-    def of(self, words: set[bytes]) -> int:
-        """The likeliest class of a document that holds these words."""
-        at = [self.markers[w] for w in self.markers.keys() & words]
-        return int((np.log(self.prior) + self.log_rate[at].sum(0)).argmax())
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The likeliest class of each row of bins."""
+        return (np.log(self.prior) + evidence(rows) @ self.log_rate.astype(np.float32)).argmax(1)
 
 
-def _training(documents: DataFrame) -> DataFrame:
-    return documents.where(F.coalesce(fold_column("doc_id", FOLDS) != HELD_OUT, F.lit(True)))
+def bins(text: bytes) -> np.ndarray:
+    """The pairs of neighbouring bytes by bins, the fullest bin at 255."""
+    data = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
+    counts = np.bincount(((((data[:-1] << np.uint32(8)) | data[1:]) * np.uint32(40503)) >> np.uint32(8)) & np.uint32(BINS - 1), minlength=BINS) if len(data) > 1 else np.zeros(BINS)
+    return np.rint(counts * (255 / max(counts.max(), 1))).astype(np.uint8)
 
 
-def find_classes(documents: DataFrame) -> Classes:
-    """A mixture of word sets, by EM over the frequent words of all training documents; a
-    bounded sample of them gives the start."""
-    training = _training(documents).select("doc_id", "text")
+def evidence(rows: np.ndarray) -> np.ndarray:
+    return rows.astype(np.float32) / 16
 
-    def holding(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        docs = 0
 
-        def frequent() -> pd.DataFrame:
-            kept = [(w, n) for w, n in held.items() if n >= docs * MARKER_SHARE]
-            return pd.DataFrame({"word": [w for w, _ in kept], "n": [n for _, n in kept]})
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), BINS)
 
-        for pdf in frames:
-            for text in pdf["text"]:
-                held.update([w for w in set(lower_ascii(text).split()) if len(w) <= MARKER_BYTES])
-            docs += len(pdf)
-            if len(held) > FLUSH_WORDS:
-                yield frequent()
-                held.clear()
-                docs = 0
-        yield frequent()
-
-    # a word's count falls short by less than MARKER_SHARE of the documents
-    top = map_frames(training.select("text"), holding, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MARKERS).collect()
-    markers = {bytes(r.word): i for i, r in enumerate(top)}
+
+def find_classes(documents: DataFrame) -> Classes:
+    """A mixture of bins, by EM over all training documents; a bounded sample of them
+    gives the start."""
+    training = documents.where(F.coalesce(fold_column("doc_id", FOLDS) != HELD_OUT, F.lit(True))).select(F.xxhash64("doc_id", "text").alias("h"), "text")
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            x = np.zeros((len(pdf), len(markers)), dtype=np.uint8)
-            for row, text in zip(x, pdf["text"], strict=True):
-                row[[markers[w] for w in markers.keys() & set(lower_ascii(text).split())]] = 1
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "row": [r.tobytes() for r in np.packbits(x, axis=1)]})
-
-    if not markers:
-        return Classes(markers, *mixture(np.zeros((0, 0), dtype=np.float32)))
-    sets = cut(map_frames(training.select(F.col("doc_id").cast("long"), "text"), counted, "doc_id long, row binary"))
-    sample = sets.select(F.xxhash64("doc_id").alias("h"), "row").distinct().orderBy("h", "row").limit(SAMPLE_DOCS).collect()
-    prior, log_rate = mixture(unpacked(sorted({bytes(r.row) for r in sample}), len(markers)))
+            yield pd.DataFrame({"h": pdf["h"], "row": [bins(lower_ascii(text)).tobytes() for text in pdf["text"]]})
 
+    rows = cut(map_frames(training, counted, "h long, row binary"))
+    sample = rows.select("h", "row").distinct().orderBy("h", "row").limit(SAMPLE_DOCS).collect()
+    prior, log_rate = mixture(unpacked(sorted({bytes(r.row) for r in sample})))
     best = -np.inf
-    for _ in range(EM_ROUNDS):
-        prior, log_rate, like = em_round(sets, prior, log_rate)
+    for _ in range(EM_ROUNDS if sample else 0):
+        prior, log_rate, like = em_round(rows, prior, log_rate)
         if like - best <= SETTLED * abs(like):
             break
         best = like
-    return Classes(markers, prior, log_rate)
-
+    return Classes(prior, log_rate)
 
-def unpacked(rows: list[bytes], width: int) -> np.ndarray:
-    packed = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(len(rows), -1)
-    return np.unpackbits(packed, axis=1, count=width).astype(np.float32)
 
-
-def em_round(sets: DataFrame, prior: np.ndarray, log_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Priors and log rates after a pass over all word sets, and the log-likelihood before."""
+def em_round(rows: DataFrame, prior: np.ndarray, log_rate: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Priors and log rates after a pass over all rows, and the log-likelihood before."""
     width, k = log_rate.shape
 
     def expected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rate, docs, total, n = np.zeros((width, k)), np.zeros(k), 0.0, 0
         for pdf in frames:
-            if len(pdf):
-                x = unpacked(list(pdf["row"]), width)
-                like = np.log(prior) + x @ log_rate.astype(np.float32)
-                top = like.max(1, keepdims=True)
-                member = np.exp(like - top)
-                whole = member.sum(1, keepdims=True)
-                member /= whole
-                rate += x.T @ member.astype(np.float32)
-                docs += member.sum(0)
-                total += float((top + np.log(whole)).sum())
-                n += len(pdf)
+            x = evidence(unpacked(list(pdf["row"])))
+            like = np.log(prior) + x @ log_rate.astype(np.float32)
+            top = like.max(1, keepdims=True)
+            member = np.exp(like - top)
+            whole = member.sum(1, keepdims=True)
+            member /= whole
+            rate += x.T @ member.astype(np.float32)
+            docs += member.sum(0)
+            total += float((top + np.log(whole)).sum())
+            n += len(pdf)
         if n:
             values = np.concatenate((rate.ravel(), docs, [total, n]))
             yield pd.DataFrame({"key": np.arange(len(values)), "value": values})
 
-    rows = map_frames(sets.select("row"), expected, "key int, value double", rows=5000).groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
-    values = np.array([r.value for r in rows])
+    found = map_frames(rows.select("row"), expected, "key int, value double", rows=5000).groupBy("key").agg(F.sum("value").alias("value")).orderBy("key").collect()
+    values = np.array([r.value for r in found])
     rate, docs, (total, n) = values[: width * k].reshape(width, k) + 0.05, values[width * k : -2], values[-2:]
     return (docs + 1) / (n + k), np.log(rate / rate.sum(0)), float(total)
 
 
-def mixture(x: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Class priors and log rates of a mixture of multinomials over count rows."""
-    n, width = x.shape
+def mixture(rows: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Class priors and log rates of a mixture of multinomials over rows of bins."""
+    n = len(rows)
     if not n:
-        return np.full(k, 1 / k), np.zeros((width, k))
+        return np.full(k, 1 / k), np.zeros((BINS, k))
+    x = evidence(rows)
     rng = np.random.default_rng(1)
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     seeds = [int(rng.integers(n))]
@@ -458,16 +433,17 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
     """The folder of the counters of all training words, weights and map fitted on all of
     them, the slots' bits, and the code of bytes."""
     widths = slot_bits(distinct)
-    size = int(layout(widths)[0][-1])
-    train = words.where("n > 0 and length(word) > 0").select("word").distinct()
+    starts = layout(widths)[0]
+    size = int(starts[-1])
+    train = words.where("n > 0 and length(word) > 0").select("word")
     letters = _letters(train)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tally = np.zeros(2 * size, dtype=np.int64)
         for pdf in _chunks(frames):
             slots, bits, *_ = spelled(list(pdf["word"]), widths, letters)
-            for own in slots:
-                tally += np.bincount(own * 2 + bits, minlength=len(tally))
+            for own, a, b in zip(slots, starts[:-1], starts[1:], strict=True):
+                tally[2 * a : 2 * b] += np.bincount((own - np.int32(a)) * 2 + bits, minlength=2 * int(b - a))
         zeros, ones = tally[0::2], tally[1::2]
         used = np.flatnonzero(zeros + ones)
         for at in range(0, len(used), 100_000):
@@ -730,7 +706,7 @@ def _packed(documents: DataFrame, found: Classes, blocks: int) -> DataFrame:
         for batch in batches:
             for part in parts(batch):
                 texts = [lower_ascii(text) for text in part.column("text").to_pylist()]
-                k = [found.of(set(text.split())) for text in texts]
+                k = found.of(np.stack(list(map(bins, texts))))
                 columns = [part.column(c) for c in ("block", "doc_id", "held_out")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(k, pa.int32()), pa.array(list(map(packer.compress, texts)), pa.binary())], names=["block", "doc_id", "held_out", "k", "packed"])
 
@@ -752,67 +728,90 @@ def _block_words(block: pa.Table) -> pa.Table:
 
 
 def score_block(documents: pd.DataFrame, vocabulary: pd.DataFrame, totals: Totals) -> pd.DataFrame:
-    """The scores of a block's documents."""
-    vocabulary = vocabulary.sort_values(["key", "n"]).drop_duplicates("key", keep="last")
+    """The scores of a block's documents, some hundred thousand words at a time."""
+    vocabulary = vocabulary.sort_values("key").drop_duplicates("key")
     keys, n = vocabulary["key"].to_numpy(), vocabulary["n"].to_numpy()
-    rates = [np.exp2(-vocabulary[c].to_numpy().astype(float)) for c in ("bits", "others_bits")]
+    rates = np.exp2(-vocabulary[["bits", "others_bits"]].to_numpy().astype(float))
     log_n = np.log10(n + 1.0)
     ends = totals.docs.sum()
     end = (ends + 0.5) / (totals.tokens + 1)
     prior = np.log10((totals.docs + 0.5) / (ends + 0.5 * CLASSES))
     unpacker = zstandard.ZstdDecompressor()
     index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-    out = []
+    out, places, columns = [], [], []
+
+    def scored() -> pd.DataFrame:
+        sizes = np.array([len(x) for x in places])
+        at, doc = np.concatenate(places), np.repeat(np.arange(len(places)), sizes)
+        held_out, k = np.array([x[1] for x in columns]), np.array([x[2] for x in columns])
+        text_bytes = np.array([x[3] for x in columns])
+        add = lambda x: np.bincount(doc, x, len(places))
+        base = add(log_n[at]) + np.log10(ends + 1) - (sizes + 1) * np.log10(totals.tokens + totals.distinct + 1)
+        score = add(with_cache(at, doc, rates[at, np.where(held_out, 0, 1)[doc]])) + prior[k] + sizes * np.log10(1 - end) + np.log10(end)
+        known = add((n[at] > 0).astype(float)).astype(np.int64) + int(ends > 0)
+        n_bytes = text_bytes + sizes + 1
+        return pd.DataFrame({
+            "doc_id": [x[0] for x in columns], "held_out": held_out, "n_tokens": sizes + 1, "n_known": known, "train_tokens": totals.tokens,
+            "base_score": base, "score": score, "n_bytes": n_bytes, "bits_per_byte": -score / np.log10(2) / n_bytes,
+        })
+
     for doc_id, held_out, k, packed in zip(documents["doc_id"], documents["held_out"], documents["k"], documents["packed"], strict=True):
         own = unpacker.decompress(packed).split()
         place = index[k]
         new = list(set(own).difference(place))
         if new:
             place.update(zip(new, np.searchsorted(keys, _keys(np.fromiter(map(_hash, new), np.uint64, len(new)), np.full(len(new), k))).tolist(), strict=True))
-        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-        n_bytes = sum(map(len, own)) + len(own) + 1
-        base = float(log_n[at].sum() + np.log10(ends + 1) - (len(at) + 1) * np.log10(totals.tokens + totals.distinct + 1))
-        score = prior[k] + with_cache(at, rates[0 if held_out else 1]) + len(at) * np.log10(1 - end) + np.log10(end)
-        known = int((n[at] > 0).sum()) + int(ends > 0)
-        out.append((doc_id, held_out, len(at) + 1, known, totals.tokens, base, score, n_bytes, -score / np.log10(2) / n_bytes))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
-
-
-def with_cache(at: np.ndarray, rates: np.ndarray) -> float:
-    """The words' log10 probability: each word's rate is mixed with the document's own
-    words so far, by a weight that follows how often it has repeated itself."""
+        places.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
+        columns.append((doc_id, bool(held_out), int(k), sum(map(len, own))))
+        if sum(map(len, places[-200:])) > 400_000 or len(places) >= 200:
+            out.append(scored())
+            places, columns = [], []
+    if places:
+        out.append(scored())
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def with_cache(at: np.ndarray, doc: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """The words' log10 probabilities: each word's rate is mixed with its document's own
+    words so far, by a weight that follows how often it has repeated itself.
+
+    ``at`` and ``doc``: the number of each word and of its document, documents in order.
+    """
     n = len(at)
     if not n:
-        return 0.0
-    order = np.argsort(at, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+        return np.zeros(0)
+    order = np.argsort(doc * (at.max() + 1) + at, kind="stable")
+    sorted_at, sorted_doc = at[order], doc[order]
+    first = np.flatnonzero(np.r_[True, (sorted_at[1:] != sorted_at[:-1]) | (sorted_doc[1:] != sorted_doc[:-1])])
     before = np.empty(n, dtype=np.int64)
     before[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
-    t = np.arange(n)
-    again = np.cumsum(before > 0) - (before > 0)
-    weight = np.where(t > 0, (again + 0.2) / (t + 12.0), 0.0)
-    weight *= np.where(t > 0, 0.3 + 0.7 * again / np.maximum(t, 1), 0.0)
-    return float(np.log10(np.maximum(rates[at] * (1 - weight) + weight * before / np.maximum(t, 1), 1e-300)).sum())
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    length = np.diff(np.r_[start, n])
+    t = np.arange(n) - np.repeat(start, length)
+    seen = np.r_[0, np.cumsum(before > 0)]
+    again = seen[:-1] - np.repeat(seen[start], length)
+    weight = (again + 0.2) / (t + 12.0) * (0.3 + 0.7 * again / np.maximum(t, 1))
+    weight[start] = 0.0
+    return np.log10(np.maximum(rates * (1 - weight) + weight * before / np.maximum(t, 1), 1e-300))
 
 
-def _totals(words: DataFrame) -> Totals:
+def _totals(words: DataFrame, every: DataFrame) -> Totals:
     """What the driver needs to know of the counted words; a row for each bucket and class."""
+    docs, total, single = (np.zeros(CLASSES) for _ in range(3))
+    tokens = distinct = 0
     is_word = F.length("word") > 0
-    by_word = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("n > 0")
-    sums = by_word.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("distinct")).first()
+    for r in every.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum(F.when((F.col("docs") == 1) & is_word, F.col("n"))).alias("single")).collect():
+        tokens, distinct = tokens + r.n, distinct + r.words
+        single[r.k] = r.single or 0
     n = 1
-    while n * BUCKET_WORDS < (sums.distinct or 0):
+    while n * BUCKET_WORDS < distinct:
         n *= 2
-    alone = words.where(is_word).join(by_word.where("docs = 1").select("word"), "word", "left_semi").where("n > 0")
-    docs, total, single = (np.zeros(CLASSES) for _ in range(3))
     buckets = np.zeros((n, CLASSES))
-    for r in words.groupBy("k").agg(F.sum(F.when(~is_word, F.col("n"))).alias("docs"), F.sum(F.when(is_word, F.col("n"))).alias("n")).collect():
-        docs[r.k], total[r.k] = r.docs or 0, r.n or 0
-    for r in alone.groupBy("k").agg(F.sum("n").alias("n")).collect():
-        single[r.k] = r.n
     for r in _buckets(words.where("n > 0"), n).groupBy("bucket", "k").agg(F.sum("n").alias("n")).collect():
         buckets[r.bucket, r.k] = r.n
-    return Totals(sums.tokens or 0, sums.distinct or 0, docs, total, single, buckets)
+    for r in words.where(~is_word).collect():  # a row for each class
+        docs[r.k] = r.n
+    return Totals(tokens, distinct, docs, buckets.sum(0), single, buckets)
 
 
 def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -821,9 +820,12 @@ def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     blocks = int(max(4, -(-size // block_bytes)))
     packed = cut(_packed(documents, find_classes(documents), blocks))
     words = cut(counted_words(packed))
-    totals = _totals(words)
+    # (word, n, docs, k): all classes together, and the one of a word's only document
+    every = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("k", "docs").alias("k")).where("n > 0")
+    every = cut(every)
+    totals = _totals(words, every)
     rows = _buckets(words, len(totals.buckets)).select("bucket", "h", "word", "k", "n", "docs")
-    priced = cut(_priced(rows, totals, _code_model(rows, totals), *fit(words, totals.distinct)))
+    priced = cut(_priced(rows, totals, _code_model(rows, totals), *fit(every, totals.distinct)))
     dealt = packed.repartition(blocks, "block")
     needed = dealt.groupBy("block").applyInArrow(_block_words, "block long, key long")
     vocabulary = needed.join(priced, "key").select("block", "key", "n", "bits", "others_bits")

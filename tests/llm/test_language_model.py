@@ -89,18 +89,19 @@ def test_slots_follow_the_distinct_words():
 
 
 def test_classes_come_from_all_training_documents(spark, monkeypatch):
-    """A topic that no document of the sample holds has its marker words and its class."""
+    """A topic that no document of the sample holds has a class of its own."""
     monkeypatch.setattr(language_model, "SAMPLE_DOCS", 20)
     ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
-    hashed = spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()
-    late = {r.doc_id for r in hashed[30:130]}
     rng = random.Random(2)
-    text = lambda i: " ".join(f"{'late' if i in late else 'soon'}{rng.randint(0, 20)}" for _ in range(12))
-    monkeypatch.setattr(language_model, "MARKER_BYTES", 8)
-    found = language_model.find_classes(spark.createDataFrame([(i, text(i)) for i in ids], "doc_id long, text string"))
-    assert {b"late1", b"soon1"} <= found.markers.keys()
-    sides = [{found.of({b"%s%d" % (kind, a), b"%s%d" % (kind, b)}) for a in range(20) for b in range(20)} for kind in (b"late", b"soon")]
-    assert not sides[0] & sides[1]
+    word = lambda letters: "".join(rng.choices(letters, k=5))
+    soon = {i: " ".join(word("abcdef") for _ in range(12)) for i in ids}
+    df = spark.createDataFrame([(i, soon[i]) for i in ids], "doc_id long, text string")
+    hashed = df.select("doc_id").orderBy(F.xxhash64("doc_id", "text")).collect()
+    late = {r.doc_id for r in hashed[200:]}
+    text = {i: " ".join(word("uvwxyz") for _ in range(12)) if i in late else soon[i] for i in ids}
+    found = language_model.find_classes(spark.createDataFrame(list(text.items()), "doc_id long, text string"))
+    of = lambda i: int(found.of(language_model.bins(text[i].encode())[None])[0])
+    assert not {of(i) for i in late} & {of(i) for i in ids if i not in late}
 
 
 def test_letters_are_a_prefix_code():
