@@ -157,3 +157,68 @@ def glob_pattern(glob: Column) -> Column:
     out = F.regexp_replace(out, r"\*\*", "\u0002")
     out = F.regexp_replace(F.regexp_replace(out, r"\*", "[^/]*"), r"\?", "[^/]")
     return F.concat(F.lit("^"), F.replace(F.replace(out, F.lit("\u0001"), F.lit("(?:.*/)?")), F.lit("\u0002"), F.lit(".*")), F.lit("$"))
+
+
+def go_role(path: Column) -> Column:
+    """guide, test, config, entry, source or unknown, by the path's letters alone: a ladder
+    of its own, beside ``map_role``."""
+    low = F.lower(path)
+    return (
+        F.when(low.endswith(".md"), "guide").when(low.contains("test") | low.endswith(".spec.ts"), "test")
+        .when(low.rlike(r"\.(json|toml|yaml|yml)$"), "config").when(low.contains("main.") | low.contains("app."), "entry")
+        .when(low.rlike(r"\.(py|go|rs|ts|tsx|js|jsx)$"), "source").otherwise("unknown")
+    )
+
+
+def explained_role(path: Column) -> Column:
+    """guide, doc, config, test, source, asset or unknown: the ladder of explanations."""
+    name, folders = F.lower(file_name(path)), F.split(path, "/")
+    within = lambda *dirs: F.arrays_overlap(folders, F.array(*map(F.lit, dirs)))
+    return (
+        F.when(name.isin("agents.md", "conventions.md", "readme.md"), "guide").when(path.startswith("docs/") | name.endswith(".md"), "doc")
+        .when(name.isin("package.json", "pyproject.toml", "cargo.toml", "makefile", "dockerfile") | name.rlike(r"\.(yaml|yml|json|toml)$"), "config")
+        .when(within("test", "tests", "__tests__") | name.contains("test_"), "test").when(within("src", "app", "api"), "source")
+        .when(name.rlike(r"\.(png|jpg|jpeg|gif|svg)$"), "asset").otherwise("unknown")
+    )
+
+
+def is_test_like(path: Column) -> Column:
+    low = F.lower(path)
+    name = file_name(low)
+    return F.concat(F.lit("/"), low, F.lit("/")).rlike("/(tests|__tests__)/") | name.startswith("test_") | name.contains(".test.") | name.contains(".spec.")
+
+
+def normal_path(path: Column) -> Column:
+    """The path below its root, ``.`` and ``..`` resolved; null where it is blank, is the
+    root itself or escapes from it."""
+    parts = F.filter(F.split(F.trim(path), "/"), lambda p: (p != "") & (p != "."))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("out"))
+
+    def step(done: Column, part: Column) -> Column:
+        up, empty = part == "..", F.size(done["kept"]) == 0
+        kept = F.when(up & empty, done["kept"]).when(up, F.slice(done["kept"], F.lit(1), F.greatest(F.size(done["kept"]) - 1, F.lit(0)))).otherwise(F.concat(done["kept"], F.array(part)))
+        return F.struct(kept.alias("kept"), (done["out"] | up & empty).alias("out"))
+
+    done = F.aggregate(parts, start, step)
+    return F.when(~done["out"] & (F.size(done["kept"]) > 0), F.array_join(done["kept"], "/"))
+
+
+def index_score(path: Column, surface: str) -> Column:
+    """How worthy a path is of the index, by role, place, name and surface."""
+    low = F.lower(path)
+    name = file_name(low)
+    given = lambda n, c: F.when(c, n).otherwise(0)
+    marker = low.rlike("cli|terminal|runtime|server|agent|command")
+    role = go_role(path)
+    score = (
+        F.when(role == "entry", 80).when(role == "source", 60).when(role == "config", 30).when(role == "guide", 20).when(role == "test", -80).otherwise(0)
+        + given(35, low.rlike("^(backend|api|cmd|cli|scripts|src)/")) + given(25, low.rlike(r"cli\.py|__main__\.py|/main\.py|/service\.py|/commands/|/command/|/bin/")) + given(12, marker)
+        + given(18, name.isin("pyproject.toml", "package.json", "cargo.toml", "makefile", "justfile", "readme.md", "agents.md"))
+        + given(-60, F.concat(F.lit("/"), low, F.lit("/")).contains("/tests/") | name.startswith("test_") | name.contains(".test.") | name.contains(".spec."))
+        + given(5, low.rlike(r"\.(md|json|toml|yaml|yml)$"))
+    )
+    if surface in ("cli", "all"):
+        score = score + given(12, marker)
+    if surface == "web":
+        score = score + given(32, low.rlike("frontend/|web/|ui/|src/app|src/pages|src/components"))
+    return score

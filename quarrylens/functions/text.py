@@ -95,3 +95,48 @@ def truncated(text: Column, most: int) -> Column:
 def stable_id(prefix: str, *parts: Column) -> Column:
     """Prefix and the first 12 hex digits of the sha1 of lower-cased, trimmed parts."""
     return F.concat(F.lit(prefix), F.left(F.sha1(F.concat_ws("|", *(F.lower(F.trim(p.cast("string"))) for p in parts))), F.lit(12)))
+
+
+def known_status(status: Column) -> Column:
+    """The status as it is, if it is one of the index; else null."""
+    return F.when(F.trim(status).isin("fresh", "stale", "dirty_provisional", "no_baseline", "blocked"), status)
+
+
+def derivation(source: Column) -> Column:
+    """lexical, structural or hybrid; parsers are structural, anything else lexical."""
+    own = F.trim(source)
+    return F.when(own.isin("lexical", "structural", "hybrid"), source).when(own.isin("rust_semantic_core", "tree_sitter", "regex"), "structural").otherwise("lexical")
+
+
+def surface(name: Column) -> Column:
+    """cli, web or all; null for a surface that isn't known."""
+    own = F.lower(F.trim(name))
+    return F.when(own.isin("cli", "web", "all"), own)
+
+
+def json_number(payload: Column, path: str) -> Column:
+    """A whole number from a JSON value: fractions are cut, what is no number is null."""
+    return F.get_json_object(payload, path).try_cast("double").try_cast("int")
+
+
+def is_schema_name(name: Column) -> Column:
+    return F.trim(name).rlike("^[A-Za-z_][A-Za-z0-9_]*$")
+
+
+def redacted_dsn(dsn: Column) -> Column:
+    """An address with its password masked; ``<configured>`` if it is none, null if blank."""
+    own = F.trim(dsn)
+    scheme, user, rest = (F.regexp_extract(own, r"^([a-z][a-z0-9+.-]*)://(?:([^:@/]+)(?::[^@/]*)?@)?([^/@]+.*)$", k) for k in (1, 2, 3))
+    masked = F.concat(scheme, F.lit("://"), F.when(user == "", "user").otherwise(user), F.lit(":***@"), rest)
+    return F.when(own == "", None).when(scheme == "", "<configured>").otherwise(masked)
+
+
+def statements(sql: Column) -> Column:
+    """The statements of an SQL text, split at semicolons as they stand."""
+    return F.filter(F.transform(F.split(sql, ";"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def table_names(sql: Column) -> Column:
+    """Sorted distinct names of the tables that an SQL text creates, without schemas."""
+    found = F.regexp_extract_all(sql, F.lit(r"(?i)create table (?:if not exists )?(?:[a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)"), 1)
+    return F.array_sort(F.array_distinct(found))

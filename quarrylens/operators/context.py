@@ -106,3 +106,108 @@ def insights(status: Column, exit_code: Column, tool_events: Column, has_fix: Co
 
 def name_or(text: Column, default: str) -> Column:
     return F.coalesce(blank_to_null(text), F.lit(default))
+
+
+def scored_matches(found: DataFrame, text: Column, terms: list[str], focus: list[str], most: int = 8) -> DataFrame:
+    """The best matches of a pattern for a context: two points a term of the first 12 and
+    two for one of the first four paths in focus, three at least."""
+    asked = F.array(*map(F.lit, terms[:12]))
+    points = F.size(matched(asked, text)) * 2 + F.when(F.col("path").isin(*focus[:4]), 2).otherwise(0)
+    return found.withColumn("score", F.greatest(F.lit(3), points)).orderBy(F.desc("score"), "path", "line").limit(most)
+
+
+def draft_summary(text: Column, most: int = 160) -> Column:
+    """The first line without its bullet or number."""
+    return F.left(F.regexp_replace(F.trim(F.split(text, "\n")[0]), r"^[-*0-9.)]+\s*", ""), F.lit(most))
+
+
+def fix_drafts(runs: DataFrame, most: int = 8) -> DataFrame:
+    """(run_id, issue_status, summary, tests, files) of (run_id, status, excerpt, dirty):
+    where the excerpt names no files, the first dirty paths are suggested."""
+    files = named_files(F.regexp_replace("excerpt", r"`[^`]*`", ""))
+    status = F.when(F.col("status") == "completed", "verification").otherwise("in_progress")
+    chosen = F.when(F.size(files) > 0, files).otherwise(F.slice("dirty", 1, most))
+    return runs.select("run_id", status.alias("issue_status"), draft_summary(F.col("excerpt")).alias("summary"), test_commands(F.col("excerpt")).alias("tests"), chosen.alias("files"))
+
+
+def guidance_summary(text: Column, path: Column) -> Column:
+    """(title, summary, excerpt, keywords) of a guidance file: its first heading, its first
+    three and four lines of prose, and up to eight keywords of its front matter."""
+    front = F.regexp_extract(text, r"^---[ \t]*\n((?:(?!---)[^\n]*\n)*)---", 1)
+    body = F.regexp_replace(text, r"^---[ \t]*\n(?:(?!---)[^\n]*\n)*---[ \t]*\n?", "")
+    prose = F.regexp_replace(body, r"(?ms)^[ \t]*```.*?^[ \t]*```[^\n]*$", "")
+    said = F.transform(F.filter(F.transform(F.split(prose, "\n"), strip), lambda x: (x != "") & ~x.startswith("#")), lambda x: F.regexp_replace(strip(F.regexp_replace(x, r"^[-*]+", "")), r"^\d+\.\s*", ""))
+    lines = F.filter(said, lambda x: x != "")
+    kept = F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    listed = F.split(F.regexp_extract(front, r"(?im)^\s*keywords:[^\[\n]*\[([^\]]*)\]", 1), ",")
+    words = F.slice(F.filter(F.transform(listed, lambda x: strip(F.regexp_replace(strip(x), "^['\"]+|['\"]+$", ""))), lambda x: x != ""), 1, 8)
+    name = F.element_at(F.split(path, "/"), -1)
+    heading = strip(F.regexp_extract(text, r"(?m)^\s*#+([^\n]*)", 1))
+    summary = F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 3), " ")).otherwise(F.concat(F.lit("Repository guidance from "), name))
+    excerpt = F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 4), "\n")).otherwise(summary)
+    return F.struct(F.when(heading != "", heading).otherwise(name).alias("title"), summary.alias("summary"), excerpt.alias("excerpt"), words.alias("keywords"))
+
+
+#: Search patterns for a name, by language and by whether it begins with a capital.
+PATTERNS = {
+    "py": ("python", ["class {}: $$$BODY"], ["def {}($$$ARGS): $$$BODY"]),
+    "ts": ("typescript", ["class {} {{ $$$BODY }}"], ["function {}($$$ARGS) {{ $$$BODY }}", "const {} = ($$$ARGS) => $$$BODY"]),
+    "tsx": ("tsx", ["class {} {{ $$$BODY }}"], ["function {}($$$ARGS) {{ $$$BODY }}", "const {} = ($$$ARGS) => $$$BODY"]),
+    "js": ("javascript", ["class {} {{ $$$BODY }}"], ["function {}($$$ARGS) {{ $$$BODY }}", "const {} = ($$$ARGS) => $$$BODY"]),
+    "go": ("go", ["type {} struct {{ $$$BODY }}"], ["func {}($$$ARGS) {{ $$$BODY }}"]),
+    "rs": ("rust", ["struct {} {{ $$$BODY }}"], ["fn {}($$$ARGS) {{ $$$BODY }}"]),
+}
+#: Words that name nothing in code.
+NO_NAMES = ("export", "backend", "frontend", "render", "error", "issue")
+
+
+def semantic_patterns(terms: Column, candidates: Column, most: int = 8) -> Column:
+    """(pattern, language, glob): what to search for the first four names among the terms,
+    in the languages of the first eight candidate paths."""
+    names = F.slice(F.filter(terms, lambda t: t.rlike("^[A-Za-z_][A-Za-z0-9_]{2,}$") & ~t.isin(*NO_NAMES)), 1, 4)
+    endings = F.array_distinct(F.filter(F.transform(F.slice(candidates, 1, 8), lambda p: F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1)), lambda x: x.isin(*PATTERNS)))
+
+    def made(ending: str, name: Column) -> Column:
+        language, upper, lower = PATTERNS[ending]
+
+        def each(forms: list[str]) -> Column:
+            parts = [f.replace("{{", "{").replace("}}", "}").split("{}", 1) for f in forms]
+            return F.array(*(F.struct(F.concat(F.lit(a), name, F.lit(b)).alias("pattern"), F.lit(language).alias("language"), F.lit(f"**/*.{ending}").alias("glob")) for a, b in parts))
+
+        return F.when(name.rlike("^[A-Z]"), each(upper)).otherwise(each(lower))
+
+    def of(ending: Column, name: Column) -> Column:
+        out = None
+        for one in PATTERNS:
+            out = F.when(ending == one, made(one, name)) if out is None else out.when(ending == one, made(one, name))
+        return out
+
+    every = F.flatten(F.transform(endings, lambda e: F.flatten(F.transform(names, lambda n: of(e, n)))))
+    return F.slice(F.array_distinct(every), 1, most)
+
+
+def plan_versions(plans: DataFrame, updates: DataFrame, most_dirty: int = 24) -> DataFrame:
+    """(run_id, version, attached, dirty): plans after their updates; a new attachment takes
+    the place of one with its path, all are in order of their paths."""
+    def clean(raw: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(F.trim(raw), r"^\./", ""), "^/+", "")
+
+    new = F.array_distinct(F.filter(F.transform("paths", clean), lambda p: p != ""))
+    made = F.transform(new, lambda p: F.struct(p.alias("path"), F.lit("manual").alias("source")))
+    joined = plans.join(updates, "run_id", "left").withColumn("made", made)
+    kept = F.filter("attached", lambda x: ~F.exists("made", lambda m: m["path"] == x["path"]))
+    merged = F.when(F.col("paths").isNull(), F.col("attached")).when(F.col("replace"), F.col("made")).otherwise(F.array_sort(F.concat(kept, "made")))
+    dirty = F.coalesce(F.slice("dirty", 1, most_dirty), F.array().cast("array<string>"))
+    return joined.select("run_id", F.when(F.col("paths").isNull(), F.col("version")).otherwise(F.col("version") + 1).alias("version"), merged.alias("attached"), dirty.alias("dirty"))
+
+
+def phases(given: DataFrame, key: str, needs: dict[str, list[str]]) -> DataFrame:
+    """(key, phase, state): ready where a phase's own condition and those of the phases it
+    needs hold, next where only its own is missing, else blocked."""
+    def row(name: str, before: list[str]) -> Column:
+        done = F.lit(True)
+        for one in before:
+            done = done & F.col(one)
+        return F.struct(F.lit(name).alias("phase"), F.when(done & F.col(name), "ready").when(done, "next").otherwise("blocked").alias("state"))
+
+    return given.select(key, F.inline(F.array(*(row(name, before) for name, before in needs.items()))))

@@ -139,3 +139,27 @@ def pairwise_ranks(variants: DataFrame) -> DataFrame:
     counted = variants.withColumns({"n": n, "losses": ahead, "wins": behind}).where("n >= 2")
     place = F.row_number().over(issue.orderBy(F.desc("wins"), "losses", F.desc("status_rank"), "cost", "variant"))
     return counted.withColumn("place", place).drop("n")
+
+
+def guidance_health(stale: Column, none: Column, lacking: Column) -> Column:
+    """stale before missing before partial before healthy."""
+    return F.when(stale, "stale").when(none, "missing").when(lacking, "partial").otherwise("healthy")
+
+
+def weighted_vote(scenario: DataFrame, baseline: DataFrame, key: str, criteria: dict[str, tuple[int, bool]]) -> DataFrame:
+    """(key, own, other, preferred): each criterion's weight goes to the better report.
+
+    criteria: column to (weight, whether more is better).
+    """
+    side = lambda df, p: df.select(key, *(F.col(c).alias(f"{p}_{c}") for c in criteria))
+    both = side(scenario, "a").join(side(baseline, "b"), key)
+
+    def votes(x: str, y: str) -> Column:
+        total = F.lit(0)
+        for c, (weight, more) in criteria.items():
+            better = F.col(f"{x}_{c}") > F.col(f"{y}_{c}") if more else F.col(f"{x}_{c}") < F.col(f"{y}_{c}")
+            total = total + better.cast("int") * weight
+        return total
+
+    own = both.select(key, votes("a", "b").alias("own"), votes("b", "a").alias("other"))
+    return own.withColumn("preferred", F.when(F.col("own") > F.col("other"), "scenario").when(F.col("own") < F.col("other"), "baseline").otherwise("tie"))

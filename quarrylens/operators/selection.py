@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,21 @@ def severity_rank(column: Column) -> Column:
     for rank, name in reversed(list(enumerate(("critical", "high", "medium", "low", "info")))):
         out = F.when(column == name, rank).otherwise(out)
     return out
+
+
+def ledger(key: str, order: str, kinds: list[tuple[str, DataFrame, int, Column | None, int]], most: int = 32) -> DataFrame:
+    """(key, kind, id, score, place): rows of several kinds in one ranking for each key.
+
+    kinds: (kind, rows of (key, order, id), base, bonus or None, most rows): a row scores
+    base less its place in its own list, and the bonus; of equal (kind, id) the first counts.
+    """
+    every = None
+    for kind, rows, base, bonus, first in kinds:
+        i = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+        placed = rows.withColumn("i", i).where(F.col("i") < first)
+        score = F.lit(base) - F.col("i") + (F.lit(0) if bonus is None else bonus)
+        own = placed.select(key, F.lit(kind).alias("kind"), "id", "i", F.greatest(F.lit(1), score).alias("score"))
+        every = own if every is None else every.unionByName(own)
+    one = every.groupBy(key, "kind", "id").agg(F.min_by("score", "i").alias("score"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "kind", F.lower("id"), "id"))
+    return one.withColumn("place", place).where(F.col("place") <= most)

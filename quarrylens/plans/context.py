@@ -78,15 +78,16 @@ def u08(spark: SparkSession, d: str) -> DataFrame:
     return src.issues(spark, d).select("bug_id", F.inline(paths.evidence_of(said_)))
 
 
-@query("u17_import_lines", r"""SELECT doc_id, len(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(ltrim(x), '^(import |from |use |mod |require\()'))) AS n FROM documents WHERE NOT contains(text, 'const ')""")
+@query("u17_import_lines", r"""SELECT doc_id, len(list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(ltrim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' '), '^(import |from |use |mod |require\()') OR starts_with(ltrim(x, chr(9) || chr(11) || chr(12) || chr(13) || ' '), 'const ') AND contains(x, 'require('))) AS n
+FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'const a = require("b")' || chr(10) || ' use c' || chr(10) || text ELSE text END AS text FROM documents)""")
 def u17(spark: SparkSession, d: str) -> DataFrame:
-    own = src.table(spark, d, "documents").where(~F.col("text").contains("const "))
-    return own.select("doc_id", paths.import_lines(paths.text_lines(F.col("text"))).cast("long").alias("n"))
+    said_ = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('const a = require("b")\n use c\n'), "text")).otherwise(F.col("text"))
+    return src.table(spark, d, "documents").select("doc_id", paths.import_lines(paths.text_lines(said_)).cast("long").alias("n"))
 
 
-@query("u21_context_tokens", r"""SELECT bug_id, len(list_distinct(list_filter(regexp_extract_all(lower(left(title, 200)), '[a-z0-9_]{3,}'), lambda t: t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this')))) AS n FROM issues""")
+@query("u21_context_tokens", r"""SELECT bug_id, len(list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || summary || ' ' || array_to_string(labels, ' ')), '[a-z0-9_]{3,}'), lambda t: t NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this')))) AS n FROM issues""")
 def u21(spark: SparkSession, d: str) -> DataFrame:
-    return src.issues(spark, d).select("bug_id", F.size(text.query_tokens(F.left("title", F.lit(200)))).cast("long").alias("n"))
+    return src.issues(spark, d).select("bug_id", F.size(text.query_tokens(F.concat_ws(" ", "title", "summary", F.array_join("labels", " ")))).cast("long").alias("n"))
 
 
 @query("u23_test_commands", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'pytest tests/' || p_size || '|npm run build' ELSE 'cargo test' END AS commands FROM part")

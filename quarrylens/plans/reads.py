@@ -164,15 +164,6 @@ def j09(spark: SparkSession, d: str) -> DataFrame:
     return joins.similar_titles(issues, issues.where("bug_id % 100 = 0"))
 
 
-@query("j10_reference_paths", """SELECT f.file_id, r.ref FROM files f JOIN (SELECT DISTINCT lower(regexp_extract(path, '^([^/]+)', 1)) AS ref FROM files WHERE size > 3000) r
-ON lower(regexp_extract(f.path, '^([^/]+)', 1)) = r.ref""")
-def j10(spark: SparkSession, d: str) -> DataFrame:
-    """Files below a referenced root: the part both share makes the join an equi-join."""
-    root = F.lower(F.regexp_extract("path", "^([^/]+)", 1)).alias("ref")
-    files = src.files(spark, d)
-    return files.select("file_id", root).join(files.where("size > 3000").select(root).distinct(), "ref").select("file_id", "ref")
-
-
 @query("j13_latest_fix", """SELECT issue_id, arg_max(fix_id, (recorded_at, run_id)) AS fix_id FROM fixes GROUP BY issue_id""")
 def j13(spark: SparkSession, d: str) -> DataFrame:
     return src.fixes(spark, d).groupBy("issue_id").agg(F.max_by("fix_id", F.struct("recorded_at", "run_id")).alias("fix_id"))

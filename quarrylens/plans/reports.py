@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import arrays, numbers, text
-from quarrylens.operators import rollups, selection
+from quarrylens.operators import reviews, rollups, selection
 from quarrylens.registry import query
 from quarrylens.sources import adapters as src
 
@@ -292,11 +292,11 @@ def q01(spark: SparkSession, d: str) -> DataFrame:
     return src.issues(spark, d).select("bug_id", numbers.rounded((complete * 0.4 + clear * 0.35 + evidence * 0.25) * 100, 1).alias("score"))
 
 
-@query("q08_safety", """SELECT conv_id, turn, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.4::DOUBLE * regexp_matches(text, 'rm -rf|drop table|mkfs')::INT - 0.2::DOUBLE * regexp_matches(text, 'eval\\(|exec\\(|os\\.system')::INT) AS safety FROM conversations""")
+@query("q08_safety", r"""SELECT conv_id, turn, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.4::DOUBLE * regexp_matches(low, 'rm -rf|del /s|format c:|drop table|delete from')::INT - 0.2::DOUBLE * regexp_matches(low, 'os\.system|subprocess\.call|exec\(|eval\(')::INT
+- 0.3::DOUBLE * contains(low, 'panic')::INT) AS safety FROM (SELECT conv_id, turn, lower(CASE turn WHEN 1 THEN 'rm -RF / ' || text WHEN 2 THEN text || ' exec(x) panic' WHEN 3 THEN 'segfault' ELSE text END) AS low FROM conversations)""")
 def q08(spark: SparkSession, d: str) -> DataFrame:
-    said = F.col("text")
-    safety = F.lit(1.0) - F.lit(0.4) * said.rlike("rm -rf|drop table|mkfs").cast("int") - F.lit(0.2) * said.rlike(r"eval\(|exec\(|os\.system").cast("int")
-    return src.table(spark, d, "conversations").select("conv_id", "turn", F.greatest(F.lit(0.0), safety).alias("safety"))
+    said = F.when(F.col("turn") == 1, F.concat(F.lit("rm -RF / "), "text")).when(F.col("turn") == 2, F.concat("text", F.lit(" exec(x) panic"))).when(F.col("turn") == 3, "segfault").otherwise(F.col("text"))
+    return src.table(spark, d, "conversations").select("conv_id", "turn", reviews.safety(said).alias("safety"))
 
 
 @query("q19_path_score", """SELECT file_id, 2 * len(list_filter(['the', 'ther', 'html', 'example', 'blog'], lambda t: contains(lower(path), t))) + contains(lower(path), 'page')::INT AS score FROM files""")
@@ -306,18 +306,6 @@ def q19(spark: SparkSession, d: str) -> DataFrame:
     return src.files(spark, d).select("file_id", (F.size(text.matched(terms, path)) * 2 + F.lower(path).contains("page").cast("int")).cast("long").alias("score"))
 
 
-@query("r01_retrieval", """WITH h AS (SELECT file_id, path, len(list_filter(['tion', 'blog', 'ther'], lambda t: contains(lower(path), t))) AS in_path,
-len(list_filter(['tion', 'blog', 'ther'], lambda t: contains(lower(content), t))) AS in_text FROM files)
-SELECT file_id, path, CASE WHEN in_path > 0 THEN 6 + in_path ELSE 0 END + CASE WHEN in_text > 0 THEN 4 + in_text ELSE 0 END AS score FROM h WHERE in_path > 0 OR in_text > 0
-ORDER BY score DESC, path, file_id LIMIT 12""")
-def r01(spark: SparkSession, d: str) -> DataFrame:
-    terms = F.array(*map(F.lit, ("tion", "blog", "ther")))
-    hits = src.files(spark, d).withColumns({"in_path": F.size(text.matched(terms, F.col("path"))), "in_text": F.size(text.matched(terms, F.col("content")))})
-    score = F.when(F.col("in_path") > 0, F.col("in_path") + 6).otherwise(0) + F.when(F.col("in_text") > 0, F.col("in_text") + 4).otherwise(0)
-    found = hits.where("in_path > 0 OR in_text > 0").select("file_id", "path", score.cast("long").alias("score"))
-    return found.orderBy(F.desc("score"), "path", "file_id").limit(12)
-
-
 @query("m09_title_jaccard", r"""WITH w AS (SELECT bug_id, source, list_distinct(list_filter(regexp_split_to_array(lower(title), '\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(evidence_path || ' ' || title), '\s+'), lambda x: x <> '')) AS b FROM issues)
 SELECT bug_id, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS similarity FROM w""")
 def m09(spark: SparkSession, d: str) -> DataFrame:

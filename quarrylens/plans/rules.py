@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import arrays, numbers, paths, text
-from quarrylens.operators import joins, reviews, selection
+from quarrylens.operators import joins, reviews, rollups, selection
 from quarrylens.registry import query
 from quarrylens.sources import adapters as src
 from quarrylens.sources import findings as scanner
+from quarrylens.sources import trees
 
 #: A path of a source file for each page: its own, with an ending and a directory by its number.
 FILE_PATH = """(CASE file_id % 5 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/' WHEN 2 THEN 'node_modules/' WHEN 3 THEN 'backend/data/' ELSE '' END || 'p' || file_id ||
@@ -32,9 +33,16 @@ def s29(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("file", "line", "hits", "place")
 
 
-@query("s06_latest_source", "SELECT max(path) AS path FROM files WHERE contains(path, 'blog') AND NOT contains(path, '_status_')")
+#: Ledgers of bugs and status notes beside them, one for each part.
+LEDGER = "(CASE WHEN p_size % 5 = 0 THEN 'docs/bugs/Bugs_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '_status_.md' WHEN p_size % 5 = 1 THEN 'docs/bugs/Bugs_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.md' WHEN p_size % 5 = 2 THEN 'docs/bugs/old/Bugs_' || p_partkey || '.md' ELSE 'docs/Bugs_' || p_partkey || '.md' END)"
+
+
+@query("s06_latest_source", f"SELECT max(path) AS path FROM (SELECT {LEDGER} AS path FROM part) WHERE regexp_matches(path, '^docs/bugs/Bugs_[^/]*\\.md$') AND NOT contains(path, '_status_')")
 def s06(spark: SparkSession, d: str) -> DataFrame:
-    return src.files(spark, d).where(F.col("path").contains("blog") & ~F.col("path").contains("_status_")).agg(F.max("path").alias("path"))
+    padded, plain = F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.col("p_partkey").cast("string")
+    path = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("docs/bugs/Bugs_"), padded, F.lit("_status_.md"))).when(F.col("p_size") % 5 == 1, F.concat(F.lit("docs/bugs/Bugs_"), padded, F.lit(".md"))).when(
+        F.col("p_size") % 5 == 2, F.concat(F.lit("docs/bugs/old/Bugs_"), plain, F.lit(".md"))).otherwise(F.concat(F.lit("docs/Bugs_"), plain, F.lit(".md")))
+    return trees.latest_ledger(src.table(spark, d, "part").select(path.alias("path")))
 
 
 @query("s09_activity_latest", "SELECT activity_id, action FROM activity WHERE issue_id IS NOT NULL ORDER BY created_at DESC, activity_id DESC LIMIT 100")
@@ -103,11 +111,24 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
         F.count_distinct("run_id").alias("runs"), F.count(F.lit(1)).alias("scenario_runs"), F.sum("estimated_cost").cast("double").alias("cost"))
 
 
-@query("a17_security_bundle", """SELECT finding_id, severity, status FROM findings ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END,
-CASE status WHEN 'open' THEN 0 WHEN 'triaged' THEN 1 WHEN 'fixing' THEN 2 ELSE 9 END, lower(title), finding_id LIMIT 5""")
+STATUS = "CASE status WHEN 'open' THEN 0 WHEN 'triaged' THEN 1 WHEN 'fixing' THEN 2 WHEN 'fixed' THEN 3 WHEN 'verified' THEN 4 WHEN 'closed' THEN 5 ELSE 99 END"
+
+
+@query("a17_security_bundle", f"""(SELECT 'open' AS part, 'findings' AS id, count(*) AS value FROM findings WHERE status IN ('open', 'triaged', 'fixing'))
+UNION ALL (SELECT 'finding', CAST(finding_id AS VARCHAR), row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, {STATUS}, lower(title), finding_id) AS place FROM findings QUALIFY place <= 5)
+UNION ALL (SELECT 'activity', CAST(activity_id AS VARCHAR), row_number() OVER (ORDER BY created_at DESC, activity_id DESC) AS place FROM activity QUALIFY place <= 8)""")
 def a17(spark: SparkSession, d: str) -> DataFrame:
-    status = src.case(F.col("status"), {"open": 0, "triaged": 1, "fixing": 2}, 9)
-    return src.findings(spark, d).orderBy(selection.severity_rank(F.col("severity")), status, F.lower("title"), "finding_id").limit(5).select("finding_id", "severity", "status")
+    """The number of open findings, the five worst, and the last eight activities."""
+    found = src.findings(spark, d)
+    status = src.case(F.col("status"), {"open": 0, "triaged": 1, "fixing": 2, "fixed": 3, "verified": 4, "closed": 5}, 99)
+
+    def first(df: DataFrame, part: str, id_: str, order: list, most: int) -> DataFrame:
+        kept = df.orderBy(*order).limit(most)
+        return kept.select(F.lit(part).alias("part"), F.col(id_).cast("string").alias("id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("value"))
+
+    open_ = found.where(F.col("status").isin("open", "triaged", "fixing")).agg(F.count(F.lit(1)).alias("value")).select(F.lit("open").alias("part"), F.lit("findings").alias("id"), "value")
+    worst = first(found, "finding", "finding_id", [selection.severity_rank(F.col("severity")), status, F.lower("title"), F.col("finding_id")], 5)
+    return open_.unionByName(worst).unionByName(first(src.activity(spark, d), "activity", "activity_id", [F.desc("created_at"), F.desc("activity_id")], 8))
 
 
 @query("a24_top_costs", "SELECT model, CAST(sum(estimated_cost) AS DOUBLE) AS cost FROM runs JOIN run_metrics USING (run_id) GROUP BY model ORDER BY cost DESC, model LIMIT 6")
@@ -116,12 +137,17 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("model").agg(F.sum("estimated_cost").cast("double").alias("cost")).orderBy(F.desc("cost"), "model").limit(6)
 
 
-@query("a25_guidance_health", """SELECT lang, count(*) AS n, CASE WHEN count(*) FILTER (n_chars < 50) > 0 THEN 'stale' WHEN count(*) = 0 THEN 'missing' WHEN count(*) FILTER (n_chars < 500) > 0 THEN 'partial' ELSE 'healthy' END AS health
-FROM documents GROUP BY lang""")
+@query("a25_guidance_health", """SELECT source, count(*) FILTER (n_chars >= 500) AS guidance, count(*) FILTER (n_chars >= 500 AND lang = 'en') AS always_on, count(*) FILTER (n_chars < 50) AS stale,
+3 - count(DISTINCT lang) FILTER (n_chars >= 100 AND lang IN ('en', 'de', 'fr')) AS missing, CASE WHEN count(*) FILTER (n_chars < 50) > 1 THEN 'stale' WHEN count(*) FILTER (n_chars >= 500) = 0 THEN 'missing'
+WHEN count(DISTINCT lang) FILTER (n_chars >= 100 AND lang IN ('en', 'de', 'fr')) < 3 THEN 'partial' ELSE 'healthy' END AS health FROM documents GROUP BY source""")
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    some = lambda c: F.count_if(c) > 0
-    health = F.when(some(F.col("n_chars") < 50), "stale").when(F.count(F.lit(1)) == 0, "missing").when(some(F.col("n_chars") < 500), "partial").otherwise("healthy")
-    return src.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), health.alias("health"))
+    """Guidance of a workspace (a source): files of some length, always on in one language;
+    starters are three languages, stale those that hold next to nothing (one is forgiven)."""
+    n, lang = F.col("n_chars"), F.col("lang")
+    starters = F.count_distinct(F.when((n >= 100) & lang.isin("en", "de", "fr"), lang))
+    counted = src.table(spark, d, "documents").groupBy("source").agg(
+        F.count_if(n >= 500).alias("guidance"), F.count_if((n >= 500) & (lang == "en")).alias("always_on"), F.count_if(n < 50).alias("stale"), (3 - starters).alias("missing"))
+    return counted.withColumn("health", rollups.guidance_health(F.col("stale") > 1, F.col("guidance") == 0, F.col("missing") > 0))
 
 
 @query("w05_status_rank", "SELECT run_id, CASE status WHEN 'completed' THEN 4 WHEN 'running' THEN 3 WHEN 'queued' THEN 2 WHEN 'planning' THEN 1 WHEN 'failed' THEN 0 ELSE -1 END AS rank FROM runs")
@@ -129,27 +155,33 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return src.runs(spark, d).select("run_id", src.case(F.col("status"), {"completed": 4, "running": 3, "queued": 2, "planning": 1, "failed": 0}, -1).alias("rank"))
 
 
-@query("w07_weighted_vote", """WITH v AS (SELECT issue_id, count(*) AS n, count(*) FILTER (status = 'completed') AS done, CAST(sum(estimated_cost) AS DOUBLE) AS cost, model = '1-URGENT' AS base FROM runs JOIN run_metrics USING (run_id) GROUP BY ALL),
-s AS (SELECT a.issue_id, 2 * (a.done > b.done)::INT + 2 * (a.n > b.n)::INT + (a.cost < b.cost)::INT AS own, 2 * (b.done > a.done)::INT + 2 * (b.n > a.n)::INT + (b.cost < a.cost)::INT AS other FROM v a JOIN v b USING (issue_id) WHERE NOT a.base AND b.base)
+@query("w07_weighted_vote", """WITH v AS (SELECT issue_id, model = '1-URGENT' AS base, count(*) FILTER (status = 'completed') AS done, count(*) FILTER (status = 'failed') AS failed, floor(100.0::DOUBLE * count(*) FILTER (estimated_cost > 100000) / count(*) * 10 + 0.5) / 10 AS rate,
+CAST(sum(estimated_cost) AS DOUBLE) AS cost, CAST(sum(duration_ms) // count(*) AS BIGINT) AS mean FROM runs JOIN run_metrics USING (run_id) GROUP BY ALL),
+s AS (SELECT a.issue_id, 2 * (a.done > b.done)::INT + 2 * (a.failed < b.failed)::INT + 2 * (a.rate > b.rate)::INT + (a.cost < b.cost)::INT + (a.mean < b.mean)::INT AS own,
+2 * (b.done > a.done)::INT + 2 * (b.failed < a.failed)::INT + 2 * (b.rate > a.rate)::INT + (b.cost < a.cost)::INT + (b.mean < a.mean)::INT AS other FROM v a JOIN v b USING (issue_id) WHERE NOT a.base AND b.base)
 SELECT issue_id, own, other, CASE WHEN own > other THEN 'scenario' WHEN own < other THEN 'baseline' ELSE 'tie' END AS preferred FROM s""")
 def w07(spark: SparkSession, d: str) -> DataFrame:
+    """Five criteria: successes, failures and verification count two, cost and duration one."""
     joined = src.runs(spark, d).join(src.run_metrics(spark, d), "run_id").withColumn("base", F.col("model") == "1-URGENT")
-    side = lambda base, p: joined.where(F.col("base") == base).groupBy("issue_id").agg(F.count(F.lit(1)).alias(f"{p}n"), F.count_if(F.col("status") == "completed").alias(f"{p}done"), F.sum("estimated_cost").cast("double").alias(f"{p}cost"))
-    both = side(False, "a_").join(side(True, "b_"), "issue_id")
-    votes = lambda x, y: (F.col(f"{x}_done") > F.col(f"{y}_done")).cast("int") * 2 + (F.col(f"{x}_n") > F.col(f"{y}_n")).cast("int") * 2 + (F.col(f"{x}_cost") < F.col(f"{y}_cost")).cast("int")
-    own = both.select("issue_id", votes("a", "b").alias("own"), votes("b", "a").alias("other"))
-    return own.withColumn("preferred", F.when(F.col("own") > F.col("other"), "scenario").when(F.col("own") < F.col("other"), "baseline").otherwise("tie"))
-
-
-@query("w08_rank_positions", """WITH e AS (SELECT conv_id, 'turn' AS kind, role AS id, min(12 - turn) AS score, min(turn) AS first FROM conversations GROUP BY ALL),
-p AS (SELECT conv_id, 'text' AS kind, left(text, 5) AS id, min(greatest(1, 10 - turn)) AS score, min(turn) AS first FROM conversations GROUP BY ALL),
-u AS (SELECT * FROM e UNION ALL SELECT * FROM p)
-SELECT conv_id, kind, id, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, kind, id) AS place FROM u QUALIFY place <= 8""")
+    done, failed, verified = F.count_if(F.col("status") == "completed"), F.count_if(F.col("status") == "failed"), F.count_if(F.col("estimated_cost") > 100000)
+    mean = F.expr("sum(duration_ms) div count(1)")
+    reports = joined.groupBy("issue_id", "base").agg(done.alias("done"), failed.alias("failed"), numbers.rate(verified, F.count(F.lit(1))).alias("rate"), F.sum("estimated_cost").cast("double").alias("cost"), mean.alias("mean"))
+    return rollups.weighted_vote(reports.where(~F.col("base")), reports.where("base"), "issue_id", {"done": (2, True), "failed": (2, False), "rate": (2, True), "cost": (1, False), "mean": (1, False)})
+
+
+@query("w08_rank_positions", """WITH t AS (SELECT conv_id, role, turn, left(text, 12) AS id, len(list_filter(['the', 'de', 'und'], lambda x: contains(lower(left(text, 12)), x))) AS hits FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS i FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS j FROM t),
+u AS (SELECT conv_id, 'evidence' AS kind, id, i, 12 - i AS score FROM p WHERE role = 'user' AND i < 8 UNION ALL SELECT conv_id, 'related_path', id, i, greatest(1, 10 - i + hits) FROM p WHERE role = 'assistant' AND i < 8
+UNION ALL SELECT conv_id, 'guidance', id, i, greatest(1, 6 - i) FROM p WHERE role = 'system' AND i < 6 UNION ALL SELECT conv_id, 'path_instruction', id, j, greatest(1, 8 - j) FROM q WHERE j < 6),
+f AS (SELECT conv_id, kind, id, arg_min(score, i) AS score FROM u GROUP BY ALL)
+SELECT conv_id, kind, id, score, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, kind, lower(id), id) AS place FROM f QUALIFY place <= 32""")
 def w08(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda kind, id_, score: said(spark, d).groupBy("conv_id", id_.alias("id")).agg(F.min(score).alias("score")).select("conv_id", F.lit(kind).alias("kind"), "id", "score")
-    every = part("turn", F.col("role"), 12 - F.col("turn")).unionByName(part("text", F.left("text", F.lit(5)), F.greatest(F.lit(1), 10 - F.col("turn"))))
-    placed = every.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "kind", "id")))
-    return placed.where("place <= 8")
+    """Users' turns as evidence, assistants' as related paths, system turns as guidance, and
+    all turns as path instructions; a score follows the place in its own list."""
+    turns = said(spark, d).select("conv_id", "role", "turn", F.left("text", F.lit(12)).alias("id"))
+    of = lambda role: turns.where(F.col("role") == role)
+    hits = F.size(text.matched(F.array(F.lit("the"), F.lit("de"), F.lit("und")), F.col("id")))
+    return selection.ledger("conv_id", "turn", [("evidence", of("user"), 12, None, 8), ("related_path", of("assistant"), 10, hits, 8), ("guidance", of("system"), 6, None, 6), ("path_instruction", turns, 8, None, 6)])
 
 
 @query("w11_first_and_last", "SELECT issue_id, arg_min(status, (created_at, run_id)) AS baseline, arg_max(status, (created_at, run_id)) AS current FROM runs GROUP BY issue_id")
@@ -164,15 +196,14 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
     return said(spark, d).select("conv_id", "turn", F.last(F.when(F.col("role") == "system", F.left("text", F.lit(20))), ignorenulls=True).over(above).alias("scope"))
 
 
-@query("t03_signal_order", "SELECT activity_id, row_number() OVER (ORDER BY action, entity_id, activity_id) AS place FROM activity QUALIFY place <= 50")
+@query("t03_signal_order", "SELECT activity_id, action, entity_id FROM activity ORDER BY action, entity_id, activity_id")
 def t03(spark: SparkSession, d: str) -> DataFrame:
-    found = src.activity(spark, d).orderBy("action", "entity_id", "activity_id").limit(50)
-    return found.select("activity_id", F.row_number().over(Window.orderBy("action", "entity_id", "activity_id")).alias("place"))
+    return src.activity(spark, d).orderBy("action", "entity_id", "activity_id").select("activity_id", "action", "entity_id")
 
 
-@query("t04_latest_fixes", "SELECT fix_id FROM fixes ORDER BY recorded_at DESC, fix_id LIMIT 40")
+@query("t04_latest_fixes", "SELECT fix_id, recorded_at FROM fixes ORDER BY recorded_at DESC, fix_id")
 def t04(spark: SparkSession, d: str) -> DataFrame:
-    return src.fixes(spark, d).orderBy(F.desc("recorded_at"), "fix_id").limit(40).select("fix_id")
+    return src.fixes(spark, d).orderBy(F.desc("recorded_at"), "fix_id").select("fix_id", "recorded_at")
 
 
 @query("t06_largest_files", "SELECT file_id, size FROM files ORDER BY size DESC, file_id LIMIT 12")
@@ -180,18 +211,21 @@ def t06(spark: SparkSession, d: str) -> DataFrame:
     return src.files(spark, d).orderBy(F.desc("size"), "file_id").limit(12).select("file_id", "size")
 
 
-@query("t07_target_order", "SELECT p_partkey, p_type AS kind, p_brand AS label FROM part ORDER BY p_type, p_brand, p_partkey LIMIT 30")
+@query("t07_target_order", """SELECT kind, label, command FROM (SELECT DISTINCT CASE WHEN contains(lower(p_name), 'test') THEN 'test' WHEN contains(lower(p_name), 'lint') THEN 'lint' WHEN contains(lower(p_name), 'build') THEN 'build'
+WHEN contains(lower(p_name), 'dev') OR contains(lower(p_name), 'serve') THEN 'dev' WHEN contains(lower(p_name), 'check') OR contains(lower(p_name), 'verify') THEN 'verify' ELSE 'other' END AS kind, p_name AS label, 'make ' || p_name AS command FROM part) ORDER BY kind, label, command""")
 def t07(spark: SparkSession, d: str) -> DataFrame:
-    return src.table(spark, d, "part").orderBy("p_type", "p_brand", "p_partkey").limit(30).select("p_partkey", F.col("p_type").alias("kind"), F.col("p_brand").alias("label"))
+    """Run targets by kind, label and command."""
+    named = src.table(spark, d, "part").select(text.target_kind(F.col("p_name")).alias("kind"), F.col("p_name").alias("label"), F.concat(F.lit("make "), "p_name").alias("command")).distinct()
+    return named.orderBy("kind", "label", "command")
 
 
-#: Two lists of words for each document: those of its start and those of its source and language.
-LISTS = "(SELECT bug_id, list_filter(string_split(left(title, 60), ' '), lambda x: trim(x) <> '') AS a, list_filter(string_split(substr(title, 20, 60), ' '), lambda x: trim(x) <> '') AS b FROM issues)"
+#: Two lists of words for each issue: those of its title, and of the next line of its summary.
+LISTS = "(SELECT bug_id, list_filter(string_split(title, ' '), lambda x: trim(x) <> '') AS a, list_filter(string_split(coalesce(string_split(summary, chr(10))[2], source), ' '), lambda x: trim(x) <> '') AS b FROM issues)"
 
 
 def lists(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(c, " "), lambda x: F.trim(x) != "")
-    return src.issues(spark, d).select("bug_id", words(F.left("title", F.lit(60))).alias("a"), words(F.substring("title", 20, 60)).alias("b"))
+    return src.issues(spark, d).select("bug_id", words(F.col("title")).alias("a"), words(F.coalesce(F.get(F.split("summary", "\n"), F.lit(1)), "source")).alias("b"))
 
 
 @query("d02_sorted_dedupe", f"SELECT bug_id, array_to_string(list_sort(list_distinct(a)), '|') AS own, least(5, len(list_distinct(a))) AS n FROM {LISTS}")
@@ -211,16 +245,11 @@ def d06(spark: SparkSession, d: str) -> DataFrame:
     return lists(spark, d).select("bug_id", added.alias("added"), removed.alias("removed"), (added + removed > 0).alias("changed"))
 
 
-@query("d07_last_wins", "SELECT result_id, file, max(hits) AS hits FROM coverage_lines WHERE line = 1 GROUP BY ALL")
+@query("d07_last_wins", """SELECT result_id, file, arg_min(line, (created_at, line, hits)) AS first_line, arg_max(hits, (created_at, line, hits)) AS hits FROM coverage_lines GROUP BY ALL""")
 def d07(spark: SparkSession, d: str) -> DataFrame:
-    return src.coverage_lines(spark, d).where("line = 1").groupBy("result_id", "file").agg(F.max_by("hits", F.struct("hits")).alias("hits"))
-
-
-@query("d09_changed_symbols", "SELECT p_brand AS path, p_type AS kind, array_to_string(list_sort(list_distinct(list(p_size % 4)))[1:8], ',') AS scopes FROM part WHERE p_size % 7 <> 0 GROUP BY ALL")
-def d09(spark: SparkSession, d: str) -> DataFrame:
-    scopes = F.slice(F.array_sort(F.collect_set(F.col("p_size") % 4)), 1, 8)
-    kept = src.table(spark, d, "part").where("p_size % 7 <> 0").groupBy(F.col("p_brand").alias("path"), F.col("p_type").alias("kind"))
-    return kept.agg(F.array_join(F.transform(scopes, lambda x: x.cast("string")), ",").alias("scopes"))
+    """Each key stands where it first came and holds what came last."""
+    at = F.struct("created_at", "line", "hits")
+    return src.coverage_lines(spark, d).groupBy("result_id", "file").agg(F.min_by("line", at).alias("first_line"), F.max_by("hits", at).alias("hits"))
 
 
 SKIPPED = ", ".join(f"'{x}'" for x in paths.SKIPPED_DIRS)
@@ -247,18 +276,6 @@ def u12(spark: SparkSession, d: str) -> DataFrame:
     return said(spark, d).select("conv_id", "turn", F.concat(F.lit("sig_"), F.left(mark, F.lit(12))).alias("signal_id"), F.col("text").rlike(paths.SIGNAL_RULES[0][3][0]).alias("annotated"))
 
 
-@query("u15_index_mark", """SELECT source, sha256(string_agg(block || '=' || mark, ',' ORDER BY block)) AS mark FROM (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS mark FROM documents GROUP BY ALL) GROUP BY source""")
-def u15(spark: SparkSession, d: str) -> DataFrame:
-    """One mark for each source, from those of blocks of a thousand ids: no task gathers
-    the digests of a whole source."""
-    def mark(df: DataFrame, keys: list[str], id_: str, digest: F.Column, between: str) -> DataFrame:
-        each = F.array_sort(F.collect_list(F.struct(id_, F.concat_ws(between, F.col(id_).cast("string"), digest).alias("m"))))
-        return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(each, lambda x: x["m"]), ","), 256).alias("mark"))
-
-    own = src.table(spark, d, "documents").withColumn("block", F.floor(F.col("doc_id") / 1000))
-    return mark(mark(own, ["source", "block"], "doc_id", F.sha2("text", 256), ":"), ["source"], "block", F.col("mark"), "=")
-
-
 @query("u19_path_tokens", "SELECT file_id, len(list_distinct(regexp_extract_all(lower(path), '[a-z0-9_]{3,}'))) AS n FROM files")
 def u19(spark: SparkSession, d: str) -> DataFrame:
     return src.files(spark, d).select("file_id", F.size(paths.path_tokens(F.col("path"), 1000)).cast("long").alias("n"))
@@ -302,10 +319,15 @@ def u36(spark: SparkSession, d: str) -> DataFrame:
     return said(spark, d).select("conv_id", "turn", F.coalesce(text.blank_to_null(role), F.lit("none")).alias("role"))
 
 
-@query("u40_table_names", r"""SELECT bug_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(title), '\b([a-z]+ing)\b', 1))), ',') AS names FROM issues""")
+DDL = r"""'CREATE TABLE IF NOT EXISTS s.t' || p_partkey || ' (a INT); create table s.t' || (p_size % 10) || ' (d tsvector);' || chr(10) || ' ; CREATE TABLE IF NOT EXISTS s.t' || p_partkey || ' (a INT)'"""
+
+
+@query("u40_table_names", rf"""SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(sql, '(?i)create table (?:if not exists )?(?:[a-z_][a-z0-9_]*\.)?([a-z_][a-z0-9_]*)', 1))), ',') AS names,
+len(list_filter(string_split(sql, ';'), lambda x: trim(x, ' ' || chr(10)) <> '')) AS statements FROM (SELECT p_partkey, {DDL} AS sql FROM part)""")
 def u40(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit(r"\b([a-z]+ing)\b"), 1)))
-    return src.issues(spark, d).select("bug_id", F.array_join(names, ",").alias("names"))
+    id_ = F.col("p_partkey").cast("string")
+    sql = F.concat(F.lit("CREATE TABLE IF NOT EXISTS s.t"), id_, F.lit(" (a INT); create table s.t"), (F.col("p_size") % 10).cast("string"), F.lit(" (d tsvector);\n ; CREATE TABLE IF NOT EXISTS s.t"), id_, F.lit(" (a INT)"))
+    return src.table(spark, d, "part").select("p_partkey", F.array_join(text.table_names(sql), ",").alias("names"), F.size(text.statements(sql)).alias("statements"))
 
 
 @query("m02_truncated_percent", "SELECT run_id, CAST(trunc(CAST(estimated_cost AS DOUBLE) * -10 + 0.5) AS BIGINT)::DOUBLE / 10 AS delta FROM run_metrics")
@@ -373,11 +395,26 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
 JACCARD = "(CASE WHEN len({0}) + len({1}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END)"
 
 
-@query("q02_duplicate_score", f"""SELECT bug_id, floor(least(CASE WHEN j > 0.5 THEN j * 0.35::DOUBLE ELSE 0 END + 0.1::DOUBLE * (bug_id % 2 = 0)::INT + 0.2::DOUBLE, 1) * 1000 + 0.5) / 1000 AS score
-FROM (SELECT bug_id, {JACCARD.format("a", "b")} AS j FROM (SELECT bug_id, list_distinct(a) AS a, list_distinct(b) AS b FROM {LISTS}))""")
+WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> ''))"
+
+
+@query("q02_duplicate_score", f"""WITH w AS (SELECT bug_id, severity, evidence_path, labels, {WORDS.format("title")} AS t, {WORDS.format("summary")} AS s FROM issues),
+o AS (SELECT bug_id, unnest(t) AS word FROM w), asked AS (SELECT * FROM o WHERE bug_id % 100 = 0),
+pairs AS (SELECT DISTINCT x.bug_id AS a, y.bug_id AS b FROM asked x JOIN o y ON x.word = y.word AND x.bug_id <> y.bug_id),
+j AS (SELECT a, b, {JACCARD.format("p.t", "q.t")} AS tj, {JACCARD.format("p.s", "q.s")} AS sj, p.severity = q.severity AS same, (p.evidence_path = q.evidence_path)::INT::DOUBLE AS ej, {JACCARD.format("p.labels", "q.labels")} AS lj
+FROM pairs JOIN w p ON p.bug_id = a JOIN w q ON q.bug_id = b)
+SELECT a, b, floor(least(CASE WHEN tj > 0.5 THEN tj * 0.35::DOUBLE ELSE 0 END + CASE WHEN sj > 0.4 THEN sj * 0.25::DOUBLE ELSE 0 END + 0.1::DOUBLE * same::INT + ej * 0.2::DOUBLE + lj * 0.1::DOUBLE, 1) * 1000 + 0.5) / 1000 AS score FROM j WHERE tj >= 0.3""")
 def q02(spark: SparkSession, d: str) -> DataFrame:
-    own = lists(spark, d).select("bug_id", arrays.jaccard(F.array_distinct("a"), F.array_distinct("b")).alias("j"))
-    return own.select("bug_id", reviews.similarity(F.col("j"), F.lit(0.0), F.col("bug_id") % 2 == 0, F.lit(1.0), F.lit(0.0)).alias("score"))
+    """The stated queries are the issues whose id is divisible by 100; they meet all whose
+    titles are like theirs, and each pair is scored by all its parts."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
+    issues = src.issues(spark, d).select("bug_id", "title", words(F.col("title")).alias("t"), words(F.col("summary")).alias("s"), "severity", "evidence_path", "labels")
+    pairs = joins.similar_titles(issues, issues.where("bug_id % 100 = 0")).select("a", "b")
+    side = lambda id_: issues.select(F.col("bug_id").alias(id_), *(F.col(c).alias(f"{id_}_{c}") for c in ("t", "s", "severity", "evidence_path", "labels")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    like = lambda c: arrays.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))
+    same = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
+    return both.select("a", "b", reviews.similarity(like("t"), like("s"), same("severity"), same("evidence_path").cast("double"), like("labels")).alias("score"))
 
 
 @query("q03_triage", """SELECT bug_id, CASE WHEN e AND w THEN 'critical' WHEN e AND b THEN 'high' END AS suggested_severity, round(0.3 * (e AND w)::INT + 0.25 * (e AND NOT w AND b)::INT, 2)::DOUBLE AS confidence FROM (
@@ -403,10 +440,10 @@ def q04(spark: SparkSession, d: str) -> DataFrame:
     return reviews.critiques(outputs(spark, d)).select("run_id", "correctness", "completeness")
 
 
-@query("q07_style", """SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 0.3 ELSE 0.7::DOUBLE - 0.1::DOUBLE * (list_avg(own) > 200)::INT - 0.15::DOUBLE * (len(list_filter(own, lambda n: n > 500)) > 5)::INT END AS style
-FROM (SELECT conv_id, turn, text, list_transform(string_split(text, chr(10)), lambda x: length(x)) AS own FROM conversations WHERE text NOT LIKE '%' || chr(10))""")
+@query("q07_style", """SELECT conv_id, turn, CASE WHEN trim(text, ' ' || chr(10) || chr(13) || chr(9)) = '' THEN 0.3 ELSE 0.7::DOUBLE - 0.1::DOUBLE * (list_avg(own) > 200)::INT - 0.15::DOUBLE * (len(list_filter(own, lambda n: n > 500)) > 5)::INT END AS style
+FROM (SELECT conv_id, turn, text, list_transform(string_split_regex(CASE WHEN ends_with(text, chr(10)) THEN left(text, length(text) - 1) ELSE text END, '\\r?\\n'), lambda x: length(x)) AS own FROM conversations)""")
 def q07(spark: SparkSession, d: str) -> DataFrame:
-    return said(spark, d).where(~F.col("text").endswith("\n")).select("conv_id", "turn", reviews.style(F.col("text")).alias("style"))
+    return said(spark, d).select("conv_id", "turn", reviews.style(F.col("text")).alias("style"))
 
 
 @query("q09_line_rules", r"""SELECT run_id, line_no, found FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no, list_position(['TODO', 'FIXME', 'HACK', 'XXX', 'secret'], found)) AS place FROM (
@@ -444,26 +481,3 @@ def q15(spark: SparkSession, d: str) -> DataFrame:
     best = src.issues(spark, d).groupBy("source", F.col("evidence_path").alias("path")).agg(F.max(score).alias("score"))
     placed = best.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "path")))
     return placed.where("place <= 8").select("source", "path", F.col("score").cast("long").alias("score"))
-
-
-@query("q18_index_scores", f"""SELECT file_id, CASE WHEN starts_with(path, 'tests/') THEN -60 WHEN contains(path, '/') THEN 30 ELSE 65 END + CASE WHEN ends_with(path, '.md') THEN 5 ELSE 0 END AS score FROM (SELECT file_id, {FILE_PATH} AS path FROM files)""")
-def q18(spark: SparkSession, d: str) -> DataFrame:
-    path = F.col("path")
-    score = F.when(path.startswith("tests/"), -60).when(path.contains("/"), 30).otherwise(65) + F.when(path.endswith(".md"), 5).otherwise(0)
-    return src.files(spark, d).select("file_id", file_path().alias("path")).select("file_id", score.alias("score"))
-
-
-@query("r10_freshness", """SELECT file_id, CASE WHEN old IS NULL THEN 'no_baseline' WHEN new = old THEN 'fresh' ELSE 'stale' END AS state FROM (
-SELECT file_id, sha1(content) AS new, CASE WHEN file_id % 3 = 0 THEN sha1(content) WHEN file_id % 3 = 1 THEN sha1(path) END AS old FROM files)""")
-def r10(spark: SparkSession, d: str) -> DataFrame:
-    now = src.files(spark, d).select("file_id", F.sha1("content").alias("new"))
-    then = src.files(spark, d).where("file_id % 3 < 2").select("file_id", F.when(F.col("file_id") % 3 == 0, F.sha1("content")).otherwise(F.sha1("path")).alias("old"))
-    joined = now.join(then, "file_id", "left")
-    return joined.select("file_id", F.when(F.col("old").isNull(), "no_baseline").when(F.col("new") == F.col("old"), "fresh").otherwise("stale").alias("state"))
-
-
-@query("r03_impact_confidence", """SELECT source, CASE WHEN count(*) FILTER (code_status = 'fixed') > 0 AND count(*) FILTER (needs_followup) > 0 THEN 'high' WHEN count(*) > 0 THEN 'medium' ELSE 'low' END AS confidence FROM issues GROUP BY source""")
-def r03(spark: SparkSession, d: str) -> DataFrame:
-    some = lambda c: F.count_if(c) > 0
-    label = F.when(some(F.col("code_status") == "fixed") & some(F.col("needs_followup")), "high").when(F.count(F.lit(1)) > 0, "medium").otherwise("low")
-    return src.issues(spark, d).groupBy("source").agg(label.alias("confidence"))

@@ -22,7 +22,7 @@ def with_views(sql: str) -> str:
     for name in reversed(VIEWS):
         if re.search(rf"\b{name}\b", text):
             needed.add(name)
-            text += VIEWS[name]
+            text += " " + VIEWS[name]
     views = ", ".join(f"{name} AS ({body})" for name, body in VIEWS.items() if name in needed)
     if not views:
         return sql

@@ -203,3 +203,41 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VIEWS["reviews"] = "SELECT o_orderkey AS run_id, 'dismissed' AS disposition FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000"
+
+
+#: A source tree over the pages: each path holds its file's number at the mark.
+TREE = (
+    "backend/m{}/cli.py", "src/app{}/main.ts", "README{}.md", "frontend/src/v{}/App.tsx", "tests/test_{}.py", "api/server{}/handler.go",
+    "m{}/package.json", "docs/guide{}.md", "web/ui{}/page.spec.ts", "scripts/run_agent{}.sh", "lib/p{}.rs", "cmd/t{}/config.yaml",
+)
+
+
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, path, content): pages as source files whose first lines define something."""
+    id_, n = F.col("file_id").cast("string"), (F.col("file_id") % 40).cast("string")
+    path = None
+    for k, one in enumerate(TREE):
+        before, after = one.split("{}")
+        made = F.concat(F.lit(before), id_, F.lit(after))
+        path = F.when(F.col("file_id") % len(TREE) == k, made) if path is None else path.when(F.col("file_id") % len(TREE) == k, made)
+    head = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("import os\ndef run_"), n, F.lit("(x):\n  return x\nclass Page"), n, F.lit(":\n"))).when(F.col("file_id") % 3 == 1, F.concat(F.lit("export class View"), n, F.lit(" {\n"))).otherwise("")
+    return files(spark, sf_dir).select("file_id", path.alias("path"), F.concat(head, "content").alias("content"))
+
+
+VIEWS["tree_files"] = f"""
+SELECT file_id, CASE file_id % {len(TREE)} {" ".join(f"WHEN {k} THEN '{one.replace('{}', "' || file_id || '")}'" for k, one in enumerate(TREE))} END AS path,
+  CASE file_id % 3 WHEN 0 THEN 'import os' || chr(10) || 'def run_' || (file_id % 40) || '(x):' || chr(10) || '  return x' || chr(10) || 'class Page' || (file_id % 40) || ':' || chr(10)
+    WHEN 1 THEN 'export class View' || (file_id % 40) || ' {{' || chr(10) ELSE '' END || content AS content
+FROM files"""
+
+
+def tree_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, status, scope): every 25th file of the tree has changed."""
+    id_ = F.col("file_id")
+    status = F.when(id_ % 100 == 3, "deleted").when(id_ % 100 == 28, "added").otherwise("modified")
+    return tree_files(spark, sf_dir).where(id_ % 25 == 3).select("path", status.alias("status"), F.when(id_ % 2 == 0, "staged").otherwise("working_tree").alias("scope"))
+
+
+VIEWS["tree_changes"] = """
+SELECT path, CASE file_id % 100 WHEN 3 THEN 'deleted' WHEN 28 THEN 'added' ELSE 'modified' END AS status, CASE WHEN file_id % 2 = 0 THEN 'staged' ELSE 'working_tree' END AS scope
+FROM tree_files WHERE file_id % 25 = 3"""
