@@ -40,7 +40,6 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -49,13 +48,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylens.llm.common import cut, fold_column, lower_ascii, map_frames, parts, shared_folder
+from quarrylens.llm.anchors import Prints
+from quarrylens.llm.common import BATCH_BYTES, cut, fold_column, lower_ascii, map_frames, parts, shared_folder
 
 FOLDS, HELD_OUT = 7, 2
 #: Classes of documents, training documents that they start from, most rounds of EM, and
@@ -66,8 +65,10 @@ SETTLED = 1e-5
 #: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
 SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 19, 20, 20)
 BLOCK_BYTES = 12_000_000
-#: Distinct words a task counts before it hands them on.
-FLUSH_WORDS = 250_000
+#: Words of batches that a task gathers before it adds them up and hands them on.
+FLUSH_WORDS = 1_000_000
+#: White space between words: a fixed set of six bytes.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
 #: Known words of a bucket of hashes; rounds over a bucket and parts of each that are a step.
 BUCKET_WORDS, ROUNDS, STEPS = 60_000, 1, 4
@@ -81,7 +82,7 @@ ORDERS = len(SLOT_BITS)
 FIRST = np.concatenate(([0], np.cumsum([1 << b for b in SLOT_BITS])))
 GATES = ORDERS * 8
 SCHEMA = (
-    "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+    "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
     "n_bytes long, bits_per_byte double"
 )
 
@@ -361,42 +362,78 @@ def mixture(rows: np.ndarray, k: int = CLASSES) -> tuple[np.ndarray, np.ndarray]
     return prior, log_rate
 
 
+@dataclass
+class Tokens:
+    """The words of some texts: place and size in the bytes of all, text, and hash."""
+
+    data: bytes
+    start: np.ndarray
+    size: np.ndarray
+    doc: np.ndarray
+    h: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tokens:
+        data = b"\n".join([b"", *texts, b""])
+        flat = np.frombuffer(data, dtype=np.uint8)
+        space = SPACE[flat]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        start, size = edge[0::2], edge[1::2] - edge[0::2]
+        ends = np.cumsum([len(x) + 1 for x in texts])
+        return cls(data, start, size, np.searchsorted(ends, start, side="left"), Prints(flat).of(start, size))
+
+
 def counted_words(packed: DataFrame) -> DataFrame:
-    """(word, k, n, docs): each distinct word of each class of documents, and how often
+    """(h, word, k, n, docs): each distinct word of each class of documents, and how often
     and in how many training documents it occurs; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # occurrences, and those beyond the first of a document
-        counts, again = ([Counter() for _ in range(CLASSES)] for _ in range(2))
         unpacker = zstandard.ZstdDecompressor()
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k, (own, more) in enumerate(zip(counts, again, strict=True)):
-                n = np.fromiter(own.values(), np.int64, len(own))
-                docs = n - np.fromiter((more.get(w, 0) for w in own), np.int64, len(own)) if more else n
-                yield pa.record_batch({"word": pa.array(list(own), pa.binary()), "k": pa.array(np.full(len(own), k, dtype=np.int32)), "n": pa.array(n), "docs": pa.array(docs)})
-                own.clear()
-                more.clear()
+        texts: list[bytes] = []
+        own: list[tuple[np.ndarray, ...]] = []
+        held = 0
+        ends = np.zeros(CLASSES, dtype=np.int64)
+
+        def rows() -> pa.RecordBatch:
+            """What was counted in some batches, each word once."""
+            key, h, k, n, docs, batch, start, size = map(np.concatenate, zip(*own, strict=True))
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+            at = order[first]
+            words = [texts[b][s : s + z] for b, s, z in zip(batch[at].tolist(), start[at].tolist(), size[at].tolist(), strict=True)]
+            return pa.record_batch({
+                "h": pa.array(h[at].view(np.int64)), "word": pa.array(words, pa.binary()), "k": pa.array(k[at].astype(np.int32)),
+                "n": pa.array(np.add.reduceat(n[order], first)), "docs": pa.array(np.add.reduceat(docs[order], first)),
+            })
 
         for batch in batches:
-            for held_out, k, text in zip(batch.column("held_out").to_pylist(), batch.column("k").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                words = unpacker.decompress(text).split()
-                own, more = counts[k], again[k]
-                if held_out:
-                    for w in set(words).difference(own):
-                        own[w] = 0
+            for part in parts(batch):
+                learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                k = part.column("k").to_numpy().astype(np.int64)
+                ends += np.bincount(k[learn], minlength=CLASSES)
+                found = Tokens.of([unpacker.decompress(x) for x in part.column("packed").to_pylist()])
+                if not len(found.h):
                     continue
-                own.update(words)
-                own[b""] += 1
-                for w, n in Counter(words).items():
-                    if n > 1:
-                        more[w] += n - 1
-            if sum(map(len, counts)) > FLUSH_WORDS:
-                yield from rows()
-        yield from rows()
-
-    counted = packed.select("held_out", "k", "packed").mapInArrow(run, "word binary, k int, n long, docs long")
-    return counted.groupBy("word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+                key = _keys(found.h, k[found.doc])
+                order = np.argsort(key, kind="stable")
+                sorted_key, doc = key[order], found.doc[order]
+                new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+                first, taken = np.flatnonzero(new), learn[doc].astype(np.int64)
+                new[1:] |= doc[1:] != doc[:-1]
+                at = order[first]
+                own.append((sorted_key[first], found.h[at], k[found.doc[at]], np.add.reduceat(taken, first), np.add.reduceat(taken * new, first), np.full(len(at), len(texts)), found.start[at], found.size[at]))
+                texts.append(found.data)
+                held += len(at)
+                if held > FLUSH_WORDS:
+                    yield rows()
+                    texts, own, held = [], [], 0
+        if own:
+            yield rows()
+        k = np.flatnonzero(ends)
+        yield pa.record_batch({"h": pa.array(np.zeros(len(k), dtype=np.int64)), "word": pa.array([b""] * len(k), pa.binary()), "k": pa.array(k.astype(np.int32)), "n": pa.array(ends[k]), "docs": pa.array(ends[k])})
+
+    counted = packed.select("held_out", "k", "packed").mapInArrow(run, "h long, word binary, k int, n long, docs long")
+    return counted.groupBy("h", "word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -476,11 +513,6 @@ def fit(words: DataFrame, distinct: int) -> tuple[str, np.ndarray, np.ndarray, t
     return path, weights, refine, widths, letters
 
 
-def _hash(word: bytes) -> int:
-    """Spark's ``xxhash64`` of a binary column, without its sign."""
-    return xxhash.xxh64_intdigest(word, seed=42)
-
-
 def _keys(h: np.ndarray, k: np.ndarray) -> np.ndarray:
     """One number for a word's hash and a class."""
     return ((h ^ (k.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -643,7 +675,7 @@ class Bucket:
 
 def _buckets(words: DataFrame, n: int) -> DataFrame:
     """Each word row with its hash and its bucket, of ``n`` (a power of two)."""
-    hashed = words.where("length(word) > 0").withColumn("h", F.xxhash64("word"))
+    hashed = words.where("length(word) > 0")
     place = F.shiftrightunsigned("h", 64 - (n.bit_length() - 1)) if n > 1 else F.lit(0).cast("long")
     return hashed.withColumn("bucket", place)
 
@@ -712,63 +744,52 @@ def _packed(documents: DataFrame, found: Classes, blocks: int) -> DataFrame:
 
     held_out = F.coalesce(fold_column("doc_id", FOLDS) == HELD_OUT, F.lit(False))
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).alias("block")
-    # as text the ids come through pandas unchanged, nulls beside them or not
-    chosen = documents.select(block, F.col("doc_id").cast("long").cast("string").alias("doc_id"), held_out.alias("held_out"), "text")
-    return chosen.mapInArrow(run, "block long, doc_id string, held_out boolean, k int, packed binary")
+    chosen = documents.select(block, F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
+    return chosen.mapInArrow(run, "block long, doc_id long, held_out boolean, k int, packed binary")
+
+
+def _chunked(documents: pa.Table) -> Iterator[tuple[pa.Table, Tokens]]:
+    """A block's documents, some at a time, with their words."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in documents.to_batches():
+        for part in parts(batch, size=BATCH_BYTES // 16):
+            yield part, Tokens.of([unpacker.decompress(x) for x in part.column("packed").to_pylist()])
 
 
 def _block_words(block: pa.Table) -> pa.Table:
     """The keys of all words and classes of a block."""
-    unpacker = zstandard.ZstdDecompressor()
-    distinct: list[set[bytes]] = [set() for _ in range(CLASSES)]
-    for k, packed in zip(block.column("k").to_pylist(), block.column("packed").to_pylist(), strict=True):
-        distinct[k].update(unpacker.decompress(packed).split())
-    keys = np.concatenate([_keys(np.fromiter(map(_hash, own), np.uint64, len(own)), np.full(len(own), k)) for k, own in enumerate(distinct)])
+    found = [np.unique(_keys(words.h, part.column("k").to_numpy()[words.doc])) for part, words in _chunked(block)]
+    keys = np.unique(np.concatenate(found))
     return pa.table({"block": pa.array(np.full(len(keys), block.column("block")[0].as_py(), dtype=np.int64)), "key": pa.array(keys)})
 
 
-def score_block(documents: pd.DataFrame, vocabulary: pd.DataFrame, totals: Totals) -> pd.DataFrame:
-    """The scores of a block's documents, some hundred thousand words at a time."""
-    vocabulary = vocabulary.sort_values("key").drop_duplicates("key")
-    keys, n = vocabulary["key"].to_numpy(), vocabulary["n"].to_numpy()
-    rates = np.exp2(-vocabulary[["bits", "others_bits"]].to_numpy().astype(float))
-    log_n = np.log10(n + 1.0)
+def score_block(documents: pa.Table, vocabulary: pa.Table, totals: Totals) -> pa.Table:
+    """The scores of a block's documents."""
+    keys = vocabulary.column("key").to_numpy()
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    n, *bits = (vocabulary.column(c).to_numpy()[order] for c in ("n", "bits", "others_bits"))
+    log_n, rates = np.log10(n + 1.0), [np.exp2(-x.astype(float)) for x in bits]
     ends = totals.docs.sum()
     end = (ends + 0.5) / (totals.tokens + 1)
     prior = np.log10((totals.docs + 0.5) / (ends + 0.5 * CLASSES))
-    unpacker = zstandard.ZstdDecompressor()
-    index: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-    out, places, columns = [], [], []
-
-    def scored() -> pd.DataFrame:
-        sizes = np.array([len(x) for x in places])
-        at, doc = np.concatenate(places), np.repeat(np.arange(len(places)), sizes)
-        held_out, k = np.array([x[1] for x in columns]), np.array([x[2] for x in columns])
-        text_bytes = np.array([x[3] for x in columns])
-        add = lambda x: np.bincount(doc, x, len(places))
-        base = add(log_n[at]) + np.log10(ends + 1) - (sizes + 1) * np.log10(totals.tokens + totals.distinct + 1)
-        score = add(with_cache(at, doc, rates[at, np.where(held_out, 0, 1)[doc]])) + prior[k] + sizes * np.log10(1 - end) + np.log10(end)
-        known = add((n[at] > 0).astype(float)).astype(np.int64) + int(ends > 0)
-        n_bytes = text_bytes + sizes + 1
-        return pd.DataFrame({
-            "doc_id": [x[0] for x in columns], "held_out": held_out, "n_tokens": sizes + 1, "n_known": known, "train_tokens": totals.tokens,
+    out = []
+    for part, words in _chunked(documents):
+        held_out, k = part.column("held_out").to_numpy(zero_copy_only=False), part.column("k").to_numpy()
+        distinct, where = np.unique(_keys(words.h, k[words.doc]), return_inverse=True)
+        at = np.searchsorted(keys, distinct)[where]
+        size = np.bincount(words.doc, minlength=part.num_rows)
+        add = lambda x: np.bincount(words.doc, x, part.num_rows)
+        base = add(log_n[at]) + np.log10(ends + 1) - (size + 1) * np.log10(totals.tokens + totals.distinct + 1)
+        rate = np.where(held_out[words.doc], rates[0][at], rates[1][at])
+        score = add(with_cache(where, words.doc, rate)) + prior[k] + size * np.log10(1 - end) + np.log10(end)
+        n_bytes = add(words.size.astype(float)).astype(np.int64) + size + 1
+        out.append(pa.table({
+            "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": size + 1,
+            "n_known": add((n[at] > 0).astype(float)).astype(np.int64) + int(ends > 0), "train_tokens": np.full(len(size), totals.tokens),
             "base_score": base, "score": score, "n_bytes": n_bytes, "bits_per_byte": -score / np.log10(2) / n_bytes,
-        })
-
-    for doc_id, held_out, k, packed in zip(documents["doc_id"], documents["held_out"], documents["k"], documents["packed"], strict=True):
-        own = unpacker.decompress(packed).split()
-        place = index[k]
-        new = list(set(own).difference(place))
-        if new:
-            place.update(zip(new, np.searchsorted(keys, _keys(np.fromiter(map(_hash, new), np.uint64, len(new)), np.full(len(new), k))).tolist(), strict=True))
-        places.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
-        columns.append((doc_id, bool(held_out), int(k), sum(map(len, own))))
-        if sum(map(len, places[-200:])) > 400_000 or len(places) >= 200:
-            out.append(scored())
-            places, columns = [], []
-    if places:
-        out.append(scored())
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[x.split()[0] for x in SCHEMA.split(", ")])
+        }))
+    return pa.concat_tables(out)
 
 
 def with_cache(at: np.ndarray, doc: np.ndarray, rates: np.ndarray) -> np.ndarray:
@@ -821,7 +842,7 @@ def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     packed = cut(_packed(documents, find_classes(documents), blocks))
     words = cut(counted_words(packed))
     # (word, n, docs, k): all classes together, and the one of a word's only document
-    every = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("k", "docs").alias("k")).where("n > 0")
+    every = words.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("k", "docs").alias("k")).where("n > 0")
     every = cut(every)
     totals = _totals(words, every)
     rows = _buckets(words, len(totals.buckets)).select("bucket", "h", "word", "k", "n", "docs")
@@ -829,5 +850,4 @@ def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     dealt = packed.repartition(blocks, "block")
     needed = dealt.groupBy("block").applyInArrow(_block_words, "block long, key long")
     vocabulary = needed.join(priced, "key").select("block", "key", "n", "bits", "others_bits")
-    scored = dealt.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(lambda d, v: score_block(d, v, totals), SCHEMA)
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return dealt.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInArrow(lambda d, v: score_block(d, v, totals), SCHEMA)
