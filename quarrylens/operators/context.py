@@ -32,15 +32,14 @@ def linked_activity(activity: DataFrame, terms: list[str], latest: int = 80, mos
     return found.orderBy(F.desc("created_at"), F.desc("activity_id")).limit(most)
 
 
-def batch_runs(batches: DataFrame, runs: DataFrame) -> DataFrame:
+def batch_runs(queue: DataFrame, scenarios: DataFrame, runs: DataFrame) -> DataFrame:
     """The first queued run of each scenario of a batch, in the queue's order.
 
-    batches: (batch_id, scenario_ids, run_ids); runs: (run_id, scenario_id, ...).
+    queue: (batch_id, pos, run_id); scenarios: (batch_id, scenario_id) asked for; runs:
+    (run_id, scenario_id).
     """
-    queue = batches.select("batch_id", "scenario_ids", F.posexplode("run_ids").alias("pos", "run_id"))
-    joined = queue.join(runs, "run_id").where(F.expr("array_contains(scenario_ids, scenario_id)"))
-    first = F.row_number().over(Window.partitionBy("batch_id", "scenario_id").orderBy("pos"))
-    return joined.withColumn("_first", first).where("_first = 1").drop("_first", "scenario_ids")
+    joined = queue.join(runs, "run_id").join(scenarios, ["batch_id", "scenario_id"], "left_semi")
+    return joined.groupBy("batch_id", "scenario_id").agg(F.min_by("run_id", "pos").alias("run_id"))
 
 
 def ranked_artifacts(parts: dict[str, tuple[DataFrame, int]], terms: Column, most: int = 8, hits: int = 4) -> DataFrame:

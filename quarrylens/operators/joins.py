@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.paths import glob_pattern
 from quarrylens.functions.text import blank_to_null
 
 
 def review_ready(runs: DataFrame, fixes: DataFrame, reviews: DataFrame, most: int = 8) -> DataFrame:
     """(issue_id, n, run_ids): completed runs with neither a fix nor a review; all are
-    counted, the newest ``most`` are listed."""
-    open_ = runs.where("status = 'completed'").join(fixes, "run_id", "left_anti").join(reviews, "run_id", "left_anti")
-    newest = Window.partitionBy("issue_id").orderBy(F.desc("created_at"), F.desc("run_id"))
-    placed = open_.withColumn("place", F.row_number().over(newest))
-    listed = F.array_sort(F.collect_list(F.when(F.col("place") <= most, F.struct("place", "run_id"))))
-    return placed.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"), F.transform(listed, lambda x: x["run_id"]).alias("run_ids"))
+    counted, the newest ``most`` are listed: of each part of an issue's runs, then of those."""
+    open_ = runs.where("status = 'completed'").join(fixes, "run_id", "left_anti").join(reviews, "run_id", "left_anti").select("issue_id", "run_id", "created_at")
+    counted = open_.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n"))
+    newest = open_.withColumn("part", F.pmod(F.xxhash64("run_id"), F.lit(16)))
+    for keys in (["issue_id", "part"], ["issue_id"]):
+        newest = newest.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("created_at"), F.desc("run_id")))).where(F.col("place") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("place", "run_id")))
+    return counted.join(newest.groupBy("issue_id").agg(F.transform(listed, lambda x: x["run_id"]).alias("run_ids")), "issue_id")
 
 
 def with_verdicts(issues: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -68,15 +71,28 @@ def array_membership(left: DataFrame, ids: str, dim: DataFrame, dim_key: str, va
 
 def similar_titles(issues: DataFrame, asked: DataFrame, least: float = 0.3) -> DataFrame:
     """Pairs of an asked issue and another whose title's words have a Jaccard of
-    ``least`` or more: both meet on a shared word, so no pair without one is formed."""
-    def words(df: DataFrame, id_: str) -> DataFrame:
-        own = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda x: x != ""))
-        return df.select(F.col("bug_id").alias(id_), own.alias("own")).select(id_, F.size("own").alias(f"n_{id_}"), F.explode("own").alias("word"))
+    ``least`` or more.
 
-    pairs = words(asked, "a").join(words(issues, "b"), "word").where("a <> b")
-    shared = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common"))
-    score = F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    return shared.withColumn("score", score).where(F.col("score") >= least).select("a", "b", "common", "score")
+    In one order of all words, rarest first, titles so alike share a word among the first
+    ``n - ceil(least * n) + 1`` of each, so only these meet, and only titles whose sizes
+    allow it; each pair found is then compared as a whole.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("title"), r"\s+"), lambda x: x != ""))
+    own = lambda df: df.select("bug_id", words.alias("own")).select("bug_id", "own", F.size("own").alias("n"))
+    common = own(issues).select(F.explode("own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("held"))
+
+    def prefix(df: DataFrame, id_: str) -> DataFrame:
+        opened = own(df).select(F.col("bug_id").alias(id_), F.col("n").alias(f"n_{id_}"), F.explode("own").alias("word")).join(common, "word")
+        place = F.row_number().over(Window.partitionBy(id_).orderBy("held", "word"))
+        first = F.col(f"n_{id_}") - F.ceil(F.col(f"n_{id_}") * least) + 1
+        return opened.withColumn("place", place).where(F.col("place") <= first).select(id_, f"n_{id_}", "word")
+
+    sized = (F.col("n_b") >= F.col("n_a") * least) & (F.col("n_a") >= F.col("n_b") * least)
+    pairs = prefix(asked, "a").join(prefix(issues, "b"), "word").where((F.col("a") != F.col("b")) & sized).select("a", "b").distinct()
+    side = lambda df, id_: own(df).select(F.col("bug_id").alias(id_), F.col("own").alias(f"own_{id_}"))
+    both = pairs.join(side(asked, "a"), "a").join(side(issues, "b"), "b").withColumn("common", F.size(F.array_intersect("own_a", "own_b")).cast("long"))
+    score = F.col("common") / (F.size("own_a") + F.size("own_b") - F.col("common"))
+    return both.withColumn("score", score).where(F.col("score") >= least).select("a", "b", "common", "score")
 
 
 def full_delta(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -85,3 +101,14 @@ def full_delta(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> DataF
     j = a.select(key, *values).join(right, key, "full_outer")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return j.select(key, *(zero(v).alias(f"a_{v}") for v in values), *(zero(f"b_{v}").alias(f"b_{v}") for v in values), *((zero(f"b_{v}") - zero(v)).alias(f"delta_{v}") for v in values))
+
+
+def glob_matches(rows: DataFrame, globs: DataFrame) -> DataFrame:
+    """Rows (path, ...) with the globs (glob, ...) that they match.  Both meet on the
+    directories before a glob's first wildcard: a path on each directory above it."""
+    fixed = F.regexp_extract("glob", r"^((?:[^*?\[/]*/)*)", 1)
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.concat_ws("/", F.slice(parts, F.lit(1), k), F.when(k > 0, F.lit(""))))
+    known = globs.select("*", fixed.alias("_root"), glob_pattern(F.col("glob")).alias("_pattern"))
+    opened = rows.withColumn("_root", F.explode(F.array_distinct(above)))
+    return opened.join(known, "_root").where(F.expr("path RLIKE _pattern")).drop("_root", "_pattern")

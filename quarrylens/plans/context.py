@@ -38,8 +38,9 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
 @query("j14_batch_runs", """SELECT batch_id, scenario_id, run_id FROM (SELECT issue_id AS batch_id, model AS scenario_id, run_id, row_number() OVER (PARTITION BY issue_id, model ORDER BY run_id) AS p FROM runs WHERE model IN ('1-URGENT', '2-HIGH')) WHERE p = 1""")
 def j14(spark: SparkSession, d: str) -> DataFrame:
     runs = src.runs(spark, d).select("run_id", "issue_id", F.col("model").alias("scenario_id"))
-    batches = runs.groupBy(F.col("issue_id").alias("batch_id")).agg(F.array(F.lit("1-URGENT"), F.lit("2-HIGH")).alias("scenario_ids"), F.array_sort(F.collect_list("run_id")).alias("run_ids"))
-    return context.batch_runs(batches, runs.drop("issue_id")).select("batch_id", "scenario_id", "run_id")
+    queue = runs.select(F.col("issue_id").alias("batch_id"), F.col("run_id").alias("pos"), "run_id")
+    asked = queue.select("batch_id").distinct().select("batch_id", F.explode(F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).alias("scenario_id"))
+    return context.batch_runs(queue, asked, runs.drop("issue_id"))
 
 
 @query("s21_worktree", """SELECT count(*) AS dirty_files, count(*) FILTER (p_size % 3 = 0) AS untracked_files, count(*) FILTER (p_size % 3 = 1) AS staged_files FROM part""")

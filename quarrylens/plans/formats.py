@@ -37,13 +37,14 @@ def s13(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s14_cobertura", """SELECT result_id, count(*) AS lines_total, count(*) FILTER (hits > 0) AS lines_covered, count(DISTINCT file) AS files_total, count(DISTINCT CASE WHEN hits > 0 THEN file END) AS files_covered,
-50.0 AS line_coverage FROM coverage_lines WHERE line < 3 GROUP BY result_id""")
+CAST(result_id % 101 AS DOUBLE) AS line_coverage FROM coverage_lines GROUP BY result_id""")
 def s14(spark: SparkSession, d: str) -> DataFrame:
     line = F.format_string('<line number="%d" hits="%d"/>', "line", "hits")
-    files = src.coverage_lines(spark, d).where("line < 3").groupBy("result_id", "file").agg(joined(line, "").alias("body"))
+    files = src.coverage_lines(spark, d).groupBy("result_id", "file").agg(joined(line, "").alias("body"))
     each = F.concat(F.lit('<class filename="p'), F.col("file").cast("string"), F.lit('"><lines>'), "body", F.lit("</lines></class>"))
     reports = files.groupBy(F.col("result_id").alias("path")).agg(joined(each, "").alias("body"))
-    text = F.concat(F.lit('<coverage line-rate="0.5"><packages><package><classes>'), "body", F.lit("</classes></package></packages></coverage>"))
+    rate = F.format_string("%.2f", (F.col("path") % 101) / 100)
+    text = F.concat(F.lit('<coverage line-rate="'), rate, F.lit('"><packages><package><classes>'), "body", F.lit("</classes></package></packages></coverage>"))
     return coverage.cobertura(reports.select("path", text.alias("text"))).select(F.col("raw_report_path").alias("result_id"), "lines_total", "lines_covered", "files_total", "files_covered", "line_coverage")
 
 

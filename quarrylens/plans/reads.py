@@ -209,7 +209,7 @@ def k05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w01_latest_run", """SELECT issue_id, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY created_at DESC, run_id DESC) AS p FROM runs) WHERE p = 1""")
 def w01(spark: SparkSession, d: str) -> DataFrame:
-    return selection.latest_per(src.runs(spark, d), ["issue_id"], [F.desc("created_at"), F.desc("run_id")]).select("issue_id", "run_id", "status")
+    return selection.latest_per(src.runs(spark, d), ["issue_id"], [F.desc("created_at"), F.desc("run_id")], "run_id").select("issue_id", "run_id", "status")
 
 
 @query("w03_fresh_runs", """SELECT issue_id, run_id, previous, strftime(created_at, '%Y-%m-%d') AS created FROM (SELECT *, row_number() OVER w AS p, lead(run_id) OVER w AS previous FROM runs
@@ -260,11 +260,11 @@ def d05(spark: SparkSession, d: str) -> DataFrame:
 def d08(spark: SparkSession, d: str) -> DataFrame:
     built_in = src.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(True).alias("built_in"))
     saved = src.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit(False).alias("built_in"))
-    return selection.latest_per(built_in.unionByName(saved), ["id"], [F.col("built_in"), F.col("name")])
+    return selection.latest_per(built_in.unionByName(saved), ["id"], [F.col("built_in"), F.col("name")], "name")
 
 
 @query("d10_best_target", """SELECT p_brand AS kind, p_type AS command, p_retailprice AS confidence, p_partkey AS target FROM
 (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS p FROM part) WHERE p = 1""")
 def d10(spark: SparkSession, d: str) -> DataFrame:
     targets = src.table(spark, d, "part").select(F.col("p_brand").alias("kind"), F.col("p_type").alias("command"), F.col("p_retailprice").alias("confidence"), F.col("p_partkey").alias("target"))
-    return selection.latest_per(targets, ["kind", "command"], [F.desc("confidence"), F.col("target")])
+    return selection.latest_per(targets, ["kind", "command"], [F.desc("confidence"), F.col("target")], "target")

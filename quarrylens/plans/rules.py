@@ -85,10 +85,11 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f10_path_instructions", r"""SELECT n_nationkey AS instruction, count(*) AS n FROM nation JOIN (SELECT '/src/' || source || '/' || lang AS path FROM documents) p ON regexp_full_match(p.path, '/src/[^/]*' || n_nationkey || '/[^/]*') GROUP BY n_nationkey""")
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    """Globs of a table of a fixed 25 rows meet the distinct paths they may match."""
-    globs = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("instruction"), paths.glob_pattern(F.concat(F.lit("/src/*"), F.col("n_nationkey").cast("string"), F.lit("/*"))).alias("pattern"))
+    """Distinct paths meet the globs that begin as they do, and are then matched."""
+    glob = F.concat(F.lit("/src/*"), F.col("n_nationkey").cast("string"), F.lit("/*"))
+    globs = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("instruction"), glob.alias("glob"))
     own = src.table(spark, d, "documents").groupBy(F.concat(F.lit("/src/"), "source", F.lit("/"), "lang").alias("path")).agg(F.count(F.lit(1)).alias("m"))
-    return own.join(globs, F.expr("path RLIKE pattern")).groupBy("instruction").agg(F.sum("m").alias("n"))
+    return joins.glob_matches(own, globs).groupBy("instruction").agg(F.sum("m").alias("n"))
 
 
 @query("a12_scenario_report", """SELECT runtime AS scenario, count(*) AS runs, count(*) FILTER (status = 'completed') AS succeeded, count(*) FILTER (status = 'failed') AS failed,

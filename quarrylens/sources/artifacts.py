@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarrylens import schemas
 
@@ -18,7 +19,8 @@ def collection(spark: SparkSession, path: str, table: str) -> DataFrame:
     files it is empty.  Documents that don't parse are left out."""
     schema = schemas.TABLES[table]
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        own = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+        return own.select(StructType.fromDDL(schema).names)  # no columns of directories' names
     except AnalysisException as error:
         if _absent(error):
             return spark.createDataFrame([], schema)

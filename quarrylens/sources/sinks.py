@@ -15,6 +15,14 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def overwrite_json(df: DataFrame, path: str, rows: int = 500) -> None:
+    """The same as JSON files, each an array of some ``rows`` documents."""
+    files = max(1, -(-df.count() // rows))
+    dealt = df.select(F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("file"), F.struct(*df.columns).alias("row"))
+    listed = dealt.groupBy("file").agg(F.to_json(F.collect_list("row")).alias("value"))
+    listed.repartition(max(1, min(files, 200)), "file").write.mode("overwrite").partitionBy("file").text(path)
+
+
 def append_activity(df: DataFrame, path: str) -> None:
     """Events behind those that the log holds, as JSON lines."""
     df.write.mode("append").json(path)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens.functions import paths
@@ -111,11 +111,18 @@ def targets(tree: DataFrame) -> DataFrame:
     return best.select("kind", "command", "b.*")
 
 
+def explanation() -> Column:
+    """A sentence on a file of ``explained`` with its number of ``symbols``."""
+    return F.format_string("%s is a %s file with %d lines, %d import-like lines and %d symbols.", "path", "role", "line_count", "import_count", "symbols")
+
+
 def guidance(tree: DataFrame, known: DataFrame, most: int = 6) -> DataFrame:
     """Guidance files: the tree's files that a dimension (path, kind, always_on, priority)
-    names, or that lie below a directory named there (path ends in /)."""
-    rule = F.broadcast(known.withColumnRenamed("path", "rule"))  # a fixed list of a dozen rows
-    fits = (F.col("path") == F.col("rule")) | (F.col("rule").endswith("/") & F.col("path").startswith(F.col("rule")) & F.col("path").rlike(r"\.(md|mdc|json)$"))
-    found = tree.join(rule, fits)
+    names, or that lie below a directory named there (path ends in /).  A file meets the
+    dimension on its own path and on each directory above it."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.when(k == F.size(parts), F.col("path")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
+    opened = tree.select("path", F.explode(above).alias("rule")).where(~F.col("rule").endswith("/") | F.col("path").rlike(r"\.(md|mdc|json)$"))
+    found = opened.join(known.withColumnRenamed("path", "rule"), "rule")
     one = found.groupBy(F.lower("path").alias("key")).agg(F.min_by(F.struct("path", "kind", "always_on", "priority"), F.struct("priority", "path")).alias("g"))
     return one.select("g.*").orderBy("priority", F.lower("path"), "path").limit(most)
