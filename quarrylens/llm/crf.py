@@ -90,6 +90,51 @@ def marginals(emit: np.ndarray, trans: np.ndarray, lanes: Lanes, pairs: bool = F
     return (p, log_z, seen) if pairs else p
 
 
+@dataclass
+class Rests:
+    """Ways over 0, 1, 2, ... positions of one and the same emission, each scaled; from
+    the last on they are all alike: between two other positions, from the beginning to
+    one, and from one to the end."""
+
+    between: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+
+    @classmethod
+    def of(cls, rest: np.ndarray, trans: np.ndarray, most: int = 64) -> Rests:
+        grow, lift = np.exp(trans - trans.max()), np.exp(rest - rest.max())
+        between, before, after = [grow], [np.ones(len(lift))], [np.ones(len(lift))]
+        for _ in range(most):
+            between.append(between[-1] @ (lift[:, None] * grow))
+            before.append(before[-1] @ (lift[:, None] * grow))
+            after.append(grow @ (lift * after[-1]))
+            for x in (between, before, after):
+                x[-1] = x[-1] / x[-1].max()
+        return cls(*map(np.array, (between, before, after)))
+
+
+def marginals_between(emit: np.ndarray, gap: np.ndarray, tail: np.ndarray, rests: Rests, lanes: Lanes) -> np.ndarray:
+    """Label probabilities of chosen positions of whole sequences.
+
+    ``gap``: the positions left out before each chosen one; ``tail``: those after it, for
+    the last ones of their sequences.
+    """
+    most = len(rests.between) - 1
+    grow, gap = rests.between[np.minimum(gap, most)], np.minimum(gap, most)
+    lift = np.exp(emit - emit.max(1, keepdims=True))
+    alpha, beta = np.zeros_like(lift), rests.after[np.minimum(tail, most)]
+    for t in range(len(lanes.live)):
+        at = lanes.first[: lanes.live[t]] + t
+        a = (np.einsum("ij,ijk->ik", alpha[at - 1], grow[at]) if t else rests.before[gap[at]]) * lift[at]
+        alpha[at] = a / a.sum(1, keepdims=True)
+    for t in range(len(lanes.live) - 2, -1, -1):
+        at = lanes.first[: lanes.live[t + 1]] + t
+        b = np.einsum("ijk,ik->ij", grow[at + 1], lift[at + 1] * beta[at + 1])
+        beta[at] = b / b.sum(1, keepdims=True)
+    p = alpha * beta
+    return p / np.maximum(p.sum(1, keepdims=True), 1e-300)
+
+
 @dataclass
 class Crf:
     """``weight[f, y]`` of each active feature f at label y, and ``trans[y, y']``."""

@@ -64,9 +64,9 @@ CLASSES, SAMPLE_DOCS, EM_ROUNDS, BINS = 8, 2500, 25, 256
 SETTLED = 1e-5
 #: Least and most slots of the predictors of order 0, 1, 2, ...: powers of two.
 SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 19, 20, 20)
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 24_000_000
 #: Words of batches that a task gathers before it adds them up and hands them on.
-FLUSH_WORDS = 1_000_000
+FLUSH_WORDS = 600_000
 #: White space between words: a fixed set of six bytes.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
@@ -384,7 +384,7 @@ class Tokens:
 
 
 def counted_words(packed: DataFrame) -> DataFrame:
-    """(h, word, k, n, docs): each distinct word of each class of documents, and how often
+    """(word, k, n, docs): each distinct word of each class of documents, and how often
     and in how many training documents it occurs; the end token is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -396,13 +396,13 @@ def counted_words(packed: DataFrame) -> DataFrame:
 
         def rows() -> pa.RecordBatch:
             """What was counted in some batches, each word once."""
-            key, h, k, n, docs, batch, start, size = map(np.concatenate, zip(*own, strict=True))
+            key, k, n, docs, batch, start, size = map(np.concatenate, zip(*own, strict=True))
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
             at = order[first]
             words = [texts[b][s : s + z] for b, s, z in zip(batch[at].tolist(), start[at].tolist(), size[at].tolist(), strict=True)]
             return pa.record_batch({
-                "h": pa.array(h[at].view(np.int64)), "word": pa.array(words, pa.binary()), "k": pa.array(k[at].astype(np.int32)),
+                "word": pa.array(words, pa.binary()), "k": pa.array(k[at].astype(np.int32)),
                 "n": pa.array(np.add.reduceat(n[order], first)), "docs": pa.array(np.add.reduceat(docs[order], first)),
             })
 
@@ -421,7 +421,7 @@ def counted_words(packed: DataFrame) -> DataFrame:
                 first, taken = np.flatnonzero(new), learn[doc].astype(np.int64)
                 new[1:] |= doc[1:] != doc[:-1]
                 at = order[first]
-                own.append((sorted_key[first], found.h[at], k[found.doc[at]], np.add.reduceat(taken, first), np.add.reduceat(taken * new, first), np.full(len(at), len(texts)), found.start[at], found.size[at]))
+                own.append((sorted_key[first], k[found.doc[at]], np.add.reduceat(taken, first), np.add.reduceat(taken * new, first), np.full(len(at), len(texts)), found.start[at], found.size[at]))
                 texts.append(found.data)
                 held += len(at)
                 if held > FLUSH_WORDS:
@@ -430,10 +430,10 @@ def counted_words(packed: DataFrame) -> DataFrame:
         if own:
             yield rows()
         k = np.flatnonzero(ends)
-        yield pa.record_batch({"h": pa.array(np.zeros(len(k), dtype=np.int64)), "word": pa.array([b""] * len(k), pa.binary()), "k": pa.array(k.astype(np.int32)), "n": pa.array(ends[k]), "docs": pa.array(ends[k])})
+        yield pa.record_batch({"word": pa.array([b""] * len(k), pa.binary()), "k": pa.array(k.astype(np.int32)), "n": pa.array(ends[k]), "docs": pa.array(ends[k])})
 
-    counted = packed.select("held_out", "k", "packed").mapInArrow(run, "h long, word binary, k int, n long, docs long")
-    return counted.groupBy("h", "word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counted = packed.select("held_out", "k", "packed").mapInArrow(run, "word binary, k int, n long, docs long")
+    return counted.groupBy("word", "k").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -675,7 +675,7 @@ class Bucket:
 
 def _buckets(words: DataFrame, n: int) -> DataFrame:
     """Each word row with its hash and its bucket, of ``n`` (a power of two)."""
-    hashed = words.where("length(word) > 0")
+    hashed = words.where("length(word) > 0").withColumn("h", F.xxhash64("word"))
     place = F.shiftrightunsigned("h", 64 - (n.bit_length() - 1)) if n > 1 else F.lit(0).cast("long")
     return hashed.withColumn("bucket", place)
 
@@ -725,7 +725,7 @@ def _priced(rows: DataFrame, totals: Totals, code: CodeModel, path: str, weights
             for at in range(0, len(chosen), CHUNK_WORDS):
                 part = chosen[at : at + CHUNK_WORDS]
                 out[part] = model.bits_of([own.words[i] for i in part], left_out) - np.log2(fresh[part])
-        return pa.table({"key": pa.array(_keys(own.h, own.k)), "n": pa.array(total.astype(np.int64)), "bits": pa.array(bits.astype(np.float32)), "others_bits": pa.array(others.astype(np.float32))})
+        return pa.table({"key": pa.array(_keys(Tokens.of(own.words).h, own.k)), "n": pa.array(total.astype(np.int64)), "bits": pa.array(bits.astype(np.float32)), "others_bits": pa.array(others.astype(np.float32))})
 
     return rows.groupBy("bucket").applyInArrow(run, "key long, n long, bits float, others_bits float")
 
@@ -842,7 +842,7 @@ def score(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     packed = cut(_packed(documents, find_classes(documents), blocks))
     words = cut(counted_words(packed))
     # (word, n, docs, k): all classes together, and the one of a word's only document
-    every = words.groupBy("h", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("k", "docs").alias("k")).where("n > 0")
+    every = words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max_by("k", "docs").alias("k")).where("n > 0")
     every = cut(every)
     totals = _totals(words, every)
     rows = _buckets(words, len(totals.buckets)).select("bucket", "h", "word", "k", "n", "docs")
