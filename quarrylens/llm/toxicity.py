@@ -2,7 +2,7 @@
 
 Training looks only at labelled documents outside the held-out fold, at most
 ``SAMPLE_ROWS`` of each class.  Cues (words, their beginnings and endings) are weighed
-by how much oftener a word of a toxic than of a clean document shows them.  The labelled tokens
+by how much oftener a (distinct) word of a toxic than of a clean document shows them.  The labelled tokens
 are words of toxic documents with a strong cue.  The sample has ``PARTS`` parts, and the
 CRF sees a part's words only through the cues of the other parts: the strongest one's
 strength and kind, the neighbours' strengths, the word's size and shape.  So it learns
@@ -175,16 +175,15 @@ def _sample(documents: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _count_cues(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Words that show each cue, and toxic documents, by part and class; "" counts all words."""
+    """Distinct words of documents that show each cue, and toxic documents, by part and
+    class; "" counts all words."""
     counts: dict[tuple[int, int], Counter] = {(p, t): Counter() for p in range(PARTS) for t in (0, 1)}
     held: dict[int, Counter] = {p: Counter() for p in range(PARTS)}
     for pdf in frames:
         for part, toxic, text in zip(pdf["part"], pdf["toxic"], pdf["text"], strict=True):
             shown: Counter = Counter()
-            for w, n in Counter(text.split()).items():
-                for c in cues(w):
-                    shown[c] += n
-                shown[""] += n
+            for w in set(text.split()):  # a word that a document repeats is one sign
+                shown.update({"", *cues(w)})
             counts[int(part), int(toxic)].update(shown)
             if toxic:
                 held[int(part)].update(shown.keys())
