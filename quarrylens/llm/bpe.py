@@ -66,6 +66,10 @@ class Bpe:
         self.keys, self.ranks = keys[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
         split = next(x for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        kind = (spec.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"{path} asks for a decoder of an unknown kind, {kind}")
+        self.bytes_of = {x: bytes([b]) for b, x in enumerate(letters)} if kind else None
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE}"))
 
     def normal(self, word: str) -> str:
@@ -122,8 +126,11 @@ class Bpe:
         return [b"".join(map(ids.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The file names no decoder, so tokens are joined by spaces as they are."""
-        return " ".join(map(self.token.__getitem__, ids.tolist()))
+        """By the file's decoder: its bytes, or without one the tokens joined by spaces."""
+        tokens = map(self.token.__getitem__, ids.tolist())
+        if self.bytes_of is None:
+            return " ".join(tokens)
+        return b"".join(self.bytes_of.get(x, x.encode()) for token in tokens for x in token).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)

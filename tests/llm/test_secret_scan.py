@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import json
+import random
 
 from quarrylens.llm import secret_scan
 
@@ -102,3 +103,55 @@ def test_token_headers_may_be_spaced():
         text = ".".join(b64(x, url=True) for x in (head.encode(), b'{ "sub": 1}', b"s" * 32))
         assert kinds(f"x {text} y") == ["signed"], head
     assert kinds("www.example.com and a.b.c") == []
+
+
+def by_hand(text):
+    """The base rules place by place, without the operator's patterns."""
+    low, found = "".join(c.lower() if c.isascii() else c for c in text), []
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    run = lambda at, chars: next((k for k in range(at, len(text)) if text[k] not in chars), len(text))
+    at = 0
+    while at < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = at + len(name)
+                k += text[k : k + 1] in ("'", '"') and text[k : k + 1] != ""
+                k = run(k, " ")
+                if text[k : k + 1] in (":", "=") and text[k : k + 1]:
+                    k = run(k + 1, " ")
+                    k += text[k : k + 1] in ("'", '"') and text[k : k + 1] != ""
+                    end = run(k, value)
+                    if end > k:
+                        if end - k >= 8:
+                            found.append((at, 0, end))
+                        at = end - 1
+                        break
+        at += 1
+    for kind, start, chars, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            if text.startswith(start, at) and (end := run(at + len(start), chars)) > at + len(start):
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_equal_brute_force():
+    rng = random.Random(6)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "APIkey", ":", "=", " ", "  ", "'", '"', "abcdefgh", "Z9+/_.=-", "x", "é", "AKIA", "AKIAABCDEFGH1234", "0123456789abcdef", "deadbeef" * 4, "\n", "\t", "\u212a"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 14)))
+        assert secret_scan.base_spans(text) == by_hand(text), repr(text)
+
+
+def test_keys_of_any_length_between_any_texts():
+    """Three lengths modulo three (with and without padding), on lines of their own and not."""
+    for size in (48, 49, 50):
+        key = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + der(5, b"")) + der(4, b"k" * size))
+        for url in (False, True):
+            body = b64(key, url)
+            for before, after in (("", ""), ("key: ", "\nHello world"), ("text\n", "\n\nmore"), ("see ", " and so on"), ("a\n", "\nAbc123\nDef")):
+                assert "key" in kinds(before + body + after), (size, url, before, after)
