@@ -11,8 +11,8 @@ STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this")
 IGNORED_DIRS = (".git", "node_modules", ".venv", "venv", "dist", "build", "target", "__pycache__", "research", "vendor")
 #: Languages by file extension.
 LANGUAGES = {
-    "py": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust",
-    "java": "java", "kt": "kotlin", "rb": "ruby", "php": "php", "cs": "csharp", "html": "html", "css": "css", "md": "markdown",
+    "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust",
+    "java": "java", "sh": "bash", "html": "html", "css": "css", "yaml": "yaml", "yml": "yaml", "json": "json",
 }
 
 

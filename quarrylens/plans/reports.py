@@ -219,10 +219,13 @@ def m06(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("run_id", numbers.cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")).alias("cost"))
 
 
-@query("u05_language", """SELECT file_id, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS extension,
-CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'html' THEN 'html' END AS language FROM files""")
+@query("u05_language", """SELECT path, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS extension, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'tsx' WHEN 'js' THEN 'javascript'
+WHEN 'jsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' WHEN 'java' THEN 'java' WHEN 'sh' THEN 'bash' WHEN 'html' THEN 'html' WHEN 'css' THEN 'css' WHEN 'yaml' THEN 'yaml' WHEN 'yml' THEN 'yaml' WHEN 'json' THEN 'json' END AS language
+FROM (SELECT path FROM tree_files UNION ALL SELECT 'x' || p_partkey || ['.JS', '.jsx', '.java', '.css', '.yml', '.HTML', '.rb', ''][CAST(p_size % 8 AS INT) + 1] FROM part)""")
 def u05(spark: SparkSession, d: str) -> DataFrame:
-    return src.files(spark, d).select("file_id", text.extension(F.col("path")).alias("extension"), text.language(F.col("path")).alias("language"))
+    endings = F.array(*map(F.lit, (".JS", ".jsx", ".java", ".css", ".yml", ".HTML", ".rb", "")))
+    more = src.table(spark, d, "part").select(F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.element_at(endings, (F.col("p_size") % 8).cast("int") + 1)).alias("path"))
+    return src.tree_files(spark, d).select("path").unionByName(more).select("path", text.extension(F.col("path")).alias("extension"), text.language(F.col("path")).alias("language"))
 
 
 @query("u07_plain_path", "SELECT bug_id, ltrim(evidence_path, './') AS path FROM issues")
