@@ -66,10 +66,10 @@ SETTLED = 1e-5
 SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 19, 20, 20)
 BLOCK_BYTES = 24_000_000
 #: Words of batches that a task gathers before it adds them up and hands them on.
-FLUSH_WORDS = 600_000
+FLUSH_WORDS = 400_000
 #: White space between words: a fixed set of six bytes.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-CHUNK_WORDS, STEP_BITS, RATE = 12_000, 50_000, 0.5
+CHUNK_WORDS, STEP_BITS, RATE = 6_000, 50_000, 0.5
 #: Known words of a bucket of hashes; rounds over a bucket and parts of each that are a step.
 BUCKET_WORDS, ROUNDS, STEPS = 60_000, 1, 4
 #: What is added to the counts of a bit; gates of the hash bits, by doublings of the class's count.
