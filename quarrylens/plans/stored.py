@@ -232,3 +232,49 @@ def x04(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names)).cast("int") + 1)
     steps = src.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), pick(["queued", "planning", "running", "completed", "failed"], "o_orderkey").alias("old"), pick(["running", "completed", "failed", "queued"], "o_custkey").alias("new"))
     return stream.legal_steps(steps)
+
+
+def stored_activity(spark: SparkSession, d: str) -> DataFrame:
+    """Activity in the form of the log."""
+    return src.activity(spark, d).select(F.concat(F.lit("a"), F.col("activity_id").cast("string")).alias("activity_id"), "action", "entity_type", "issue_id", "created_at")
+
+
+@query("x02_log_lines", "SELECT conv_id || ':' || turn || ':' || role AS line FROM conversations")
+def x02(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of run logs, read as a stream in two turns: the second sees what is new."""
+    at = folder(spark)
+    lines = src.output_lines(spark, d).select(F.concat_ws(":", "run_id", "pos", "type").alias("value"), (F.col("run_id") % 2).alias("turn"))
+    for turn in (0, 1):
+        lines.where(F.col("turn") == turn).select("value").write.mode("append").text(f"{at}/logs")
+        sink = stream.output_lines(spark, f"{at}/logs").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("file string, line string").parquet(f"{at}/out").select("line")
+
+
+@query("s30_log_tail", "SELECT strftime(time_bucket(INTERVAL '10 minutes', created_at), '%Y-%m-%d %H:%M') AS opened, action, count(*) AS n FROM activity GROUP BY ALL")
+def s30(spark: SparkSession, d: str) -> DataFrame:
+    """The activity log as a stream, counted by window once all of it is read."""
+    at = folder(spark)
+    sinks.append_activity(stored_activity(spark, d), f"{at}/log")
+    counted = stream.per_window(stream.log(spark, f"{at}/log"), late="3650 days")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
+
+    counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("opened timestamp, action string, n bigint, batch bigint").parquet(f"{at}/out")
+    last = rows.groupBy("opened", "action").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("opened", "yyyy-MM-dd HH:mm").alias("opened"), "action", "n")
+
+
+@query("x03_streamed_review_queue", """SELECT issue_id, count(*) AS n, string_agg(CASE WHEN place <= 8 THEN CAST(run_id AS VARCHAR) END, ',' ORDER BY place) AS run_ids
+FROM (SELECT CAST(issue_id AS VARCHAR) AS issue_id, run_id, row_number() OVER (PARTITION BY issue_id ORDER BY created_at DESC, CAST(run_id AS VARCHAR) DESC) AS place FROM runs WHERE status = 'completed' AND run_id NOT IN (SELECT run_id FROM fixes) AND run_id NOT IN (SELECT run_id FROM reviews))
+WHERE issue_id IN (SELECT issue_id FROM activity) GROUP BY issue_id""")
+def x03(spark: SparkSession, d: str) -> DataFrame:
+    """The review queue of the issues that the activity log touches, kept by a stream."""
+    at = folder(spark)
+    sinks.append_activity(stored_activity(spark, d), f"{at}/log")
+    said = lambda df, *ids: df.withColumns({c: F.col(c).cast("string") for c in ids})
+    stream.keep_review_queue(
+        stream.log(spark, f"{at}/log"), lambda: said(src.runs(spark, d), "run_id", "issue_id"), lambda: said(src.fixes(spark, d), "run_id"), lambda: said(src.reviews(spark, d), "run_id"), f"{at}/queue", f"{at}/checkpoint").awaitTermination()
+    return stream.review_queue(spark, f"{at}/queue").select("issue_id", "n", F.array_join("run_ids", ",").alias("run_ids"))
