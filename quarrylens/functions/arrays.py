@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def ordered_distinct(values: Column, most: int | None = None) -> Column:
     """Trimmed, without blanks, first seen first; at most ``most`` of them."""
-    out = F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    out = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))
     return out if most is None else F.slice(out, 1, most)
 
 
