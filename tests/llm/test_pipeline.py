@@ -76,3 +76,15 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_labels_decide_and_odd_rows_pass_through(spark, tmp_path):
+    """Junk goes by the line labels; a null id and an id of two texts stay."""
+    from tests.llm.test_quality_rules import data
+
+    docs, labels = data(spark)
+    docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "cast(length(text) AS bigint) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(ids, key=str) == sorted([*(i for i in range(240) if i % 3), None, 1], key=str)
