@@ -67,6 +67,8 @@ SLOT_BITS, MOST_SLOT_BITS = (12, 16, 18, 19, 19), (12, 16, 19, 20, 20)
 BLOCK_BYTES = 24_000_000
 #: Words of batches that a task gathers before it adds them up and hands them on.
 FLUSH_WORDS = 400_000
+#: Bytes of text whose words are hashed at once.
+SEGMENT = 2_000_000
 #: White space between words: a fixed set of six bytes.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 CHUNK_WORDS, STEP_BITS, RATE = 6_000, 50_000, 0.5
@@ -380,7 +382,12 @@ class Tokens:
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         start, size = edge[0::2], edge[1::2] - edge[0::2]
         ends = np.cumsum([len(x) + 1 for x in texts])
-        return cls(data, start, size, np.searchsorted(ends, start, side="left"), Prints(flat).of(start, size))
+        h = np.empty(len(start), dtype=np.uint64)
+        cuts = np.r_[np.searchsorted(start, np.arange(0, len(flat), SEGMENT)), len(start)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                h[a:b] = Prints(flat[start[a] : start[b - 1] + size[b - 1]]).of(start[a:b] - start[a], size[a:b])
+        return cls(data, start, size, np.searchsorted(ends, start, side="left"), h)
 
 
 def counted_words(packed: DataFrame) -> DataFrame:
@@ -407,7 +414,7 @@ def counted_words(packed: DataFrame) -> DataFrame:
             })
 
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, size=BATCH_BYTES // 16):
                 learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 k = part.column("k").to_numpy().astype(np.int64)
                 ends += np.bincount(k[learn], minlength=CLASSES)

@@ -259,9 +259,15 @@ def fetch(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     following = F.lead("first_id").over(Window.orderBy("shard"))
     ranges = manifest.select("shard", "first_id", following.alias("next_id"))
-    ids = wanted.select(F.col("doc_id").cast("long")).distinct()
+    known = manifest.where(F.col("first_id") > NO_ID).agg(F.min("first_id").alias("low"), F.max("first_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    low, bins = float(known.low or 0), max(known.n, 1)
+    width = max((float(known.high or 0) - low) / bins, 1.0)
+    # as many stretches of ids as shards: an id and a shard that may hold it meet in one
+    place = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins), F.floor((F.col(c).cast("double") - low) / width)))
+    dealt = ranges.withColumn("bin", F.explode(F.sequence(place("first_id"), F.coalesce(place("next_id"), F.lit(bins)))))
+    ids = wanted.select(F.col("doc_id").cast("long")).distinct().withColumn("bin", place("doc_id"))
     inside = (F.col("doc_id") >= F.col("first_id")) & (F.col("next_id").isNull() | (F.col("doc_id") <= F.col("next_id")))
-    asked = ids.join(ranges, inside).groupBy("shard").agg(F.collect_list("doc_id").alias("doc_ids"))
+    asked = ids.join(dealt, "bin").where(inside).groupBy("shard").agg(F.collect_set("doc_id").alias("doc_ids"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -135,12 +135,14 @@ def test_a_copy_scores_better_than_a_text_alone(spark):
     assert np.median(copies) < np.quantile(alone, 0.1)
 
 
-def test_tokens_are_the_words_between_six_kinds_of_space():
+def test_tokens_are_the_words_between_six_kinds_of_space(monkeypatch):
     rng = random.Random(1)
     texts = [bytes(rng.choices(b"ab\x1c\xa0 \t\n\x0b\x0c\r", k=rng.randint(0, 60))) for _ in range(300)] + [b"", b" ", b"a"]
     found = language_model.Tokens.of(texts)
     words = [found.data[s : s + z] for s, z in zip(found.start, found.size)]
     assert words == [w for t in texts for w in t.split()]
     assert found.doc.tolist() == [d for d, t in enumerate(texts) for _ in t.split()]
+    monkeypatch.setattr(language_model, "SEGMENT", 100)
+    assert (language_model.Tokens.of(texts).h == found.h).all()
     by_hash = {}
     assert all(by_hash.setdefault(h, w) == w for h, w in zip(found.h.tolist(), words)) and len(by_hash) == len(set(words))
