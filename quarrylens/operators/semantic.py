@@ -73,7 +73,12 @@ def affected(tree: DataFrame, changes: DataFrame, symbols: DataFrame, candidates
 def impact_confidence(changes: DataFrame, symbols: DataFrame, found: DataFrame) -> DataFrame:
     """One row: high where symbols changed and something is affected, medium where
     anything changed, else low."""
-    counts = changes.where("status <> 'deleted'").agg(F.count(F.lit(1)).alias("changed")).join(symbols.agg(F.count(F.lit(1)).alias("symbols")), how="left").join(found.agg(F.count(F.lit(1)).alias("affected")), how="left")
+    parts = {"changed": changes.where("status <> 'deleted'"), "symbols": symbols, "affected": found}
+    every = None
+    for name, df in parts.items():
+        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
+        every = one if every is None else every.unionByName(one)
+    counts = every.agg(*(F.max(F.when(F.col("part") == name, F.col("n"))).alias(name) for name in parts))
     label = F.when((F.col("symbols") > 0) & (F.col("affected") > 0), "high").when(F.col("changed") > 0, "medium").otherwise("low")
     return counts.select("changed", "symbols", "affected", label.alias("confidence"))
 
