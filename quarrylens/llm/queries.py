@@ -5,9 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, repeated_spans, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, importance, language_model, license_scan, near_dedup, quality_rules, repeated_spans, secret_scan, token_files, toxicity
 from quarrylens.llm.common import short_batches
 from quarrylens.llm.common import table as read_table
+from quarrylens.llm.importance_sql import SQL as IMPORTANCE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_files": op2_token_files,
@@ -74,6 +80,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
+    "op11_importance": op11_importance,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_importance": IMPORTANCE_SQL}
