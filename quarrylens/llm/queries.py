@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, importance, language_model, license_scan, near_dedup, quality_rules, repeated_spans, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, decontaminate, importance, language_model, license_scan, near_dedup, packing, quality_rules, repeated_spans, secret_scan, token_files, toxicity
 from quarrylens.llm.common import short_batches
 from quarrylens.llm.common import table as read_table
 from quarrylens.llm.importance_sql import SQL as IMPORTANCE_SQL
@@ -69,6 +69,14 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+#: The vocabulary file of the packing query.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_token_files": op2_token_files,
@@ -81,6 +89,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
     "op11_importance": op11_importance,
+    "op13_packing": op13_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_importance": IMPORTANCE_SQL}
