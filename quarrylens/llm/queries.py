@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import bpe, decontaminate, importance, language_model, license_scan, near_dedup, packing, quality_rules, repeated_spans, secret_scan, token_files, toxicity
+from quarrylens.llm import bpe, conversations, decontaminate, importance, language_model, license_scan, near_dedup, packing, quality_rules, repeated_spans, secret_scan, token_files, toxicity
 from quarrylens.llm.common import short_batches
 from quarrylens.llm.common import table as read_table
 from quarrylens.llm.importance_sql import SQL as IMPORTANCE_SQL
@@ -69,6 +69,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 #: The vocabulary file of the packing query.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_bpe": op10_bpe,
     "op11_importance": op11_importance,
+    "op12_conversations": op12_conversations,
     "op13_packing": op13_packing,
 }
 
