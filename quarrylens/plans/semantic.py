@@ -10,7 +10,7 @@ from quarrylens.operators import context, semantic
 from quarrylens.plans.rules import EXTENSIONS, IS_SCANNED, IS_SKIPPED, SKIPPED
 from quarrylens.registry import VIEWS, query
 from quarrylens.sources import adapters as src
-from quarrylens.sources import trees
+from quarrylens.sources import scopes, structural, trees
 
 SCANNED = IS_SCANNED.format(IS_SKIPPED.format(SKIPPED), EXTENSIONS)
 MAPPED = IS_SCANNED.format(IS_SKIPPED.format(SKIPPED + ", 'target'"), EXTENSIONS)
@@ -213,6 +213,42 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return context.scored_matches(found, F.concat_ws(" ", "path", "symbol"), TERMS, ["backend/m0/cli.py"]).select("path", "line", "symbol", "score")
 
 
+VIEWS["source_lines"] = f"""
+SELECT path, line_no, line, coalesce({_symbol}) AS s, length(line) - length(ltrim(line, ' ' || chr(9))) AS margin FROM (
+SELECT path, unnest(own) AS line, generate_subscripts(own, 1) AS line_no FROM (SELECT path, string_split_regex(regexp_replace(content, '\\r?\\n$', ''), '\\r?\\n') AS own FROM tree_files WHERE {MAPPED}))"""
+VIEWS["source_braces"] = """
+SELECT *, sum(step) OVER (PARTITION BY path ORDER BY line_no, pos) AS depth FROM (SELECT path, line_no, unnest(own) AS brace, generate_subscripts(own, 1) AS pos, CASE unnest(own) WHEN '{' THEN 1 ELSE -1 END AS step
+FROM (SELECT path, line_no, regexp_extract_all(regexp_replace(line, '"(?:\\\\.|[^"\\\\])*"|''(?:\\\\.|[^''\\\\])*''|//.*$', '', 'g'), '[{}]') AS own FROM source_lines WHERE path NOT LIKE '%.py'))"""
+VIEWS["spanned_symbols"] = f"""
+SELECT d.path, d.line_no, d.s, d.margin AS level, coalesce((SELECT max(b.line_no) FROM source_lines b WHERE b.path = d.path AND regexp_matches(b.line, '\\S') AND b.line_no < coalesce((SELECT min(c.line_no) FROM source_lines c
+  WHERE c.path = d.path AND c.line_no > d.line_no AND regexp_matches(c.line, '\\S') AND c.margin <= d.margin AND NOT regexp_matches(c.line, '^\\s*[)\\]}}]')), 1e9)), d.line_no) AS line_end, true AS has_body
+FROM source_lines d WHERE d.s IS NOT NULL AND d.path LIKE '%.py'
+UNION ALL SELECT path, line_no, s, level, CASE WHEN has_body THEN coalesce((SELECT min((b.line_no, b.pos)) FROM source_braces b WHERE b.path = o.path AND (b.line_no, b.pos) > (o.first.line_no, o.first.pos) AND b.depth <= o.level)[1],
+  (SELECT max(line_no) FROM source_lines c WHERE c.path = o.path)) ELSE line_no END AS line_end, has_body FROM (
+SELECT *, first IS NOT NULL AND first.brace = '{{' AND (SELECT count(*) FROM source_lines c WHERE c.path = e.path AND c.s IS NOT NULL AND c.line_no > e.line_no AND c.line_no <= e.first.line_no) = 0 AS has_body FROM (
+SELECT path, line_no, s, coalesce((SELECT sum(step) FROM source_braces b WHERE b.path = d.path AND b.line_no < d.line_no), 0) AS level,
+  (SELECT min({{'line_no': b.line_no, 'pos': b.pos, 'brace': b.brace}}) FROM source_braces b WHERE b.path = d.path AND b.line_no >= d.line_no) AS first FROM source_lines d WHERE s IS NOT NULL AND path NOT LIKE '%.py') e) o"""
+
+
+@query("s28_scoped_symbols", """SELECT path, s.symbol AS symbol, s.kind AS kind, line_no AS line_start, line_end, (SELECT max_by(c.s.symbol, c.line_no) FROM spanned_symbols c WHERE c.path = d.path AND c.has_body AND c.s.kind IN ('class', 'type') AND c.line_no < d.line_no AND c.line_end >= d.line_no
+AND c.level < d.level) AS enclosing_scope FROM spanned_symbols d QUALIFY row_number() OVER (PARTITION BY path ORDER BY line_no) <= 32""")
+def s28_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return scopes.symbols(texts(spark, d))
+
+
+@query("r11_structural_search", r"""SELECT path, 'python' AS language, line_no AS line_start, line_no + 1 AS line_end, regexp_extract(line, 'def .*') || chr(10) || next AS matched_text, 'NAME' AS meta_variables FROM (
+SELECT *, lead(line) OVER (PARTITION BY path ORDER BY line_no) AS next FROM source_lines) WHERE path LIKE 'backend/%.py' AND regexp_matches(line, '^def run_\d+\(x\):$') AND next = '  return x'
+UNION ALL SELECT path, 'python', line_no, line_no, 'return x', '' FROM source_lines WHERE path LIKE '%.py' AND line = '  return x'
+UNION ALL SELECT path, 'typescript', line_no, line_no, line, 'NAME' FROM source_lines WHERE path LIKE '%.ts' AND regexp_matches(line, '^export class \w+ \{$')""")
+def r11_structural(spark: SparkSession, d: str) -> DataFrame:
+    """Three patterns: definitions below a glob, a statement, and the heads of classes."""
+    own = texts(spark, d)
+    heads = own.select("path", F.regexp_replace("text", r"(?m)^(export class \w+ \{)$", "$1}").alias("text"))
+    found = structural.search(own, "def $NAME($$$ARGS): $$$BODY", "python", "backend/**/*.py")
+    found = found.unionByName(structural.search(own, "return x", "python")).unionByName(structural.search(heads, "export class $NAME {}", "typescript").withColumn("matched_text", F.regexp_replace("matched_text", r"\}$", "")))
+    return found.withColumn("meta_variables", F.array_join("meta_variables", ","))
+
+
 @query("r04_repo_context", """WITH refs AS (SELECT path AS ref FROM tree_changes UNION SELECT path FROM affected_paths),
 plans AS (SELECT file_id // 3 AS run_id, count(DISTINCT path) AS n FROM tree_files WHERE path IN (SELECT ref FROM refs) GROUP BY 1),
 newest AS (SELECT file_id, 'edited ' || upper(path) AS summary, CASE WHEN file_id % 2 = 0 THEN 'edit' ELSE 'view' END AS action FROM tree_files ORDER BY file_id DESC LIMIT 80)
