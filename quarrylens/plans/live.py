@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from quarrylens.plans.semantic import PLAN, texts, tree
 from quarrylens.plans.stored import folder
 from quarrylens.registry import VIEWS, query
 from quarrylens.sources import adapters as src
-from quarrylens.sources import index_runs
+from quarrylens.sources import index_runs, schema_plans
 from quarrylens.streaming import polling, run_states
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -133,3 +134,17 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     counted = index_runs.part(spark, at, "w", "cli", "symbols").groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"))
     runs = index_runs.manifests(spark, at).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("file_rows") - F.col("summary_rows")).alias("lost")).first()  # one row
     return files.join(counted, "path", "left").select("path", "place", "score", "status", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.lit(runs.n).alias("n_runs"), F.lit(runs.lost).alias("lost"))
+
+
+@query("k03_schema_plan", """SELECT l_orderkey AS run_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS input_tokens, NULL::VARCHAR AS model, any_value(l_returnflag) = '' AS noted, 'add,keep,keep,widen' AS actions, 'keep' AS after
+FROM (SELECT l_orderkey, l_quantity, min(l_returnflag) OVER (PARTITION BY l_orderkey) AS l_returnflag FROM lineitem) GROUP BY l_orderkey""")
+def k03_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A stored table gains a column and wider numbers; a second plan has nothing to do."""
+    schema = f"ledger_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE SCHEMA {schema}")
+    narrow = src.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.sum(F.col("l_quantity").cast("long")).cast("int").alias("input_tokens"), F.min("l_returnflag").alias("note"))
+    narrow.write.format("parquet").saveAsTable(f"{schema}.run_metrics")
+    wanted = {"run_metrics": "run_id bigint, input_tokens bigint, note string, model string"}
+    actions = ",".join(sorted(r.action for r in schema_plans.apply(spark, schema, wanted).collect()))
+    after = ",".join(sorted({r.action for r in schema_plans.plan(spark, schema, wanted).collect()}))
+    return spark.table(f"{schema}.run_metrics").select("run_id", "input_tokens", "model", (F.col("note") == "").alias("noted"), F.lit(actions).alias("actions"), F.lit(after).alias("after"))
