@@ -2,14 +2,17 @@
 
 Base rules find assigned credentials, access-key ids and long hex strings.  Beyond
 them, base64 and hex candidates are decoded and reported only if their bytes parse as
-a private key (nested DER lengths that fill the bytes exactly, or the length-prefixed
+a private key (nested DER lengths that fill each other exactly, or the length-prefixed
 OpenSSH layout), or if a dotted token's header and claims are JSON objects whose
-signature fits the algorithm that the header names.
+signature fits the algorithm that the header names.  A key may begin anywhere in a run of
+its alphabet and end before its end; it may be wrapped, indented, quoted, and stand in
+JSON with its line ends written out.
 
-Scale: one pass over whole texts, no shuffle; memory is that of a batch of texts.
+Scale: one pass over whole texts, no shuffle; memory is that of a batch of texts.  Of a
+candidate only the heads of its items are decoded, so a text's time grows with its length.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned one by one,
-alike; extra columns are ignored by ``scan`` and passed through by ``redact``; an empty
+alike; a very long text comes alone in its batch; extra columns are ignored by ``scan`` and passed through by ``redact``; an empty
 table gives an empty result; a null ``doc_id`` stays null.
 """
 
@@ -17,7 +20,9 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -39,16 +44,24 @@ KINDS = ("assign", "access", "hex", "key", "signed")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
-#: Base64 that may be wrapped into lines; both alphabets.
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}(?:\r?\n[A-Za-z0-9+/_-]+)*={0,2}")
+#: How lines are wrapped: line ends of any kind, also written out as in JSON, with blanks
+#: and marks of quotation around them.
+WRAP = r"[\x20\t]*(?:\r|\n|\\r|\\n)(?:[\x20\t>\r\n]|\\r|\\n)*"
+UNWRAP = re.compile(rf"{WRAP}|[\x20\t:]+")
+#: Base64 in either alphabet and hex (with colons or without) that may be wrapped.
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}(?:{WRAP}[A-Za-z0-9+/_-]+)*")
+ANY_HEX = re.compile(rf"[0-9A-Fa-f][0-9A-Fa-f:]{{31,}}(?:{WRAP}[0-9A-Fa-f][0-9A-Fa-f:]*)*")
 #: A key between its marks, after header lines and an empty line if it has them.
 ARMOUR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----[\x20\t]*((?:\r?\n[A-Za-z0-9-]+:[^\r\n]*(?:\r?\n[\x20\t]+[^\s][^\r\n]*)*)*)([^-]+)-----END \1-----")
 CIPHER = re.compile(r"DEK-Info:\x20*([A-Za-z0-9-]+),([0-9A-Fa-f]+)\x20*\r?(?:\n|$)")
-DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-
-#: How base64 of a DER sequence or of the OpenSSH magic word begins.
-STARTS = ("MA", "MB", "MC", "MD", "ME", "MF", "MG", "MH", "MI", "b3")
+#: Runs in which dotted tokens stand, and how a JSON object may begin in base64.
+DOTTED = re.compile(r"[A-Za-z0-9_-]{2,}(?:\.[A-Za-z0-9_-]*){2,}")
+OBJECT_START = re.compile(rb"[\x20\t\r\n]*\{")
+
+#: How a DER sequence of a key's size, or the OpenSSH magic word, begins: in base64 and hex.
+MAGIC = b"openssh-key-v1\0"
+STARTS_64 = re.compile("M[D-I]|" + base64.b64encode(MAGIC).decode())
+STARTS_HEX = re.compile("(?i)30(?:8[1-4]|[3-7][0-9a-f])|" + MAGIC.hex())
 INTEGER, OCTETS, OBJECT, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 #: Bytes of a signature: (least, most).  Fixed values of the published token algorithms.
 SIGNATURES = {
@@ -70,72 +83,159 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
-def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The (tag, value) items that fill the bytes exactly; None if they don't."""
-    items, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+class Encoded:
+    """Bytes written from a place of a clean string on; only what is asked for is decoded."""
+
+    def __init__(self, clean: str, at: int, hexadecimal: bool):
+        self.clean, self.at, self.hexadecimal = clean, at, hexadecimal
+        left = len(clean) - at
+        self.size = left // 2 if hexadecimal else left * 3 // 4
+
+    def chars(self, size: int) -> int:
+        """Characters that so many bytes take, without padding."""
+        return 2 * size if self.hexadecimal else -(-size * 4 // 3)
+
+    def read(self, begin: int, size: int) -> bytes:
+        end = min(begin + size, self.size)
+        if begin >= end:
+            return b""
+        if self.hexadecimal:
+            return bytes.fromhex(self.clean[self.at + 2 * begin : self.at + 2 * end])
+        group = begin // 3
+        text = self.clean[self.at + 4 * group : self.at + 4 * -(-end // 3)]
+        text = text[:-1] if len(text) % 4 == 1 else text
+        return base64.b64decode(text + "=" * (-len(text) % 4))[begin - 3 * group : end - 3 * group]
+
+
+Item = tuple[int, int, int]
+
+
+def der_head(data: Encoded, at: int) -> Item | None:
+    """(tag, begin, end) of the DER item at a place."""
+    head = data.read(at, 6)
+    if len(head) < 2:
+        return None
+    tag, length, begin = head[0], head[1], at + 2
+    if length & 0x80:
+        width = length & 0x7F
+        if not 1 <= width <= 4 or len(head) < 2 + width:
             return None
-        tag, length = data[at], data[at + 1]
-        at += 2
-        if length & 0x80:
-            width = length & 0x7F
-            if not 1 <= width <= 4 or at + width > len(data):
-                return None
-            length = int.from_bytes(data[at : at + width], "big")
-            at += width
-        if at + length > len(data):
+        length, begin = int.from_bytes(head[2 : 2 + width], "big"), begin + width
+    return (tag, begin, begin + length) if begin + length <= data.size else None
+
+
+def der_items(data: Encoded, begin: int, end: int, most: int = 12) -> list[Item] | None:
+    """The items that fill a stretch exactly, of which a key has ``most`` at most."""
+    items: list[Item] = []
+    while begin < end and len(items) < most:
+        item = der_head(data, begin)
+        if item is None or item[2] > end:
             return None
-        items.append((tag, data[at : at + length]))
-        at += length
-    return items
+        items.append(item)
+        begin = item[2]
+    return items if begin == end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A private key in PKCS#1, PKCS#8 (plain or encrypted), SEC1 or DSA layout."""
-    outer = der_items(data)
-    if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
-        return False
-    inner = der_items(outer[0][1])
+def der_key(data: Encoded) -> int | None:
+    """The size of a private key at the start: PKCS#1, PKCS#8 (plain or encrypted), SEC1
+    or DSA layout.  Only heads of items are decoded, so its cost doesn't grow with sizes."""
+    outer = der_head(data, 0)
+    if outer is None or outer[0] != SEQUENCE or not 24 <= outer[2]:
+        return None
+    inner = der_items(data, outer[1], outer[2])
     if not inner or len(inner) < 2:
-        return False
-    tags = [tag for tag, _ in inner]
-    values = [value for _, value in inner]
+        return None
+    tags = [tag for tag, _, _ in inner]
+    sizes = [end - begin for _, begin, end in inner]
+    value = lambda k: data.read(inner[k][1], min(sizes[k], 4))
+    named = lambda k: der_items(data, *inner[k][1:])
+    holds = False
     if all(tag == INTEGER for tag in tags):  # RSA has version, n, e, d, p, q and three more; DSA version, p, q, g, y, x
-        return len(tags) in (6, 9) and values[0] in (b"\0", b"\1") and len(values[1]) >= 64
-    if tags[0] == INTEGER and len(values[0]) == 1:
+        holds = len(tags) in (6, 9) and value(0) in (b"\0", b"\1") and sizes[1] >= 64
+    elif tags[0] == INTEGER and sizes[0] == 1:
         if tags[1] == OCTETS:  # an elliptic-curve key
-            return values[0] == b"\1" and 16 <= len(values[1]) <= 72
-        named = der_items(values[1]) if tags[1] == SEQUENCE else None
-        return bool(named) and named[0][0] == OBJECT and len(tags) >= 3 and tags[2] == OCTETS and len(values[2]) >= 16
-    named = der_items(values[0]) if tags == [SEQUENCE, OCTETS] else None
-    return bool(named) and len(named) == 2 and named[0][0] == OBJECT and named[1][0] == SEQUENCE and len(values[1]) >= 32
-
+            holds = value(0) == b"\1" and 16 <= sizes[1] <= 72
+        elif tags[1] == SEQUENCE and len(tags) >= 3 and tags[2] == OCTETS and sizes[2] >= 16:
+            names = named(1)
+            holds = bool(names) and names[0][0] == OBJECT
+    elif tags == [SEQUENCE, OCTETS]:
+        names = named(0)
+        holds = bool(names) and len(names) == 2 and names[0][0] == OBJECT and names[1][0] == SEQUENCE and sizes[1] >= 32
+    return outer[2] if holds else None
+
+
+def openssh_key(data: Encoded) -> int | None:
+    """The size of a key in the OpenSSH layout at the start: a magic word, then
+    length-prefixed strings."""
+    at = len(MAGIC)
+    if data.read(0, at) != MAGIC:
+        return None
 
-def is_openssh_key(data: bytes) -> bool:
-    """The OpenSSH layout: a magic word, then length-prefixed strings to the very end."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+    def number() -> int | None:
+        nonlocal at
+        four = data.read(at, 4)
+        at += 4
+        return int.from_bytes(four, "big") if len(four) == 4 else None
 
-    def string() -> bytes | None:
+    def string() -> int | None:
         nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else len(data)
-        at += 4 + size
-        return data[at - size : at] if at <= len(data) else None
+        size = number()
+        at += size or 0
+        return size if size is not None and at <= data.size else None
 
     if not string() or not string() or string() is None:
-        return False
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    if not 1 <= keys <= 16 or any(string() is None for _ in range(keys)):
-        return False
-    return string() is not None and at == len(data)
+        return None
+    keys = number()
+    if keys is None or not 1 <= keys <= 16 or any(string() is None for _ in range(keys)) or string() is None:
+        return None
+    return at
+
 
+def key_size(data: Encoded) -> int | None:
+    return openssh_key(data) or der_key(data)
 
-def is_key(data: bytes | None) -> bool:
-    return bool(data) and (is_openssh_key(data) or is_der_key(data))
+
+def whole_key(body: str) -> bool:
+    """Whether a text between marks is a key and nothing else."""
+    clean = UNWRAP.sub("", "".join(body.split(" "))).rstrip("=").translate(ONE_ALPHABET)
+    if not clean or not re.fullmatch("[A-Za-z0-9+/]+", clean):
+        return False
+    data = Encoded(clean, 0, False)
+    return key_size(data) == data.size
+
+
+#: The second alphabet of base64 in terms of the first.
+ONE_ALPHABET = str.maketrans("-_", "+/")
+
+
+def keys_in(text: str, start: int, end: int, hexadecimal: bool) -> Iterator[tuple[int, int]]:
+    """The places of keys that begin anywhere in a stretch of wrapped base64 or hex."""
+    pieces, places, at = [], [], start
+    for gap in [*UNWRAP.finditer(text, start, end), None]:
+        to = gap.start() if gap else end
+        pieces.append(text[at:to])
+        places.append(at)
+        at = gap.end() if gap else end
+    clean = "".join(pieces).translate(ONE_ALPHABET)
+    begins = [0, *itertools.accumulate(map(len, pieces))]
+
+    def place(k: int) -> int:
+        piece = bisect.bisect_right(begins, k) - 1
+        return places[piece] + k - begins[piece]
+
+    at, starts = 0, STARTS_HEX if hexadecimal else STARTS_64
+    while found := starts.search(clean, at):
+        at = found.start() + 1
+        data = Encoded(clean, found.start(), hexadecimal)
+        size = key_size(data)
+        # zeros behind it are the rest of a larger structure
+        if size is None or (rest := data.read(size, 3)) and not any(rest):
+            continue
+        at = found.start() + data.chars(size)
+        stop = place(at - 1) + 1
+        if not hexadecimal:
+            stop += len(re.compile("={0,2}").match(text, stop)[0])
+        yield place(found.start()), stop
 
 
 def is_locked(headers: str, body: bytes | None) -> bool:
@@ -148,60 +248,66 @@ def is_locked(headers: str, body: bytes | None) -> bool:
     return len(cipher[2]) == 2 * block and len(body) >= 48 and len(body) % block == 0
 
 
-def whole_size(data: bytes) -> int | None:
-    """The bytes that a DER sequence or an OpenSSH key at the start should take; None if
-    neither starts there or its lengths run past the end."""
-    if data.startswith(b"openssh-key-v1\0"):
-        at, strings = 15, 3
-        for _ in range(2):
-            for _ in range(strings):
-                at += 4 + int.from_bytes(data[at : at + 4], "big")
-            if strings == 3:
-                strings = min(int.from_bytes(data[at : at + 4], "big"), 16) + 1
-                at += 4
-        return at if at <= len(data) else None
-    if len(data) < 2 or data[0] != SEQUENCE:
-        return None
-    width = data[1] & 0x7F if data[1] & 0x80 else 0
-    size = 2 + width + (int.from_bytes(data[2 : 2 + width], "big") if width else data[1])
-    return size if width <= 4 and size <= len(data) else None
-
-
-def key_end(found: str) -> int | None:
-    """Where a key at the start of wrapped base64 ends: all of it, or the characters that
-    its own lengths ask for, if a line ends there."""
-    if is_key(unbase64(found)):
-        return len(found)
-    plain = re.sub(r"[\r\n=]", "", found)
-    size = whole_size(unbase64(plain[: len(plain) // 4 * 4]) or b"")
-    if size is None:
-        # the last one or two bytes may stand in the part cut off
-        size = whole_size((unbase64(plain[: len(plain) // 4 * 4]) or b"") + b"\0\0")
-    if size is None:
+def json_object(part: str) -> dict | None:
+    """The JSON object that a part of a token holds; read on only while it parses."""
+    if not OBJECT_START.match(unbase64(part[:16]) or b""):
         return None
-    left = -(-size * 4 // 3)
-    for m in re.finditer(r"[^\r\n]+", found):
-        left -= len(m[0].rstrip("="))
-        if left <= 0:
-            return m.end() if left == 0 and is_key(unbase64(found[: m.end()])) else None
-    return None
-
-
-def is_signed(header: str, claims: str, signature: str) -> bool:
-    """A signed token: JSON header with a known algorithm, JSON claims, a fitting signature."""
-    parts = [unbase64(x) for x in (header, claims)]
-    if None in parts:
-        return False
-    try:
-        head, body = (json.loads(x) for x in parts)
-    except (ValueError, RecursionError):
-        return False
-    if not isinstance(head, dict) or not isinstance(body, dict):
-        return False
-    if head.get("alg") == "none":
-        return not signature
-    least, most = SIGNATURES.get(head.get("alg") if isinstance(head.get("alg"), str) else None, (1, 0))
-    return least <= len(unbase64(signature) or b"") <= most
+    size = 256
+    while True:
+        data = unbase64(part if size >= len(part) else part[: size // 4 * 4])
+        try:
+            text = (data or b"").decode("utf-8")
+        except UnicodeDecodeError as error:
+            if size >= len(part) or error.start < len(data) - 3:
+                return None
+            text = data[: error.start].decode("utf-8")
+        try:
+            found = json.loads(text)
+            return found if size >= len(part) and isinstance(found, dict) else None
+        except RecursionError:
+            return None
+        except ValueError as error:
+            # an error before the end is no matter of what is still to come
+            near = isinstance(error, json.JSONDecodeError) and (error.pos >= len(text) - 8 or "Unterminated" in error.msg)
+            if size >= len(part) or not near:
+                return None
+        size *= 4
+
+
+def signature_end(signature: str, algorithm: str) -> int | None:
+    """How much of a part is the signature: all of it, or up to a sign of the alphabet that
+    only divides it from what follows, where it has a usual size then."""
+    least, most = SIGNATURES.get(algorithm, (1, 0))
+    size = len(unbase64(signature) or b"")
+    usual = {least} if least == most else {x for x in (64, 114, 128, 256, 384, 512, 1024) if least <= x <= most}
+    if size in usual:
+        return len(signature)
+    divided = (n for n in sorted((-(-x * 4 // 3) for x in usual), reverse=True) if n < len(signature) and signature[n] in "_-")
+    return next(divided, len(signature) if least <= size <= most else None)
+
+
+def tokens_in(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The places of signed tokens in a run of dotted parts; a header may begin after a
+    dash or underscore that divides it from what stands before."""
+    parts, at = [], start
+    for part in text[start:end].split("."):
+        parts.append((at, part))
+        at += len(part) + 1
+    free = start
+    for k in range(len(parts) - 2):
+        (begin, head), (_, claims), (last, signature) = parts[k : k + 3]
+        if begin < free or not OBJECT_START.match(unbase64(claims[:16]) or b""):
+            continue
+        for own in [0, *(m.end() for m in re.finditer("[-_]", head))]:
+            header = json_object(head[own:])
+            if header is None:
+                continue
+            algorithm = header.get("alg")
+            size = (None if signature else 0) if algorithm == "none" else signature_end(signature, algorithm) if isinstance(algorithm, str) else None
+            if size is not None and json_object(claims) is not None:
+                free = last + size
+                yield begin + own, free
+                break
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -217,25 +323,19 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of decoded candidates whose structure holds."""
     found: list[tuple[int, int, int]] = []
     if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if is_key(unbase64(m[3])) or is_locked(m[2], unbase64(m[3]))]
+        found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if whole_key(m[3]) or is_locked(m[2], unbase64(m[3]))]
     if "." in text:
-        found += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if is_signed(m[1], m[2], m[3])]
-    taken = list(found)
-    free = lambda a, b: not any(start < b and a < end for start, _, end in taken)
-    at = 0
-    while m := BASE64.search(text, at):
-        at = m.end()
-        # a key may start at any line: the lines before it are words or other keys
-        for line in re.finditer(r"[^\r\n]+", m[0]):
-            a = m.start() + line.start()
-            size = key_end(m[0][line.start() :]) if len(line[0]) >= 40 and line[0][:2] in STARTS else None
-            if size is not None and free(a, a + size):
-                found.append((a, 3, a + size))
-                at = a + size
-                break
-    for m in ANY_HEX.finditer(text):
-        if free(m.start(), m.end()) and is_key(bytes.fromhex(m[0])):
-            found.append((m.start(), 3, m.end()))
+        found += [(a, 4, b) for m in DOTTED.finditer(text) for a, b in tokens_in(text, *m.span())]
+    found.sort()
+    starts, ends = [a for a, _, _ in found], [b for _, _, b in found]
+
+    def free(a: int, b: int) -> bool:
+        k = bisect.bisect_left(starts, b)
+        return k == 0 or ends[k - 1] <= a
+
+    for pattern, hexadecimal in ((BASE64, False), (ANY_HEX, True)):
+        for m in pattern.finditer(text):
+            found += [(a, 3, b) for a, b in keys_in(text, *m.span(), hexadecimal) if free(a, b)]
     return sorted(set(found))
 
 
