@@ -76,7 +76,7 @@ def test_tokens_beside_other_signs():
 
 def test_parts_of_keys_and_other_structures_are_none():
     for key in keys():
-        for text in (b64(key)[4:], b64(key)[:-8], key[1:].hex(), b64(b"\x30\x82" + key[2:])):
+        for text in (b64(key)[4:], b64(key)[:-8], key[1:].hex(), b64(b"\x30\x83" + key[2:])):
             assert "key" not in kinds(text)
     certificate = der(0x30, der(0x30, der(2, b"\1" * 9) + der(0x30, der(6, b"\x2a\x86"))) + der(0x30, der(6, b"\x2a\x86")) + der(3, b"\0" * 129))
     public = der(0x30, der(2, b"\1" * 129) + der(2, b"\1\0\1"))
