@@ -9,10 +9,12 @@ coordinates are bucket keys.
 Documents with equal sets are one node, named by a 64-bit digest of the set.  In each
 bucket all nodes are compared with one leader, on full sets (of 64-bit shingle hashes).
 Buckets that then still hold nodes of several components are gone through again: small
-ones pair by pair; in large ones the nodes outside the bucket's largest component meet
-all others, block by block, and a node is compared only until its component has met the
-others.  So large groups of copies cost about one comparison a member, and no link that
-could join two components is left untested.
+ones pair by pair; in large ones first the nodes go that can't be linked with another
+component, as sets of that similarity share one of their ``n - ceil(0.8 * n) + 1`` rarest
+shingles.  Of the others those outside the bucket's largest component meet all, block by
+block, and a node is compared only until its component has met the others.  So large
+groups of copies cost about one comparison a member, texts over one template that aren't
+near-duplicates cost none, and no link that could join two components is left untested.
 
 Scale: texts are read twice and never shuffled whole; the text of candidates alone goes
 to a table in the shared folder.  Bucket keys are grouped with map-side aggregation and
@@ -35,7 +37,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens.llm.common import cut, lower_ascii, map_frames
@@ -49,6 +51,8 @@ BANDS, ROWS = 48, 7
 SEED = 20_240_229
 #: Nodes of a bucket up to which pairs are formed, and of a block beyond that.
 SMALL, BLOCK = 32, 400
+#: Shingles of a block, about.
+BLOCK_SHINGLES = 400_000
 #: Pairs of one leader that meet in one task.
 SPLIT = 200
 MOST_WORDS = 300_000
@@ -205,6 +209,30 @@ def _met(nodes: pd.DataFrame, width: int, similarity: tuple[int, int]) -> pd.Dat
     return pd.DataFrame(links, columns=["a", "b"])
 
 
+def _linkable(crowd: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The nodes that share a shingle of their rarest with a node of another component.
+
+    crowd: (node, n, label), a row a node.
+    """
+    part, whole = similarity
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles, unpacker = Shingles(width), zstandard.ZstdDecompressor()
+        for pdf in frames:
+            sets = [shingles.of_words(unpacker.decompress(x).split()) for x in pdf["packed"]]
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), [len(s) for s in sets]), "shingle": np.concatenate(sets).view(np.int64)})
+
+    spread = map_frames(crowd.select("node").join(texts, "node"), run, "node long, shingle long", rows=100)
+    held = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = spread.join(held, "shingle").join(crowd, "node")
+    by_node = Window.partitionBy("node")
+    # shingles of one node alone come before all others and lead nowhere
+    first = F.col("n") - F.floor((part * F.col("n") + whole - 1) / whole) + 1 - (F.col("n") - F.count(F.lit(1)).over(by_node))
+    rarest = shared.withColumn("first", first).withColumn("place", F.row_number().over(by_node.orderBy("held", "shingle"))).where("place <= first")
+    mixed = rarest.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+    return rarest.join(mixed, "shingle", "left_semi").select("node").distinct()
+
+
 def _labels(members: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame | None:
     """(node, label) of nodes linked with another; None if there is no link.
 
@@ -230,9 +258,13 @@ def _labels(members: DataFrame, texts: DataFrame, width: int, similarity: tuple[
     more = _verified(pairs, texts, width, similarity)
     # a node meets every block of outsiders, an outsider every block of nodes
     crowd = open_.where(F.col("size") > SMALL)
-    by_label = crowd.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"))
-    largest = by_label.groupBy("key").agg(F.max(F.struct("held", "label")).alias("top")).select("key", F.col("top.label").alias("main"), F.col("top.held").alias("held"))
-    sized = crowd.join(largest, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("apart", F.ceil((F.col("size") - F.col("held")) / BLOCK))
+    if not crowd.isEmpty():
+        crowd = cut(crowd.join(_linkable(crowd.select("node", "n", "label").distinct(), texts, width, similarity), "node", "left_semi"))
+    by_label = crowd.groupBy("key", "label").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("sum"))
+    largest = by_label.groupBy("key").agg(F.max(F.struct("held", "label", "sum")).alias("top"), F.sum("held").alias("every"), F.sum("sum").alias("sum")).where("every > top.held")
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES))
+    largest = largest.select("key", F.col("top.label").alias("main"), blocks(F.col("every"), F.col("sum")).alias("blocks"), blocks(F.col("every") - F.col("top.held"), F.col("sum") - F.col("top.sum")).alias("apart"))
+    sized = crowd.join(largest, "key")
     place = lambda blocks: F.pmod(F.xxhash64("node"), blocks).alias("own")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
     inside = sized.select("key", "node", "label", place(F.col("blocks")).alias("one"), each("apart").alias("two"), F.lit(0).alias("side"))

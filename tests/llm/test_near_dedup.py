@@ -83,3 +83,32 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 12)] + [(100, k) for k in range(101, 140)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(13)) and all(got[k] == 100 for k in range(100, 140)) and all(got[k] == 200 for k in (200, 201, 202))
+
+
+def test_texts_over_one_template_are_never_compared(spark, monkeypatch):
+    """A family of one long template and own rests: many share buckets, none is linked."""
+    template = [f"t{k}" for k in range(45)]
+    docs = [(k, " ".join(template + [f"o{k}x{j}" for j in range(15)])) for k in range(1500)]
+    docs += [(5000 + k, " ".join(template + [f"near{j}" for j in range(15)] + [f"e{k}"])) for k in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    met = []
+    linkable = near_dedup._linkable
+    monkeypatch.setattr(near_dedup, "_linkable", lambda *given: met.append(linkable(*given)) or met[-1])
+    got = {r.doc_id: r.component_id for r in near_dedup.classes(df, 4).collect()}
+    assert got == {k: 5000 if k >= 5000 else k for k, _ in docs}
+    assert met and met[0].count() <= 3
+
+
+def test_chains_in_crowded_buckets_are_found(spark, monkeypatch):
+    """Links that only the last step finds, with every bucket taken for a crowded one."""
+    monkeypatch.setattr(near_dedup, "SMALL", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    rng = random.Random(32)
+    docs = []
+    for g in range(6):
+        words = [f"g{g}w{k}" for k in range(60)]
+        for k in range(14):
+            docs.append((len(docs), " ".join(words)))
+            words[rng.randrange(60)] = f"g{g}n{k}"
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string"), 4).collect()}
+    assert got == brute_force(docs, 4)

@@ -80,7 +80,7 @@ def test_parts_of_keys_and_other_structures_are_none():
             assert "key" not in kinds(text)
     certificate = der(0x30, der(0x30, der(2, b"\1" * 9) + der(0x30, der(6, b"\x2a\x86"))) + der(0x30, der(6, b"\x2a\x86")) + der(3, b"\0" * 129))
     public = der(0x30, der(2, b"\1" * 129) + der(2, b"\1\0\1"))
-    assert kinds(b64(certificate)) == [] and kinds(b64(public)) == [] and kinds(certificate.hex()) == []
+    assert "key" not in kinds(b64(certificate)) + kinds(b64(public)) + kinds(certificate.hex())
 
 
 @pytest.mark.parametrize("line", ["MIIB" + "A" * 60, "MIIEowIBAAKCAQEA" + "q" * 48, "308201" + "0a" * 29, "-eyJhbGciOiJ" * 5 + ".eyJh.", "MHcCAQEEI" + "MHcCAQEEI" * 6, "-----BEGIN PRIVATE KEY-----", "eyJhIjoiMSJ9." * 5])
