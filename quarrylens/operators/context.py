@@ -200,6 +200,46 @@ def plan_versions(plans: DataFrame, updates: DataFrame, most_dirty: int = 24) ->
     return joined.select("run_id", F.when(F.col("paths").isNull(), F.col("version")).otherwise(F.col("version") + 1).alias("version"), merged.alias("attached"), dirty.alias("dirty"))
 
 
+def plan_revisions(plans: DataFrame, worktrees: DataFrame, most_dirty: int = 24) -> DataFrame:
+    """The row that is appended for each version of a plan: what it held, and the state of
+    the working tree then.
+
+    plans: (run_id, version, phase, summary, feedback, attached, created_at); worktrees:
+    (run_id, branch, head_sha, dirty).
+    """
+    named = F.concat(F.lit("planrev_"), F.left(F.sha2(F.concat_ws(":", F.col("run_id").cast("string"), F.col("version").cast("string")), 256), F.lit(12)))
+    dirty = F.coalesce(F.slice("dirty", 1, most_dirty), F.array().cast("array<string>")).alias("dirty_paths")
+    return plans.join(worktrees, "run_id", "left").select(named.alias("revision_id"), "run_id", "version", "phase", "summary", "feedback", "branch", "head_sha", dirty, F.col("attached").alias("attached_files"), "created_at")
+
+
+#: The phases of ingestion in their order, with what they need and what is
+#: said where it lacks; phases without an own part are complete once that is there.
+PHASES = (
+    ("repo_scan", "complete", (("scanned", "Run a workspace scan before semantic ingestion phases can build on repo state."),)),
+    ("repo_map", "complete", (("mapped", "Repo map has not been generated for this workspace yet."),)),
+    ("runtime_discovery", "complete", (("scanned", "Workspace scan must complete before runtime discovery can report targets."),)),
+    ("tree_sitter_index", "ready", (("mapped", "Repo map available"), ("stored", "Postgres configured"), ("parser", "tree-sitter language pack installed"))),
+    ("ast_grep_rules", "ready", (("mapped", "Repo map available"), ("stored", "Postgres configured"), ("patterns", "ast-grep binary installed"))),
+    ("lsp_enrichment", "ready", ((None, "Awaiting workspace LSP manager implementation."),)),
+    ("search_materialization", "ready", (("stored", "Postgres configured"), (None, "Depends on symbol and edge materialization before hybrid retrieval can be trusted."))),
+)
+
+
+def ingestion_plan(given: DataFrame, key: str) -> DataFrame:
+    """(key, place, phase_id, delivery_state, blockers, next_phase_id): all phases of each
+    workspace; the next one is the first that is ready.
+
+    given: the key and booleans ``scanned``, ``mapped``, ``stored``, ``parser``, ``patterns``.
+    """
+    def row(place: int, name: str, done: str, needs: tuple) -> Column:
+        lacking = F.array_compact(F.array(*(F.lit(said) if need is None else F.when(~F.coalesce(need, F.lit(False)), said) for need, said in needs)))
+        return F.struct(F.lit(place).alias("place"), F.lit(name).alias("phase_id"), F.when(F.size(lacking) == 0, done).otherwise("blocked").alias("delivery_state"), lacking.alias("blockers"))
+
+    every = F.array(*(row(k, *phase) for k, phase in enumerate(PHASES, 1)))
+    ready = F.filter("phases", lambda p: p["delivery_state"] == "ready")
+    return given.select(key, every.alias("phases")).select(key, F.inline("phases"), F.try_element_at(ready, F.lit(1))["phase_id"].alias("next_phase_id"))
+
+
 def phases(given: DataFrame, key: str, needs: dict[str, list[str]]) -> DataFrame:
     """(key, phase, state): ready where a phase's own condition and those of the phases it
     needs hold, next where only its own is missing, else blocked."""

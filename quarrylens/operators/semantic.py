@@ -10,18 +10,36 @@ from quarrylens.functions.text import matched
 from quarrylens.sources import trees
 
 
-def pieces(text: Column, least: int = 1) -> Column:
-    """All distinct substrings of ``least`` letters or more; for short texts such as paths."""
-    n = F.length(text)
-    every = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(text, i, k)))
-    return F.array_distinct(F.filter(F.flatten(every), lambda x: F.length(x) >= least))
+#: Letters of the pieces on which terms and texts meet.
+GRAM = 6
+
+
+def letters(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)(.)"), 1)
+
+
+def grams(own: Column, size: int) -> Column:
+    """The distinct runs of a size of an array of letters."""
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(own, i, F.lit(size)), ""))
+    return F.when(F.size(own) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def containing(texts: DataFrame, text: str, terms: DataFrame, term: str) -> DataFrame:
-    """Rows of ``texts`` with each distinct term that they contain: both meet on the term,
-    cut out of the text, so no pair is formed that doesn't match."""
-    opened = texts.withColumn("_piece", F.explode(pieces(F.col(text))))
-    return opened.join(terms.select(F.col(term).alias("_piece"), F.col(term)).distinct(), "_piece").drop("_piece")
+    """Rows of ``texts`` with each distinct term that they contain.
+
+    A term of ``GRAM`` letters or more meets the texts on that of its pieces of so many
+    letters which the fewest texts have, a shorter one as a whole; then the term itself is
+    looked for.  A text is opened into ``GRAM`` pieces a letter, whatever its length.
+    """
+    sizes = range(1, GRAM + 1)
+    spelled = texts.withColumn("_letters", letters(F.col(text)))
+    opened = spelled.withColumn("_gram", F.explode(F.flatten(F.array(*(grams(F.col("_letters"), k) for k in sizes))))).drop("_letters")
+    held = opened.groupBy("_gram").agg(F.count(F.lit(1)).alias("_held"))
+    own = terms.select(term).where(F.length(term) > 0).distinct()
+    whole = F.when(F.length(term) < GRAM, F.array(term)).otherwise(grams(letters(F.col(term)), GRAM))
+    rarest = own.withColumn("_gram", F.explode(whole)).join(held, "_gram", "left").groupBy(term).agg(F.min(F.struct(F.coalesce("_held", F.lit(0)).alias("_held"), "_gram")).alias("_g"))
+    chosen = rarest.where("_g._held > 0").select(term, F.col("_g._gram").alias("_gram"))
+    return opened.join(chosen, "_gram").where(F.contains(F.col(text), F.col(term))).drop("_gram")
 
 
 def references(files: DataFrame, refs: DataFrame) -> DataFrame:
@@ -120,6 +138,37 @@ def index_plan(tree: DataFrame, surface: str, most: int = 100) -> DataFrame:
     return chosen.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
 
 
+#: What a selected path's terms may be, and the marks of a surface.
+SELECTION_TERMS = ("cli", "runtime", "server", "agent", "command", "test", "config", "entry", "source")
+WEB_TERMS = ("frontend", "web", "ui")
+MARKS = {"cli": r"cli|runtime|server|agent|command|terminal", "web": r"frontend/|web/|ui/|src/app|src/pages|src/components"}
+MARKED = {"cli": "matches CLI/runtime surface markers", "web": "matches web surface markers"}
+
+
+def selections(plan: DataFrame, surface: str, most: int = 6) -> DataFrame:
+    """The plan with each path's role, why it was chosen, and the terms that it matches."""
+    low = F.lower("path")
+    role = paths.go_role(F.col("path"))
+    kind = "web" if surface == "web" else "cli"
+    tested = low.rlike(r"\.test\.|\.spec\.") | F.concat(F.lit("/"), low, F.lit("/")).contains("/tests/")
+    reasons = F.concat_ws(
+        "; ", F.concat(role, F.lit(" file")), F.concat(F.lit("score "), F.col("score").cast("string")),
+        F.when(low.rlike(MARKS[kind]), MARKED[kind]), F.when(tested, "test-like path received a ranking penalty"))
+    said = plan.withColumns({"role": role, "reason": reasons})
+    asked = F.array(*map(F.lit, SELECTION_TERMS + (WEB_TERMS if surface == "web" else ())))
+    found = F.filter(asked, lambda t: F.contains(F.lower(F.concat_ws(" ", "path", "reason")), t))
+    return said.withColumn("matched_terms", F.slice(found, 1, most))
+
+
+def readiness(plan: DataFrame, configured: bool, dirty: int) -> DataFrame:
+    """One row: how many paths are selected, what stands in the way of a run, and what to
+    mind about it."""
+    none = F.count(F.lit(1)) == 0
+    blockers = F.array_compact(F.array(F.lit(None if configured else "no storage is configured").cast("string"), F.when(none, "no paths were selected")))
+    warnings = F.array_compact(F.array(F.lit("dirty files make the baseline provisional" if dirty else None).cast("string")))
+    return plan.agg(F.count(F.lit(1)).alias("selected"), blockers.alias("blockers"), warnings.alias("warnings")).withColumn("can_run", F.size("blockers") == 0)
+
+
 def fingerprint(plan: DataFrame, workspace: str, surface: str, head: str | None) -> DataFrame:
     """One row: the digest of a plan's JSON, its paths in their order (a hundred at most)."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "path", "sha256"))), lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256")))

@@ -332,3 +332,47 @@ SELECT source, p.phase, CASE WHEN p.own THEN 'ready' WHEN p.before THEN 'next' E
 def a26(spark: SparkSession, d: str) -> DataFrame:
     given = src.table(spark, d, "documents").groupBy("source").agg((F.count(F.lit(1)) > 0).alias("files"), (F.count_if(F.col("lang") == "en") > 20).alias("symbols"), (F.count_if(F.col("n_chars") > 5000) > 5).alias("search"))
     return context.phases(given, "source", {"files": [], "symbols": ["files"], "search": ["files", "symbols"]})
+
+
+@query("k13_plan_revisions", """SELECT c_custkey AS run_id, v AS version, CASE v WHEN 1 THEN 'awaiting_approval' ELSE 'modified' END AS phase, 'planrev_' || left(sha256(c_custkey || ':' || v), 12) AS revision_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'main' END AS branch,
+CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE least(c_custkey % 40, 24) END AS dirty, 'f' || v AS files FROM customer, (VALUES (1), (2)) AS t(v) WHERE v = 1 OR c_custkey % 2 = 0""")
+def k13_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """A row is appended for each version of a plan, with the working tree's state."""
+    id_ = F.col("c_custkey")
+    customer = src.table(spark, d, "customer")
+    versions = customer.select(id_.alias("run_id"), F.explode(F.when(id_ % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("version"))
+    plans = versions.select("run_id", "version", F.when(F.col("version") == 1, "awaiting_approval").otherwise("modified").alias("phase"), F.lit("s").alias("summary"), F.lit(None).cast("string").alias("feedback"), F.array(F.concat(F.lit("f"), F.col("version").cast("string"))).alias("attached"), F.lit(None).cast("timestamp").alias("created_at"))
+    count = (id_ % 40).cast("int")
+    dirty = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda k: k.cast("string")))
+    worktrees = customer.where(id_ % 3 != 0).select(id_.alias("run_id"), F.lit("main").alias("branch"), F.lit("h1").alias("head_sha"), dirty.alias("dirty"))
+    rows = context.plan_revisions(plans, worktrees)
+    return rows.select("run_id", "version", "phase", "revision_id", "branch", F.size("dirty_paths").alias("dirty"), F.array_join("attached_files", ",").alias("files"))
+
+
+def _phase(place: int, name: str, done: str, needs: tuple) -> str:
+    lacking = ", ".join(f"CASE WHEN {'true' if need is None else f'NOT {need}'} THEN '{said}' END" for need, said in needs)
+    return f"SELECT source, {place} AS place, '{name}' AS phase_id, '{done}' AS done, array_to_string(list_filter([{lacking}], lambda x: x IS NOT NULL), '|') AS blockers FROM f"
+
+
+@query("a26_ingestion_plan", f"""WITH f AS (SELECT source, count(*) > 0 AS scanned, count(*) FILTER (lang = 'en') > 20 AS mapped, count(*) FILTER (n_chars > 5000) > 2 AS stored, count(*) FILTER (lang = 'fr') > 15 AS parser, count(*) % 2 = 0 AS patterns FROM documents GROUP BY source),
+p AS (SELECT source, place, phase_id, CASE WHEN blockers = '' THEN done ELSE 'blocked' END AS delivery_state, blockers FROM ({" UNION ALL ".join(_phase(k, *x) for k, x in enumerate(context.PHASES, 1))}))
+SELECT p.*, (SELECT min_by(q.phase_id, q.place) FROM p q WHERE q.source = p.source AND q.delivery_state = 'ready') AS next_phase_id FROM p""")
+def a26_plan(spark: SparkSession, d: str) -> DataFrame:
+    """All seven phases for each source."""
+    lang, n = F.col("lang"), F.count(F.lit(1))
+    given = src.table(spark, d, "documents").groupBy("source").agg((n > 0).alias("scanned"), (F.count_if(lang == "en") > 20).alias("mapped"), (F.count_if(F.col("n_chars") > 5000) > 2).alias("stored"), (F.count_if(lang == "fr") > 15).alias("parser"), (n % 2 == 0).alias("patterns"))
+    return context.ingestion_plan(given, "source").withColumn("blockers", F.array_join("blockers", "|"))
+
+
+_reason = f"""{GO_ROLE} || ' file; score ' || score || CASE WHEN regexp_matches(lower(path), 'cli|runtime|server|agent|command|terminal') THEN '; matches CLI/runtime surface markers' ELSE '' END
+|| CASE WHEN regexp_matches(lower(path), '\\.test\\.|\\.spec\\.') OR contains('/' || lower(path) || '/', '/tests/') THEN '; test-like path received a ranking penalty' ELSE '' END"""
+
+
+@query("r08_index_selections", f"""WITH chosen AS ({PLAN}) SELECT path, place, role, reason, array_to_string(list_filter({list(semantic.SELECTION_TERMS)}, lambda t: contains(lower(path || ' ' || reason), t))[1:6], ',') AS matched_terms,
+(SELECT count(*) FROM chosen) AS selected, true AS can_run, 'dirty files make the baseline provisional' AS warnings FROM (SELECT path, place, {GO_ROLE} AS role, {_reason} AS reason FROM chosen)""")
+def r08_selections(spark: SparkSession, d: str) -> DataFrame:
+    """The plan's paths with their reasons, and whether it can run."""
+    plan = semantic.index_plan(tree(spark, d), "cli")
+    ready = semantic.readiness(plan, True, 3).first()  # one row
+    chosen = semantic.selections(plan, "cli").select("path", "place", "role", "reason", F.array_join("matched_terms", ",").alias("matched_terms"))
+    return chosen.withColumns({"selected": F.lit(ready.selected), "can_run": F.lit(ready.can_run), "warnings": F.lit(",".join(ready.warnings))})

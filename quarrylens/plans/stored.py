@@ -72,6 +72,25 @@ def s23(spark: SparkSession, d: str) -> DataFrame:
     return trees.guidance(tree(spark, d).select("path"), known)
 
 
+_places = [(path, kind, on, k) for path, kind, on, k in trees.GUIDANCE]
+_fixed = [x[0] for x in _places if not x[0].endswith("/")]
+_walked = [x[0] for x in _places if x[0].endswith("/")]
+_endings = (".md", ".mdc", ".JSON", ".txt")
+_given = f"CASE WHEN file_id < {len(_fixed)} THEN {_fixed}[file_id + 1] ELSE {_walked}[file_id % {len(_walked)} + 1] || 'a/' || file_id || {list(_endings)}[file_id // 4 % {len(_endings)} + 1] END"
+
+
+@query("s23_guidance_places", f"""SELECT path, kind, always_on, priority FROM (SELECT t.path, k.kind, k.always_on, k.priority, row_number() OVER (PARTITION BY lower(t.path) ORDER BY k.priority, t.path) AS place FROM (SELECT {_given} AS path FROM tree_files) t
+JOIN (VALUES {", ".join(f"('{p}', '{k}', {str(on).lower()}, {n})" for p, k, on, n in _places)}) AS k(path, kind, always_on, priority) ON t.path = k.path OR ends_with(k.path, '/') AND starts_with(t.path, k.path) AND regexp_matches(lower(t.path), '\.(md|mdc|json)$'))
+WHERE place = 1 ORDER BY priority, lower(path), path LIMIT 40""")
+def s23_places(spark: SparkSession, d: str) -> DataFrame:
+    """Files at the fixed places and below the walked folders."""
+    id_ = F.col("file_id")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    below = F.concat(pick(_walked, id_ % len(_walked)), F.lit("a/"), id_.cast("string"), pick(_endings, F.floor(id_ / 4) % len(_endings)))
+    path = F.when(id_ < len(_fixed), F.try_element_at(F.array(*map(F.lit, _fixed)), (id_ + 1).cast("int"))).otherwise(below)
+    return trees.guidance(tree(spark, d).select(path.alias("path")), trees.guidance_places(spark), 40)
+
+
 def project(spark: SparkSession, d: str) -> DataFrame:
     """(path, text): manifests of packages, make files and compose files, one for each part."""
     id_, size = F.col("p_partkey").cast("string"), F.col("p_size")

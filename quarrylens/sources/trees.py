@@ -116,13 +116,26 @@ def explanation() -> Column:
     return F.format_string("%s is a %s file with %d lines, %d import-like lines and %d symbols.", "path", "role", "line_count", "import_count", "symbols")
 
 
+#: Where guidance stands: path or folder, kind, always on, priority.
+GUIDANCE = (
+    ("AGENTS.md", "agent_instructions", True, 10), ("agents.md", "agent_instructions", True, 10), ("CLAUDE.md", "agent_instructions", True, 12), ("GEMINI.md", "agent_instructions", True, 12),
+    (".openhands/microagents/repo.md", "agent_instructions", True, 14), ("CONVENTIONS.md", "conventions", True, 20), (".clinerules", "conventions", True, 22), (".devin/wiki.json", "repo_index", True, 25),
+    ("README.md", "workspace_overview", False, 60), (".openhands/microagents/", "agent_instructions", True, 28), (".openhands/skills/", "skill", False, 30), (".agents/skills/", "skill", False, 32), (".cursor/rules/", "conventions", False, 34),
+)
+
+
+def guidance_places(spark: SparkSession) -> DataFrame:
+    """``GUIDANCE`` as a dimension for ``guidance``."""
+    return spark.createDataFrame(GUIDANCE, "path string, kind string, always_on boolean, priority int")
+
+
 def guidance(tree: DataFrame, known: DataFrame, most: int = 6) -> DataFrame:
     """Guidance files: the tree's files that a dimension (path, kind, always_on, priority)
     names, or that lie below a directory named there (path ends in /).  A file meets the
     dimension on its own path and on each directory above it."""
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.when(k == F.size(parts), F.col("path")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), k), "/"), F.lit("/"))))
-    opened = tree.select("path", F.explode(above).alias("rule")).where(~F.col("rule").endswith("/") | F.col("path").rlike(r"\.(md|mdc|json)$"))
+    opened = tree.select("path", F.explode(above).alias("rule")).where(~F.col("rule").endswith("/") | F.col("path").rlike(r"(?i)\.(md|mdc|json)$"))
     found = opened.join(known.withColumnRenamed("path", "rule"), "rule")
     one = found.groupBy(F.lower("path").alias("key")).agg(F.min_by(F.struct("path", "kind", "always_on", "priority"), F.struct("priority", "path")).alias("g"))
     return one.select("g.*").orderBy("priority", F.lower("path"), "path").limit(most)

@@ -146,3 +146,14 @@ def test_schema_plans(spark):
     with pytest.raises(ValueError, match="not a schema name"):
         schema_plans.plan(spark, "x; DROP", wanted)
     spark.sql("DROP SCHEMA plan_test CASCADE")
+
+
+def test_terms_meet_texts_by_rare_pieces(spark):
+    from quarrylens.operators.semantic import containing
+
+    rng = random.Random(15)
+    text = lambda n: "".join(rng.choice("ab/é.") for _ in range(n))
+    texts = [(k, text(rng.choice([0, 1, 5, 6, 7, 30, 80]))) for k in range(120)] + [(500, "ab" * 20_000), (501, None)]
+    terms = sorted({text(rng.choice([1, 2, 5, 6, 7, 12])) for _ in range(80)} | {"abababab" * 3, "", "zz", "zzzzzzz"})
+    got = containing(spark.createDataFrame(texts, "id long, text string"), "text", spark.createDataFrame([(t,) for t in terms] + [(None,), (terms[3],)], "term string"), "term").collect()
+    assert sorted((r.id, r.term) for r in got) == sorted((k, t) for k, x in texts for t in terms if t and x and t in x)
