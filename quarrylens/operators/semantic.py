@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrylens.functions import paths
 from quarrylens.functions.text import matched
+from quarrylens.operators.duplicates import first_of
+from quarrylens.operators.joins import glob_matches
+from quarrylens.operators.reviews import test_files
 from quarrylens.sources import trees
 
 
@@ -233,3 +236,41 @@ def issue_packets(issues: DataFrame, fixes: DataFrame, activity: DataFrame, runs
     return out.select(
         "bug_id", "title", "severity", focus.alias("focus"), F.slice("evidence", 1, 20).alias("evidence"), F.coalesce("fix_ids", none).alias("fixes"),
         F.coalesce("activity_ids", F.array().cast("array<bigint>")).alias("activity"), F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
+
+
+def first_by_issue(issues: DataFrame, rows: DataFrame, value: str, order: list[Column], most: int, name: str) -> DataFrame:
+    """(bug_id, name): the first ``most`` values of each issue's rows (issue_id, ...)."""
+    own = rows.join(issues.select(F.col("bug_id").alias("issue_id")).distinct(), "issue_id", "left_semi")
+    best = first_of(own, ["issue_id"], order, most, value)
+    placed = best.withColumn("_k", F.row_number().over(Window.partitionBy("issue_id").orderBy(*order)))  # ``most`` rows each
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_k", value))), lambda x: x[value])
+    return placed.groupBy(F.col("issue_id").alias("bug_id")).agg(listed.alias(name))
+
+
+def packet_parts(issues: DataFrame, tables: dict[str, DataFrame], globs: DataFrame, workspace: dict[str, DataFrame], most: int = 8) -> DataFrame:
+    """What a context packet holds besides ``issue_packets``, a row for each issue.
+
+    issues: (bug_id, severity, paths).  tables: ``tickets``, ``threats``, ``dumps`` (issue_id,
+    id, at), ``runs`` (issue_id, id, at, status) and ``symbols`` (path, line, symbol); of each
+    the first ``most`` of an issue, newest first, symbols by place.  globs: (glob,
+    instruction).  workspace: ``guidance`` and ``profiles`` (rank, name), a few rows each.
+    """
+    focus = issues.select("bug_id", F.explode(F.array_distinct(F.slice(F.transform("paths", paths.normal_path), 1, 12))).alias("path"))
+    out = issues.select("bug_id", "severity", F.array_distinct(F.transform("paths", paths.normal_path)).alias("focus"))
+    for name in ("tickets", "threats", "dumps"):
+        out = out.join(first_by_issue(issues, tables[name], "id", [F.desc("at"), F.col("id")], most, name), "bug_id", "left")
+    runs = tables["runs"].withColumn("run", F.concat_ws(":", "id", "status"))
+    out = out.join(first_by_issue(issues, runs, "run", [F.desc("at"), F.col("id")], most, "prior_runs"), "bug_id", "left")
+    # symbols by path first: many issues share one
+    known = tables["symbols"].join(focus.select("path").distinct(), "path", "left_semi").select(F.col("path").alias("issue_id"), "line", "symbol")
+    by_path = first_by_issue(focus.select(F.col("path").alias("bug_id")), known, "symbol", [F.col("line"), F.col("symbol")], most, "symbols").withColumnRenamed("bug_id", "path")
+    of_issue = focus.join(by_path, "path").groupBy("bug_id").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("path", "symbols"))), lambda x: x["symbols"])), 1, most).alias("symbols"))
+    told = glob_matches(focus, globs).groupBy("bug_id").agg(F.array_sort(F.collect_set("instruction")).alias("instructions"))
+    out = out.join(of_issue, "bug_id", "left").join(told, "bug_id", "left")
+    for name, df in workspace.items():
+        rows = df.orderBy("rank", "name").limit(most).collect()  # ``most`` rows
+        out = out.withColumn(name, F.array(*(F.lit(r["name"]) for r in rows)).cast("array<string>"))
+    none = F.array().cast("array<string>")
+    tests = F.transform(test_files(F.col("focus"), F.col("severity")), lambda t: t["file"])
+    lists = ("tickets", "threats", "dumps", "prior_runs", "symbols", "instructions")
+    return out.select("bug_id", *(F.coalesce(F.col(c).cast("array<string>"), none).alias(c) for c in lists), *workspace, tests.alias("tests"))

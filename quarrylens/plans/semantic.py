@@ -376,3 +376,36 @@ def r08_selections(spark: SparkSession, d: str) -> DataFrame:
     ready = semantic.readiness(plan, True, 3).first()  # one row
     chosen = semantic.selections(plan, "cli").select("path", "place", "role", "reason", F.array_join("matched_terms", ",").alias("matched_terms"))
     return chosen.withColumns({"selected": F.lit(ready.selected), "can_run": F.lit(ready.can_run), "warnings": F.lit(",".join(ready.warnings))})
+
+
+_own = "coalesce((SELECT array_to_string(list(v ORDER BY k), ',') FROM ({0}) WHERE k <= {1}), '')"
+
+
+def _first(rows: str, value: str, order: str, most: int = 8) -> str:
+    return _own.format(f"SELECT {value} AS v, row_number() OVER (ORDER BY {order}) AS k FROM {rows}", most)
+
+
+@query("r06_packet_parts", f"""WITH asked AS (SELECT bug_id, severity, ltrim(evidence_path, './') AS path FROM issues WHERE bug_id % 100 = 0),
+tickets AS (SELECT (p_partkey % 30) * 100 AS issue_id, p_partkey AS id, p_size AS moment FROM part), threats AS (SELECT (s_suppkey % 20) * 100 AS issue_id, s_suppkey AS id, s_nationkey AS moment FROM supplier),
+dumps AS (SELECT (n_nationkey % 10) * 100 AS issue_id, n_nationkey AS id, n_regionkey AS moment FROM nation),
+symbols AS (SELECT 'src/src' || c_custkey % 9 || '/' || ['en', 'de', 'fr', 'es'][c_custkey % 4 + 1] || '.py' AS path, c_nationkey AS line, c_name AS symbol FROM customer),
+globs AS (SELECT * FROM (VALUES ('src/**/en.py', '^src/(?:.*/)?en\\.py$', 'English first'), ('src/src1/*', '^src/src1/[^/]*$', 'Ask one'), ('docs/**', '^docs/.*$', 'Docs'), ('**', '^.*$', 'Always')) AS g(place, pattern, instruction))
+SELECT bug_id, {_first("tickets WHERE issue_id = bug_id", "id", "moment DESC, id")} AS tickets, {_first("threats WHERE issue_id = bug_id", "id", "moment DESC, id")} AS threats, {_first("dumps WHERE issue_id = bug_id", "id", "moment DESC, id")} AS dumps,
+{_first("runs WHERE issue_id = bug_id", "run_id || ':' || status", "created_at DESC, run_id")} AS prior_runs, {_first("symbols s WHERE s.path = asked.path", "symbol", "line, symbol")} AS symbols,
+coalesce((SELECT array_to_string(list(instruction ORDER BY instruction), ',') FROM globs WHERE regexp_matches(asked.path, pattern)), '') AS instructions, (SELECT array_to_string(list(r_name ORDER BY r_regionkey, r_name), ',') FROM region) AS guidance,
+(SELECT array_to_string(list(n_name ORDER BY n_nationkey, n_name), ',') FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 8)) AS profiles, regexp_replace(path, '\\.py$', '.test.py') AS tests FROM asked""")
+def r06_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The stated queries are the issues whose id is divisible by 100."""
+    issues = src.issues(spark, d).where("bug_id % 100 = 0").select("bug_id", "severity", F.array("evidence_path").alias("paths"))
+    table = lambda name, id_, n, at: src.table(spark, d, name).select(((F.col(id_) % n) * 100).cast("long").alias("issue_id"), F.col(id_).cast("long").alias("id"), F.col(at).alias("at"))
+    key = F.col("c_custkey")
+    path = F.concat(F.lit("src/src"), (key % 9).cast("string"), F.lit("/"), F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (key % 4 + 1).cast("int")), F.lit(".py"))
+    tables = {
+        "tickets": table("part", "p_partkey", 30, "p_size"), "threats": table("supplier", "s_suppkey", 20, "s_nationkey"), "dumps": table("nation", "n_nationkey", 10, "n_regionkey"),
+        "runs": src.runs(spark, d).select("issue_id", F.col("run_id").alias("id"), F.col("created_at").alias("at"), "status"),
+        "symbols": src.table(spark, d, "customer").select(path.alias("path"), F.col("c_nationkey").alias("line"), F.col("c_name").alias("symbol")),
+    }
+    globs = spark.createDataFrame([("src/**/en.py", "English first"), ("src/src1/*", "Ask one"), ("docs/**", "Docs"), ("**", "Always")], "glob string, instruction string")
+    workspace = {"guidance": src.table(spark, d, "region").select(F.col("r_regionkey").alias("rank"), F.col("r_name").alias("name")), "profiles": src.table(spark, d, "nation").select(F.col("n_nationkey").alias("rank"), F.col("n_name").alias("name"))}
+    parts = semantic.packet_parts(issues, tables, globs, workspace)
+    return parts.select("bug_id", *(F.array_join(c, ",").alias(c) for c in parts.columns[1:]))

@@ -80,7 +80,7 @@ _given = f"CASE WHEN file_id < {len(_fixed)} THEN {_fixed}[file_id + 1] ELSE {_w
 
 
 @query("s23_guidance_places", f"""SELECT path, kind, always_on, priority FROM (SELECT t.path, k.kind, k.always_on, k.priority, row_number() OVER (PARTITION BY lower(t.path) ORDER BY k.priority, t.path) AS place FROM (SELECT {_given} AS path FROM tree_files) t
-JOIN (VALUES {", ".join(f"('{p}', '{k}', {str(on).lower()}, {n})" for p, k, on, n in _places)}) AS k(path, kind, always_on, priority) ON t.path = k.path OR ends_with(k.path, '/') AND starts_with(t.path, k.path) AND regexp_matches(lower(t.path), '\.(md|mdc|json)$'))
+JOIN (VALUES {", ".join(f"('{p}', '{k}', {str(on).lower()}, {n})" for p, k, on, n in _places)}) AS k(path, kind, always_on, priority) ON t.path = k.path OR ends_with(k.path, '/') AND starts_with(t.path, k.path) AND regexp_matches(lower(t.path), '\\.(md|mdc|json)$'))
 WHERE place = 1 ORDER BY priority, lower(path), path LIMIT 40""")
 def s23_places(spark: SparkSession, d: str) -> DataFrame:
     """Files at the fixed places and below the walked folders."""
