@@ -46,11 +46,11 @@ def texts():
     return out + [base, base]
 
 
-@pytest.mark.parametrize("most", [20_000, 2])
-def test_equals_brute_force(spark, most):
+@pytest.mark.parametrize("batches", [4, 1, 7])
+def test_equals_brute_force(spark, batches):
     own = texts()
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(own)], "doc_id long, text string, key string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans.remove(df, most_contexts=most).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans.remove(df, block_bytes=4000, batches=batches).collect()}
     for i, expected in enumerate(brute_force(own, 200)):
         assert got[i] == expected, (i, own[i] and own[i][:80])
 
@@ -91,3 +91,38 @@ def test_levels_are_suffix_arrays_that_merge_geometrically():
             assert grams == sorted(grams)
     whole = family.take()
     assert whole["n"].sum() == len(every) > len(whole)
+
+
+def test_merge_scan_finds_the_matches(spark, monkeypatch):
+    """A batch meets earlier ones in the stored levels alone: without the scan they're lost."""
+    rng = random.Random(8)
+    one, two = ("".join(rng.choice("abcdef ") for _ in range(600)) for _ in range(2))
+    df = spark.createDataFrame([(i, one if i % 2 else two) for i in range(12)], "doc_id long, text string")
+    assert {r.n_removed for r in repeated_spans.remove(df, block_bytes=600, batches=5).collect()} == {600}
+    family = repeated_spans.Family(spark, 4)
+    seen = []
+    for k in range(5):
+        entries = spark.createDataFrame([(7, 1, k, 1), (100 + k, 2, k, 1), (9, k % 2, k, 1)], "key long, context long, block long, n long")
+        seen.append(sorted(tuple(r) for r in family.add(entries).distinct().collect()))
+        assert [rank for rank, _ in family.levels] == [r for r in (2, 1, 0) if (k + 1) >> r & 1]
+    assert seen[0] == [] and all({x[0] for x in s} == {7, 9} for s in seen[1:])
+    assert family.entries().count() == 15
+    name = family.levels[-1][1]
+    plan = family.scan(name)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    family.drop()
+    monkeypatch.setattr(repeated_spans.Family, "scan", lambda self, name: self._keys(name).where("n < 0").select("key", "low", "high"))
+    assert {r.n_removed for r in repeated_spans.remove(df, block_bytes=600, batches=5).collect()} == {0}
+
+
+def test_very_many_contexts_of_one_key(spark):
+    """3,000 texts share passages of 190 and of 230 bytes; only the longer one goes, and
+    what is compared grows in proportion."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    short, long = noise(190), noise(230)
+    own = [noise(150) + "|" + (short if k % 3 else long) + "|" + noise(150) for k in range(3000)]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeated_spans.remove(df).collect()}
+    for i, expected in enumerate(brute_force(own, 200)):
+        assert got[i] == expected, i
