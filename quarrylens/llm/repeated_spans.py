@@ -7,7 +7,6 @@ buckets, sorted by the first four bytes of its suffixes and a fingerprint of the
 ``GRAM`` (all that has to lie side by side), with a fingerprint of all bytes of the
 windows that an anchor answers for, its context.  The array is merge-scanned against
 each level that is there; what both hold is a match.  Then levels of equal size merge.
-Before, each task sorts and combines its own entries in a small family of the same kind.
 (A full suffix array sorts every byte's suffix, some seventy times as many; README has
 the figures.)
 
@@ -46,7 +45,7 @@ from quarrylens.llm.common import cut, map_frames, shared_folder
 
 LENGTH, GRAM = 200, 40
 BLOCK_BYTES = 12_000_000
-#: Entries after which a task hands its levels on.
+#: Entries after which a task hands them on.
 FLUSH_ENTRIES = 600_000
 #: Batches that a table is dealt to; each is scanned against the levels before it.
 BATCHES = 4
@@ -55,12 +54,9 @@ BUCKET_BYTES, MOST_BUCKETS = 64_000_000, 50_000
 #: Windows of a context that are compared together.
 GROUP = 20
 SCHEMA = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-#: A suffix: its first bytes as big-endian numbers, which sort as the bytes do, their
-#: fingerprint, the fingerprint of its windows, the documents' block, and a count.
-WORDS = GRAM // 8
-ENTRY = np.dtype([*((f"bytes{i}", "<u8") for i in range(WORDS)), ("key", "<i8"), ("context", "<i8"), ("block", "<i8"), ("n", "<i8")])
+#: A suffix: its key, the fingerprint of its windows, the documents' block, and a count.
+ENTRY = np.dtype([("key", "<i8"), ("context", "<i8"), ("block", "<i8"), ("n", "<i8")])
 HALF = np.uint64(0xFFFFFFFF)
-ORDER = ("block", "context", *(f"bytes{i}" for i in reversed(range(WORDS))))
 
 
 def utf8(text: str | None) -> np.ndarray:
@@ -68,76 +64,51 @@ def utf8(text: str | None) -> np.ndarray:
 
 
 def suffixes(data: np.ndarray, block: int, length: int) -> np.ndarray:
-    """The entries of a text's anchors, in the order of the text."""
+    """The entries of a text's anchors, in the order of the text.
+
+    A key is four bytes in their order, then half a fingerprint of ``GRAM`` bytes; what
+    meets by chance is told apart by its context.
+    """
     found = Anchors.of(data, length, GRAM)
     out = np.empty(len(found.key), dtype=ENTRY)
-    if len(out):
-        first = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[found.place]).view(">u8")
-        for i in range(WORDS):
-            out[f"bytes{i}"] = first[:, i]
-        # four bytes in their order, then half a fingerprint: what meets by chance is told apart by its context
-        lead = (first[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)) & ~HALF
-        out["key"] = (lead | (found.key & HALF)).view(np.int64)
+    lead = np.zeros(len(out), dtype=np.uint64)
+    for i in range(4):
+        lead = lead << np.uint64(8) | data[found.place + i]
+    out["key"] = ((lead << np.uint64(32) ^ np.uint64(1 << 63)) | (found.key & HALF)).view(np.int64)
     out["context"], out["block"], out["n"] = found.context.view(np.int64), block, 1
     return out
 
 
-class Levels:
-    """A task's suffix arrays of doubling sizes, which combine what it will store."""
-
-    def __init__(self):
-        self.levels: list[tuple[int, np.ndarray]] = []
-
-    @staticmethod
-    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """One suffix array; suffixes of a block that match over all their windows, side
-        by side in it, are counted as one."""
-        both = np.concatenate([a, b])
-        both = both[np.lexsort([both[c] for c in ORDER])]
-        if not len(both):
-            return both
-        new = np.zeros(len(both), dtype=bool)
-        new[0] = True
-        for c in ("key", "context", "block"):
-            new[1:] |= both[c][1:] != both[c][:-1]
-        out = both[new]
-        out["n"] = np.add.reduceat(both["n"], np.flatnonzero(new))
-        return out
-
-    def add(self, entries: np.ndarray) -> None:
-        entries, rank = self.merged(entries, entries[:0]), 0
-        while self.levels and self.levels[-1][0] <= rank:
-            rank = self.levels[-1][0] + 1
-            entries = self.merged(self.levels.pop()[1], entries)
-        self.levels.append((rank, entries))
-
-    def __len__(self) -> int:
-        return sum(len(x) for _, x in self.levels)
-
-    def take(self) -> np.ndarray:
-        """All levels as one array; the family is empty afterwards."""
-        out = np.zeros(0, dtype=ENTRY)
-        while self.levels:
-            out = self.merged(self.levels.pop()[1], out)
-        return out
+def combined(parts: list[np.ndarray]) -> np.ndarray:
+    """Entries of a block that match over all their windows, counted as one."""
+    every = np.concatenate(parts)
+    every = every[np.lexsort([every["block"], every["context"]])]
+    new = np.ones(len(every), dtype=bool)
+    new[1:] = (every["context"][1:] != every["context"][:-1]) | (every["block"][1:] != every["block"][:-1])
+    out = every[new]
+    if len(out):
+        out["n"] = np.add.reduceat(every["n"], np.flatnonzero(new))
+    return out
 
 
 def entries(dealt: DataFrame, length: int) -> DataFrame:
-    """(key, context, block, n) of all anchors."""
+    """(key, context, block, n) of all anchors, combined within stretches of a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family = Levels()
+        own: list[np.ndarray] = []
 
         def rows() -> Iterator[pd.DataFrame]:
-            every = family.take()
+            every = combined(own)
+            own.clear()
             for at in range(0, len(every), 100_000):
-                yield pd.DataFrame({c: every[c][at : at + 100_000] for c in ("key", "context", "block", "n")})
+                yield pd.DataFrame({c: every[c][at : at + 100_000] for c in ENTRY.names})
 
         for pdf in frames:
-            family.add(np.concatenate([suffixes(utf8(text), block, length) for block, text in zip(pdf["block"], pdf["text"], strict=True)]))
-            if len(family) > FLUSH_ENTRIES:
+            own += [suffixes(utf8(text), block, length) for block, text in zip(pdf["block"], pdf["text"], strict=True)]
+            if sum(map(len, own)) > FLUSH_ENTRIES:
                 yield from rows()
-        yield from rows()
+        if own:
+            yield from rows()
 
     return map_frames(dealt.select("block", "text"), run, "key long, context long, block long, n long")
 

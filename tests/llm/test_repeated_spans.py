@@ -3,7 +3,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.llm import repeated_spans
 from quarrylens.llm.anchors import Anchors
@@ -75,22 +77,26 @@ def test_rows_that_repeat(spark):
     assert repeated_spans.remove(df.limit(0)).count() == 0
 
 
-def test_levels_are_suffix_arrays_that_merge_geometrically():
+def test_levels_are_suffix_arrays_that_merge_geometrically(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(97, 101, 3000).astype(np.uint8)
     batches = [np.concatenate([rng.integers(97, 101, 400).astype(np.uint8), base[200 * k : 200 * k + 900]]) for k in range(7)]
-    family, every = repeated_spans.Levels(), []
+    family, total = repeated_spans.Family(spark, 2), 0
     for k, data in enumerate(batches):
-        own = repeated_spans.suffixes(data, 1, 200)
+        own = repeated_spans.suffixes(data, 1 + k, 200)
         places = Anchors.of(data, 200, 40).place
-        every += [data[p : p + 40].tobytes() for p in places]
-        family.add(own)
+        lead = [data[p : p + 4].tobytes() for p in places]
+        assert [lead[i] for i in np.argsort(own["key"], kind="stable")] == sorted(lead)
+        total += len(own)
+        family.add(spark.createDataFrame(pd.DataFrame(own)))
         assert [rank for rank, _ in family.levels] == [r for r in (2, 1, 0) if (k + 1) >> r & 1]
         for _, level in family.levels:
-            grams = [b"".join(int(x[f"bytes{i}"]).to_bytes(8, "big") for i in range(5)) for x in level]
-            assert grams == sorted(grams)
-    whole = family.take()
-    assert whole["n"].sum() == len(every) > len(whole)
+            by_file = spark.table(level).groupBy(F.input_file_name()).agg(F.collect_list("key").alias("keys")).collect()
+            assert all(r["keys"] == sorted(r["keys"]) for r in by_file)
+    assert family.entries().agg(F.sum("n")).first()[0] == total > family.entries().select("context").distinct().count()
+    twice = repeated_spans.combined([own, own])
+    assert (twice["n"] % 2 == 0).all() and twice["n"].sum() == 2 * len(own)
+    family.drop()
 
 
 def test_merge_scan_finds_the_matches(spark, monkeypatch):
