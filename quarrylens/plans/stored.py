@@ -6,8 +6,6 @@ the form in which they are stored, and read them back.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +14,10 @@ from quarrylens.plans.semantic import ROLE, SCANNED, texts, tree
 from quarrylens.registry import query
 from quarrylens.sources import adapters as src
 from quarrylens.sources import artifacts, coverage, git, sinks, trees
+from quarrylens.sources.shared import folder
 from quarrylens.streaming import activity as stream
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below the one that all machines share; on one machine, the warehouse."""
-    sc = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/{sc.applicationId}/stored-{uuid.uuid4().hex}"
-
-
 @query("s01_repo_map", f"SELECT path, {ROLE} AS role, length(content) AS size FROM tree_files WHERE {ROLE} IS NOT NULL")
 def s01(spark: SparkSession, d: str) -> DataFrame:
     return trees.repo_map(tree(spark, d).select("path", F.length("content").cast("long").alias("size")))
