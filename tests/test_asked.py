@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import quarrylens.plans  # noqa: F401
 from quarrylens import registry
-from quarrylens.operators import asked, duplicates, joins
+from quarrylens.operators import asked, duplicates, joins, ranking
 from tests.test_search import ISSUE, issues
 
 
@@ -42,3 +42,14 @@ def test_titles_alike_are_not_shuffled_as_pairs(spark):
 def test_scores_of_titles_alike_are_not_shuffled_as_pairs(spark):
     text = plan(registry.QUERIES["q02_duplicate_score"](spark, "/root/testdata/sf0.001"))
     assert text.count("Join") == 1 and "array_intersect" not in text  # the join of issues and labels
+
+
+def test_bm25_shuffles_the_first_documents_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.expovariate(0.1))}" for _ in range(30))) for k in range(200)] + [(None, "w1"), (900, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(k, " ".join(f"w{rng.randint(0, 40)}" for _ in range(8))) for k in range(30)] + [(99, None)], "query_id long, text string")
+    found = ranking.search(ranking.index(docs), queries, 5)
+    assert "Join" not in plan(found) and plan(found).count("Exchange") == 1
+    whole = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(asked, "MOST_ROWS", 7)
+    assert sorted(map(tuple, ranking.search(ranking.index(docs), queries, 5).collect())) == whole and len(whole) == 150
