@@ -1,8 +1,8 @@
 """Polling of growing log files by byte offset, in batches and as a stream.
 
 ``poll`` reads what each log has gained since an offset; ``LogTail`` is a streaming source
-whose offsets are the bytes read of each file.  Only the new bytes of a file are read, in
-ranges of ``MOST_BYTES`` that tasks share out.  A range never ends inside a character: the
+whose offsets are the bytes of each file.  Only the new bytes of a file are read, in
+ranges of ``MOST_BYTES`` a row; a task reads many files.  A range never ends inside a character: the
 bytes of one that isn't whole yet wait for the next poll, unless the log has ended.
 """
 
@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of a file that one row holds.
 MOST_BYTES = 8_000_000
+#: Bytes and files of a task of the stream.
+PART_BYTES, PART_FILES = 32_000_000, 500
 CHUNK = "file string, offset long, content string, next_offset long"
 #: The states in which a run's log grows no more.
 ENDED = ("completed", "failed", "cancelled")
@@ -82,13 +84,19 @@ def poll(logs: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return logs.select("run_id", "log_path", "status", F.coalesce(F.col("offset").cast("long"), F.lit(0)).alias("offset")).mapInPandas(run, f"run_id {kind}, offset long, content string, next_offset long, eof boolean")
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int):
-        self.path, self.begin, self.end = path, begin, end
+class Ranges(InputPartition):
+    """What is new of some files: (path, bytes before, bytes now) of each."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files = files
 
 
 class Tail(DataSourceStreamReader):
-    """Offsets: the bytes of each file that have been read."""
+    """Offsets: the bytes that each file had when it was listed.
+
+    Logs only grow, so the last whole character before an offset is the same whenever it is
+    looked for: tasks look for it, and the driver lists files without opening any.
+    """
 
     def __init__(self, options: dict):
         self.root, self.most = options["path"], int(options.get("maxbytes", MOST_BYTES))
@@ -102,25 +110,32 @@ class Tail(DataSourceStreamReader):
         for info in files.get_file_info(fs.FileSelector(place, allow_not_found=True, recursive=True)):
             name = info.path.rsplit("/", 1)[-1]
             if info.is_file and not name.startswith((".", "_")):
-                with files.open_input_file(info.path) as file:
-                    ends[info.path] = whole_end(file, 0, info.size)
+                ends[info.path] = info.size
         return {"files": json.dumps(ends, sort_keys=True)}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        files, _ = opened(self.root)
-        before, parts = json.loads(start["files"]), []
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        before, parts, room = json.loads(start["files"]), [[]], PART_BYTES
         for path, to in json.loads(end["files"]).items():
-            if to > (begin := before.get(path, 0)):
-                with files.open_input_file(path) as file:
-                    parts += [Range(path, a, b) for a, b in ranges(file, begin, to, self.most)]
-        return parts
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+            begin = before.get(path, 0)
+            # long logs are cut where rows of ``most`` bytes would be, give or take a character
+            while begin < to:
+                if room <= 0 or len(parts[-1]) >= PART_FILES:
+                    parts.append([])
+                    room = PART_BYTES
+                upto = min(to, begin + max(self.most, PART_BYTES))
+                parts[-1].append((path, begin, upto))
+                room -= upto - begin
+                begin = upto
+        return [Ranges(x) for x in parts if x]
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
         files, _ = opened(self.root)
-        with files.open_input_file(partition.path) as file:
-            file.seek(partition.begin)
-            data = file.read(partition.end - partition.begin)
-        yield partition.path, partition.begin, data.decode("utf-8", "replace"), partition.end
+        for path, begin, end in partition.files:
+            with files.open_input_file(path) as file:
+                begin, end = (whole_end(file, 0, x) for x in (begin, end))
+                for a, b in ranges(file, begin, end, self.most):
+                    file.seek(a)
+                    yield path, a, file.read(b - a).decode("utf-8", "replace"), b
 
     def commit(self, end: dict) -> None:
         pass

@@ -99,3 +99,28 @@ def test_states_equal_an_ordered_fold(spark, tmp_path):
             expected.append((run, event_id, event, old, state[run]))
     got = spark.read.schema(run_states.STEP).parquet(str(tmp_path / "out")).select("run_id", "event_id", "event", "old", "new").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_a_task_of_the_log_stream_reads_many_files(tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"{k}.log").write_bytes(b"some line\n" * 50)
+    reader = polling.Tail({"path": str(tmp_path), "maxbytes": "20"})
+    first = {"files": "{}"}
+    parts = reader.partitions(first, reader.latestOffset())
+    assert len(parts) == 1 and len(parts[0].files) == 300
+    monkeypatch.setattr(polling, "PART_BYTES", 70)
+    parts = reader.partitions(first, reader.latestOffset())
+    rows = sorted(r for x in parts for r in reader.read(x))
+    assert len(parts) > 1000 and sum(len(r[2]) for r in rows) == 300 * 500 and max(len(r[2]) for r in rows) <= 20
+
+
+def test_log_stream_cuts_no_character_between_polls(tmp_path, monkeypatch):
+    monkeypatch.setattr(polling, "PART_BYTES", 3)
+    data = "aä漢🙂\n".encode() * 9
+    reader, before, got = polling.Tail({"path": str(tmp_path), "maxbytes": "5"}), {"files": "{}"}, []
+    for size in (*range(0, len(data), 2), len(data)):
+        (tmp_path / "1.log").write_bytes(data[:size])
+        after = reader.latestOffset()
+        got += [r for x in reader.partitions(before, after) for r in reader.read(x)]
+        before = after
+    assert "".join(r[2] for r in got) == data.decode() and all(a[3] == b[1] for a, b in itertools.pairwise(got))
