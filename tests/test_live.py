@@ -124,3 +124,32 @@ def test_log_stream_cuts_no_character_between_polls(tmp_path, monkeypatch):
         got += [r for x in reader.partitions(before, after) for r in reader.read(x)]
         before = after
     assert "".join(r[2] for r in got) == data.decode() and all(a[3] == b[1] for a, b in itertools.pairwise(got))
+
+
+def test_runs_share_state_in_groups(spark, tmp_path):
+    """Runs of several groups, with events that the watermark passes one batch after the
+    other; a call for each run of these would take minutes."""
+    runs, start = 3_000, 1_704_067_200
+    schema = "run_id long, event_id long, at timestamp, event string"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, calls = spark.conf.get(provider), spark.sparkContext.accumulator(0)
+
+    class Counted(run_states.Runs):
+        def handleInputRows(self, key, rows, timerValues):
+            calls.add(1)
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for turn, event in enumerate(["plan", "approve", "start", "succeed"]):
+            rows = spark.range(runs).select(F.col("id").alias("run_id"), (F.col("id") * 10 + turn).alias("event_id"), F.timestamp_seconds(F.lit(start + turn * 100) + F.col("id") % 90).alias("at"), F.lit(event).alias("event"))
+            mark = spark.createDataFrame([(-1, -1, start + 10**6)], "run_id long, event_id long, s long").select("run_id", "event_id", F.timestamp_seconds("s").alias("at"), F.lit("mark").alias("event"))
+            (rows if turn < 3 else rows.unionByName(mark)).write.mode("append").parquet(str(tmp_path / "in"))
+            events = spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("at", "1 minute").withColumn("at_us", F.unix_micros("at")).withColumn("runs", F.floor(F.col("run_id") / run_states.GROUP).cast("long"))
+            sink = events.groupBy("runs").transformWithStateInPandas(Counted(), run_states.STEP, "append", "eventTime").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            sink.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    got = spark.read.schema(run_states.STEP).parquet(str(tmp_path / "out")).groupBy("old", "new").count().collect()
+    assert sorted(map(tuple, got)) == [("planning", "queued", runs), ("queued", "planning", runs), ("queued", "running", runs), ("running", "completed", runs)]
+    assert calls.value <= 4 * (runs // run_states.GROUP) + 1
