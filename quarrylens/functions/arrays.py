@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value made once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ordered_distinct(values: Column, most: int | None = None) -> Column:
     """Trimmed, without blanks, first seen first; at most ``most`` of them."""
     out = F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens.functions.arrays import let
 from quarrylens.functions.numbers import rounded
 from quarrylens.functions.paths import strip, text_lines
 
@@ -37,12 +38,17 @@ def _result(reports: DataFrame, fmt: str, files: Column, rate: Column | None = N
 def lcov(reports: DataFrame) -> DataFrame:
     """``SF:`` opens a file, ``DA:line,hits`` is a line of it, ``end_of_record`` closes it.
     Hits that are no number count as none; a file without lines is an uncovered one."""
-    records = F.slice(F.split("text", r"(?m)^[ \t]*SF:"), F.lit(2), F.size(F.split("text", r"(?m)^[ \t]*SF:")))
+    records = let(F.split("text", r"(?m)^[ \t]*SF:"), lambda x: F.slice(x, F.lit(2), F.size(x)))
+
+    def counted(own: Column) -> Column:
+        lines = F.filter(F.transform(F.filter(own, lambda x: F.contains(x, F.lit("DA:"))), strip), lambda x: x.startswith("DA:"))
+        data = F.filter(F.transform(lines, lambda x: F.split(F.substring(x, 4, 1 << 30), ",")), lambda x: F.size(x) >= 2)
+        hits = lambda x: F.struct(_hits(F.transform(x, lambda y: y[1])).alias("hit"), F.size(x).alias("total"))
+        return F.struct(strip(own[0]).alias("file"), let(data, hits).alias("n"))
 
     def one(record: Column) -> Column:
-        own = F.transform(text_lines(F.split(record, r"(?m)^[ \t]*end_of_record", 2)[0]), strip)
-        data = F.filter(F.transform(F.filter(own, lambda x: x.startswith("DA:")), lambda x: F.split(F.substring(x, 4, 1 << 30), ",")), lambda x: F.size(x) >= 2)
-        return F.struct(own[0].alias("file"), _hits(F.transform(data, lambda x: x[1])).alias("hit"), F.size(data).alias("total"), F.lit(True).alias("counts"))
+        body = F.split(record, r"(?m)^[ \t]*end_of_record", 2)[0]
+        return let(let(text_lines(body), counted), lambda x: F.struct(x["file"].alias("file"), x["n"]["hit"].alias("hit"), x["n"]["total"].alias("total"), F.lit(True).alias("counts")))
 
     return _result(reports, "lcov", F.filter(F.transform(records, one), lambda x: x["file"] != ""))
 
@@ -68,16 +74,20 @@ def istanbul(reports: DataFrame) -> DataFrame:
     """``source_files`` or ``coverage``, a list or a map by path; a statement counts as hit
     if its number is positive or it says ``executed``."""
     body = F.coalesce(F.get_json_object("text", "$.source_files"), F.get_json_object("text", "$.coverage"))
-    by_path = F.transform(F.map_entries(F.from_json(body, "map<string,string>")), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("json")))
-    listed = F.transform(F.from_json(body, "array<string>"), lambda x: F.struct(F.coalesce(F.get_json_object(x, "$.path"), F.get_json_object(x, "$.file"), F.lit("")).alias("path"), x.alias("json")))
+    by_path = lambda b: F.transform(F.map_entries(F.from_json(b, "map<string,string>")), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("json")))
+    listed = lambda b: F.transform(F.from_json(b, "array<string>"), lambda x: F.struct(F.coalesce(F.get_json_object(x, "$.path"), F.get_json_object(x, "$.file"), F.lit("")).alias("path"), x.alias("json")))
 
-    def one(f: Column) -> Column:
-        values = F.map_values(F.from_json(F.coalesce(F.get_json_object(f["json"], "$.s"), F.get_json_object(f["json"], "$.statementMap")), "map<string,string>"))
+    def counted(values: Column, path: Column) -> Column:
         hit = F.size(F.filter(values, lambda v: F.coalesce(v.try_cast("bigint") > 0, F.get_json_object(v, "$.executed") == "true", F.lit(False))))
         total = F.when(values.isNull(), 0).otherwise(F.size(values))
-        return F.struct(f["path"].alias("file"), F.when(total > 0, hit).otherwise(0).alias("hit"), total.alias("total"), (total > 0).alias("counts"))
+        return F.struct(path.alias("file"), F.when(total > 0, hit).otherwise(0).alias("hit"), total.alias("total"), (total > 0).alias("counts"))
+
+    def one(f: Column) -> Column:
+        statements = F.coalesce(F.get_json_object(f["json"], "$.s"), F.get_json_object(f["json"], "$.statementMap"))
+        return let(F.map_values(F.from_json(statements, "map<string,string>")), lambda values: counted(values, f["path"]))
 
-    return _result(reports, "istanbul", F.transform(F.when(F.ltrim(body).startswith("["), listed).otherwise(by_path), one))
+    files = let(body, lambda b: F.transform(F.when(F.ltrim(b).startswith("["), listed(b)).otherwise(by_path(b)), one))
+    return _result(reports, "istanbul", files)
 
 
 def results(reports: DataFrame) -> DataFrame:
