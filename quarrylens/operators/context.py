@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylens.functions.arrays import let
 from quarrylens.functions.paths import strip
 from quarrylens.functions.text import blank_to_null, matched
 
@@ -136,15 +137,16 @@ def guidance_summary(text: Column, path: Column) -> Column:
     body = F.regexp_replace(text, r"^---[ \t]*\n(?:(?!---)[^\n]*\n)*---[ \t]*\n?", "")
     prose = F.regexp_replace(body, r"(?ms)^[ \t]*```.*?^[ \t]*```[^\n]*$", "")
     said = F.transform(F.filter(F.transform(F.split(prose, "\n"), strip), lambda x: (x != "") & ~x.startswith("#")), lambda x: F.regexp_replace(strip(F.regexp_replace(x, r"^[-*]+", "")), r"^\d+\.\s*", ""))
-    lines = F.filter(said, lambda x: x != "")
-    kept = F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
+    # each is made once: a filter over lines that names them would make them anew for every line
+    kept = let(F.filter(said, lambda x: x != ""), lambda lines: F.slice(F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1))), 1, 4))
     listed = F.split(F.regexp_extract(front, r"(?im)^\s*keywords:[^\[\n]*\[([^\]]*)\]", 1), ",")
     words = F.slice(F.filter(F.transform(listed, lambda x: strip(F.regexp_replace(strip(x), "^['\"]+|['\"]+$", ""))), lambda x: x != ""), 1, 8)
     name = F.element_at(F.split(path, "/"), -1)
     heading = strip(F.regexp_extract(text, r"(?m)^\s*#+([^\n]*)", 1))
-    summary = F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 3), " ")).otherwise(F.concat(F.lit("Repository guidance from "), name))
-    excerpt = F.when(F.size(kept) > 0, F.array_join(F.slice(kept, 1, 4), "\n")).otherwise(summary)
-    return F.struct(F.when(heading != "", heading).otherwise(name).alias("title"), summary.alias("summary"), excerpt.alias("excerpt"), words.alias("keywords"))
+    bare = F.concat(F.lit("Repository guidance from "), name)
+    said_as = lambda k, n, between: F.when(F.size(k) > 0, F.array_join(F.slice(k, 1, n), between)).otherwise(bare)
+    title = let(heading, lambda h: F.when(h != "", h).otherwise(name))
+    return let(kept, lambda k: F.struct(title.alias("title"), said_as(k, 3, " ").alias("summary"), said_as(k, 4, "\n").alias("excerpt"), words.alias("keywords")))
 
 
 #: Search patterns for a name, by language and by whether it begins with a capital.
