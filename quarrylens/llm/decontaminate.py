@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,22 +51,30 @@ NOT_WORD = re.compile(r"[\W_]+")
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
+class Hashed(dict):
+    """Words and their hashes, made when first asked for; 0 for one without letters and digits."""
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        plain = low if low.isalnum() else NOT_WORD.sub("", low)
+        self[word] = made = (xxhash.xxh64_intdigest(plain) | 1) if plain else 0
+        return made
+
+
 class WordHashes:
     """64-bit hashes of a text's words, in lower case and without punctuation."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
+        self.known = Hashed()
+
+    def each(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > MOST_WORDS:
+            self.known.clear()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The hashes and the numbers of the white-space separated words they come from."""
-        words = text.split() if text else []
-        known = self.known
-        if len(known) > MOST_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            plain = NOT_WORD.sub("", w.lower())
-            known[w] = (xxhash.xxh64_intdigest(plain) | 1) if plain else 0
-        every = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        every = self.each(text.split() if text else [])
         place = np.flatnonzero(every)
         return every[place], place
 
@@ -193,11 +201,16 @@ def _frequencies(documents: DataFrame, wanted: np.ndarray) -> dict[int, float]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, count, n = WordHashes(), np.zeros(len(wanted), dtype=np.int64), 0
         for pdf in frames:
+            # distinct words of a frame with their numbers: each is hashed and sought once
+            found: Counter[str] = Counter()
             for text in pdf["text"]:
-                words, _ = hashes.of(text)
-                n += len(words)
-                at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
-                count += np.bincount(at[wanted[at] == words], minlength=len(wanted))
+                if text:
+                    found.update(text.split())
+            words, times = hashes.each(list(found)), np.fromiter(found.values(), np.int64, len(found))
+            n += int(times[words != 0].sum())
+            at = np.minimum(np.searchsorted(wanted, words), len(wanted) - 1)
+            same = (wanted[at] == words) & (words != 0)
+            count += np.bincount(at[same], times[same], minlength=len(wanted)).astype(np.int64)
         used = np.flatnonzero(count)
         yield pd.DataFrame({"word": np.r_[used, -1], "n": np.r_[count[used], n]})
 

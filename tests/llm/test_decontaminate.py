@@ -83,3 +83,16 @@ def test_recall_against_full_alignment(spark):
     coded = {("d", d): hashes.of(" ".join(w))[0] for d, w in docs} | {("i", i): hashes.of(" ".join(w))[0] for i, w in items}
     whole = {(d, i) for d, _ in docs for i, _ in items if decontaminate.aligned(coded["i", i], coded["d", d])[0] >= decontaminate.LEAST_SCORE * 2 * len(coded["i", i])}
     assert len(whole) > 30 and got <= whole and len(got) >= 0.9 * len(whole), (len(got), len(whole))
+
+
+def test_words_are_hashed_alike_and_once(monkeypatch):
+    from quarrylens.llm import decontaminate as d
+
+    asked = []
+    monkeypatch.setattr(d.xxhash, "xxh64_intdigest", lambda x, own=d.xxhash.xxh64_intdigest: asked.append(x) or own(x))
+    hashes = d.WordHashes()
+    words = "Ab ab a_b A-B, ... _ İx x 12 ab".split()
+    one, two = hashes.each(words), hashes.each(words)
+    assert one.tolist() == two.tolist() and len(asked) == 7 and one[4] == one[5] == 0 and len({int(one[k]) for k in (0, 1, 2, 3, 9)}) == 1
+    own, place = hashes.of(" ".join(words))
+    assert own.tolist() == [x for x in one.tolist() if x] and place.tolist() == [0, 1, 2, 3, 6, 7, 8, 9]
