@@ -22,29 +22,23 @@ table writes no shard and reads back as no rows.
 
 from __future__ import annotations
 
-import json
-import string
 import struct
-import unicodedata
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from quarrylens.llm.common import map_frames, shared_folder
-from quarrylens.llm.word_codes import MOST_WORDS, Remembered, WordCodes
+from quarrylens.llm.common import joined, map_frames, shared_folder
+from quarrylens.llm.library_words import library_codes
 
 END_ID = 1
 #: Compressed bytes after which a shard is closed.
@@ -59,69 +53,6 @@ MANIFEST = "shard string, first_id long, n_docs long, n_tokens long"
 READ = "doc_id long, shard string, place long, n_tokens long, ids_crc32 long"
 
 
-class LibraryWords:
-    """Words encoded by the tokenizers library itself.
-
-    A word of letters and punctuation after them has the ids of both parts, so the
-    library gets each distinct part once, letters in lower case and joined by spaces: as
-    such a part ends with the only token that closes a word, the ids fall apart again.
-    Other words are encoded one by one, and so are all should the counts not agree.
-    """
-
-    #: ASCII punctuation but for the apostrophe, which may begin a contraction.
-    AFTER = "".join(c for c in string.punctuation if c != "'")
-
-    def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.parts = Remembered(MOST_WORDS)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        if suffix:
-            self.closing[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
-
-    def split(self, word: str) -> tuple[str, str]:
-        """Letters in lower case, and what follows them; or the word as it is."""
-        core = word.rstrip(self.AFTER)
-        if not core.isalpha():
-            return word, ""
-        low = core.lower() if core.isascii() else core.replace("Σ", "σ").lower()
-        if not core.isascii() and not (low.isalpha() and unicodedata.is_normalized("NFC", core)):
-            return word, ""
-        return low, word[len(core) :]
-
-    def one_by_one(self, words: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def together(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.closing[ids]) + 1
-        if len(ends) != len(words) or (len(ids) and ends[-1] != len(ids)):
-            return self.one_by_one(words)
-        data = ids.tobytes()
-        cuts = [0, *(4 * ends).tolist()]
-        return [data[a:b] for a, b in pairwise(cuts)]
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        split = list(map(self.split, words))
-        known = self.parts
-        new = known.missing({p for parts in split for p in parts})
-        letters = [p for p in new if p.isalpha() and p.islower()]
-        for at in range(0, len(letters), 5000):
-            own = letters[at : at + 5000]
-            known.update(zip(own, self.together(own), strict=True))
-        known[""] = b""
-        rest = [p for p in new if p not in known]
-        known.update(zip(rest, self.one_by_one(rest), strict=True))
-        return [known[a] + known[b] if b else known[a] for a, b in split]
-
-
-@lru_cache(maxsize=2)
-def library_codes(path: str) -> WordCodes:
-    encode = LibraryWords(path)
-    return WordCodes(encode, {x.content: i for i, x in encode.tokenizer.get_added_tokens_decoder().items()})
-
-
 class ShardWriter:
     """Collects the frames of a shard; ``finish`` gives its bytes."""
 
@@ -209,20 +140,20 @@ def write(documents: DataFrame, path: str, folder: str | None = None, end_id: in
     files.create_dir(f"{place}/shards", recursive=True)
     end = end_id.to_bytes(4, "little")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, shard, writer = TaskContext.get().partitionId(), 0, ShardWriter()
         codes = library_codes(path)
 
-        def closed() -> pd.DataFrame:
+        def closed() -> pa.RecordBatch:
             nonlocal shard, writer
             name = f"part-{part:06d}-{shard:05d}.ids.zst"
             publish(f"{folder}/shards/{name}", writer.finish())
-            row = pd.DataFrame([(name, writer.doc_ids[0], len(writer.doc_ids), writer.n_ids)], columns=[x.split()[0] for x in MANIFEST.split(", ")])
+            row = [[name], [writer.doc_ids[0]], [len(writer.doc_ids)], [writer.n_ids]]
             shard, writer = shard + 1, ShardWriter()
-            return row
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
-        for pdf in frames:
-            for doc_id, ids in zip(pdf["doc_id"], codes.codes(pdf["text"]), strict=True):
+        for batch in joined(batches):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), codes.runs(batch.column("text")), strict=True):
                 writer.add(doc_id, ids + end)
                 if writer.size >= SHARD_BYTES:
                     yield closed()
@@ -230,7 +161,7 @@ def write(documents: DataFrame, path: str, folder: str | None = None, end_id: in
             yield closed()
 
     ranged = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_frames(ranged, run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    ranged.mapInArrow(run, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 
 

@@ -1,12 +1,17 @@
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from tokenizers import Tokenizer
 
-from quarrylens.llm import token_files
+from quarrylens.llm import library_words, token_files
+from quarrylens.llm.common import joined
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ROWS = [(7, "It's the last one", 1), (2, None, 2), (5, "", 3), (3, "Hello <|endoftext|> world!", 4), (5, "tie", 5), (9, "a long text " * 4000, 6), (None, "no id", 7), (7, "It's the last one", 8)]
@@ -68,3 +73,43 @@ def test_a_spoilt_frame_is_found(tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert token_files.read(spark, token_files.write(df, PATH, f"file://{tmp_path}/t")).count() == 0
+
+
+def test_letters_that_arrow_takes_for_plain():
+    library = Tokenizer.from_file(PATH)
+    codes = library_words.LibraryCodes(PATH)
+    letters = [c for c in map(chr, range(0x2000)) if re.match(f"[{library_words.PLAIN}]", c)]
+    assert len(letters) > 250
+    for c in letters:
+        assert pc.utf8_lower(pa.scalar(c)).as_py() == c.lower() and len(c.lower()) == 1
+        assert unicodedata.is_normalized("NFC", c) and unicodedata.is_normalized("NFC", c.lower())
+    texts = [f"{c}{c}a{c}..." for c in letters]
+    for text, ids in zip(texts, codes.codes(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_reach_the_library_once_and_texts_are_not_cut_in_python(monkeypatch):
+    codes = library_words.LibraryCodes(PATH)
+    asked, cut = [], []
+    monkeypatch.setattr(codes.letters, "encode", lambda words, f=codes.letters.encode: asked.extend(words) or f(words))
+    monkeypatch.setattr(codes.plainly, "words", lambda text, f=codes.plainly.words: cut.append(text) or f(text))
+    texts = ["Eins zwei, EINS... Öl", None, "", " zwei! öl; neu ", "a<|endoftext|>b zwei", "zwei\x1cneu"]
+    assert codes.codes(texts) == codes.codes(texts) == [x for text in texts for x in codes.codes([text])]
+    assert sorted(asked) == sorted({"eins", "zwei", "öl", "neu", "a", "b"}) and set(cut) == set(texts[4:])
+
+
+def test_forgotten_words_change_no_ids():
+    library = Tokenizer.from_file(PATH)
+    codes = library_words.LibraryCodes(PATH, most_words=3)
+    for at in range(40):
+        text = " ".join(f"{a}{b}x," for a in "abcdefg"[at % 5 :] for b in "uvw"[at % 3 :]) + " it's 12 ###"
+        assert np.frombuffer(codes.codes([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(codes.letters.words) <= 3 + 21
+
+
+def test_batches_are_joined_up_to_a_size():
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(100)), "text": ["x" * 10] * 99 + ["y" * 5000]})
+    out = list(joined(iter([rows.slice(k, 1) for k in range(100)] + [rows.slice(0, 0)]), 1000))
+    assert pa.Table.from_batches(out).to_pydict() == rows.to_pydict()
+    assert 2 < len(out) < 10 and out[-1].num_rows == 1 and all(b.nbytes <= 1000 for b in out[:-1])
+    assert [b.num_rows for b in joined(iter([rows.slice(0, 90)]), 10**6)] == [90]
