@@ -7,6 +7,7 @@ tasks as it has files; no step but ``symbols`` shuffles, by path.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,9 +32,9 @@ def files(spark: SparkSession, root: str, content: bool = True, pattern: str | N
     return reader.load(root).select(*columns)
 
 
-def lines(texts: DataFrame) -> DataFrame:
+def lines(texts: DataFrame, of: Callable[[Column], Column] = paths.text_lines) -> DataFrame:
     """(path, line_no, line) of (path, text): lines count from 1; null texts have none."""
-    return texts.where("text is not null").select("path", F.posexplode(paths.text_lines(F.col("text"))).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
+    return texts.where("text is not null").select("path", F.posexplode(of(F.col("text"))).alias("pos", "line")).select("path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def repo_map(tree: DataFrame) -> DataFrame:
